@@ -1 +1,6 @@
-QUERIES, ORACLES = {}, {}
+"""The registered queries of the structure and scoring operators, and their SQL."""
+
+from . import scoring, statistics
+
+QUERIES = statistics.QUERIES | scoring.QUERIES
+ORACLES = statistics.ORACLES | scoring.ORACLES
