@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import BLANKS, LOWER, UPPER, stage, table, union_all
 
@@ -67,14 +68,16 @@ class LineRuns:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, n_batches: int = 4, fanout: int = 3) -> DataFrame:
-    """docs with text_col rebuilt, and n_lines (before), n_dropped.
+    """docs with text_col rebuilt, and n_lines (before), n_dropped. Ids that are not numbers make one batch.
 
     A null or empty text is one empty line. Rows of the same id count as one document, so none of them loses
     a line to another. Rows with a null id take no part and keep all their lines. Other columns stay as they
     are; columns named n_lines or n_dropped are replaced.
     """
     hashes = line_hashes(docs, id_col, text_col, min_chars)
-    cuts = docs.select(F.col(id_col).alias("doc")).where("doc is not null").approxQuantile("doc", [i / n_batches for i in range(1, n_batches)], 0.01) if dict(docs.dtypes)[id_col] in ("bigint", "int", "double", "smallint") else []
+    shares = [i / n_batches for i in range(1, n_batches)]
+    numeric = isinstance(docs.schema[id_col].dataType, T.NumericType)
+    cuts = docs.agg(F.percentile_approx(id_col, shares, 1000)).first()[0] or [] if shares and numeric else []
     batch = sum([(F.col("doc") > F.lit(c)).cast("int") for c in sorted(set(cuts))], F.lit(0))
     hashes = stage(hashes.withColumn("batch", batch), "lines")
     runs, shared = LineRuns(fanout), []
