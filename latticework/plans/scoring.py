@@ -95,7 +95,7 @@ def feature_group_select(spark, d):
 
 def mlp_predict(spark, d):
     x = F.array(F.col("p_size").cast("double"), F.col("p_retailprice"), F.col("p_partkey") % 10 / 100.0)
-    return table(spark, d, "part").select("p_partkey", r6(NET.apply(x), "y"))
+    return table(spark, d, "part").select("p_partkey", F.round(NET.apply(x), 4).alias("y"))
 
 
 def one_hot_counts(spark, d):
@@ -219,7 +219,7 @@ ORACLES = {
       s AS (SELECT r.l_linestatus, r.l_linenumber, CASE WHEN r.q IS NOT NULL AND r.c IS NOT NULL THEN w.my + w.bq * (r.q - w.mq) + w.bc * (r.c - w.mc) WHEN r.q IS NOT NULL THEN q.a + q.b * r.q WHEN r.c IS NOT NULL THEN c.a + c.b * r.c END AS score FROM r JOIN q USING (l_linestatus) JOIN c USING (l_linestatus) JOIN w USING (l_linestatus))
       SELECT l_linestatus, l_linenumber, count(score)::BIGINT AS n, round(avg(score), 2) AS score FROM s GROUP BY ALL""",
     "feature_group_select": "SELECT CASE WHEN l_quantity > 10 AND l_discount > 0.03 AND l_tax > 0.02 THEN 0 WHEN l_quantity > 10 AND l_discount > 0.03 THEN 1 WHEN l_discount > 0.03 AND l_tax > 0.02 THEN 2 WHEN l_quantity > 10 THEN 3 END AS g, count(*)::BIGINT AS n FROM lineitem GROUP BY ALL",
-    "mlp_predict": f"WITH {_Z} SELECT p_partkey, round(0.05 + 0.7 * greatest(0.1 + 0.5 * a - 0.25 * b + 0.1 * c, 0) - 0.4 * greatest(-0.2 - 0.3 * a + 0.8 * b + 0.2 * c, 0), 6)::DOUBLE AS y FROM z1",
+    "mlp_predict": f"WITH {_Z} SELECT p_partkey, round(0.05 + 0.7 * greatest(0.1 + 0.5 * a - 0.25 * b + 0.1 * c, 0) - 0.4 * greatest(-0.2 - 0.3 * a + 0.8 * b + 0.2 * c, 0), 4)::DOUBLE AS y FROM z1",
     "one_hot_counts": "WITH c AS (SELECT upper(substr(p_type, 1, 1)) AS c FROM part) SELECT c, sum((c = 'E')::INT)::DOUBLE AS n0, sum((c = 'P')::INT)::DOUBLE AS n1, sum((c = 'S')::INT)::DOUBLE AS n2 FROM c GROUP BY c",
     "constraint_function": f"WITH {_TEMPLATES} SELECT i, j, num_clusters, round(variance, 8) AS variance, k, round(v, 6) AS v FROM f",
     "constraint_score": f"""WITH {_TEMPLATES}, m AS (SELECT i, j, d, floor(d / {STEP}::DOUBLE)::INT AS k FROM d WHERE label = 0 AND d < {CUTOFF}),

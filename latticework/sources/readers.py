@@ -41,7 +41,7 @@ def read_pdb(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def read_cif(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Atom records of an mmCIF file's atom_site loop, in the columns of read_pdb."""
-    text = spark.read.option("wholetext", True).text(path).withColumn("model", file_stem(F.col("_metadata.file_path")))
+    text = spark.read.text(path, wholetext=True).withColumn("model", file_stem(F.col("_metadata.file_path")))
     names = F.regexp_extract_all("value", F.lit(r"(?m)^_atom_site\.(\S+)"), F.lit(1))
     rows = text.select("model", names.alias("names"), F.explode(F.regexp_extract_all("value", F.lit(r"(?m)^(?:ATOM|HETATM)\s.*$"), F.lit(0))).alias("line"))
     cells = rows.withColumn("m", F.map_from_arrays("names", F.slice(F.split(F.trim("line"), r"\s+"), F.lit(1), F.size("names"))))
@@ -95,7 +95,7 @@ def read_a3m(spark: SparkSession, path: str) -> DataFrame:
 
 def read_psipred(spark: SparkSession, path: str) -> DataFrame:
     """(file, sequence, states, confidence) of horizontal secondary structure files; the header line is required."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     field = lambda tag: F.array_join(F.regexp_extract_all("value", F.lit(rf"(?m)^\s*{tag}:[ \t]+(\S+)[ \t]*$"), F.lit(1)), "")
     good = F.substring_index("value", "\n", 1).contains("# PSIPRED HFORMAT")
     checked = F.when(good, field("AA")).otherwise(F.raise_error(F.lit("not in horizontal format")).cast("string"))
@@ -105,14 +105,14 @@ def read_psipred(spark: SparkSession, path: str) -> DataFrame:
 def read_accpro(spark: SparkSession, path: str) -> DataFrame:
     """(file, sequence, states, accessibility) from the lines after the name; - means buried."""
     lines = F.split("value", r"\r?\n")
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(file_stem(F.col("_metadata.file_path")).alias("file"), F.get(lines, F.lit(1)).alias("sequence"), F.get(lines, F.lit(2)).alias("states"), F.regexp_replace(F.get(lines, F.lit(3)), "-", "b").alias("accessibility"))
 
 
 def read_accpro_output(spark: SparkSession, path: str) -> DataFrame:
     """(file, name, sequence, accessibility) of the tool's three-line output."""
     lines = F.split(F.rtrim("value"), r"\r?\n")
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     third = F.when(F.size(lines) == 3, F.regexp_replace(F.get(lines, F.lit(2)), "-", "b")).otherwise(F.raise_error(F.lit("three lines are needed")).cast("string"))
     return text.select(file_stem(F.col("_metadata.file_path")).alias("file"), F.get(lines, F.lit(0)).alias("name"), F.get(lines, F.lit(1)).alias("sequence"), third.alias("accessibility"))
 
