@@ -264,7 +264,7 @@ def test_quality(spark, docs, empty):
 
 def test_pipeline_against_plain_steps(spark, tmp_path):
     rows = [(i, prose(100, 500 + i) + ("\nthe same line in many texts" if i % 3 == 0 else ""), "en", "ab"[i % 2]) for i in range(40)]
-    rows += [(40, "#!%& $$$ ??? " * 60, "en", "a"), (41, rows[1][1], "en", "b"), (42, prose(40, 600) + " " + ITEM + " " + prose(40, 601), "en", "a"), (43, None, None, None)]
+    rows += [(40, "#!%& $$$ ??? " * 60, "en", "a"), (41, rows[1][1].replace(" ", "\n", 1).replace(" ", "\n ", 1), "en", "b"), (42, prose(40, 600) + " " + ITEM + " " + prose(40, 601), "en", "a"), (43, None, None, None)]
     spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality long, toxic long").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(0, ITEM)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
