@@ -111,7 +111,7 @@ def read_accpro(spark: SparkSession, path: str) -> DataFrame:
 
 def read_accpro_output(spark: SparkSession, path: str) -> DataFrame:
     """(file, name, sequence, accessibility) of the tool's three-line output."""
-    lines = F.split(F.rtrim("value"), r"\r?\n")
+    lines = F.split(F.rtrim("value", F.lit(" \r\n")), r"\r?\n")
     text = spark.read.text(path, wholetext=True)
     third = F.when(F.size(lines) == 3, F.regexp_replace(F.get(lines, F.lit(2)), "-", "b")).otherwise(F.raise_error(F.lit("three lines are needed")).cast("string"))
     return text.select(file_stem(F.col("_metadata.file_path")).alias("file"), F.get(lines, F.lit(0)).alias("name"), F.get(lines, F.lit(1)).alias("sequence"), third.alias("accessibility"))
