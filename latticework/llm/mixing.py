@@ -42,17 +42,18 @@ def targets(sources: DataFrame, share: float = 1.5, most: float = 2.0, weights:
     return spent.select("source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise((F.col("all_") - F.col("cap_full")) * F.col("w") / F.col("w_free")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None, share: float = 1.5, seed: str = "", rows_per_range: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None, size_col: str | None = None, share: float = 1.5, seed: str = "", rows_per_range: int = 20_000) -> DataFrame:
     """(id, size, source_size, target, taken) for every row.
 
     taken is size times the complete epochs, plus size again for a document that the fractional part selects.
+    Sizes are word counts of the texts, or size_col where it is given, so that weights can be joined without the texts.
     The document that the budget ends in is taken if more than half of it fits. A null text has size 0, a null
     source is a source of its own, a null or non-positive weight counts as 1. Rows alike in every column get
     the same key and are taken one after the other. An empty table gives an empty result.
     """
     weight = F.coalesce(F.when(F.col(weight_col) > 0, F.col(weight_col).cast("double")), F.lit(1.0)) if weight_col else F.lit(1.0)
     key = -F.ln(uniform(F.col("doc"), seed)) / F.col("w")
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), weight.alias("w"))
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(source_col).alias("source"), (F.col(size_col).cast("long") if size_col else word_count(F.col(text_col))).alias("size"), weight.alias("w"))
     rows = stage(rows.select("doc", "source", "size", key.alias("key")), "sized")
     ranges = max(16, rows.count() // rows_per_range)
     spot = F.least(F.lit(ranges - 1), F.floor((1 - F.exp(-F.col("key"))) * ranges)).cast("int")
@@ -83,8 +84,8 @@ def quality_weight(docs: DataFrame, labels: DataFrame, good: float = 1.0, unknow
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix(quality_weight(docs, table(spark, sf_dir, "labels")), weight_col="mix_weight")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    return mix(quality_weight(docs, table(spark, sf_dir, "labels")), weight_col="mix_weight", size_col="size")
 
 
 OP2_SQL = r"""
