@@ -241,6 +241,26 @@ def test_near_duplicates(docs, empty):
     assert {r["fp"] for r in out if r["doc"] in (1, 2)} == {0} and simhash.near_duplicates(empty).count() == 0
 
 
+def test_similar_texts_link(spark, docs, empty):
+    def edited(text, every, mark):
+        return " ".join(mark if i % every == every - 1 else w for i, w in enumerate(text.split(" ")))
+
+    def jaccard(a, b):
+        a, b = ({tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b))
+        return len(a & b) / len(a | b)
+
+    texts = [prose(300, 2000 + i) for i in range(40)]
+    rows = [(i, t, "en", "a") for i, t in enumerate(texts)]
+    rows += [(100 + i, edited(t, 60, "qqq"), "en", "b") for i, t in enumerate(texts[:20])]
+    rows += [(200 + i, edited(t, 8, "zzz"), "en", "b") for i, t in enumerate(texts[20:])]
+    assert all(0.8 <= jaccard(rows[i][1], rows[40 + i][1]) < 0.9 for i in range(20)) and all(jaccard(rows[i][1], rows[40 + i][1]) < 0.6 for i in range(20, 40))
+    linked = lambda samples: {r["doc"]: r["component"] for r in simhash.near_duplicates(table(spark, rows), width=5, samples=samples).collect()}
+    found = linked(16)
+    assert sum(found[100 + i] == i for i in range(20)) >= 19 and all(found[200 + i] == 200 + i for i in range(20))
+    assert all(found[i] == i for i in range(40)) and sum(linked(0)[100 + i] == i for i in range(20)) < 10
+    assert simhash.near_duplicates(docs, width=5, samples=16).count() == len(EDGE) and simhash.near_duplicates(empty, width=5, samples=16).count() == 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (200, 200)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
