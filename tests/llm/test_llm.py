@@ -301,3 +301,16 @@ def test_pipeline_against_plain_steps(spark, tmp_path):
     assert left[4] <= left[3] and all(0 < r["taken"] <= 2 * r["size"] for r in docs.collect())
     lines = [ln for r in docs.collect() for ln in r["text"].split("\n") if ln == "the same line in many texts"]
     assert len(lines) <= 1
+
+
+def test_pipeline_stages_on_repeated_and_null_ids(spark, tmp_path):
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality long, toxic long").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = [(1, BASE, "en", "a"), (1, BASE, "en", "a"), (2, BASE, "en", "a"), (None, prose(50, 700), "en", "a"), (3, prose(50, 701), None, None)]
+    docs = spark.createDataFrame([(*r, len(r[1]), "x", "y") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, taken string, doc string")
+    first = corpus_pipeline.one_of_each_group(spark, docs, str(tmp_path))
+    assert first.columns == docs.columns and sorted(str(r["doc_id"]) for r in first.collect()) == ["1", "1", "3", "None"]
+    mixed = corpus_pipeline.mixed(spark, docs, str(tmp_path))
+    out = mixed.collect()
+    assert mixed.columns == ["doc_id", "text", "lang", "source", "n_chars", "doc", "size", "source_size", "target", "taken"]
+    assert {r["doc_id"] for r in out} <= {1, 2, 3} and len(out) <= 4 and all(r["taken"] in (r["size"], 2 * r["size"]) for r in out)
+    assert corpus_pipeline.mixed(spark, docs.limit(0), str(tmp_path)).count() == 0
