@@ -95,7 +95,8 @@ def feature_group_select(spark, d):
 
 def mlp_predict(spark, d):
     x = F.array(F.col("p_size").cast("double"), F.col("p_retailprice"), F.col("p_partkey") % 10 / 100.0)
-    return table(spark, d, "part").select("p_partkey", F.round(NET.apply(x), 4).alias("y"))
+    # many outputs are halves of the last digit: they are rounded in doubles, as the SQL does it, not as decimals
+    return table(spark, d, "part").select("p_partkey", (F.round(NET.apply(x) * 10000.0) / 10000.0).alias("y"))
 
 
 def one_hot_counts(spark, d):
