@@ -60,7 +60,7 @@ def cluster_weights(members: DataFrame, keys: list[str], gamma: float = 70.0) ->
 def constraint_functions(distances: DataFrame, keys: list[str], cutoff: float, step: float) -> DataFrame:
     """(keys, constraint, num_clusters, variance) from distances(keys, cluster, weight, d).
 
-    A constraint is a sum of unit Gaussians at the distances, on the grid 0, step, ... cutoff; each distance has its
+    If distances has seqsim and seqid, their largest values are added as max_seqsim and max_seqid. A constraint is a sum of unit Gaussians at the distances, on the grid 0, step, ... cutoff; each distance has its
     cluster's share of the weights of the clusters present, divided among the cluster's distances. Distances are cut to thousandths.
     """
     d = F.floor(F.col("d") * 1000) / 1000.0
@@ -71,8 +71,9 @@ def constraint_functions(distances: DataFrame, keys: list[str], cutoff: float, s
     points = int(math.ceil(cutoff / step))
     share = F.col("w_") / F.col("t_") / F.col("n_")
     values = [F.sum(share * F.exp(-0.5 * (F.col("d") - k * step) * (F.col("d") - k * step))).alias(f"c{k}") for k in range(points + 1)]
-    out = rows.groupBy(*keys, "num_clusters").agg(*values, F.var_pop("d").alias("variance"))
-    return out.select(*keys, F.array(*[f"c{k}" for k in range(points + 1)]).alias("constraint"), "num_clusters", "variance")
+    out = rows.groupBy(*keys, "num_clusters").agg(*values, F.var_pop("d").alias("variance"), *[F.max(c).alias(f"max_{c}") for c in ("seqsim", "seqid") if c in distances.columns])
+    best = [f"max_{c}" for c in ("seqsim", "seqid") if c in distances.columns]
+    return out.select(*keys, F.array(*[f"c{k}" for k in range(points + 1)]).alias("constraint"), "num_clusters", "variance", *best)
 
 
 def constraint_scores(pairs: DataFrame, constraints: DataFrame, keys: list[str], step: float) -> DataFrame:
@@ -85,6 +86,21 @@ def constraint_scores(pairs: DataFrame, constraints: DataFrame, keys: list[str],
     return hit.groupBy(*keys, "res").agg(F.avg("s").alias("score"), F.count("s").alias("count"), F.avg("num_clusters").alias("clusters"), F.avg("variance").alias("variance"))
 
 
+def constraint_data(pairs: DataFrame, constraints: DataFrame, keys: list[str], cutoff: float, step: float) -> DataFrame:
+    """(keys, res, disco, counts, avg_num_clusters, avg_variance, avg_max_seqsim, avg_max_seqid, num_constraints, fraction_observed).
+
+    pairs(keys, i, j, d), i < j, are all pairs of a model; those beyond the cutoff count for num_constraints only. constraints
+    may have max_seqsim and max_seqid, from the best cluster member of the pair; without them the averages are null.
+    """
+    hit = pairs.join(constraints, [*keys, "i", "j"])
+    near = F.col("d") < cutoff
+    s = F.when(near, interpolated(F.col("constraint"), F.col("d"), step))
+    rows = hit.withColumn("s_", s).withColumn("near_", near).withColumn("res", F.explode(F.array("i", "j")))
+    mean = lambda c: (F.avg(F.when(F.col("near_"), F.col(c))) if c in constraints.columns else F.lit(None).cast("double")).alias(f"avg_{c}")
+    out = rows.groupBy(*keys, "res").agg(F.avg("s_").alias("disco"), F.count_if("near_").alias("counts"), *[mean(c) for c in ("num_clusters", "variance", "max_seqsim", "max_seqid")], F.count("*").alias("num_constraints"))
+    return out.withColumn("fraction_observed", fraction_observed(F.col("counts"), F.col("num_constraints")))
+
+
 def fraction_observed(count: Column, constraints: Column) -> Column:
     return F.when(constraints == 0, 0.0).otherwise(count / constraints)
 

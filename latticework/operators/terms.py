@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import add, angle, dihedral, scale, sub, vec
 from ..functions.scalars import bin_of
 from .histogram import histogram
-from .potential import SIGMA, lookup, residue_energies, sippl
+from .potential import SIGMA, lookup, normalised_by_state, residue_energies, sippl
 from .spatial import apart_in_sequence, neighbor_counts, radius_join
 
 
@@ -27,19 +27,35 @@ class Term:
     keys: tuple[str, ...]
     sizes: dict[str, int]
     rows: Callable[[DataFrame, DataFrame], DataFrame]
-    sums: bool = False  # a residue's energy is a sum, and 0 without interactions
+    sums: bool = False  # energies are scaled by state; a residue's is a sum, and 0 without interactions
 
     def train(self, target: DataFrame, environment: DataFrame, weight: float = 1.0) -> DataFrame:
         return histogram(self.rows(target, environment), list(self.keys), list(self.sizes), weight)
 
     def energies(self, counts: DataFrame, sigma: float = SIGMA, reference_state: str = "classic") -> DataFrame:
+        if self.sums:
+            return normalised_by_state(counts, self.keys[0], self.sizes)
         return sippl(counts, list(self.keys), self.sizes, sigma, reference_state)
 
     def score(self, target: DataFrame, environment: DataFrame, energies: DataFrame, extra: tuple[str, ...] = (), normalise: bool = True) -> DataFrame:
-        """(model, res, energy). extra names key columns of both tables besides the term's, as a secondary structure state."""
-        scored = lookup(self.rows(target, environment), energies, [*self.keys, *extra, *self.sizes])
+        """(model, res, energy). extra names key columns of target and energies besides the term's, as a secondary structure state.
+
+        A residue's rows take its own values of them, so that tables of all states are looked up in one join.
+        """
+        rows = self.rows(target, environment)
+        if extra:
+            rows = rows.join(target.select("model", "res", *extra).distinct(), ["model", "res"])
+        scored = lookup(rows, energies, [*self.keys, *extra, *self.sizes], 0.0 if self.sums else None)
         return residue_energies(target, scored, ["model", "res"], normalise and not self.sums, 0.0 if self.sums else None)
 
+    def keyed(self, tables: dict[str, DataFrame], name: str) -> DataFrame:
+        """Energies of several tables as one, with their names in a column."""
+        parts = [t.withColumn(name, F.lit(k)) for k, t in tables.items()]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
 
 def _check(low: float, high: float, *counts: int) -> None:
     if not low < high or min(counts) < 1:

@@ -1,6 +1,6 @@
 """The registered queries of the structure and scoring operators, and their SQL."""
 
-from . import scoring, statistics
+from . import assembly, scoring, statistics
 
-QUERIES = statistics.QUERIES | scoring.QUERIES
-ORACLES = statistics.ORACLES | scoring.ORACLES
+QUERIES = statistics.QUERIES | scoring.QUERIES | assembly.QUERIES
+ORACLES = statistics.ORACLES | scoring.ORACLES | assembly.ORACLES
