@@ -26,15 +26,15 @@ def sippl(counts: DataFrame, keys: list[str], sizes: dict[str, int], sigma: floa
     cells = 1
     for n in sizes.values():
         cells *= n
-    rows = dense(counts, keys, sizes).withColumn("n", F.sum("w").over(Window.partitionBy(*keys)))
+    rows = dense(counts, keys, sizes).withColumn("n_", F.sum("w").over(Window.partitionBy(*keys)))
     if reference_state == "classic":
-        by_bin = counts.groupBy(*bins).agg(F.sum("w").alias("nb"))
-        rows = rows.join(by_bin, bins, "left").withColumn("all", F.sum(F.coalesce("nb", F.lit(0.0))).over(Window.partitionBy(*keys)))
-        ref = F.coalesce("nb", F.lit(0.0)) / F.col("all")
+        by_bin = counts.groupBy(*bins).agg(F.sum("w").alias("nb_"))
+        rows = rows.join(by_bin, bins, "left").withColumn("all_", F.sum(F.coalesce("nb_", F.lit(0.0))).over(Window.partitionBy(*keys)))
+        ref = F.try_divide(F.coalesce("nb_", F.lit(0.0)), F.col("all_"))
     else:
         ref = F.lit(1.0 / cells)
-    share = F.coalesce(F.try_divide(F.try_divide(F.col("w"), F.col("n")), ref), F.lit(0.0))
-    return rows.select(*keys, *bins, _energy(F.col("n"), share, sigma).alias("e"))
+    share = F.coalesce(F.try_divide(F.try_divide(F.col("w"), F.col("n_")), ref), F.lit(0.0))
+    return rows.select(*keys, *bins, _energy(F.col("n_"), share, sigma).alias("e"))
 
 
 def sippl_hybrid(first: DataFrame, second: DataFrame, keys: list[str], sizes: dict[str, int], sigma: float = SIGMA, max_energy: float = MAX_ENERGY) -> DataFrame:
@@ -42,14 +42,14 @@ def sippl_hybrid(first: DataFrame, second: DataFrame, keys: list[str], sizes: di
     bins = list(sizes)
 
     def shares(counts, name):
-        rows = dense(counts, keys, sizes).withColumn("n", F.sum("w").over(Window.partitionBy(*keys)))
-        by_bin = counts.groupBy(*bins).agg(F.sum("w").alias("nb"))
-        rows = rows.join(by_bin, bins, "left").withColumn("all", F.sum(F.coalesce("nb", F.lit(0.0))).over(Window.partitionBy(*keys)))
-        share = F.coalesce(F.try_divide(F.try_divide(F.col("w"), F.col("n")), F.try_divide(F.coalesce("nb", F.lit(0.0)), F.col("all"))), F.lit(0.0))
-        return rows.select(*keys, *bins, F.col("n").alias(f"n{name}"), share.alias(f"p{name}"))
+        rows = dense(counts, keys, sizes).withColumn("n_", F.sum("w").over(Window.partitionBy(*keys)))
+        by_bin = counts.groupBy(*bins).agg(F.sum("w").alias("nb_"))
+        rows = rows.join(by_bin, bins, "left").withColumn("all_", F.sum(F.coalesce("nb_", F.lit(0.0))).over(Window.partitionBy(*keys)))
+        share = F.coalesce(F.try_divide(F.try_divide(F.col("w"), F.col("n_")), F.try_divide(F.coalesce("nb_", F.lit(0.0)), F.col("all_"))), F.lit(0.0))
+        return rows.select(*keys, *bins, F.col("n_").alias(f"n{name}_"), share.alias(f"p{name}_"))
 
     both = shares(first, 1).join(shares(second, 2), [*keys, *bins], "full")
-    n, s = F.coalesce("n2", F.lit(0.0)), F.coalesce("p1", F.lit(0.0)) + sigma * F.coalesce("n2", F.lit(0.0)) * F.coalesce("p2", F.lit(0.0))
+    n, s = F.coalesce("n2_", F.lit(0.0)), F.coalesce("p1_", F.lit(0.0)) + sigma * F.coalesce("n2_", F.lit(0.0)) * F.coalesce("p2_", F.lit(0.0))
     e = F.when(s > 0, F.least(F.lit(max_energy), F.ln(1 + sigma * n) - F.ln(F.when(s > 0, s)))).otherwise(max_energy)
     return both.select(*keys, *bins, e.alias("e"))
 
@@ -63,10 +63,10 @@ def normalised_by_state(counts: DataFrame, state: str, sizes: dict[str, int]) ->
     for n in sizes.values():
         cells *= n
     w = Window.partitionBy(state)
-    rows = dense(counts, [state], sizes).withColumn("p", F.col("w") / F.sum("w").over(w))
-    rows = rows.withColumn("e0", -F.ln(F.greatest(F.col("p") * cells, F.lit(1.0))))
-    rows = rows.withColumn("t", F.abs(F.sum(F.col("p") * F.col("e0")).over(w)))
-    return rows.select(state, *sizes, F.coalesce(F.try_divide(F.col("e0"), F.col("t")), F.lit(0.0)).alias("e"))
+    rows = dense(counts, [state], sizes).withColumn("p_", F.col("w") / F.sum("w").over(w))
+    rows = rows.withColumn("e_", -F.ln(F.greatest(F.col("p_") * cells, F.lit(1.0))))
+    rows = rows.withColumn("t_", F.abs(F.sum(F.col("p_") * F.col("e_")).over(w)))
+    return rows.select(state, *sizes, F.coalesce(F.try_divide(F.col("e_"), F.col("t_")), F.lit(0.0)).alias("e"))
 
 
 def lookup(rows: DataFrame, energies: DataFrame, on: list[str], missing: float | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from ..functions.scalars import interpolated
 from ..operators import chains as CH
 from ..operators import constraints as C
 from ..operators import features as FT
-from ..operators.terms import pair_distance, reduced, residue_counts, torsion
+from ..operators.terms import packing, pair_distance, reduced, residue_counts, torsion
 from ..sources.readers import alignment_columns
 from .common import PAIRS, POINTS, RADIUS, points, r6, table
 from .scoring import CUTOFF, STEP, _functions, _templates
@@ -71,6 +71,11 @@ def keyed_energy(spark, d):
     return term.score(target, target, term.keyed(tables, "ss"), ("ss",)).select(F.col("res").alias("id"), r6("energy"))
 
 
+def packing_energy(spark, d):
+    p, term = _residues(spark, d).withColumn("id", F.col("res")), packing(RADIUS, 8, "label")
+    return term.energies(term.train(p, p)).select("a", "n", r6("e"))
+
+
 def reduced_hist(spark, d):
     e = table(spark, d, "embeddings")
     at = {n: F.get("embedding", F.lit(k)).cast("double").alias(n) for k, n in enumerate(("x", "y", "z", "ax", "ay", "az"))}
@@ -106,7 +111,7 @@ def average_local_score(spark, d):
     return out.select("l_suppkey", "residues", F.round("avg_local_score", 6).alias("score"), F.col("avg_local_score_error").alias("error"))
 
 
-QUERIES = {f.__name__: f for f in (constraint_interp, constraint_data, chain_names, sequence_by_name, alignment_positions, sequence_coverage, keyed_energy, reduced_hist, torsion_hist, residue_neighbours, feature_averages, global_score, average_local_score)}
+QUERIES = {f.__name__: f for f in (constraint_interp, constraint_data, chain_names, sequence_by_name, alignment_positions, sequence_coverage, keyed_energy, packing_energy, reduced_hist, torsion_hist, residue_neighbours, feature_averages, global_score, average_local_score)}
 
 _AVG = "a AS (SELECT l_orderkey, count(*)::BIGINT AS residues, avg(CASE WHEN l_tax > 0.01 THEN l_tax END) AS t, avg(CASE WHEN l_linenumber <> 2 THEN l_discount END) AS s FROM lineitem GROUP BY l_orderkey)"
 _COLS = """c AS (SELECT n_nationkey, (k - 1)::INT AS col, upper(n_name)[k] AS t, regexp_replace(upper(n_name), '[AEIOU]', '-', 'g')[k] AS s FROM (SELECT *, unnest(range(1, len(n_name) + 1)) AS k FROM nation))"""
@@ -154,6 +159,10 @@ ORACLES = {
       t AS (SELECT *, sum(w) OVER (PARTITION BY ss, a, b) AS n, sum(w) OVER (PARTITION BY ss, d) AS nb, sum(w) OVER (PARTITION BY ss) AS al FROM g),
       e AS (SELECT ss, a, b, d, ln(1 + 0.02 * n) - ln(1 + 0.02 * n * coalesce((w / n) / nullif(nb / al, 0), 0)) AS e FROM t), s AS (SELECT h.id, avg(e.e) AS energy FROM h JOIN e USING (ss, a, b, d) GROUP BY h.id)
       SELECT p.id, round(energy, 6) AS energy FROM p LEFT JOIN s ON p.id = s.id""",
+    "packing_energy": f"""WITH {PAIRS}, c AS (SELECT p.id, p.label AS a, least(count(q.other), 8)::INT AS n FROM p LEFT JOIN q ON p.id = q.id GROUP BY p.id, p.label), w AS (SELECT a, n, count(*)::DOUBLE AS w FROM c GROUP BY ALL),
+      g AS (SELECT k.a, x.n, coalesce(w.w, 0) AS w FROM (SELECT DISTINCT a FROM w) k CROSS JOIN (SELECT unnest(range(9))::INT AS n) x LEFT JOIN w ON w.a = k.a AND w.n = x.n),
+      t AS (SELECT *, sum(w) OVER (PARTITION BY a) AS s, sum(w) OVER (PARTITION BY n) AS nb, sum(w) OVER () AS al FROM g)
+      SELECT a, n, round(ln(1 + 0.02 * s) - ln(1 + 0.02 * s * coalesce((w / s) / nullif(nb / al, 0), 0)), 6) AS e FROM t""",
     "reduced_hist": _reduced_sql(),
     "torsion_hist": f"""WITH {POINTS}, t AS (SELECT id, label, id % 7 AS a, x * 3 AS phi, y * 3 AS psi, lag(id % 7) OVER w AS pa, lead(id % 7) OVER w AS na, lag(x) OVER w AS px, lead(x) OVER w AS nx, lag(y) OVER w AS py, lead(y) OVER w AS ny FROM p WINDOW w AS (PARTITION BY label ORDER BY id)),
       u AS (SELECT CASE WHEN pa IN (0, 1) THEN 0 WHEN a IN (2, 3, 4) AND na IN (5, 6) THEN 1 ELSE 2 END AS g, greatest(-{math.pi - 0.0001}::DOUBLE, least({math.pi - 0.0001}::DOUBLE, phi)) AS phi, greatest(-{math.pi - 0.0001}::DOUBLE, least({math.pi - 0.0001}::DOUBLE, psi)) AS psi FROM t WHERE px IS NOT NULL AND nx IS NOT NULL AND py IS NOT NULL AND ny IS NOT NULL AND phi IS NOT NULL AND psi IS NOT NULL)

@@ -72,3 +72,10 @@ def pdb_line(hetero: Column | None = None) -> Column:
 def write_pdb(atoms: DataFrame, path: str) -> None:
     """One folder a model of text records in order of serial."""
     atoms.select("model", "serial", pdb_line(F.col("hetero")).alias("line")).repartition("model").sortWithinPartitions("model", "serial").select("model", "line").write.mode("overwrite").partitionBy("model").text(path)
+
+
+def write_scores(scores: DataFrame, path: str, columns: list[str], by: str = "model") -> None:
+    """Local scores as CSV, one folder a model, in order of chain and number; missing values are left empty."""
+    known = [F.nanvl(F.col(c), F.lit(None).cast("double")).alias(c) if t == "double" else F.col(c) for c, t in scores.select(*columns).dtypes]
+    rows = scores.select(by, *known).repartition(by).sortWithinPartitions(by, *[c for c in ("chain", "rnum") if c in columns])
+    rows.write.mode("overwrite").partitionBy(by).csv(path, header=True)
