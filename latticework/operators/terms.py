@@ -157,14 +157,15 @@ def hbond(ranges: dict[str, tuple[float, float, int]], separation: int, reach: f
 
     def rows(target, around):
         pairs = apart_in_sequence(radius_join(target, around, reach, ["model"]).where(F.col("l_res") != F.col("r_res")), "chain", "rnum", separation)
-        parts = []
-        for d, a in (("l_", "r_"), ("r_", "l_")):
-            h, n, o, c, ca = vec(d + "h"), vec(d + "n"), vec(a + "o"), vec(a + "c"), vec(a + "ca")
-            ho = sub(o, h)
-            geometry = {"d": F.sqrt(sum(x * x for x in ho)), "alpha": angle(sub(n, h), ho), "beta": angle(sub(c, o), sub(h, o)), "gamma": dihedral(ca, c, o, h)}
-            one = pairs.where(F.col(d + "donates") & (F.col("l_state") == F.col("r_state")))
-            parts.append(one.select(F.col("l_model").alias("model"), F.col("l_res").alias("res"), F.col("l_state").alias("state"), *[bin_of(v, *ranges[k]).alias(k) for k, v in geometry.items()]))
-        return parts[0].unionByName(parts[1])
+        # each pair is taken once with either end as the donor
+        both = pairs.where(F.col("l_state") == F.col("r_state")).withColumn("donor", F.explode(F.array(F.lit("l"), F.lit("r"))))
+        ends = lambda name, first, second: F.when(F.col("donor") == "l", F.col(first + name)).otherwise(F.col(second + name))
+        roles = [ends(f"{k}{v}", "l_", "r_").alias(f"{k}{v}") for k in ("h", "n") for v in "xyz"] + [ends(f"{k}{v}", "r_", "l_").alias(f"{k}{v}") for k in ("o", "c", "ca") for v in "xyz"]
+        one = both.where(ends("donates", "l_", "r_")).select(F.col("l_model").alias("model"), F.col("l_res").alias("res"), F.col("l_state").alias("state"), *roles)
+        h, n, o, c, ca = (vec(k) for k in ("h", "n", "o", "c", "ca"))
+        ho = sub(o, h)
+        geometry = {"d": F.sqrt(sum(x * x for x in ho)), "alpha": angle(sub(n, h), ho), "beta": angle(sub(c, o), sub(h, o)), "gamma": dihedral(ca, c, o, h)}
+        return one.select("model", "res", "state", *[bin_of(v, *ranges[k]).alias(k) for k, v in geometry.items()])
 
     return Term(("state",), {k: v[2] for k, v in ranges.items()}, rows, sums=True)
 
