@@ -2,7 +2,8 @@
 
 Vectors are scaled to length one, where the chord length orders pairs as the cosine does and obeys the triangle
 inequality. A shard's tree is searched for a block of queries at a time; a subtree is skipped where the
-inequality's lower bound, times `factor`, exceeds the distance of the k-th neighbour so far. Factor 1 is exact.
+inequality's lower bound, times `factor`, exceeds the distance of the k-th neighbour so far, the query's own row
+not counted. Factor 1 is exact.
 """
 
 from __future__ import annotations
@@ -16,7 +17,9 @@ from pyspark.sql import functions as F
 
 from .shared import table
 
-SHARD_ROWS, QUERY_ROWS, LEAF, SLACK, EPS = 8192, 8192, 64, 8, 1e-7
+SHARD_ROWS, QUERY_ROWS, LEAF = 8192, 8192, 64
+#: Queries searched and pairs scored at a time; what rounding may add to a cosine and to a chord.
+BLOCK, CHUNK, TIE, EPS = 512, 65536, 1e-12, 1e-6
 
 
 class VantageTree:
@@ -37,22 +40,26 @@ class VantageTree:
             return rows
         return point, radius, self._build(rows[inner]), self._build(rows[~inner])
 
-    def search(self, queries: np.ndarray, k: int, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the k + SLACK nearest found of each query, nearest first; row -1 where there are fewer."""
-        keep = k + SLACK
-        row, score = np.full((len(queries), keep), -1), np.full((len(queries), keep), -np.inf)
+    def search(self, queries: np.ndarray, k: int, factor: float = 1.0, barred=None) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) of all rows found that score as high as the k-th best of the query, ties with it included.
+
+        barred(active, rows) marks the pairs that take no part, so that they do not bound the search either.
+        """
+        best, found = np.full((len(queries), k), -np.inf), []  # the k-th best is in column 0
 
         def reach(active):
-            return chord(score[active, k - 1]) + EPS
+            return chord(best[active, 0] - TIE) + EPS
 
         def visit(node, active):
             if not len(active):
                 return
             if isinstance(node, np.ndarray):
                 new = queries[active] @ self.unit[node].T
-                all_rows, all_scores = np.hstack([row[active], np.broadcast_to(node, new.shape)]), np.hstack([score[active], new])
-                best = np.argsort(-all_scores, axis=1, kind="stable")[:, :keep]
-                row[active], score[active] = np.take_along_axis(all_rows, best, 1), np.take_along_axis(all_scores, best, 1)
+                if barred is not None:
+                    new[barred(active, node)] = -np.inf
+                best[active] = np.partition(np.hstack([best[active], new]), len(node), axis=1)[:, -k:]
+                q, at = np.nonzero((new >= best[active, :1] - TIE) & (new > -np.inf))
+                found.append((active[q], node[at], new[q, at]))
                 return
             point, radius, inner, outer = node
             d = chord(queries[active] @ self.unit[point])
@@ -63,7 +70,9 @@ class VantageTree:
             visit(inner, active[~near & ((d - radius) * factor <= reach(active))])
 
         visit(self.root, np.arange(len(queries)))
-        return row, score
+        query, row, score = (np.concatenate(x) for x in zip(*found))
+        good = score >= best[query, 0] - TIE
+        return query[good], row[good]
 
 
 def chord(cosine: np.ndarray) -> np.ndarray:
@@ -78,27 +87,38 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def shard_nearest(ids: np.ndarray, vectors: np.ndarray, qids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> pd.DataFrame:
     """The k nearest of one shard for each query: query_id, vec_id, score."""
-    # of equal vectors only the k + 1 smallest ids can be among k neighbours, a query's own id apart
     order = np.argsort(ids, kind="stable")
     ids, vectors = ids[order], vectors[order]
     _, first, group = np.unique(vectors, axis=0, return_index=True, return_inverse=True)
     group = group.ravel()
     by = np.argsort(group, kind="stable")
-    starts = np.searchsorted(group[by], np.arange(len(first)))
-    rank = np.arange(len(by)) - starts[group[by]]
-    by = by[rank <= k]
+    # of equal vectors, k rows of an id and 2 k rows in all are enough for k neighbours, a query's own id apart
+    by = by[place(np.cumsum(np.r_[0, (np.diff(group[by]) != 0) | (np.diff(ids[by]) != 0)])) < k]
+    by = by[place(group[by]) < 2 * k]
     starts, counts = np.searchsorted(group[by], np.arange(len(first))), np.bincount(group[by], minlength=len(first))
+    low, one_id = ids[by[starts]], ids[by[starts]] == ids[by[starts + counts - 1]]
     unit = vectors[first] / np.linalg.norm(vectors[first], axis=1, keepdims=True)
-    row, _ = VantageTree(unit).search(queries / np.linalg.norm(queries, axis=1, keepdims=True), k, factor)
-    q, slot = np.nonzero(row >= 0)
-    found = row[q, slot]
-    n = counts[found]
-    q = np.repeat(q, n)
-    member = by[np.repeat(starts[found] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-    other = ids[member] != qids[q]
-    q, member = q[other], member[other]
-    out = pd.DataFrame({"query_id": qids[q], "vec_id": ids[member], "score": cosines(queries[q], vectors[member])})
-    return out.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id", sort=False).head(k)
+    tree, parts = VantageTree(unit), []
+    for begin in range(0, len(qids), BLOCK):
+        own, asked = qids[begin : begin + BLOCK], queries[begin : begin + BLOCK]
+        barred = lambda active, rows: one_id[rows] & (low[rows] == own[active][:, None])  # noqa: B023, E731
+        q, found = tree.search(asked / np.linalg.norm(asked, axis=1, keepdims=True), k, factor, barred)
+        n = counts[found]
+        q = np.repeat(q, n)
+        member = by[np.repeat(starts[found] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        other = ids[member] != own[q]
+        q, member = q[other], member[other]
+        score = np.empty(len(q))
+        for c in range(0, len(q), CHUNK):
+            score[c : c + CHUNK] = cosines(asked[q[c : c + CHUNK]], vectors[member[c : c + CHUNK]])
+        out = pd.DataFrame({"query_id": own[q], "vec_id": ids[member], "score": score})
+        parts.append(out.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id", sort=False).head(k))
+    return pd.concat(parts)
+
+
+def place(keys: np.ndarray) -> np.ndarray:
+    """The place of each of the sorted keys among its equals, from 0."""
+    return np.arange(len(keys)) - np.searchsorted(keys, keys)
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:

@@ -169,6 +169,23 @@ def test_nearest_is_exact_at_factor_one(spark):
     assert nearest.nearest(v.limit(0), q).count() == 0
 
 
+def test_nearest_bound_leaves_out_the_own_row():
+    r = np.random.default_rng(8)
+    centres = r.normal(size=(200, 6))
+    near = np.repeat(centres, 5, axis=0) + 1e-4 * r.normal(size=(1000, 6))
+    scaled = centres[:1] * np.arange(1, 41)[:, None]
+    own = np.repeat(near[:1], 9, axis=0)
+    vectors = np.vstack([near, scaled, own])
+    ids = np.r_[np.arange(1040), [0] * 8, 1040]  # id 0 nine times, eight of them alike
+    asks = np.arange(0, 1040, 3)
+    got = nearest.shard_nearest(ids, vectors, asks, vectors[asks], 5, 1.0)
+    want = []
+    for i in asks:
+        best = sorted((-s, j) for s, j in zip(nearest.cosines(np.broadcast_to(vectors[i], vectors.shape), vectors), ids) if j != i)[:5]
+        want += [(i, j, -s) for s, j in best]
+    assert list(got.itertuples(index=False, name=None)) == want
+
+
 def test_suffix_array_is_sorted():
     r = np.random.default_rng(0)
     for _ in range(150):
