@@ -225,6 +225,17 @@ def test_passages(spark, docs, empty):
     assert substring_dedup.fuzzy_passages(empty).count() == 0
 
 
+def test_passages_made_of_frequent_lines(spark):
+    lines = [prose(15, 3000 + i) for i in range(6)]
+    rows = [(i, f"{prose(30, 3100 + i)} {t} {prose(30, 3200 + i)}", "en", "a") for i, t in enumerate(lines)]
+    rows += [(10 + i, f"{prose(40, 3300 + i)} {' '.join(lines[:4])} {prose(40, 3310 + i)}", "en", "a") for i in range(2)]
+    # in the first holder, its own earlier fragments take the seeds
+    rows += [(20, f"{' | '.join(lines[4:])} {prose(40, 3320)} {' '.join(lines[4:])} {lines[0]} {prose(40, 3321)}", "en", "a")]
+    rows += [(21, f"{prose(40, 3330)} {' '.join(lines[4:])} {lines[0]} {prose(40, 3331)}", "en", "a")]
+    got = {(r["doc"], r["other"], r["start"], r["end"], r["other_start"], r["other_end"]) for r in substring_dedup.fuzzy_passages(table(spark, rows)).collect()}
+    assert got >= {(11, 10, 40, 100, 40, 100), (21, 20, 40, 85, 71, 116)}
+
+
 def test_fenwick_chain_is_quadratic_chain():
     r = random.Random(9)
     for _ in range(40):
