@@ -295,10 +295,52 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(41)) and got[102] == 100 and 200 not in got
 
 
-def test_kneser_ney_is_a_distribution():
-    r = np.random.default_rng(2)
-    p = np.exp(quality.kneser_ney(r.integers(0, 4, (quality.SYMBOLS,) * 3)))
-    assert np.allclose(p.sum(axis=-1), 1)
+def plain_kneser_ney(texts):
+    """p(gram) of every n-gram of the texts that are asked for, by dictionaries."""
+    counts = [{} for _ in range(quality.ORDER + 1)]
+    for t in texts:
+        t = "\n" * (quality.ORDER - 1) + t + "\n"
+        for k in range(len(t) - quality.ORDER + 1):
+            g = t[k : k + quality.ORDER]
+            counts[-1][g] = counts[-1].get(g, 0) + 1
+    for n in range(quality.ORDER, 1, -1):
+        for g in counts[n]:
+            counts[n - 1][g[1:]] = counts[n - 1].get(g[1:], 0) + 1
+
+    def p(g, chars):
+        if not g:
+            return 1 / chars
+        c = counts[len(g)]
+        d = [0, *quality.discount(*[sum(v == k for v in c.values()) for k in (1, 2, 3, 4)])]
+        own = {k: v for k, v in c.items() if k[:-1] == g[:-1]}
+        total, n = sum(own.values()), c.get(g, 0)
+        lower = p(g[1:], chars)
+        return (n - d[min(n, 3)]) / total + sum(d[min(v, 3)] for v in own.values()) / total * lower if total else lower
+
+    return p
+
+
+def test_perplexity_is_plain_kneser_ney(spark):
+    texts = [prose(30, 800 + i) + "é日😀"[i % 3] for i in range(14)] + ["", None, "unseen ßø¿ 12"]
+    docs = table(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(8)], "doc_id long, quality long, toxic long")
+    half = {r["doc_id"]: r["h"] for r in docs.select("doc_id", quality.half_of("doc_id").alias("h")).collect()}
+    models = [plain_kneser_ney([texts[i] for i in range(8) if half[i] == h]) for h in (0, 1)]
+    chars = len({c for t in texts for c in (t or "") + "\n"})
+    for size in (quality.BLOCK_BYTES, 500):
+        got = {r["doc_id"]: r["perplexity"] for r in quality.classify(docs, labels, block_bytes=size).collect()}
+        for i, t in enumerate(texts):
+            padded = "\n" * (quality.ORDER - 1) + (t or "") + "\n"
+            logs = [np.log(models[1 - half[i]](padded[k : k + quality.ORDER], chars)) for k in range(len(t or "") + 1)]
+            assert abs(np.log(got[i]) + np.mean(logs)) < 1e-5
+
+
+def test_kneser_ney_is_a_distribution(spark):
+    r = random.Random(2)
+    every = [a + b + c + d for a in "xyz" for b in "xyz" for c in "xyz" for d in "xyz"]
+    counts = spark.createDataFrame([(g, r.choice([0, 0, 1, 2, 3, 7]), r.choice([0, 1])) for g in every], "gram string, c0 long, c1 long")
+    sums = quality.kneser_ney(counts).groupBy(F.substring("gram", 1, 3)).agg(F.sum("p0").alias("a"), F.sum("p1").alias("b")).collect()
+    assert len(sums) == 27 and all(abs(x["a"] - 1) < 1e-9 and abs(x["b"] - 1) < 1e-9 for x in sums)
 
 
 def test_quality(spark, docs, empty):
@@ -307,7 +349,9 @@ def test_quality(spark, docs, empty):
     out = {r["doc_id"]: r for r in quality.classify(table(spark, rows), labels).collect()}
     assert not out[100]["keep"] and out[101]["keep"] and sum(out[i]["keep"] for i in range(60)) >= 57 and out[0]["key"] == "k"
     assert quality.classify(docs, labels.limit(0)).where("keep").count() == len(EDGE)
-    assert quality.classify(empty, labels).count() == 0
+    assert quality.classify(empty, labels).count() == 0 and quality.classify(empty, labels.limit(0)).count() == 0
+    repeated = quality.classify(docs, spark.createDataFrame([(3, 1, 0), (3, 1, 0), (0, 1, 0)], labels.schema)).collect()
+    assert len(repeated) == len(EDGE) and len({r['perplexity'] for r in repeated if r['doc_id'] == 3}) == 1
 
 
 def test_pipeline_against_plain_steps(spark, tmp_path):
