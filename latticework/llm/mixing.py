@@ -2,8 +2,8 @@
 
 Each document gets the exponential key -ln(u) / weight, u from a hash of its id. A source's target is
 water-filled from the source weights; complete epochs of the source come first, and what remains is taken in
-key order up to the token budget. The prefix sums run over key ranges, so that no source, however large,
-is sorted in one task: only the one range that the budget ends in is ordered row by row.
+key order up to the token budget. The prefix sums run over stretches of keys: the one that the budget ends in is split
+again until it holds few rows, whatever the weights, so no source, however large, is sorted in one task.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .shared import WORD, stage, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
+#: A stretch is split into so many parts at a time, until it has MOST_ROWS or fewer. The columns that order rows of a source.
+SPLITS, MOST_ROWS, ORDERED = 256, 256, ("key", "size", "ord")
 
 
 def word_count(text: Column) -> Column:
@@ -42,35 +44,59 @@ def targets(sources: DataFrame, share: float = 1.5, most: float = 2.0, weights:
     return spent.select("source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise((F.col("all_") - F.col("cap_full")) * F.col("w") / F.col("w_free")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None, size_col: str | None = None, share: float = 1.5, seed: str = "", rows_per_range: int = 20_000) -> DataFrame:
+def _narrowed(rows: DataFrame, state: DataFrame, column: str) -> DataFrame:
+    """state with each source's stretch cut to the one of SPLITS parts of it, by column, that the budget ends in."""
+    lo, hi = F.col(f"{column}_lo"), F.col(f"{column}_hi")
+    spot = F.coalesce(F.least(F.lit(SPLITS - 1), F.floor(F.try_divide((F.col(column) - lo) * float(SPLITS), hi - lo))), F.lit(0)).cast("int")
+    ends = [f"{c}_{e}" for c in ORDERED for e in ("lo", "hi") if c != column]
+    inside = rows.join(state, rows["source"].eqNullSafe(state["s1"])).where(_inside()).withColumn("spot", spot)
+    parts = inside.groupBy("s1", "spot").agg(F.sum("size").alias("here"), F.count("*").alias("rows"), F.min(column).alias(f"{column}_lo"), F.max(column).alias(f"{column}_hi"), *[F.first(c).alias(c) for c in ("part", "ahead", *ends)])
+    ahead = F.coalesce(F.sum("here").over(Window.partitionBy("s1").orderBy("spot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("ahead")
+    return parts.withColumn("ahead", ahead).where((F.col("ahead") <= F.col("part")) & (F.col("ahead") + F.col("here") > F.col("part"))).select("s1", "part", "ahead", "rows", *[f"{c}_{e}" for c in ORDERED for e in ("lo", "hi")])
+
+
+def _inside() -> Column:
+    return F.col("key").between(F.col("key_lo"), F.col("key_hi")) & F.col("size").between(F.col("size_lo"), F.col("size_hi")) & F.col("ord").between(F.col("ord_lo"), F.col("ord_hi"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None, size_col: str | None = None, key_col: str | None = None, share: float = 1.5, seed: str = "", most_rows: int = MOST_ROWS) -> DataFrame:
     """(id, size, source_size, target, taken) for every row.
 
     taken is size times the complete epochs, plus size again for a document that the fractional part selects.
     Sizes are word counts of the texts, or size_col where it is given, so that weights can be joined without the texts.
     The document that the budget ends in is taken if more than half of it fits. A null text has size 0, a null
-    source is a source of its own, a null or non-positive weight counts as 1. Rows alike in every column get
-    the same key and are taken one after the other. An empty table gives an empty result.
+    source is a source of its own, a null or non-positive weight counts as 1. Keys are drawn by key_col, the id unless given;
+    rows of the same key are taken by size, and rows alike in every column one after the other. Sources are expected to be few
+    beside rows: their windows hold one row a source. An empty table gives an empty result.
     """
     weight = F.coalesce(F.when(F.col(weight_col) > 0, F.col(weight_col).cast("double")), F.lit(1.0)) if weight_col else F.lit(1.0)
-    key = -F.ln(uniform(F.col("doc"), seed)) / F.col("w")
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(source_col).alias("source"), (F.col(size_col).cast("long") if size_col else word_count(F.col(text_col))).alias("size"), weight.alias("w"))
-    rows = stage(rows.select("doc", "source", "size", key.alias("key")), "sized")
-    ranges = max(16, rows.count() // rows_per_range)
-    spot = F.least(F.lit(ranges - 1), F.floor((1 - F.exp(-F.col("key"))) * ranges)).cast("int")
-    rows = rows.withColumn("spot", spot)
-    spots = rows.groupBy("source", "spot").agg(F.sum("size").alias("here"))
-    aims = targets(spots.groupBy("source").agg(F.sum("here").alias("source_size")), share)
+    size = F.coalesce(F.col(size_col).cast("long"), F.lit(0).cast("long")) if size_col else word_count(F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(key_col or id_col).alias("by"), F.col(source_col).alias("source"), size.alias("size"), weight.alias("w"))
+    key = -F.ln(uniform(F.col("by"), seed)) / F.col("w")
+    rows = stage(rows.select("doc", "source", "size", key.alias("key"), F.monotonically_increasing_id().alias("ord")), "sized")
+    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"), *[f(c).alias(f"{c}_{e}") for c in ORDERED for e, f in (("lo", F.min), ("hi", F.max))])
+    sources = stage(sources, "sources")
+    aims = targets(sources.select("source", "source_size"), share)
     epochs = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size").cast("double"))), F.lit(0)).cast("long")
-    aims = aims.withColumn("epochs", epochs).withColumn("part", F.col("target") - F.col("epochs") * F.col("source_size"))
-    ahead = F.coalesce(F.sum("here").over(Window.partitionBy("source").orderBy("spot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    spots = spots.withColumn("ahead", ahead).withColumnRenamed("source", "s1")
-    state = spots.join(aims.withColumnRenamed("source", "s2"), F.col("s1").eqNullSafe(F.col("s2"))).select("s1", F.col("spot").alias("p1"), "ahead", "here", "source_size", "target", "epochs", "part")
-    state = stage(state, "ranges")
-    found = rows.join(state, rows["source"].eqNullSafe(state["s1"]) & (rows["spot"] == state["p1"]))
-    whole = F.col("ahead") + F.col("here") <= F.col("part")
-    edge = ~whole & (F.col("ahead") <= F.col("part"))
-    plain = found.where(~edge).withColumn("chosen", whole)
-    upto = F.col("ahead") + F.sum("size").over(Window.partitionBy("source", "spot").orderBy("key", "doc", "size").rowsBetween(Window.unboundedPreceding, 0))
+    aims = stage(aims.withColumn("epochs", epochs).withColumn("part", F.col("target") - F.col("epochs") * F.col("source_size")), "targets")
+    parts = aims.select(F.col("source").alias("s1"), "part")
+    state = sources.join(parts, F.col("source").eqNullSafe(F.col("s1"))).where("source_size > part").withColumn("ahead", F.lit(0).cast("long"))
+    state = state.select("s1", "part", "ahead", "rows", *[f"{c}_{e}" for c in ORDERED for e in ("lo", "hi")])
+    for column in ORDERED:
+        # a stretch ends up with few rows, or with one value of the column
+        while not (state := stage(state, "stretches")).where((F.col("rows") > most_rows) & (F.col(f"{column}_lo") < F.col(f"{column}_hi"))).isEmpty():
+            state = _narrowed(rows, state, column)
+    ends = state.select(F.col("s1").alias("s2"), "ahead", *[f"{c}_{e}" for c in ORDERED for e in ("lo", "hi")])
+    aims = aims.withColumnRenamed("source", "s1").join(ends, F.col("s1").eqNullSafe(F.col("s2")), "left").drop("s2")
+    found = rows.join(stage(aims, "ends"), rows["source"].eqNullSafe(F.col("s1")))
+    edge = F.coalesce(_inside(), F.lit(False))
+    same = F.lit(True)
+    before = F.lit(False)
+    for c in ORDERED:
+        before = before | (same & (F.col(c) < F.col(f"{c}_lo")))
+        same = same & (F.col(c) == F.col(f"{c}_lo"))
+    plain = found.where(~edge).withColumn("chosen", F.when(F.col("key_lo").isNull(), F.lit(True)).otherwise(before))
+    upto = F.col("ahead") + F.sum("size").over(Window.partitionBy("source").orderBy("key", "doc", "size", "ord").rowsBetween(Window.unboundedPreceding, 0))
     ending = found.where(edge).withColumn("chosen", upto - F.col("size") / 2.0 <= F.col("part"))
     taken = F.col("size") * (F.col("epochs") + F.col("chosen").cast("long"))
     return plain.unionByName(ending).select(F.col("doc").alias(id_col), "size", "source_size", "target", taken.alias("taken"))

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from .decontamination import gram_hashes
 from .shared import stage, table
 
-ORDER, BLOCK_BYTES, CHUNK, LEVEL, MERGE = 4, 48 << 20, 1_000_000, 7, 16
+ORDER, BLOCK_BYTES, CHUNK, LEVEL, MERGE = 4, 24 << 20, 1_000_000, 7, 16
 #: Marks the start (ORDER - 1 times) and the end of a text.
 EDGE = "\n"
 

@@ -82,6 +82,27 @@ def test_mix(docs, empty):
     assert sorted(map(str, out)) == sorted(map(str, mixing.mix(docs.repartition(5)).collect()))
 
 
+def test_mix_is_plain_sampling_at_any_width(spark):
+    """However few rows a stretch may hold, the rows taken are those of one sort by key and prefix sums."""
+    r = random.Random(12)
+    rows = [(r.choice([i, 7, None]) if i % 5 == 0 else i, r.choice("aaab") if i % 9 else None, r.randint(0, 50), r.choice([1.0, 0.25, None, -2.0])) for i in range(900)]
+    rows += [(7, "a", 10, 1.0)] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, source string, n long, w double")
+    keyed = docs.select("doc_id", "source", "n", (-F.ln(mixing.uniform(F.col("doc_id"))) / F.when(F.col("w") > 0, F.col("w")).otherwise(1.0)).alias("k")).collect()
+    for most in (256, 5):
+        got = mixing.mix(docs, size_col="n", weight_col="w", most_rows=most).collect()
+        aim = {r["source_size"]: r["target"] for r in got}
+        want = []
+        for source in {x["source"] for x in keyed}:
+            own = sorted((x for x in keyed if x["source"] == source), key=lambda x: (x["k"], x["n"]))
+            size = sum(x["n"] for x in own)
+            epochs, upto = int(aim[size] // size), 0
+            for x in own:
+                upto += x["n"]
+                want.append((str(x["doc_id"]), x["n"], x["n"] * (epochs + (upto - x["n"] / 2 <= aim[size] - epochs * size))))
+        assert sorted((str(r["doc_id"]), r["size"], r["taken"]) for r in got) == sorted(want)
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "http://A.example.NET/en/x?q", "http://example.net/de/", "ftp://b.org#f", "https://x.org/fr/1", "http://example.com/de/a", "http://notexample.com/de/a", "http:///p"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
@@ -384,5 +405,6 @@ def test_pipeline_stages_on_repeated_and_null_ids(spark, tmp_path):
     mixed = corpus_pipeline.mixed(spark, docs, str(tmp_path))
     out = mixed.collect()
     assert mixed.columns == ["doc_id", "text", "lang", "source", "n_chars", "doc", "size", "source_size", "target", "taken"]
-    assert {r["doc_id"] for r in out} <= {1, 2, 3} and len(out) <= 4 and all(r["taken"] in (r["size"], 2 * r["size"]) for r in out)
+    assert len(out) <= 5 and all(r["taken"] in (r["size"], 2 * r["size"]) for r in out) and sorted(r["taken"] for r in out if r["source"] is None) in ([50], [100])
+    assert sum(r["taken"] for r in out) >= 1.4 * sum(len(r[1].split()) for r in rows) and None in {r["doc_id"] for r in out}
     assert corpus_pipeline.mixed(spark, docs.limit(0), str(tmp_path)).count() == 0
