@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
+HOT_PARTS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +45,17 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_hot(rows: DataFrame, keyed: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
+    """rows joined to keyed, one row a key, whose column n counts the rows with that key; total rows there are in all.
+
+    Keys that hold over a HOT_PARTS-th of the rows are HOT_PARTS at most, so they are broadcast; the others are shuffled.
+    """
+    heavy = F.col(n) * F.lit(HOT_PARTS) > F.lit(total)
+    hot, cold = keyed.where(heavy).drop(n), keyed.where(~heavy).drop(n)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on)
+    return rows.join(F.broadcast(hot), on).unionByName(rest)
+
+
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 

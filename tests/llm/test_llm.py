@@ -56,7 +56,7 @@ def empty(spark):
 def test_lines(spark, docs, empty):
     out = {(r["doc_id"], r["text"]): r for r in line_dedup.dedup_lines(docs, n_batches=3, fanout=2).collect()}
     six = next(r for k, r in out.items() if k[0] == 6)
-    assert six["n_dropped"] == 1 and six["text"].startswith("x\nt") is not None and "ONE" not in six["text"] and six["key"] == "k"
+    assert six["n_dropped"] == 1 and six["text"] == "x\n" + prose(30, 6) and six["key"] == "k"
     assert next(r for k, r in out.items() if k[0] == 5)["n_dropped"] == 0
     assert out[1, None]["n_lines"] == 1 and out[None, BASE]["n_dropped"] == 0
     three = [r for r in line_dedup.dedup_lines(docs).collect() if r["doc_id"] == 3]
@@ -69,6 +69,24 @@ def test_line_batches_do_not_matter(docs):
     assert one == many
 
 
+def test_lines_of_any_id_and_column(spark, docs):
+    named = docs.select(F.lpad(F.col("doc_id").cast("string"), 3, "0").alias("doc_id"), "text", *[F.lit(n).alias(n) for n in ("doc", "th", "was_", "lines_", "gone_", "row_", "id_", "n", "first")])
+    out = line_dedup.dedup_lines(named, n_batches=5, fanout=2, batch_lines=3).collect()
+    assert out[0].asDict().keys() == {*named.columns, "n_lines", "n_dropped"} and all(r["first"] == "first" and r["row_"] == "row_" for r in out)
+    plain = line_dedup.dedup_lines(docs, n_batches=1).collect()
+    assert sorted((int(r["doc_id"]) if r["doc_id"] else -1, str(r["text"]), r["n_dropped"]) for r in out) == sorted((-1 if r["doc_id"] is None else r["doc_id"], str(r["text"]), r["n_dropped"]) for r in plain)
+
+
+def test_runs_are_read_where_they_lie(spark):
+    runs = line_dedup.LineRuns(spark, 9)
+    keys = spark.range(50).select(F.col("id").alias("doc"), F.xxhash64("id").alias("h1"), F.xxhash64(F.lit(1), "id").alias("h2"))
+    for _ in range(3):
+        found = runs.add(keys)
+    assert found.count() == 50 and [r.count() for r in runs.runs()] == [50, 0, 0]
+    joined = keys.groupBy("h1", "h2").agg(F.min("doc")).join(runs.runs()[0].hint("merge"), ["h1", "h2"], "left")
+    assert joined._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
 def test_mix(docs, empty):
     out = mixing.mix(docs.drop("size")).collect()
     assert len(out) == len(EDGE) and all(0 <= r["taken"] <= 2 * r["size"] for r in out)
@@ -111,6 +129,20 @@ def test_urls(spark):
     assert out[4]["rule"] == "net/" and out[4]["verdict"] == "block" and out[5]["rule"] is None and out[6]["rule"] == "org/fr/"
     assert out[7]["verdict"] == "block" and out[8]["rule"] is None and out[0]["host"] == "" and out[9]["host"] == ""
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
+    clash = pages.select("page_id", "url", *[F.lit(7).alias(n) for n in ("bound", "rate", "said", "h", "row_", "host", "verdict", "n", "x")])
+    twice = url_filter.judge_urls(clash.unionByName(clash)).collect()
+    assert len(twice) == 2 * len(urls) and all(r["bound"] == r["rate"] == r["row_"] == 7 and r["verdict"] == out[r["page_id"]]["verdict"] for r in twice)
+
+
+def test_suffixes_and_outcomes(spark):
+    hosts = spark.createDataFrame([("a.b.co.uk",), ("co.uk",), ("x.com",), ("w.x.com",), ("",), ("localhost",), ("q.r.s.t",)], "host string")
+    sfx = url_filter.suffix(F.col("host"), (*url_filter.SUFFIXES, "r.s.t"))
+    got = {r["host"]: (r["s"], r["d"]) for r in hosts.select("host", sfx.alias("s"), url_filter.registered_domain(F.col("host"), sfx).alias("d")).collect()}
+    assert got == {"a.b.co.uk": ("co.uk", "b.co.uk"), "co.uk": ("co.uk", "co.uk"), "x.com": ("com", "x.com"), "w.x.com": ("com", "x.com"), "": ("", ""), "localhost": ("localhost", "localhost"), "q.r.s.t": ("r.s.t", "q.r.s.t")}
+    pages = spark.createDataFrame([(i, f"http://{h}/") for i, h in enumerate(["bad.one.com", "new.one.com", "good.two.com", "other.com"])], "page_id long, url string")
+    labels = spark.createDataFrame([("bad.one.com", 1)] * 40 + [("worse.one.com", 1)] * 40 + [("good.two.com", 0)] * 40 + [("fine.three.com", 0)] * 40, "host string, bad int")
+    verdicts = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(pages, rules=(), outcomes=labels).collect()}
+    assert verdicts == {0: "block", 1: "block", 2: "allow", 3: "allow"}
 
 
 def test_language(spark, docs, empty):
