@@ -1,9 +1,10 @@
 """Nearest neighbours by vantage-point trees, one a shard.
 
 Vectors are scaled to length one, where the chord length orders pairs as the cosine does and obeys the triangle
-inequality. A shard's tree is searched for a block of queries at a time; a subtree is skipped where the
-inequality's lower bound, times `factor`, exceeds the distance of the k-th neighbour so far, the query's own row
-not counted. Factor 1 is exact.
+inequality. Each vector belongs to the cell of its nearest pivot, and cells are cut into shards of bounded size. A query is
+searched in one shard of its own cell first; the distance of its k-th neighbour there then closes every cell that the
+inequality, its bound times `factor`, puts out of reach, and within a shard's tree every such subtree. The query's own row
+does not count. Factor 1 is exact.
 """
 
 from __future__ import annotations
@@ -12,12 +13,15 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import stage, table
 
 SHARD_ROWS, QUERY_ROWS, LEAF = 8192, 8192, 64
+#: Pivots at most: the only vectors that every task has.
+PIVOTS = 256
 #: Queries searched and pairs scored at a time; what rounding may add to a cosine and to a chord.
 BLOCK, CHUNK, TIE, EPS = 512, 65536, 1e-12, 1e-6
 
@@ -86,7 +90,7 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def shard_nearest(ids: np.ndarray, vectors: np.ndarray, qids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> pd.DataFrame:
-    """The k nearest of one shard for each query: query_id, vec_id, score."""
+    """The k nearest of one shard for each query: at (the query's place), query_id, vec_id, score."""
     order = np.argsort(ids, kind="stable")
     ids, vectors = ids[order], vectors[order]
     _, first, group = np.unique(vectors, axis=0, return_index=True, return_inverse=True)
@@ -111,8 +115,8 @@ def shard_nearest(ids: np.ndarray, vectors: np.ndarray, qids: np.ndarray, querie
         score = np.empty(len(q))
         for c in range(0, len(q), CHUNK):
             score[c : c + CHUNK] = cosines(asked[q[c : c + CHUNK]], vectors[member[c : c + CHUNK]])
-        out = pd.DataFrame({"query_id": own[q], "vec_id": ids[member], "score": score})
-        parts.append(out.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id", sort=False).head(k))
+        out = pd.DataFrame({"at": begin + q, "query_id": own[q], "vec_id": ids[member], "score": score})
+        parts.append(out.sort_values(["at", "score", "vec_id"], ascending=[True, False, True]).groupby("at", sort=False).head(k))
     return pd.concat(parts)
 
 
@@ -128,29 +132,102 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return df.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).where(finite & F.exists(v, lambda x: x != 0)).select(F.col(id_col).cast("long").alias("id"), v.alias("v"), F.size(vector_col).alias("dim"))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", factor: float = 1.0, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest by cosine of every query, its own id left out.
+def near_cells(pivots: dict[int, np.ndarray]):
+    """For mapInArrow: rows (..., v, dim) with cell, the number of the nearest pivot (-1 where the dimension has none), and its distance away."""
 
-    Both tables are hashed by id to shards and blocks of bounded size; every block meets every shard once.
-    Vectors of another length than the query's are not compared with it. Ids should be unique; a repeated id
-    is a vector of its own. No vectors or no queries: no rows.
+    def run(batches):
+        for b in batches:
+            dims, values = b.column("dim").to_numpy(), b.column("v")
+            cell, away = np.full(b.num_rows, -1, np.int32), np.zeros(b.num_rows)
+            for dim in np.unique(dims):
+                if (known := pivots.get(int(dim))) is not None:
+                    rows = np.flatnonzero(dims == dim)
+                    far = chord(_unit(values.take(pa.array(rows)), dim) @ known.T)
+                    cell[rows], away[rows] = far.argmin(axis=1), far.min(axis=1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(away)], [*b.schema.names, "cell", "away"])
+
+    return run
+
+
+def _unit(values: pa.Array, dim: int) -> np.ndarray:
+    v = values.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def open_cells(pivots: dict[int, np.ndarray], radius: dict[tuple[int, int], float], factor: float):
+    """For mapInArrow: (row, query_id, v, dim, kth) to the same with every cell that may hold a neighbour as near as the k-th found (null: none yet)."""
+
+    def run(batches):
+        for b in batches:
+            dims, values, out, cells = b.column("dim").to_numpy(), b.column("v"), [], []
+            kth = b.column("kth").to_numpy(zero_copy_only=False).astype(float)
+            reach = np.where(np.isnan(kth), np.inf, chord(kth - TIE) + EPS)
+            for dim in np.unique(dims):
+                rows = np.flatnonzero(dims == dim)
+                mine = np.array([c for d, c in sorted(radius) if d == dim], np.int64)
+                if not len(mine):
+                    continue
+                far = np.zeros((len(rows), len(mine)))
+                if (known := pivots.get(int(dim))) is not None:
+                    far = chord(_unit(values.take(pa.array(rows)), dim) @ known[mine].T) - np.array([radius[dim, c] for c in mine])
+                q, c = np.nonzero(far * factor <= reach[rows][:, None])
+                out.append(rows[q])
+                cells.append(mine[c])
+            if out:
+                yield pa.RecordBatch.from_arrays([*b.take(pa.array(np.concatenate(out))).columns[:4], pa.array(np.concatenate(cells).astype(np.int32))], [*b.schema.names[:4], "cell"])
+
+    return run
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", factor: float = 1.0, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS, most_pivots: int = PIVOTS) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest by cosine of every row of queries, rows of its own id left out.
+
+    Vectors of another length than the query's are not compared with it. Ids should be unique; a repeated id is a vector of
+    its own, and a query of its own. Other columns take no part, whatever their names. No vectors or no queries: no rows.
     """
     if factor < 1:
         raise ValueError("factor is at least 1, where the search is exact")
-    vecs, asks = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col)
-    shards, blocks = (max(1, math.ceil(df.count() / most)) for df, most in ((vecs, shard_rows), (asks, query_rows)))
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    vecs = vecs.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("block", each(blocks))
-    asks = asks.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("shard", each(shards))
+    vecs = stage(usable(vectors, id_col, vector_col), "vectors")
+    total = vecs.count()
+    wanted = min(most_pivots, math.ceil(total / shard_rows))
+    picked: dict[int, list] = {}
+    for r in vecs.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(wanted).collect() if wanted > 1 else []:
+        picked.setdefault(r["dim"], []).append(r["v"])
+    pivots = {d: np.array(v) / np.linalg.norm(v, axis=1, keepdims=True) for d, v in picked.items()}
+    placed = "id long, v array<double>, dim int, cell int, away double"
+    vecs = stage(vecs.mapInArrow(near_cells(pivots), placed), "placed")
+    cells = vecs.groupBy("dim", "cell").agg(F.max("away").alias("radius"), F.ceil(F.count("*") / F.lit(shard_rows)).cast("int").alias("shards"))
+    cells = stage(cells, "cells")
+    # pivots bound the cells, one more for each dimension without a pivot
+    radius = {(r["dim"], r["cell"]): r["radius"] for r in cells.collect()}
+    sub = F.pmod(F.xxhash64("id", F.lit(1)), F.col("shards")).cast("int")
+    vecs = vecs.join(cells.select("dim", "cell", "shards"), ["dim", "cell"]).select("id", "v", "dim", "cell", sub.alias("shard"))
+    asks = usable(queries, id_col, vector_col).mapInArrow(near_cells(pivots), placed)
+    asks = stage(asks.select(F.monotonically_increasing_id().alias("row"), F.col("id").alias("query_id"), "v", "dim", "cell"), "queries")
 
     def run(own: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         if own.empty or ask.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return shard_nearest(own["id"].to_numpy(), np.stack(own["v"].to_numpy()), ask["id"].to_numpy(), np.stack(ask["v"].to_numpy()), k, factor)
-
-    keys = ["dim", "shard", "block"]
-    found = vecs.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+            return pd.DataFrame({"row": [], "query_id": [], "vec_id": [], "score": []})
+        found = shard_nearest(own["id"].to_numpy(), np.stack(own["v"].to_numpy()), ask["query_id"].to_numpy(), np.stack(ask["v"].to_numpy()), k, factor)
+        return found.assign(row=ask["row"].to_numpy()[found["at"].to_numpy()])[["row", "query_id", "vec_id", "score"]]
+
+    def search(asked: DataFrame) -> DataFrame:
+        """asked(row, query_id, v, dim, cell, shard): queries of a shard come in blocks of bounded size."""
+        keys = ["dim", "cell", "shard"]
+        blocks = asked.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(query_rows)).cast("int").alias("blocks"))
+        own = vecs.join(blocks, keys).select(*keys, "id", "v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        ask = asked.join(blocks.withColumnRenamed("blocks", "of"), keys).select(*keys, "row", "query_id", "v", F.pmod(F.xxhash64("row"), F.col("of")).cast("int").alias("block"))
+        return own.groupBy(*keys, "block").cogroup(ask.groupBy(*keys, "block")).applyInPandas(run, "row long, query_id long, vec_id long, score double")
+
+    home = asks.join(cells.select("dim", "cell", "shards"), ["dim", "cell"])
+    home = stage(home.select("row", "query_id", "v", "dim", "cell", F.pmod(F.xxhash64("row", F.lit(2)), F.col("shards")).cast("int").alias("shard")), "home")
+    first = stage(search(home), "first")
+    kth = first.groupBy("row").agg(F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(k - 1)).alias("kth"))
+    rest = asks.join(kth, "row", "left").select("row", "query_id", "v", "dim", "kth").mapInArrow(open_cells(pivots, radius, factor), "row long, query_id long, v array<double>, dim int, cell int")
+    rest = rest.join(cells.select("dim", "cell", "shards"), ["dim", "cell"]).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    rest = stage(rest.join(home.select("row", "cell", "shard"), ["row", "cell", "shard"], "left_anti").select("row", "query_id", "v", "dim", "cell", "shard"), "open")
+    found = first.unionByName(search(rest))
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

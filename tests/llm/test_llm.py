@@ -236,7 +236,26 @@ def test_nearest_bound_leaves_out_the_own_row():
     for i in asks:
         best = sorted((-s, j) for s, j in zip(nearest.cosines(np.broadcast_to(vectors[i], vectors.shape), vectors), ids) if j != i)[:5]
         want += [(i, j, -s) for s, j in best]
-    assert list(got.itertuples(index=False, name=None)) == want
+    assert list(got[["query_id", "vec_id", "score"]].itertuples(index=False, name=None)) == want
+
+
+def test_nearest_ties_clusters_and_repeated_queries(spark):
+    r = np.random.default_rng(11)
+    centres = r.normal(size=(12, 8)) * 3
+    rows = [(i, (centres[i % 12] + 0.01 * r.normal(size=8)).tolist()) for i in range(600)]
+    rows += [(600 + i, (np.eye(8)[0] + np.eye(8)[1 + i % 7]).tolist()) for i in range(126)]  # equal cosines with the first axis
+    rows += [(1000, np.eye(8)[0].tolist()), (1000, np.eye(8)[1].tolist())] + [(1001 + i, rows[3][1]) for i in range(200)]
+    v = spark.createDataFrame([(*x, 1, "c") for x in rows], "vec_id long, embedding array<double>, row int, cell string")
+    q = v.where("vec_id % 50 = 0")
+    want = []
+    for i, x in rows:
+        if i % 50 == 0:
+            others = [(j, np.array(y)) for j, y in rows if j != i]
+            score = nearest.cosines(np.broadcast_to(np.array(x), (len(others), 8)), np.stack([y for _, y in others]))
+            want += [(i, k + 1, j) for k, (_, j) in enumerate(sorted(zip(-score, [j for j, _ in others]))[:5])]
+    for shard, pivots in ((40, 256), (40, 3), (100_000, 256)):
+        got = [(x["query_id"], x["rank"], x["vec_id"]) for x in nearest.nearest(v, q, shard_rows=shard, query_rows=3, most_pivots=pivots).collect()]
+        assert sorted(got) == sorted(want)
 
 
 def test_suffix_array_is_sorted():
