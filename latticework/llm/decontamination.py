@@ -2,9 +2,10 @@
 
 An item of m characters that occurs in a text with at most e edits keeps at least m + 1 - q (e + 1) of its q-grams,
 and their diagonals (text position less item position) span at most e. Shared q-grams are counted in overlapping
-bands of 2 (e + 1) diagonals, a band that reaches the bound is a region, and a banded alignment decides it.
-Texts are lower-cased and their white space is collapsed. The items are sent to the tasks in blocks of checked size;
-a larger benchmark takes more passes over the documents.
+bands of 2 (e + 1) diagonals, a band that reaches the bound is a region, and a banded alignment decides it. Every item has the
+longest q-grams, Q at most, for which the bound is above 0; items under SHORT characters are found where they stand as whole words.
+Texts are lower-cased and their white space is collapsed; characters are code points. The items are sent to the tasks in blocks
+of bounded size; a larger benchmark takes more passes over the documents.
 """
 
 from __future__ import annotations
@@ -16,21 +17,23 @@ from pyspark.sql import functions as F
 
 from .shared import table, union_all
 
-Q, EDIT_RATE, BLOCK_BYTES, CHUNK = 12, 0.06, 16 << 20, 2_000_000
+Q, SHORT, EDIT_RATE, BLOCK_BYTES, CHUNK = 12, 8, 0.06, 16 << 20, 2_000_000
+#: Pairs of q-grams counted, and regions aligned, at a time.
+PAIRS, REGIONS = 1 << 22, 512
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_GAP = "\U0010ffff"
 
 
-def normalise(text: str | None) -> bytes:
-    return " ".join((text or "").lower().split()).encode("utf-8", "surrogatepass")
+def normalise(text: str | None) -> str:
+    return " ".join((text or "").lower().split())
 
 
-def edit_budget(m: int, q: int = Q, rate: float = EDIT_RATE) -> int:
-    """The edits allowed to an item of m bytes: the rate's, or fewer where the lemma's bound would fall below 1."""
-    return min(int(rate * m), m // q - 1)
+def codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def gram_hashes(data: np.ndarray, q: int = Q) -> np.ndarray:
-    """Hash of the q bytes from each position on, by doubling."""
+    """Hash of the q characters from each position on, by doubling."""
     if len(data) < q:
         return np.empty(0, np.uint64)
     with np.errstate(over="ignore"):
@@ -49,100 +52,163 @@ def gram_hashes(data: np.ndarray, q: int = Q) -> np.ndarray:
         return (out ^ (out >> np.uint64(31))) * _MIX
 
 
+def counted(values: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and the sum of their weights (1 each if None)."""
+    if not len(values):
+        return values, values
+    low, high = int(values.min()), int(values.max())
+    if high - low <= 2 * PAIRS:
+        n = np.bincount(values - low, weights)
+        at = np.flatnonzero(n)
+        return at + low, n[at].astype(np.int64)
+    keys, back, n = np.unique(values, return_inverse=True, return_counts=True)
+    return keys, n if weights is None else np.bincount(back.ravel(), weights, len(keys)).astype(np.int64)
+
+
 class GramIndex:
-    """The q-grams of some items, by hash."""
+    """The q-grams of items(number, text, edits) of one q, by hash."""
 
-    def __init__(self, items: list[tuple[int, bytes]], q: int = Q, rate: float = EDIT_RATE):
-        self.q, self.items = q, [(i, t, edit_budget(len(t), q, rate)) for i, t in items if len(t) >= q]
-        hashes = [gram_hashes(np.frombuffer(t, np.uint8), q) for _, t, _ in self.items]
-        flat = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+    def __init__(self, items: list[tuple[int, str, int]], q: int):
+        self.q, self.items = q, items
+        hashes = [gram_hashes(codes(t), q) for _, t, _ in items]
+        flat = np.concatenate(hashes)
         order = np.argsort(flat, kind="stable")
-        self.keys, first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
-        self.first = first
+        self.keys, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
         self.item = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes]).astype(np.int64)[order]
-        self.pos = np.concatenate([np.arange(len(h)) for h in hashes]).astype(np.int64)[order] if hashes else np.empty(0, np.int64)
-        self.budget = np.array([e for _, _, e in self.items], np.int64)
-        self.need = np.array([len(t) + 1 - q * (e + 1) for _, t, e in self.items], np.int64)
+        self.pos = np.concatenate([np.arange(len(h)) for h in hashes]).astype(np.int64)[order]
+        self.budget = np.array([e for _, _, e in items], np.int64)
+        self.size = np.array([len(t) for _, t, _ in items], np.int64)
+        self.need = self.size + 1 - q * (self.budget + 1)
         self.seen = np.zeros(1 << 22, bool)
         self.seen[(self.keys >> np.uint64(42)).astype(np.int64)] = True
 
-    def regions(self, texts: list[bytes]):
-        """(text number, item number, lowest diagonal, highest diagonal) of every band that reaches the bound."""
-        data = np.frombuffer((b"\0" * self.q).join(texts), np.uint8)
+    def regions(self, texts: list[str]) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+        """(text number, item number): lowest diagonals of the bands that reach the bound, and the least edits that their counts allow.
+
+        A q-gram that repeats counts at each of its places, so a count is never too low.
+        """
+        data = codes((_GAP * self.q).join(texts))
         starts = np.cumsum([0] + [len(t) + self.q for t in texts[:-1]])
         h = gram_hashes(data, self.q)
         at = np.flatnonzero(self.seen[(h >> np.uint64(42)).astype(np.int64)])
-        if not len(at) or not len(self.keys):
-            return []
         k = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
         ok = self.keys[k] == h[at]
         at, k = at[ok], k[ok]
         if not len(at):
-            return []
-        n = self.count[k]
-        entry = np.repeat(self.first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        at = np.repeat(at, n)
-        item, pos = self.item[entry], self.pos[entry]
+            return {}
         text = np.searchsorted(starts, at, side="right") - 1
-        diagonal = at - starts[text] - pos
-        step = self.budget[item] + 1
-        band = np.floor_divide(diagonal, step)
-        rows = np.stack([np.tile(text, 2), np.tile(item, 2), np.concatenate([band, band - 1]), np.tile(pos, 2)], axis=1)
-        rows = np.unique(rows, axis=0)  # a q-gram of the item counts once in a band
-        new = np.flatnonzero(np.r_[True, (rows[1:, :3] != rows[:-1, :3]).any(axis=1)])
-        counts = np.diff(np.r_[new, len(rows)])
-        hit = rows[new][counts >= self.need[rows[new, 1]]]
-        s = self.budget[hit[:, 1]] + 1
-        return list(zip(hit[:, 0].tolist(), hit[:, 1].tolist(), (hit[:, 2] * s).tolist(), ((hit[:, 2] + 2) * s - 1).tolist()))
-
-    def matches(self, texts: list[bytes]) -> dict[tuple[int, int], tuple[int, int, int]]:
-        """(text number, item number): (edits, start, end) of the best occurrence, the first one of equals."""
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for t, i, low, high in self.regions(texts):
-            _, item, e = self.items[i]
-            begin = max(0, low)
-            window = texts[t][begin : high + len(item) + e + 1]
-            at = window.find(item)
-            found = (0, begin + at, begin + at + len(item)) if at >= 0 else banded_alignment(item, window, low - begin, high - begin, e)
-            if found and at < 0:
-                found = (found[0], begin + found[1], begin + found[2])
-            if found and ((t, i) not in best or found < best[t, i]):
-                best[t, i] = found
-        return best
-
-
-def banded_alignment(item: bytes, window: bytes, low: int, high: int, most: int) -> tuple[int, int, int] | None:
-    """(edits, start, end) of item in window with at most `most` edits, along diagonals low to high; else None.
-
-    The item must be used up; what lies before and after it in the window is free.
+        offset = at - starts[text]
+        most = int(max(map(len, texts)) + self.size.max()) + 2  # bands of a text and item, numbered from 1
+        shift = int(self.size.max()) + 1
+        n = self.count[k]
+        upto, parts = np.cumsum(n), []
+        cuts = np.unique(np.r_[0, np.searchsorted(upto, np.arange(PAIRS, upto[-1], PAIRS)) + 1, len(at)])
+        for a, z in zip(cuts, cuts[1:]):
+            each = n[a:z]
+            entry = np.repeat(self.first[k[a:z]] - np.cumsum(each) + each, each) + np.arange(each.sum())
+            item = self.item[entry]
+            band = (np.repeat(offset[a:z], each) - self.pos[entry] + shift) // (self.budget[item] + 1) + 1
+            parts.append(counted((np.repeat(text[a:z], each) * len(self.items) + item) * most + band))
+        keys, sums = counted(*(np.concatenate(x) for x in zip(*parts))) if len(parts) > 1 else parts[0]
+        keys, sums = counted(np.r_[keys, keys - 1], np.r_[sums, sums])  # a region is a band and the next one
+        of, band = keys // most, keys % most
+        item = of % len(self.items)
+        good = sums >= self.need[item]
+        of, item, band, sums = of[good], item[good], band[good], sums[good]
+        low = (band - 1) * (self.budget[item] + 1) - shift
+        least = np.maximum(0, -(-(self.size[item] + 1 - sums) // self.q) - 1)
+        new = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else []
+        return {(int(of[s] // len(self.items)), int(item[s])): (low[s:e], least[s:e]) for s, e in zip(new, [*new[1:], len(of)])}
+
+    def matches(self, texts: list[str]):
+        """(text number, item's number, edits, start, end) of the best occurrence, the first one of equals."""
+        for (t, i), (low, least) in self.regions(texts).items():
+            number, item, most = self.items[i]
+            if (at := texts[t].find(item)) >= 0:
+                yield t, number, 0, at, at + len(item)
+                continue
+            if not most:
+                continue
+            best = None
+            least = np.maximum(least, 1)  # it does not stand there as it is
+            order = np.lexsort((low, least))
+            window, pattern = codes(texts[t]), codes(item)
+            while len(order):
+                found = banded_alignments(pattern, window, low[order[:REGIONS]], most)
+                best, order = min([x for x in (best, *found) if x], default=None), order[REGIONS:]
+                if best:  # the others have more edits, or as many and begin later
+                    order = order[(least[order] < best[0]) | ((least[order] == best[0]) & (low[order] - most <= best[1]))]
+            if best:
+                yield t, number, *best
+
+
+class Items:
+    """Normalised items, each distinct text once, in indexes by q; found by the names that share a text."""
+
+    def __init__(self, rows: list[tuple[int, str]], q: int = Q, rate: float = EDIT_RATE):
+        named: dict[str, list[int]] = {}
+        for name, text in rows:
+            if text:
+                named.setdefault(text, []).append(name)
+        self.texts, self.names = list(named), list(named.values())
+        by: dict[int, list[tuple[int, str, int]]] = {}
+        self.words: dict[int, dict[str, int]] = {}
+        for i, t in enumerate(self.texts):
+            if len(t) < SHORT:
+                self.words.setdefault(t.count(" ") + 1, {})[t] = i
+            else:
+                edits = int(rate * len(t))
+                by.setdefault(min(q, len(t) // (edits + 1)), []).append((i, t, edits))
+        self.indexes = [GramIndex(items, n) for n, items in sorted(by.items())]
+
+    def matches(self, texts: list[str]) -> list[tuple[int, int, int, int, int, float]]:
+        """(text number, item's name, edits, start, end, similarity), in order."""
+        out = [m for index in self.indexes for m in index.matches(texts)]
+        for t, text in enumerate(texts if self.words else []):
+            words = text.split(" ")
+            for n, known in self.words.items():
+                first: dict[int, int] = {}
+                at = 0
+                for k in range(len(words) - n + 1):
+                    i = known.get(" ".join(words[k : k + n]))
+                    if i is not None:
+                        first.setdefault(i, at)
+                    at += len(words[k]) + 1
+                out += [(t, i, 0, a, a + len(self.texts[i])) for i, a in first.items()]
+        return sorted((t, name, *rest, 1 - rest[0] / len(self.texts[i])) for t, i, *rest in out for name in self.names[i])
+
+def banded_alignments(pattern: np.ndarray, text: np.ndarray, low: np.ndarray, most: int) -> list[tuple[int, int, int] | None]:
+    """(edits, start, end) of pattern in text with at most `most` edits, along 2 (most + 1) diagonals from each of low on; else None.
+
+    The pattern must be used up; what lies before and after it in the text is free. All bands advance together.
     """
-    low, high = low - most, high + most
-    width, big = high - low + 1, len(item) + len(window) + 1
-    pattern, text = np.frombuffer(item, np.uint8), np.frombuffer(window, np.uint8)
-    diagonals = np.arange(low, high + 1)
+    width, big = 2 * (most + 1) + 2 * most, len(pattern) + len(text) + 1
+    diagonals = low[:, None] - most + np.arange(width)
     inside = (diagonals >= 0) & (diagonals <= len(text))
     cost, start = np.where(inside, 0, big), np.where(inside, diagonals, 0)
-    steps = np.arange(width)
+    steps, edge = np.arange(width), np.full((len(low), 1), big)
+    none = np.zeros((len(low), 1), start.dtype)
     for i in range(1, len(pattern) + 1):
-        j = i + diagonals  # text characters used after i of the item's
+        j = i + diagonals  # text characters used after i of the pattern's
         valid = (j >= 0) & (j <= len(text))
-        differs = np.where((j >= 1) & valid, text[np.clip(j - 1, 0, max(len(text) - 1, 0))] != pattern[i - 1], True) if len(text) else np.ones(width, bool)
-        swap = np.where(j >= 1, cost + differs, big)
-        skip = np.r_[cost[1:] + 1, big]  # an item character that the text lacks
-        best, begin = np.where(swap <= skip, swap, skip), np.where(swap <= skip, start, np.r_[start[1:], 0])
-        best = np.where(valid, best, big)
-        slack = best - steps  # a text character that the item lacks
-        low_so_far = np.minimum.accumulate(slack)
-        source = np.maximum.accumulate(np.where(slack == low_so_far, steps, 0))
-        cost, start = np.where(valid, low_so_far + steps, big), begin[source]
+        differs = (text[np.clip(j - 1, 0, len(text) - 1)] != pattern[i - 1]) if len(text) else np.ones(j.shape, bool)
+        swap = np.where(valid & (j >= 1), cost + differs, big)
+        skip = np.hstack([cost[:, 1:] + 1, edge])  # a pattern character that the text lacks
+        begin = np.where(swap <= skip, start, np.hstack([start[:, 1:], none]))
+        best = np.where(valid, np.minimum(swap, skip), big)
+        slack = best - steps  # a text character that the pattern lacks
+        low_so_far = np.minimum.accumulate(slack, axis=1)
+        source = np.maximum.accumulate(np.where(slack == low_so_far, steps, 0), axis=1)
+        cost, start = np.where(valid, low_so_far + steps, big), np.take_along_axis(begin, source, axis=1)
         if cost.min() > most:
-            return None
-    k = int(cost.argmin())
-    return (int(cost[k]), int(start[k]), int(len(pattern) + diagonals[k])) if cost[k] <= most else None
+            return [None] * len(low)
+    k = cost.argmin(axis=1)
+    rows = np.arange(len(low))
+    return [(int(c), int(s), int(len(pattern) + d)) if c <= most else None for c, s, d in zip(cost[rows, k], start[rows, k], diagonals[rows, k])]
 
 
 def _chunks(column: pa.Array):
-    """(first row, normalised texts) of about CHUNK bytes each."""
+    """(first row, normalised texts) of about CHUNK characters each."""
     begin, texts, size = 0, [], 0
     for k, t in enumerate(column):
         texts.append(normalise(t.as_py()))
@@ -155,35 +221,37 @@ def _chunks(column: pa.Array):
 
 
 def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES):
-    """The items in lists of about block_bytes of text; null texts, and texts under q bytes, match nothing."""
-    items = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    blocks = int(size // block_bytes) + 1
-    for b in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
-        yield [(r["i"], normalise(r["t"])) for r in part.toLocalIterator()]
+    """The items in lists of about block_bytes of text, read partition by partition; null texts match nothing."""
+    block, size = [], 0
+    for r in benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).toLocalIterator():
+        block.append((r["i"], normalise(r["t"])))
+        size += len(r["t"])
+        if size >= block_bytes:
+            yield block
+            block, size = [], 0
+    if block or not size:
+        yield block
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: int = Q, rate: float = EDIT_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc, item, edits, start, end, similarity) for every item found in a row's text, its best occurrence.
 
-    start and end count bytes of the normalised text. A null text holds nothing; rows that repeat an id are
-    searched one by one, as are items that repeat an id.
+    start and end count characters of the normalised text. A null text holds nothing, and an item without a word is in none; rows that
+    repeat an id are searched one by one, and items that repeat an id or a text are all reported.
     """
     spark, parts = docs.sparkSession, []
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("t"))
-    for items in item_blocks(benchmark, text_col="text", block_bytes=block_bytes):
+    for items in item_blocks(benchmark, block_bytes=block_bytes):
         sent = spark.sparkContext.broadcast(items)
 
         def run(batches, sent=sent):
-            index = GramIndex(sent.value, q, rate)
+            index = Items(sent.value, q, rate)
             for b in batches:
                 for begin, texts in _chunks(b.column("t")):
-                    found = sorted(index.matches(texts).items())
-                    if found:
-                        ids = b.column("doc").take(pa.array([begin + t for (t, _), _ in found], pa.int64()))
-                        of = [index.items[i] for (_, i), _ in found]
-                        yield pa.RecordBatch.from_arrays([ids, pa.array([x[0] for x in of], pa.int64()), *(pa.array([m[k] for _, m in found], pa.int64()) for k in range(3)), pa.array([1 - m[0] / len(x[1]) for (_, m), x in zip(found, of)], pa.float64())], ["doc", "item", "edits", "start", "end", "similarity"])
+                    if found := index.matches(texts):
+                        t, *rest, similarity = zip(*found)
+                        ids = b.column("doc").take(pa.array([begin + x for x in t], pa.int64()))
+                        yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in rest), pa.array(similarity, pa.float64())], ["doc", "item", "edits", "start", "end", "similarity"])
 
         parts.append(rows.mapInArrow(run, "doc long, item long, edits long, start long, end long, similarity double"))
     return union_all(parts)
@@ -195,11 +263,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches, sent=sent):
-            index = GramIndex(sent.value, q, rate)
+            index = Items(sent.value, q, rate)
             for b in batches:
                 clean = np.ones(b.num_rows, bool)
                 for begin, texts in _chunks(b.column(text_col)):
-                    clean[[begin + t for t, _ in index.matches(texts)]] = False
+                    clean[[begin + m[0] for m in index.matches(texts)]] = False
                 yield b.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -179,20 +180,55 @@ def edit_distance_within(item, text):
 def test_banded_alignment_is_edit_distance():
     r = random.Random(5)
     for _ in range(60):
-        item = bytes(r.choice(b"abc") for _ in range(r.randint(5, 25)))
-        text = bytearray(bytes(r.choice(b"abc") for _ in range(r.randint(0, 8))) + item + bytes(r.choice(b"abc") for _ in range(5)))
+        item = "".join(r.choice("abc") for _ in range(r.randint(5, 25)))
+        text = list("".join(r.choice("abc") for _ in range(r.randint(0, 8))) + item + "".join(r.choice("abc") for _ in range(5)))
         for _ in range(r.randint(0, 3)):
-            text[r.randrange(len(text))] = r.choice(b"abc")
-        got, want = D.banded_alignment(item, bytes(text), 0, len(text) - len(item), 6), edit_distance_within(item, bytes(text))
+            text[r.randrange(len(text))] = r.choice("abc")
+        text = "".join(text)
+        got, want = D.banded_alignments(D.codes(item), D.codes(text), np.array([0, 3]), 6)[0], edit_distance_within(item, text)
         assert (got[0] if got else None) == (want if want <= 6 else None)
         if got:
-            assert edit_distance_within(item, bytes(text)[got[1] : got[2]]) == got[0]
+            assert edit_distance_within(item, text[got[1] : got[2]]) == got[0]
+
+
+def test_filter_finds_what_plain_search_finds():
+    r = random.Random(6)
+    letters = "abcé日 "
+    items = [(i, D.normalise("".join(r.choice(letters) for _ in range(n)))) for i, n in enumerate([0, 1, 3, 7, 8, 11, 12, 16, 17, 20, 34, 40, 60, 90] * 3)]
+    index = D.Items(items)
+    for _ in range(40):
+        text = []
+        for _, item in r.sample(items, 4):
+            t = list(item)
+            for _ in range(r.randint(0, 4)):
+                if t:
+                    k, how = r.randrange(len(t)), r.choice("xdi")
+                    t[k : k + 1] = {"x": [r.choice("abé")], "d": [], "i": [t[k], r.choice("abé")]}[how]
+            text += ["".join(r.choice("abc") for _ in range(r.randint(0, 5))), "".join(t)]
+        text = D.normalise(" ".join(text))
+        got = {name: edits for _, name, edits, *_ in index.matches([text, ""])}
+        want = {}
+        for i, item in items:
+            if len(item) >= D.SHORT:
+                if (d := edit_distance_within(item, text)) <= int(D.EDIT_RATE * len(item)):
+                    want[i] = d
+            elif item and f" {item} " in f" {text} ":
+                want[i] = 0
+        assert got == want
+
+
+def test_repetitive_texts_are_searched_in_bounded_work():
+    unit = "ab " * 70
+    index = D.Items([(1, unit.strip()), (2, unit[:100] + "x" + unit[101:].strip()), (3, prose(40, 9))])
+    began = time.time()
+    assert [m[1] for m in index.matches([D.normalise("ab " * 350_000)])] == [1, 2]
+    assert time.time() - began < 60
 
 
 def test_decontamination(spark, docs, empty):
-    bench = spark.createDataFrame([(1, ITEM.upper()), (2, None), (3, "short"), (4, prose(40, 99)), (5, ITEM)], "item_id long, text string")
+    bench = spark.createDataFrame([(1, ITEM.upper()), (2, None), (3, "a b"), (4, prose(40, 99)), (5, ITEM), (6, " "), (7, "!!")], "item_id long, text string")
     got = D.contamination(docs, bench).collect()
-    assert {(r["doc"], r["item"], r["edits"]) for r in got} == {(4, 1, 0), (4, 5, 0)}
+    assert {(r["doc"], r["item"], r["edits"]) for r in got} == {(4, 1, 0), (4, 5, 0), (9, 7, 0)}
     words = ITEM.split()
     words[10], words[30] = "xx" + words[10][2:], words[30] + "e"
     near = table(spark, [(20, prose(50, 21) + " " + "  ".join(words) + "\n" + prose(50, 22), "en", "a"), (21, prose(200, 23), "en", "a")])
