@@ -131,8 +131,9 @@ class GramIndex:
                 continue
             best = None
             least = np.maximum(least, 1)  # it does not stand there as it is
-            order = np.lexsort((low, least))
             window, pattern = codes(texts[t]), codes(item)
+            low, least = first_of_equals(window, low, least, most, len(item) + 4 * most + 2)
+            order = np.lexsort((low, least))
             while len(order):
                 found = banded_alignments(pattern, window, low[order[:REGIONS]], most)
                 best, order = min([x for x in (best, *found) if x], default=None), order[REGIONS:]
@@ -142,6 +143,16 @@ class GramIndex:
                 yield t, number, *best
 
 
+def first_of_equals(text: np.ndarray, low: np.ndarray, least: np.ndarray, most: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The regions without those whose size characters, from most before the lowest diagonal on, are those of an earlier region."""
+    whole = np.flatnonzero((low >= most) & (low - most + size <= len(text)))
+    if len(whole) < REGIONS:
+        return low, least
+    _, first = np.unique(gram_hashes(text, size)[low[whole] - most], return_index=True)
+    kept = np.sort(np.r_[whole[first], np.setdiff1d(np.arange(len(low)), whole)])
+    return low[kept], least[kept]
+
+
 class Items:
     """Normalised items, each distinct text once, in indexes by q; found by the names that share a text."""
 
