@@ -22,6 +22,9 @@ from .decontamination import gram_hashes
 from .shared import stage, table
 
 LENGTH, GRAM, MOST_STARTS, SHARD_BYTES, HOT_BYTES = 200, 32, 4096, 2 << 20, 8 << 20
+#: How often groups over HOT_BYTES are cut anew. Whose text a piece is from: a row's (id, hash), or a larger piece.
+DEEPEST, OWNER = 12, ["o1", "o2", "o3"]
+_ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
 # ---- suffix arrays
@@ -127,24 +130,47 @@ def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
     return np.concatenate([x for c in range(top) for x in (np.concatenate(larger[c] or empty), np.concatenate(lesser[c] or empty)[::-1])])
 
 
-def repeated_starts(text: np.ndarray, order: np.ndarray, valid: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """True at the valid starts whose length characters are those of another valid start, from neighbours in order."""
-    order = order[valid[order]]
-    out = np.zeros(len(text), bool)
-    if len(order) < 2:
-        return out
-    a, b = order[:-1], order[1:]
-    padded = np.r_[text.astype(np.uint64), np.zeros(8, np.uint64)]
-    word = np.zeros(len(text), np.uint64)
+def common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """For every suffix, in text order, how many characters it has in common with the one before it in order (0 for the first).
+
+    Where both suffixes go on from two that are neighbours and share their first character, the value is one less than there; only the
+    other places are compared, character by character.
+    """
+    n = len(text)
+    before = np.full(n, -1, np.int64)
+    before[order[1:]] = order[:-1]
+    goes_on = np.zeros(n, bool)
+    goes_on[1:] = (before[1:] > 0) & (before[:-1] >= 0) & (before[1:] == before[:-1] + 1) & (text[:-1] == text[np.maximum(before[1:] - 1, 0)])
+    start = np.flatnonzero(~goes_on & (before >= 0))
+    padded = np.r_[text.astype(np.uint64) + np.uint64(1), np.zeros(8, np.uint64)]  # 0 is beyond the end
+    word = np.zeros(n + 4, np.uint64)
     for k in range(4):
-        word = word << np.uint64(16) | padded[k : k + len(text)]
-    same = np.arange(len(a))
-    for k in range(0, length - 3, 4):
-        same = same[word[a[same] + k] == word[b[same] + k]]
-    for k in range(length - length % 4, length):
-        same = same[padded[a[same] + k] == padded[b[same] + k]]
-    out[a[same]] = out[b[same]] = True
-    return out
+        word = word << np.uint64(16) | padded[k : k + n + 4]
+    value, rows, done = np.zeros(n, np.int64), start, 0
+    while len(rows):
+        a, b = rows + done, before[rows] + done
+        inside = np.maximum(a, b) + 4 <= n
+        same = inside & (word[np.minimum(a, n)] == word[np.minimum(b, n)])
+        rest, a, b = rows[~same], a[~same], b[~same]
+        for _ in range(4):
+            good = padded[np.minimum(a, n)] == padded[np.minimum(b, n)]
+            good &= np.maximum(a, b) < n
+            value[rest[~good]] = b[~good] - before[rest[~good]]
+            rest, a, b = rest[good], a[good] + 1, b[good] + 1
+        value[rest] = b - before[rest]
+        rows, done = rows[same], done + 4
+    last = np.maximum.accumulate(np.where(goes_on, -1, np.arange(n)))
+    return np.where(goes_on, value[last] - (np.arange(n) - last), value)
+
+
+def repeated_starts(text: np.ndarray, order: np.ndarray, valid: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """True at the valid starts whose length characters are those of another valid start: one of its neighbours in order."""
+    again = common_prefixes(text, order) >= length
+    before = np.zeros(len(text), np.int64)
+    before[order[1:]] = order[:-1]
+    out = again.copy()
+    out[before[again]] = True
+    return out & valid
 
 
 def shard_repeats(pieces: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
@@ -161,7 +187,7 @@ def shard_repeats(pieces: list[bytes], length: int = LENGTH) -> list[np.ndarray]
 # ---- pieces
 
 
-def piece_runs(text: bytes, length: int = LENGTH, gram: int = GRAM, most: int = MOST_STARTS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def piece_runs(text: bytes, length: int = LENGTH, gram: int = GRAM, most: int = MOST_STARTS, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(key, first start, number of starts, inward): consecutive starts whose strings have the same smallest gram hash.
 
     inward tells pieces that hold the gram more than once, which alone can repeat a string within themselves: there
@@ -171,6 +197,10 @@ def piece_runs(text: bytes, length: int = LENGTH, gram: int = GRAM, most: int =
     if n < 1:
         return (*[np.empty(0, np.int64)] * 3, np.empty(0, bool))
     h, w = gram_hashes(np.frombuffer(text, np.uint8), gram), length - gram + 1
+    if salt:  # another order of the grams
+        with np.errstate(over="ignore"):
+            h = (h + np.uint64(salt)) * _ODD
+            h = (h ^ (h >> np.uint64(29))) * _ODD
     rows = -(-len(h) // w)
     block = np.full(rows * w, np.iinfo(np.uint64).max, np.uint64)
     block[: len(h)] = h
@@ -198,85 +228,91 @@ def intervals(starts: np.ndarray) -> list[tuple[int, int]]:
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("th"), text.cast("binary").alias("t"))
+    return docs.select(F.col(id_col).cast("long").alias("o1"), F.xxhash64(text).alias("o2"), F.lit(0).alias("o3"), text.cast("binary").alias("t"))
 
 
-def _pieces(rows: DataFrame, length: int) -> DataFrame:
-    """(key, hash, n, doc, th, start, inward) of every piece."""
+def _pieces(texts: DataFrame, length: int, salt: int) -> DataFrame:
+    """(key, hash, n, owner, start, inward) of every piece of texts(owner, t). Pieces of pieces keep to their piece's key."""
 
     def run(batches):
         for b in batches:
-            out = []
-            for d, th, t in zip(b.column("doc").to_pylist(), b.column("th").to_pylist(), b.column("t")):
+            out, rows = [], []
+            for i, (o1, t) in enumerate(zip(b.column("o1").to_pylist(), b.column("t"))):
                 t = t.as_py()
-                key, begin, count, inward = piece_runs(t, length)
+                key, begin, count, inward = piece_runs(t, length, salt=salt)
                 if len(key):
                     ends = (begin + count + length - 1).tolist()
                     content = np.fromiter((xxhash.xxh64_intdigest(t[a:z]) for a, z in zip(begin.tolist(), ends)), np.uint64, len(key)).view(np.int64)
-                    out.append((key, content, count.astype(np.int32), begin.astype(np.int32), inward, (d, th)))
+                    if salt:
+                        with np.errstate(over="ignore"):
+                            key = key ^ (np.array([o1], np.int64).view(np.uint64) * _ODD).view(np.int64)
+                    out.append((key, content, count.astype(np.int32), begin.astype(np.int32), inward))
+                    rows.append(np.full(len(key), i))
             if out:
-                size = [len(x[0]) for x in out]
-                ids = pa.array([x[5][0] for x in out], pa.int64()).take(pa.array(np.repeat(np.arange(len(out)), size)))
-                ths = np.repeat(np.array([x[5][1] for x in out], np.int64), size)
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate([x[k] for x in out])) for k in range(3)), ids, pa.array(ths), *(pa.array(np.concatenate([x[k] for x in out])) for k in (3, 4))], ["key", "hash", "n", "doc", "th", "start", "inward"])
+                key, content, count, begin, inward = (pa.array(np.concatenate(x)) for x in zip(*out))
+                of = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([key, content, count, *(b.column(c).take(of) for c in OWNER), begin, inward], ["key", "hash", "n", *OWNER, "start", "inward"])
 
-    return rows.mapInArrow(run, "key long, hash long, n int, doc long, th long, start int, inward boolean")
+    return texts.mapInArrow(run, "key long, hash long, n int, o1 long, o2 long, o3 int, start int, inward boolean")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, shard_bytes: int = SHARD_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
-    """(doc, th, spans): of each row with repeats, the starts (first, last + 1) whose length bytes stand elsewhere too.
+def _same(left: DataFrame, right: DataFrame):
+    return left["o1"].eqNullSafe(right["p1"]) & (left["o2"] == right["p2"]) & (left["o3"] == right["p3"])
 
-    th is the hash of the text, which tells apart rows that repeat an id; rows alike in both count as one place.
-    """
-    rows = _rows(docs, id_col, text_col)
+
+def _spans(texts: DataFrame, length: int, shard_bytes: int, hot_bytes: int, depth: int = 0) -> DataFrame:
+    """(owner, a, z): runs of starts in texts(owner, t) whose strings stand elsewhere too."""
     what = ["key", "hash", "n"]
-    pieces = stage(_pieces(rows, length), "pieces")
-    often = pieces.groupBy("key").agg(F.count("*").alias("c"), F.max("inward").alias("i")).where("c > 1 or i").select("key")
+    pieces = stage(_pieces(texts, length, depth), "pieces")
+    often = stage(pieces.groupBy("key").agg(F.count("*").alias("c"), F.max("inward").alias("i")).where("c > 1 or i").select("key"), "often")
     pieces = stage(pieces.join(often, "key"), "repeated")
-    kinds = pieces.groupBy(*what).agg(F.count("*").alias("times"), F.min(F.struct("doc", "th", "start")).alias("at"), F.max("inward").alias("inward"))
-    groups = kinds.groupBy("key").agg(F.count("*").alias("contents"), F.sum(F.col("n") + length - 1).alias("bytes"))
-    kinds = stage(kinds.join(groups, "key").select(*what, "times", "inward", "at.*", "contents", "bytes"), "kinds")
-    whole = kinds.where("times > 1").select(*what, F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").cast("long").alias("z"))).alias("found"))
-    mixed = kinds.where("contents > 1 or inward")
-    total = mixed.agg(F.coalesce(F.sum(F.col("n") + length - 1), F.lit(0))).first()[0]
-    shards = int(total // shard_bytes) + 1
-    asked = mixed.groupBy("doc", "th").agg(F.collect_list(F.struct(*what, "start", "times", "bytes")).alias("ask"))
-    asked = asked.select(F.col("doc").alias("d_"), F.col("th").alias("t_"), "ask")
+    kinds = stage(pieces.groupBy(*what).agg(F.count("*").alias("times"), F.min(F.struct(*OWNER, "start")).alias("at"), F.max("inward").alias("inward")), "kinds")
+    groups = stage(kinds.groupBy("key").agg(F.count("*").alias("contents"), F.sum(F.col("n") + length - 1).alias("bytes"), F.max("inward").alias("within")).where("contents > 1 or within").select("key", "bytes"), "groups")
+    whole = kinds.where("times > 1").select(*what, F.lit(0).cast("long").alias("a"), F.col("n").cast("long").alias("z"))
+    mixed = kinds.join(groups, "key")
+    total = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    asked = mixed.groupBy(*[F.col(f"at.{o}").alias(p) for o, p in zip(OWNER, ("p1", "p2", "p3"))]).agg(F.collect_list(F.struct(*what, "at.start", "bytes")).alias("ask"))
 
     def cut(batches):
         for b in batches:
             out = []
             for t, ask in zip(b.column("t"), b.column("ask").to_pylist()):
                 t = t.as_py()
-                seen = {(x["key"], x["hash"], x["n"]): x for x in ask}
-                out += [(*k, x["times"], x["bytes"], t[x["start"] : x["start"] + x["n"] + length - 1]) for k, x in seen.items()]
+                out += [(x["key"], x["hash"], x["n"], x["bytes"], t[x["start"] : x["start"] + x["n"] + length - 1]) for x in ask]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], [*what, "times", "bytes", "piece"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))], [*what, "bytes", "piece"])
 
-    same = F.col("doc").eqNullSafe(F.col("d_")) & (F.col("th") == F.col("t_"))
-    cuts = stage(rows.join(asked, same).select("t", "ask").mapInArrow(cut, "key long, hash long, n int, times long, bytes long, piece binary").dropDuplicates(what), "cuts")
+    cuts = stage(texts.join(asked, _same(texts, asked)).select("t", "ask").mapInArrow(cut, "key long, hash long, n int, bytes long, piece binary"), "cuts")
 
     def run(t: pa.Table) -> pa.Table:
+        _, first = np.unique(np.stack([t.column(c).to_numpy().astype(np.int64) for c in what], axis=1), axis=0, return_index=True)
+        t = t.take(pa.array(first))  # rows alike in id and text have cut the same pieces
         found = [intervals(s) for s in shard_repeats(t.column("piece").to_pylist(), length)]
-        spans = pa.array([[{"a": a, "z": z} for a, z in f] for f in found], pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())])))
-        return pa.Table.from_arrays([*(t.column(c) for c in what), spans], [*what, "found"])
+        of = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+        a, z = (pa.array([x[k] for f in found for x in f], pa.int64()) for k in (0, 1))
+        return pa.Table.from_arrays([*(t.column(c).take(of) for c in what), a, z], [*what, "a", "z"])
+
+    hot = F.col("bytes") > hot_bytes if depth < DEEPEST else F.lit(False)
+    shard = F.pmod(F.xxhash64("key"), F.lit(int(total // shard_bytes) + 1))
+    found = whole.unionByName(cuts.where(~hot).withColumn("shard", shard).groupBy("shard").applyInArrow(run, "key long, hash long, n int, a long, z long"))
+    if depth < DEEPEST and not groups.where(hot).isEmpty():
+        # a group too large for one shard: its pieces are cut again, by another order of the grams
+        large = stage(cuts.where(hot).dropDuplicates(what).select(F.col("key").alias("o1"), F.col("hash").alias("o2"), F.col("n").alias("o3"), F.col("piece").alias("t")), "large")
+        below = _spans(large, length, shard_bytes, hot_bytes, depth + 1)
+        found = found.unionByName(below.select(F.col("o1").alias("key"), F.col("o2").alias("hash"), F.col("o3").alias("n"), "a", "z"))
+    placed = pieces.join(stage(found, "found"), what)
+    return placed.select(*OWNER, (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("z")).alias("z"))
 
-    shape = "key long, hash long, n int, found array<struct<a: long, z: long>>"
-    sorted_ = cuts.where(F.col("bytes") <= hot_bytes).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInArrow(run, shape)
 
-    def strings(batches):  # a group too large for one shard: its strings are counted one by one
-        for b in batches:
-            for i, p in enumerate(b.column("piece").to_pylist()):
-                n = len(p) - length + 1
-                h = [xxhash.xxh128_digest(p[k : k + length]) for k in range(n)]
-                yield pa.RecordBatch.from_arrays([*(pa.array([b.column(c)[i].as_py()] * n, k) for c, k in (("key", pa.int64()), ("hash", pa.int64()), ("n", pa.int32()), ("times", pa.int64()))), pa.array(range(n), pa.int64()), pa.array(h, pa.binary())], [*what, "times", "k", "string"])
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, shard_bytes: int = SHARD_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
+    """(p1, p2, p3, spans): of each row with repeats, the starts (first, last + 1) whose length bytes stand elsewhere too.
 
-    hot = cuts.where(F.col("bytes") > hot_bytes).mapInArrow(strings, "key long, hash long, n int, times long, k long, string binary")
-    again = hot.groupBy("key", "string").agg(F.sum("times").alias("all")).where("all > 1").select("key", "string")
-    single = hot.join(again, ["key", "string"]).groupBy(*what).agg(F.collect_list(F.struct(F.col("k").alias("a"), (F.col("k") + 1).alias("z"))).alias("found"))
-    found = whole.unionByName(sorted_).unionByName(single).select(*what, F.explode("found").alias("f"))
-    placed = pieces.join(found, what).select("doc", "th", (F.col("start") + F.col("f.a")).alias("a"), (F.col("start") + F.col("f.z")).alias("z"))
-    return placed.groupBy("doc", "th").agg(F.collect_set(F.struct("a", "z")).alias("spans"))
+    p1 is the id and p2 the hash of the text, which tells apart rows that repeat an id; rows alike in both have the same spans.
+    Pieces of one key that come to more than hot_bytes are cut and dealt anew by another order of the grams, so that they too
+    are sorted in shards of bounded size.
+    """
+    spans = _spans(_rows(docs, id_col, text_col), length, shard_bytes, hot_bytes)
+    return spans.groupBy(*[F.col(o).alias(p) for o, p in zip(OWNER, ("p1", "p2", "p3"))]).agg(F.collect_set(F.struct("a", "z")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, shard_bytes: int = SHARD_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
@@ -287,8 +323,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spans = stage(repeated_spans(docs, id_col, text_col, length, shard_bytes, hot_bytes), "spans")
     rows = _rows(docs, id_col, text_col)
-    spans = spans.select(F.col("doc").alias("d_"), F.col("th").alias("t_"), "spans")
-    same = F.col("doc").eqNullSafe(F.col("d_")) & (F.col("th") == F.col("t_"))
 
     def run(batches):
         for b in batches:
@@ -305,9 +339,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kept.append(b"".join(t[a:z] for a, z in zip(edges[::2], edges[1::2])))
                 sizes.append(len(t))
                 gone.append([{"a": a, "z": z} for a, z in merged])
-            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(gone, pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())])))], ["doc", "kept", "n_bytes", "removed"])
+            yield pa.RecordBatch.from_arrays([b.column("o1"), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(gone, pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())])))], ["doc", "kept", "n_bytes", "removed"])
 
-    return rows.join(spans, same, "left").select("doc", "t", "spans").mapInArrow(run, "doc long, kept binary, n_bytes long, removed array<struct<a: long, z: long>>")
+    return rows.join(spans, _same(rows, spans), "left").select("o1", "t", "spans").mapInArrow(run, "doc long, kept binary, n_bytes long, removed array<struct<a: long, z: long>>")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

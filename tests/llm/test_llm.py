@@ -301,7 +301,22 @@ def test_suffix_array_is_sorted():
         assert suffix_dedup.suffix_array(t).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
 
 
-@pytest.mark.parametrize("hot", [1 << 23, 0])
+def test_common_prefixes():
+    r = np.random.default_rng(1)
+    for depth in (None, 6):
+        for _ in range(150):
+            t = r.integers(0, r.integers(1, 4) + 1, r.integers(1, 70))
+            order = suffix_dedup.suffix_array(t, depth)
+            got = suffix_dedup.common_prefixes(t.astype(np.uint16), order)
+            for a, b in zip(order[:-1].tolist(), order[1:].tolist()):
+                k = 0
+                while max(a, b) + k < len(t) and t[a + k] == t[b + k]:
+                    k += 1
+                assert got[b] == k
+            assert got[order[0]] == 0
+
+
+@pytest.mark.parametrize("hot", [1 << 23, 2000])
 def test_repeats_are_brute_force(spark, docs, empty, hot):
     texts = [(i, t or "") for i, t, *_ in EDGE]
     seen = {}
