@@ -17,8 +17,11 @@ from pyspark.sql import types as T
 
 from .shared import stage, table
 
-#: Words are cut after so many code points; probabilities are not below FLOOR, of unknown characters UNKNOWN.
+#: In training only, words are cut after LONGEST code points; probabilities are not below FLOOR, of unknown characters UNKNOWN.
 LONGEST, FLOOR, UNKNOWN = 32, 1e-7, 1e-6
+#: The forward algorithm goes STEP code points at a time and is scaled after each; so many code points of words are taken together.
+STEP, TOGETHER = 16, 640_000
+#: Where the vocabulary file is, unless the setting spark.latticework.pieces names another.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -59,11 +62,11 @@ class Lattice:
                 out[:, j + 1] = out[:, j] * _BASE + codes[:, j].astype(np.uint64) + np.uint64(1)
         return out
 
-    def ids(self, codes: np.ndarray):
-        """{(end, length): piece number or -1 for every row}."""
+    def ids(self, codes: np.ndarray, after: int = 0):
+        """{(end, length): piece number or -1 for every row}, of pieces that end after so many code points."""
         p, found = self._prefixes(codes), {}
         with np.errstate(over="ignore"):
-            for j in range(1, codes.shape[1] + 1):
+            for j in range(after + 1, codes.shape[1] + 1):
                 for n in range(1, min(j, self.most) + 1):
                     h = p[:, j] - p[:, j - n] * self.powers[n]
                     k = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
@@ -73,28 +76,39 @@ class Lattice:
         return found
 
     def groups(self, words: list[str]):
-        """(row numbers, code points) of words of one length at a time, 20,000 at most."""
+        """(row numbers, code points) of words of one length at a time, TOGETHER code points or one word."""
         by: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             by.setdefault(len(w), []).append(i)
-        for rows in by.values():
-            for k in range(0, len(rows), 20_000):
-                part = rows[k : k + 20_000]
+        for width, rows in by.items():
+            many = max(1, TOGETHER // max(1, width))
+            for k in range(0, len(rows), many):
+                part = rows[k : k + many]
                 yield np.array(part), _codes([words[i] for i in part])
 
     def log_probs(self, words: list[str], table: np.ndarray) -> np.ndarray:
-        """Logarithms of the words' probabilities, a column for each of table's languages; table[-1] is for unknowns."""
+        """Logarithms of the words' probabilities, a column for each of table's languages; table[-1] is for unknowns.
+
+        Of a word of any length, the forward probabilities of the last code points, as many as a piece can have, go on from step to step.
+        """
         out = np.zeros((len(words), table.shape[1]))
         for rows, codes in self.groups(words):
-            alpha = np.zeros((codes.shape[1] + 1, len(rows), table.shape[1]))
-            alpha[0] = 1.0
-            for (j, n), ids in self.ids(codes).items():
-                if n == 1:
-                    alpha[j] += alpha[j - 1] * table[ids]
-                else:
-                    hit = np.flatnonzero(ids >= 0)
-                    alpha[j, hit] += alpha[j - n, hit] * table[ids[hit]]
-            out[rows] = np.log(alpha[-1])
+            last = np.zeros((self.most, len(rows), table.shape[1]))  # the last of it is where the word has been read to
+            last[-1] = 1.0
+            for s in range(0, codes.shape[1], STEP):
+                part = codes[:, max(0, s - self.most) : s + STEP]
+                read = min(s, self.most)
+                alpha = np.concatenate([last, np.zeros((part.shape[1] - read, *last.shape[1:]))])
+                for (j, n), ids in self.ids(part, read).items():
+                    at = self.most - 1 + j - read
+                    if n == 1:
+                        alpha[at] += alpha[at - 1] * table[ids]
+                    else:
+                        hit = np.flatnonzero(ids >= 0)
+                        alpha[at, hit] += alpha[at - n, hit] * table[ids[hit]]
+                scale = alpha[-1]
+                out[rows] += np.log(scale)
+                last = alpha[-self.most :] / scale
         return out
 
     def expected(self, words: list[str], counts: np.ndarray, langs: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -123,7 +137,7 @@ def text_words(column: pa.Array) -> pa.ListArray:
 
 
 def stretches(word: str) -> list[str]:
-    """The mark of a word's start and the word, in stretches of LONGEST code points."""
+    """The mark of a word's start and the word, in stretches of LONGEST code points, to train on."""
     word = "▁" + word
     return [word[k : k + LONGEST] for k in range(0, len(word), LONGEST)]
 
@@ -170,11 +184,9 @@ def score_texts(lattice: Lattice, probs: np.ndarray, texts: pa.Array) -> np.ndar
     for a, z in zip(cuts, cuts[1:]):
         words = text_words(texts.slice(a, z - a))
         coded = words.flatten().dictionary_encode()
-        parts = [stretches(w) for w in coded.dictionary.to_pylist()]
-        if not parts:
+        if not len(coded.dictionary):
             continue
-        flat = lattice.log_probs([s for p in parts for s in p], probs)
-        each = np.add.reduceat(flat, np.cumsum([0, *map(len, parts[:-1])]), axis=0)
+        each = lattice.log_probs(["▁" + w for w in coded.dictionary.to_pylist()], probs)
         of = np.repeat(np.arange(a, z), pc.list_value_length(words).to_numpy(zero_copy_only=False))
         index = coded.indices.to_numpy()
         for k in range(probs.shape[1]):
@@ -226,6 +238,7 @@ def held_out(doc: Column) -> Column:
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = train(docs.where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False))), load_pieces())
+    pieces = load_pieces(spark.conf.get("spark.latticework.pieces", PIECES))
+    model = train(docs.where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False))), pieces)
     out = model.predict(docs.select("doc_id", "text"))
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -3,6 +3,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,6 +168,34 @@ def test_forward_sums_all_segmentations():
     assert abs(counts[1] - 2 * p["▁"] * p["a"] * p["b"] / want) < 1e-12
 
 
+def test_language_is_plain_marginalisation(spark):
+    """Scores of whole texts, words of hundreds of characters among them, against one table of prefix probabilities."""
+    pieces = ["▁", "▁a", "a", "b", "ab", "ba", "bab", "abbab", "é", "日a"]
+    r = np.random.default_rng(0)
+    probs = np.vstack([r.dirichlet(np.ones(len(pieces)), 3).T * 0.01, np.full((1, 3), L.UNKNOWN)])
+    number = {p: i for i, p in enumerate(pieces)}
+    texts = ["ab ba\tbabab", "", None, "x" * 40, "".join(random.Random(3).choice("abé日z") for _ in range(700)) + " ab", "123 !", "ab" * 300 + "\n" + "ba" * 50]
+
+    def plain(word, k):
+        logs = [0.0]
+        for j in range(1, len(word) + 1):
+            ways = [logs[j - n] + np.log(probs[number[word[j - n : j]], k]) for n in range(1, min(j, 5) + 1) if word[j - n : j] in number]
+            logs.append(np.logaddexp.reduce(ways) if word[j - 1] in number else np.logaddexp.reduce([*ways, logs[j - 1] + np.log(L.UNKNOWN)]))
+        return logs[-1]
+
+    want = np.array([[sum(plain("▁" + w, k) for w in (t or "").split() or [""]) for k in range(3)] for t in texts])
+    got = L.score_texts(L.Lattice(pieces), probs, pa.array(texts))
+    assert np.allclose(got, want, rtol=1e-9, atol=1e-9)
+    model = L.LanguageModel(["x", "y", "z"], pieces, probs)
+    out = {r["doc_id"]: r for r in model.predict(table(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
+    for i, t in enumerate(texts):
+        share = np.exp(want[i] - np.logaddexp.reduce(want[i]))
+        if any(c.isalpha() for c in t or ""):
+            assert out[i]["lang_pred"] == "xyz"[share.argmax()] and abs(out[i]["score"] - share.max()) < 1e-6
+        else:
+            assert (out[i]["lang_pred"], out[i]["score"]) == ("und", 0.0)
+
+
 def edit_distance_within(item, text):
     row = [0] * (len(text) + 1)
     for i, c in enumerate(item, 1):
@@ -359,15 +388,48 @@ def test_passages_made_of_frequent_lines(spark):
     assert got >= {(11, 10, 40, 100, 40, 100), (21, 20, 40, 85, 71, 116)}
 
 
+def chain_scores(pts):
+    """The best score of a chain that ends at each seed, by trying all predecessors."""
+    best = {}
+    for x, y in sorted(pts):
+        gains = [s - 0.1 * ((x - p - 5) + (y - q - 5)) for (p, q), s in best.items() if p < x and q < y]
+        best[x, y] = 5 + max([0.0, *(min(g, s) for g, s in zip(gains, [s for (p, q), s in best.items() if p < x and q < y]))])
+    return best
+
+
 def test_fenwick_chain_is_quadratic_chain():
     r = random.Random(9)
-    for _ in range(40):
-        pts = sorted({(r.randint(0, 30), r.randint(0, 30)) for _ in range(12)})
-        best = {}
-        for x, y in pts:
-            best[x, y] = 5 + max([0.0] + [s - 0.1 * ((x - p - 5) + (y - q - 5)) for (p, q), s in best.items() if p < x and q < y and s - 0.1 * ((x - p - 5) + (y - q - 5)) < s + 1e9])
-        got = substring_dedup.chain(np.array([p[0] for p in pts]), np.array([p[1] for p in pts]))
-        assert got and all(a < z and oa < oz for a, z, oa, oz in got)
+    for _ in range(60):
+        pts = sorted({(r.randint(0, 60), r.randint(0, 60)) for _ in range(12)})
+        x, y = np.array([p[0] for p in pts]), np.array([p[1] for p in pts])
+        best = chain_scores(pts)
+        top = max(best.values())
+        got = substring_dedup.chain(x, y, max_gap=1000)
+        ends = {(z - 5, oz - 5) for _, z, _, oz in got}
+        assert all(a < z and oa < oz for a, z, oa, oz in got)
+        assert any(abs(best[e] - top) < 1e-9 for e in ends)  # the best chain is kept whole
+
+
+def test_passages_shared_with_scattered_pieces(spark):
+    """Two documents share 120 words of which a third, earlier one holds pieces of 20 words."""
+    shared = prose(120, 4000).split()
+    for step in (40, 20, 10):
+        pieces = " ".join(f"{prose(25, 4100 + k)} {' '.join(shared[k : k + 20])}" for k in range(0, 101, step))
+        rows = [(1, pieces, "en", "a"), *[(i, f"{prose(50, 4200 + i)} {' '.join(shared)} {prose(50, 4300 + i)}", "en", "a") for i in (2, 3)]]
+        covered = set()
+        for x in substring_dedup.fuzzy_passages(table(spark, rows)).where("doc = 3").collect():
+            covered |= set(range(x["start"], x["end"]))
+        assert covered >= set(range(50, 170))
+
+
+def test_short_passages_with_edits(spark):
+    words = prose(51, 4400).split()
+    edited = [w if k not in (5, 45) else "edit" for k, w in enumerate(words)]
+    rows = [(1, f"{prose(40, 4401)} {' '.join(words)} {prose(40, 4402)}", "en", "a"), (2, f"{prose(40, 4403)} {' '.join(edited)} {prose(40, 4404)}", "en", "a")]
+    got = substring_dedup.fuzzy_passages(table(spark, rows)).collect()
+    assert [(r["doc"], r["other"], r["start"], r["end"]) for r in got] == [(2, 1, 40, 91)]
+    twice = table(spark, [*rows, (2, prose(30, 4405), "en", "a"), (1, None, "en", "a")])
+    assert len({tuple(map(str, substring_dedup.fuzzy_passages(twice.repartition(n)).collect())) for n in (1, 3)}) == 1
 
 
 def test_common_words():
