@@ -52,9 +52,16 @@ def distance(a: Vec, b: Vec) -> Column:
     return F.sqrt(distance2(a, b))
 
 
+def clamped(value: Column, low=None, high=None) -> Column:
+    """value, kept between low and high where they are given; null stays null (greatest and least alone would pass over it)."""
+    out = value if high is None else F.least(F.lit(high), value)
+    out = out if low is None else F.greatest(F.lit(low), out)
+    return F.when(value.isNotNull(), out)
+
+
 def angle(a: Vec, b: Vec) -> Column:
     """Between two vectors, in radians; null if either has no length."""
-    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(dot(a, b), norm(a) * norm(b)))))
+    return F.acos(clamped(F.try_divide(dot(a, b), norm(a) * norm(b)), -1.0, 1.0))
 
 
 def dihedral(a: Vec, b: Vec, c: Vec, d: Vec) -> Column:

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.geometry import clamped
 from ..functions.scalars import AMINO_ACIDS, clamp01, missing_to_null, one_hot
 
 MIN_ROWS, MAGIC, VERSION = 100, 444222, 1
@@ -77,7 +78,7 @@ def _unit(inputs: Column, relu: bool):
 
     def out(row):
         s = F.aggregate(F.zip_with(inputs, row["w"], lambda a, b: a * b), row["b"], lambda a, v: a + v)
-        return F.greatest(s, F.lit(0.0)) if relu else s
+        return clamped(s, low=0.0) if relu else s
 
     return out
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import add, cross, dihedral, distance2, dot, scale, sub, unit, vec
+from ..functions.geometry import add, clamped, cross, dihedral, distance2, dot, scale, sub, unit, vec
 from ..functions.scalars import bin_of, interpolated
 from .chains import agreement
 from .spatial import radius_join
@@ -52,7 +52,7 @@ class RawOptions:
 
 
 def _held_angle(cosine: Column) -> Column:
-    return F.acos(F.greatest(F.lit(LEAST_COSINE), F.least(F.lit(1.0), cosine)))
+    return F.acos(clamped(cosine, LEAST_COSINE, 1.0))
 
 
 def _torsions(residues: DataFrame, group: Column, torsion: DataFrame, options: RawOptions) -> DataFrame:
@@ -61,8 +61,8 @@ def _torsions(residues: DataFrame, group: Column, torsion: DataFrame, options: R
     near = residues.select("model", "rnum", group.alias("g"), *[f"{a}{v}" for a in ("n", "ca", "c") for v in "xyz"], F.lag("rnum").over(w).alias("p_rnum"), F.lead("rnum").over(w).alias("n_rnum"), *[F.lag(f"c{v}").over(w).alias(f"p_c{v}") for v in "xyz"], *[F.lead(f"n{v}").over(w).alias(f"n_n{v}") for v in "xyz"])
     before = (F.col("p_rnum") + 1 == F.col("rnum")) & (distance2(vec("p_c"), vec("n")) < BOND2)
     after = (F.col("rnum") + 1 == F.col("n_rnum")) & (distance2(vec("c"), vec("n_n")) < BOND2)
-    phi = F.when(before, F.least(dihedral(vec("p_c"), vec("n"), vec("ca"), vec("c")), F.lit(TOP_ANGLE)))
-    psi = F.when(after, F.least(dihedral(vec("n"), vec("ca"), vec("c"), vec("n_n")), F.lit(TOP_ANGLE)))
+    phi = F.when(before, clamped(dihedral(vec("p_c"), vec("n"), vec("ca"), vec("c")), high=TOP_ANGLE))
+    psi = F.when(after, clamped(dihedral(vec("n"), vec("ca"), vec("c"), vec("n_n")), high=TOP_ANGLE))
     own = near.select("model", "rnum", "g", phi.alias("phi"), psi.alias("psi"))
     six = own.select("model", "g", *[F.lag(a).over(w).alias(f"v{i}") for i, a in enumerate(("phi", "psi"))], F.col("phi").alias("v2"), F.col("psi").alias("v3"), *[F.lead(a).over(w).alias(f"v{i + 4}") for i, a in enumerate(("phi", "psi"))])
     bins = six.dropna(subset=[f"v{i}" for i in range(6)]).select("model", "g", *[bin_of(F.col(f"v{i}"), -PI, PI, n).alias(f"b{i}") for i, n in enumerate(options.torsion_bins)])
@@ -86,7 +86,7 @@ def raw_scores(residues: DataFrame, sequence: DataFrame, tables: RawTables, opti
     to = scale(sub(vec("r_"), vec("l_")), 1 / d)
     alpha, beta = _held_angle(dot(vec("l_v"), to)), _held_angle(-dot(to, vec("r_v")))
     after = cross(to, vec("r_v"))
-    gamma = F.least(F.atan2(-dot(vec("l_v"), after), -dot(cross(vec("l_v"), to), after)), F.lit(TOP_ANGLE))
+    gamma = clamped(F.atan2(-dot(vec("l_v"), after), -dot(cross(vec("l_v"), to), after)), high=TOP_ANGLE)
     rows = pairs.select(
         F.col("l_model").alias("model"), F.col("l_rnum").alias("rnum"), F.least("l_rnum", "r_rnum").alias("i"), F.greatest("l_rnum", "r_rnum").alias("j"), d.alias("at"),
         F.col("l_pred").alias("ss"), F.col("l_aa").alias("a"), F.col("r_aa").alias("b"), (distance2(vec("l_cb"), vec("r_cb")) < options.packing_reach**2).alias("packed"),

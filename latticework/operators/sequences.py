@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import clamped
+
 
 def triplets(rows: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
     """rows with prev_ and next_ value in their sequence."""
@@ -31,17 +33,21 @@ def size_matched_z(models: DataFrame, reference: DataFrame, size: str, value: st
     """models with z: distance of value from the reference rows of like size, in their sample standard deviations.
 
     The size is clamped to [low, high]; like is between (1 - spread) and (1 + spread) of it, as whole numbers. Reference rows are
-    summed by size first, and each model size's window once, so that the range join is between distinct sizes.
+    summed by size first, and each model size's window once, so that the range join is between distinct sizes. A model without a
+    size has no z.
     """
-    held = F.greatest(F.lit(low), F.least(F.lit(high), F.col(size)))
-    sizes = models.select(held.alias("s_")).distinct().where("s_ is not null")
-    by = reference.groupBy(F.col(size).alias("r_")).agg(F.count(value).alias("n_"), F.sum(F.col(value)).alias("x_"), F.sum(F.col(value) * F.col(value)).alias("xx_"))
+    size_ = clamped(F.col(size), low, high)
+    sizes = models.select(size_.alias("s_")).distinct().where("s_ is not null")
+    # sums are of distances from one value near them all, lest the squares of large values swallow the spread
+    centre = reference.agg(F.coalesce(F.avg(value), F.lit(0.0))).scalar()
+    off = F.col("off_")
+    by = reference.select(F.col(size).alias("r_"), (F.col(value) - centre).alias("off_")).groupBy("r_").agg(F.count(off).alias("n_"), F.sum(off).alias("x_"), F.sum(off * off).alias("xx_"))
     window = sizes.withColumn("r_", F.explode(F.sequence(F.floor(F.col("s_") * (1 - spread)).cast("long"), F.floor(F.col("s_") * (1 + spread)).cast("long"))))
     stat = window.join(by.withColumn("r_", F.col("r_").cast("long")), "r_").groupBy("s_").agg(F.sum("n_").alias("n_"), F.sum("x_").alias("x_"), F.sum("xx_").alias("xx_"))
     mean = F.col("x_") / F.col("n_")
     sd = F.sqrt(F.greatest(F.try_divide(F.col("xx_") - F.col("n_") * mean * mean, F.col("n_") - 1), F.lit(0.0)))
-    z = F.try_divide(F.col(value) - mean, sd) * (-1 if invert else 1)
-    return models.withColumn("s_", held).join(stat, "s_", "left").withColumn("z", z).drop("s_", "n_", "x_", "xx_")
+    z = F.try_divide(F.col(value) - centre - mean, sd) * (-1 if invert else 1)
+    return models.withColumn("s_", size_).join(stat, "s_", "left").withColumn("z", z).drop("s_", "n_", "x_", "xx_")
 
 
 def nearest_entry(values: Column, table: list[tuple[float, float]]) -> Column:

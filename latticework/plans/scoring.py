@@ -50,6 +50,13 @@ def zscore_refset(spark, d):
     return Q.size_matched_z(o, o, "size", "price", 40, 600).select("o_custkey", F.round("z", 5).alias("z"))
 
 
+def zscore_unsized(spark, d):
+    """A third of the customers has no size, and a third of the prices is large beside its spread."""
+    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.floor(F.sum("o_totalprice") / 10000).cast("long").alias("size"), (F.avg("o_totalprice") + 1e9).alias("price"))
+    unsized = o.withColumn("size", F.when(F.col("o_custkey") % 3 != 0, F.col("size")))
+    return Q.size_matched_z(unsized, o, "size", "price", 40, 600).select("o_custkey", F.round("z", 4).alias("z"))
+
+
 def agreement_logodds(spark, d):
     counts = table(spark, d, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").cast("double").alias("w"))
     return Q.log_odds(counts, "o_orderstatus", "o_orderpriority").select("o_orderstatus", "o_orderpriority", r6("log_odds"))
@@ -170,7 +177,7 @@ def complete_prefixes(spark, d):
 
 
 def missing_customers(spark, d):
-    return Q.missing_keys(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return Q.missing_keys(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").where("o_totalprice > 250000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 def result_arrays(spark, d):
@@ -180,7 +187,7 @@ def result_arrays(spark, d):
     return out.select("l_orderkey", F.array_join(F.transform("scores", lambda v: F.when(v.isNull(), "null").otherwise(F.round(v * 1000).cast("long").cast("string"))), ",").alias("scores"))
 
 
-QUERIES = {f.__name__: f for f in (triplet_groups, triplet_potential, state_smoothing, run_segments, zscore_refset, agreement_logodds, match_fraction, nearest_bucket_error, nan_mean, lstsq_fit, linear_predict, null_pattern_scorer, feature_group_select, mlp_predict, one_hot_counts, constraint_function, constraint_score, pairwise_similarity, cluster_avg_linkage, gap_counts, md5_dedup, date_filtered_first, removal_accounting, repeated_numbers, complete_prefixes, missing_customers, result_arrays)}
+QUERIES = {f.__name__: f for f in (triplet_groups, triplet_potential, state_smoothing, run_segments, zscore_refset, zscore_unsized, agreement_logodds, match_fraction, nearest_bucket_error, nan_mean, lstsq_fit, linear_predict, null_pattern_scorer, feature_group_select, mlp_predict, one_hot_counts, constraint_function, constraint_score, pairwise_similarity, cluster_avg_linkage, gap_counts, md5_dedup, date_filtered_first, removal_accounting, repeated_numbers, complete_prefixes, missing_customers, result_arrays)}
 
 _TRIPLETS = """t AS (SELECT *, lag(event_type) OVER w AS p, lead(event_type) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 g AS (SELECT *, CASE WHEN event_type = 'purchase' THEN 0 WHEN event_type = 'error' THEN 1 WHEN n IN ('error', 'purchase') THEN 2 WHEN event_type IN ('click', 'view') THEN 3 ELSE 4 END AS g FROM t WHERE p IS NOT NULL AND n IS NOT NULL)"""
@@ -206,6 +213,9 @@ ORACLES = {
     "zscore_refset": """WITH o AS (SELECT o_custkey, floor(sum(o_totalprice) / 10000)::BIGINT AS size, avg(o_totalprice) AS price FROM orders GROUP BY o_custkey),
       m AS (SELECT *, greatest(40, least(600, size)) AS s FROM o), u AS (SELECT DISTINCT s FROM m), r AS (SELECT u.s, avg(o.price) AS mean, stddev_samp(o.price) AS sd FROM u JOIN o ON o.size BETWEEN floor(u.s * 0.9::DOUBLE) AND floor(u.s * 1.1::DOUBLE) GROUP BY u.s)
       SELECT o_custkey, round((price - mean) / nullif(sd, 0), 5) AS z FROM m LEFT JOIN r USING (s)""",
+    "zscore_unsized": """WITH o AS (SELECT o_custkey, floor(sum(o_totalprice) / 10000)::BIGINT AS size, avg(o_totalprice) AS price FROM orders GROUP BY o_custkey),
+      m AS (SELECT o_custkey, price, CASE WHEN o_custkey % 3 <> 0 THEN greatest(40, least(600, size)) END AS s FROM o), u AS (SELECT DISTINCT s FROM m WHERE s IS NOT NULL), r AS (SELECT u.s, avg(o.price) AS mean, stddev_samp(o.price) AS sd FROM u JOIN o ON o.size BETWEEN floor(u.s * 0.9::DOUBLE) AND floor(u.s * 1.1::DOUBLE) GROUP BY u.s)
+      SELECT o_custkey, round((price - mean) / nullif(sd, 0), 4) AS z FROM m LEFT JOIN r ON m.s = r.s""",
     "agreement_logodds": """WITH c AS (SELECT o_orderstatus, o_orderpriority, count(*)::DOUBLE AS w FROM orders GROUP BY ALL)
       SELECT o_orderstatus, o_orderpriority, round(ln(w * sum(w) OVER () / (sum(w) OVER (PARTITION BY o_orderstatus) * sum(w) OVER (PARTITION BY o_orderpriority))), 6) AS log_odds FROM c""",
     "match_fraction": "SELECT year(l_shipdate)::INT AS year, round(avg(CASE WHEN l_linestatus IN ('F', 'O') THEN ((CASE WHEN l_quantity < 25 THEN 'F' ELSE 'O' END) = l_linestatus)::INT::DOUBLE END), 6) AS m FROM lineitem GROUP BY ALL",
@@ -234,7 +244,7 @@ ORACLES = {
     "removal_accounting": "SELECT l_returnflag, (count(DISTINCT l_orderkey) - count(DISTINCT l_orderkey) FILTER (l_discount > 0.02 AND l_quantity > 5))::BIGINT AS orders_removed, (count(DISTINCT l_partkey) - count(DISTINCT l_partkey) FILTER (l_discount > 0.02 AND l_quantity > 5))::BIGINT AS parts_removed FROM lineitem GROUP BY l_returnflag",
     "repeated_numbers": "SELECT l_orderkey, l_partkey, count(*)::BIGINT AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1",
     "complete_prefixes": "SELECT o_custkey FROM orders WHERE o_orderstatus IN ('F', 'O', 'P') GROUP BY o_custkey HAVING count(DISTINCT o_orderstatus) = 3",
-    "missing_customers": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "missing_customers": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)",
     "result_arrays": """WITH p AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem), k AS (SELECT l_orderkey, l_linenumber, max(l_discount) AS s FROM lineitem WHERE l_discount > 0.03 GROUP BY ALL)
       SELECT l_orderkey, string_agg(coalesce(round(s * 1000)::BIGINT::VARCHAR, 'null'), ',' ORDER BY l_linenumber) AS scores FROM p LEFT JOIN k USING (l_orderkey, l_linenumber) GROUP BY l_orderkey""",
 }

@@ -151,6 +151,15 @@ def angle_dihedral(spark, d):
     return e.select("vec_id", F.round(angle(sub(a, b), sub(c, b)), 5).alias("angle"), F.round(dihedral(a, b, c, f), 5).alias("dihedral"))
 
 
+def angle_gaps(spark, d):
+    """Angles where a fifth of the first vectors is missing and a seventh of the second has no length."""
+    e = table(spark, d, "embeddings")
+    at = lambda k: tuple(F.get("embedding", F.lit(3 * k + i)).cast("double") for i in range(3))
+    a = tuple(F.when(F.col("vec_id") % 5 != 0, v) for v in at(0))
+    b = tuple(F.when(F.col("vec_id") % 7 == 0, 0.0).otherwise(v) for v in at(1))
+    return e.select("vec_id", F.round(angle(a, b), 5).alias("angle"))
+
+
 _PAIR_BINS = PAIRS + f", h AS (SELECT a, b, id, floor(sqrt(d2) * ({BINS} / {RADIUS}))::INT AS d FROM q WHERE d2 < {RADIUS * RADIUS}), w AS (SELECT a, b, d, count(*)::DOUBLE AS w FROM h GROUP BY ALL)"
 _PAIR_E = _PAIR_BINS + f""", g AS (SELECT k.a, k.b, x.d, coalesce(w.w, 0) AS w FROM (SELECT DISTINCT a, b FROM w) k CROSS JOIN (SELECT unnest(range({BINS}))::INT AS d) x LEFT JOIN w ON w.a = k.a AND w.b = k.b AND w.d = x.d),
 t AS (SELECT *, sum(w) OVER (PARTITION BY a, b) AS n, sum(w) OVER (PARTITION BY d) AS nb, sum(w) OVER () AS al FROM g),
@@ -173,7 +182,7 @@ def _dihedral_sql() -> str:
     return f"WITH c AS (SELECT vec_id, {cols} FROM embeddings) SELECT vec_id, round({_acos(s, v)}, 5) AS angle, round(atan2(sqrt({dot(v, v)}) * ({dot(u, cross(v, w))}), {dot(cross(u, v), cross(v, w))}), 5) AS dihedral FROM c"
 
 
-QUERIES = {f.__name__: f for f in (hist_counts, hist_marginals, hist_merged, hist_dense, potential_classic, potential_uniform, potential_hybrid, hbond_style_potential, neighbor_count, packing_hist, pair_hist, pair_energy, residue_energy_mean, residue_energy_sum, total_energy, seq_sep_pairs, kernel_smooth, clash_score, dist_similarity, proximity_flag, slab_class, angle_dihedral)}
+QUERIES = {f.__name__: f for f in (hist_counts, hist_marginals, hist_merged, hist_dense, potential_classic, potential_uniform, potential_hybrid, hbond_style_potential, neighbor_count, packing_hist, pair_hist, pair_energy, residue_energy_mean, residue_energy_sum, total_energy, seq_sep_pairs, kernel_smooth, clash_score, dist_similarity, proximity_flag, slab_class, angle_dihedral, angle_gaps)}
 
 ORACLES = {
     "hist_counts": f"WITH {LINES} SELECT l_returnflag, l_linestatus, bin, count(*)::DOUBLE AS w FROM c GROUP BY ALL",
@@ -217,4 +226,5 @@ ORACLES = {
     "slab_class": f"""WITH {POINTS}, a AS (SELECT label, x * 0.0 + y * 0.6::DOUBLE + z * 0.8::DOUBLE - 0.01::DOUBLE AS a FROM p)
       SELECT label, CASE WHEN abs(a - 0.05::DOUBLE) < 0.03 OR abs(a + 0.05::DOUBLE) < 0.03 THEN 'interface' WHEN abs(a - 0.05::DOUBLE) < 0.1 AND abs(a + 0.05::DOUBLE) < 0.1 THEN 'core' ELSE 'outside' END AS side, count(*)::BIGINT AS n FROM a GROUP BY ALL""",
     "angle_dihedral": _dihedral_sql(),
+    "angle_gaps": f"SELECT vec_id, CASE WHEN vec_id % 5 <> 0 AND vec_id % 7 <> 0 THEN round({_acos(['embedding[1]::DOUBLE', 'embedding[2]::DOUBLE', 'embedding[3]::DOUBLE'], ['embedding[4]::DOUBLE', 'embedding[5]::DOUBLE', 'embedding[6]::DOUBLE'])}, 5) END AS angle FROM embeddings",
 }

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from latticework.functions.geometry import dihedral, distance, place_atom, vec
+from latticework.functions.geometry import angle, clamped, dihedral, distance, place_atom, vec
 from latticework.operators import constraints as C
 from latticework.operators import histogram as H
 from latticework.operators import models as M
@@ -171,3 +171,21 @@ def test_stream_counts_like_a_batch(spark, tmp_path):
         assert sorted(spark.table("h").collect()) == sorted(H.histogram(rows, ["k"], ["bin"]).collect())
     finally:
         q.stop()
+
+
+def test_missing_values_stay_missing(spark):
+    rows = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, None, 0.0, 1.0), (2, 1.0, 0.0, 0.0)], "id int, x double, y double, z double")
+    one = tuple(F.lit(v) for v in (0.0, 2.0, 0.0))
+    got = {r["id"]: r["a"] for r in rows.select("id", angle(vec(""), one).alias("a")).collect()}
+    assert got[0] is None and got[1] is None and abs(got[2] - math.pi / 2) < 1e-12
+    assert rows.select(clamped(F.col("x"), 0.5, 0.7).alias("h")).orderBy("id").toPandas()["h"].tolist()[0::2] == [0.5, 0.7]
+    assert rows.where("id = 1").select(clamped(F.col("x"), 0.5, 0.7), clamped(F.col("x"), high=1.0)).first()[:] == (None, None)
+    reference = spark.createDataFrame([(n, 1e9 + n % 7) for n in range(40, 600)], "size int, v double")
+    models = spark.createDataFrame([(None, 5.0), (100, 1e9 + 3.0), (100, None)], reference.schema)
+    z = [r["z"] for r in Q.size_matched_z(models, reference, "size", "v").collect()]
+    near = [1e9 + n % 7 for n in range(90, 111)]
+    mean = sum(near) / len(near)
+    sd = math.sqrt(sum((v - mean) ** 2 for v in near) / (len(near) - 1))
+    assert sum(v is None for v in z) == 2 and abs([v for v in z if v is not None][0] - (1e9 + 3 - mean) / sd) < 1e-6
+    net = M.Network([0.0], [1.0]).add_layer([[1.0]], [0.0], True).add_layer([[1.0]], [0.5], False)
+    assert [r[0] for r in rows.orderBy("id").select(net.apply(F.array("x"))).collect()] == [0.5, None, 1.5]
