@@ -52,6 +52,8 @@ def join_hot(rows: DataFrame, keyed: DataFrame, on: list[str], n: str, total: in
     """
     heavy = F.col(n) * F.lit(HOT_PARTS) > F.lit(total)
     hot, cold = keyed.where(heavy).drop(n), keyed.where(~heavy).drop(n)
+    if hot.isEmpty():
+        return rows.join(cold, on)
     rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on)
     return rows.join(F.broadcast(hot), on).unionByName(rest)
 
