@@ -1,10 +1,12 @@
 import hashlib
 import random
+import re
 import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -454,6 +456,25 @@ def test_near_duplicates(docs, empty):
     assert {r["fp"] for r in out if r["doc"] in (1, 2)} == {0} and simhash.near_duplicates(empty).count() == 0
 
 
+def test_fingerprints_and_components_are_brute_force(docs):
+    def plain(text):
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+        shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+        hashes = [xxhash.xxh64_intdigest(x.encode(), 42) for x in shingles]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    fps = [(i, plain(t)) for i, t, *_ in EDGE]
+    low = {n: n for n in range(len(fps))}
+    for _ in fps:  # as many rounds as rows settle every path
+        for a, (_, x) in enumerate(fps):
+            for b, (_, y) in enumerate(fps):
+                if (x ^ y).bit_count() <= 3:
+                    low[a] = low[b] = min(low[a], low[b])
+    least = {n: min(i for m, (i, _) in enumerate(fps) if low[m] == low[n] and i is not None) for n in low}
+    got = simhash.near_duplicates(docs).collect()
+    assert sorted((str(r["doc"]), r["fp"] & (1 << 64) - 1, r["component"]) for r in got) == sorted((str(i), fp, least[n]) for n, (i, fp) in enumerate(fps))
+
+
 def test_similar_texts_link(spark, docs, empty):
     def edited(text, every, mark):
         return " ".join(mark if i % every == every - 1 else w for i, w in enumerate(text.split(" ")))
