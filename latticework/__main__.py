@@ -4,8 +4,10 @@
     python -m latticework score --models 'y/*.pdb' --tables tables --out scores
 
 terms.json is an object of {name: {"term": ..., options}}, as {"pairs": {"term": "interaction", "low": 0, "high": 10, "bins": 10,
-"separation": 4}}. tables holds the counts, the energies and a copy of it. scores gets the features and averages
-as Parquet, the local scores as CSV and a JSON document for each model.
+"separation": 4}}. tables holds the counts, the energies and a copy of it. out gets the features and averages as Parquet, the
+local values as CSV and a JSON document for each model: global_scores, local_terms with every term of every chain, and
+local_scores, the network's or else the first term's. --scores is a JSON file of {name: {"weights": {feature: w}, "intercept": i}},
+--reference a Parquet table of residues, features and scores for z-scores, --network a folder that GroupScorer.load reads.
 """
 
 from __future__ import annotations
@@ -16,10 +18,11 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators.features import averages, feature_table
-from .operators.structures import make_term, residue_id, term_points
+from .operators.features import average_local_scores, averages, local_scores, model_scores
+from .operators.models import GroupScorer
+from .operators.structures import FEATURES, make_term, structure_features, term_points
 from .sources.readers import backbone, preprocessed, read_structures
-from .sources.sinks import Container, result_documents, score_arrays, write_scores
+from .sources.sinks import Container, result_documents, score_arrays, term_arrays, write_scores
 
 
 def _structures(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -36,6 +39,13 @@ def _terms(settings: dict) -> dict:
     return out
 
 
+def _json(path: str | None) -> dict | None:
+    if path is None:
+        return None
+    with open(path) as f:
+        return json.load(f)
+
+
 def train(spark: SparkSession, structures: str, settings: dict, out: str, sigma: float) -> None:
     atoms, residues = _structures(spark, structures)
     counts, energies = Container(), Container()
@@ -50,22 +60,28 @@ def train(spark: SparkSession, structures: str, settings: dict, out: str, sigma:
     spark.createDataFrame([(json.dumps(settings),)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/terms")
 
 
-def score(spark: SparkSession, models: str, tables: str, out: str) -> None:
-    settings = json.loads(spark.read.text(f"{tables}/terms").first()["value"])
+def score(spark: SparkSession, models: str, tables: str, out: str, names: tuple[str, ...] = (), scores: dict | None = None, reference: str | None = None, network: str | None = None) -> None:
+    """Features of every residue, averages and global scores of every model, and a document of both."""
+    terms = _terms(json.loads(spark.read.text(f"{tables}/terms").first()["value"]))
     atoms, residues = _structures(spark, models)
-    energies, scores = Container.load(spark, f"{tables}/energies"), {}
-    for name, (kind, term) in _terms(settings).items():
-        points = term_points(kind, atoms, residues)
-        scores[name] = term.score(points, points, energies[name])
-    all_residues = residues.select("model", "chain", "rnum", "rname", residue_id(F.col("chain"), F.col("rnum")).alias("res"))
-    feature_table(all_residues, scores, ["model", "res"]).write.mode("overwrite").parquet(f"{out}/features")
+    columns = [*terms, *names]
+    structure_features(atoms, residues, terms, Container.load(spark, f"{tables}/energies"), names).write.mode("overwrite").parquet(f"{out}/features")
     features = spark.read.parquet(f"{out}/features")  # what follows reads the features, instead of scoring again
-    write_scores(features, f"{out}/local", ["chain", "rnum", "rname", *scores])
-    means = averages(features, ["model"], list(scores))
+    means = averages(features, ["model"], columns)
+    if scores:
+        linear = {name: (s["weights"], s["intercept"]) for name, s in scores.items()}
+        scored = model_scores(features, ["model"], linear, spark.read.parquet(reference) if reference else None)
+        means = means.join(scored.drop(*[c for c in means.columns if c != "model"]), "model")
+    local, shown = columns[0], features
+    if network:
+        local, shown = "score", local_scores(features, means, ["model"], GroupScorer.load(spark, network)).select(*features.columns, "score")
+        means = means.join(average_local_scores(shown, ["model"], F.lit(False)).drop("residues"), "model")
     means.write.mode("overwrite").parquet(f"{out}/averages")
-    first = next(iter(scores))
-    arrays = score_arrays(features.select("model", "chain", "rnum"), features.select("model", "chain", "rnum", first), ["model", "chain"], "rnum", first)
-    result_documents(arrays, means).select("json").write.mode("overwrite").text(f"{out}/documents")
+    columns += [local] if network else []
+    write_scores(shown, f"{out}/local", ["chain", "rnum", "rname", *columns])
+    arrays = score_arrays(features.select("model", "chain", "rnum"), shown.select("model", "chain", "rnum", local), ["model", "chain"], "rnum", local)
+    every = term_arrays(shown, columns, ["model", "chain"], "rnum")
+    result_documents(arrays, spark.read.parquet(f"{out}/averages"), terms=every).select("json").write.mode("overwrite").text(f"{out}/documents")
 
 
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> None:
@@ -78,15 +94,18 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     two = commands.add_parser("score", help="score models")
     two.add_argument("--models", required=True)
     two.add_argument("--tables", required=True, help="what train wrote")
+    two.add_argument("--features", nargs="*", default=[], choices=FEATURES, help="features besides the terms")
+    two.add_argument("--scores", help="JSON file of linear global scores")
+    two.add_argument("--reference", help="reference table for z-scores")
+    two.add_argument("--network", help="folder of the local network scorer")
     for p in (one, two):
         p.add_argument("--out", required=True)
     a = parser.parse_args(arguments)
     spark = spark or SparkSession.builder.appName("latticework").getOrCreate()
     if a.command == "train":
-        with open(a.terms) as f:
-            train(spark, a.structures, json.load(f), a.out, a.sigma)
+        train(spark, a.structures, _json(a.terms), a.out, a.sigma)
     else:
-        score(spark, a.models, a.tables, a.out)
+        score(spark, a.models, a.tables, a.out, tuple(a.features), _json(a.scores), a.reference, a.network)
 
 
 if __name__ == "__main__":

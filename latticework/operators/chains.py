@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import inner_gap_runs, without_gaps
+
 #: Names for chains that have none, in the order in which they are given out.
 CHAIN_NAMES = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-"
 BURIED_BELOW = 0.25
@@ -71,6 +73,22 @@ def agreement(rows: DataFrame, observed: DataFrame, predicted: DataFrame, joint:
     return out.withColumn("agreement", F.when(ratio > 0, F.ln(F.when(ratio > 0, ratio)))).drop("p0_", "p1_", "p2_")
 
 
+def alignment_features(alignments: DataFrame, substitutions: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, seq_id, seq_sim, n_insertions, n_deletions, seqres_length, seqres_coverage) of alignments(keys, t, s).
+
+    t is the full sequence, s a template's. Insertions are runs of gaps within s, deletions within t; identity is in percent of
+    the columns where both have a letter, similarity as by column_similarity, both null without such columns.
+    """
+    runs = alignments.select(*keys, inner_gap_runs(F.col("s")).alias("n_insertions"), inner_gap_runs(F.col("t")).alias("n_deletions"), F.length(without_gaps(F.col("t"))).alias("seqres_length"), "t", "s")
+    letters = alignments.select(*keys, F.explode(F.zip_with(F.split("t", ""), F.split("s", ""), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p")).select(*keys, "p.a", "p.b")
+    low, high = (substitutions.agg(f("s").cast("double").alias("v")).scalar() for f in (F.min, F.max))
+    both = letters.where((F.col("a") != "-") & (F.col("b") != "-")).join(substitutions, ["a", "b"], "left")
+    found = both.groupBy(*keys).agg((F.avg((F.col("a") == F.col("b")).cast("double")) * 100).alias("seq_id"), ((F.avg("s") - low) / (high - low)).alias("seq_sim"), F.count("*").alias("n_"))
+    out = runs.drop("t", "s").join(found, keys, "left")
+    covered = F.try_divide(F.coalesce("n_", F.lit(0)).cast("double"), F.col("seqres_length").cast("double"))
+    return out.select(*keys, "seq_id", "seq_sim", "n_insertions", "n_deletions", "seqres_length", covered.alias("seqres_coverage"))
+
+
 def exposure(relative_area: Column) -> Column:
     """b or e, by the accessible share of a residue's surface; null if it is missing."""
     known = F.nanvl(relative_area, F.lit(None).cast("double"))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import math
+from dataclasses import asdict, dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import interpolated
+from .spatial import self_pairs
 
 
 def column_similarity(pairs: DataFrame, scores: DataFrame, keys: list[str]) -> DataFrame:
@@ -29,24 +33,49 @@ def identity(pairs: DataFrame, keys: list[str]) -> DataFrame:
 def linkage_clusters(similarities: DataFrame, target: str, threshold: float, linkage: str = "average", above: bool = True) -> DataFrame:
     """(target, item, cluster) by agglomeration of each target's items, from similarities(target, i, j, s) with i < j.
 
-    The two clusters of best linkage merge as long as it reaches the threshold (above: similarities, else distances). One
-    target's templates are a few hundred at most; the targets are what Spark spreads.
+    The two clusters of best linkage merge as long as it reaches the threshold (above: similarities, else distances); a cluster
+    is named by its smallest item. Linkage is over the pairs that are given, clusters without one never merge. One target's
+    templates are a few hundred at most; the targets are what Spark spreads. Merging keeps each cluster's sum, count, least and
+    largest value to every other, so that a merge costs one row.
     """
-    combine = {"average": lambda v: sum(v) / len(v), "max": max, "min": min}[linkage]
-    sign = 1 if above else -1
+    pick = {"average": 0, "max": 1, "min": 2}[linkage]
+    sign = 1.0 if above else -1.0
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.dropna(subset=["i", "j", "s"])
         items = sorted({*pdf["i"], *pdf["j"]})
-        s = {frozenset((i, j)): v for i, j, v in zip(pdf["i"], pdf["j"], pdf["s"])}
-        clusters = [[x] for x in items]
-        while len(clusters) > 1:
-            links = [(sign * combine([s[frozenset((p, q))] for p in a for q in b]), -x, -y) for x, a in enumerate(clusters) for y, b in enumerate(clusters) if x < y]
-            best, x, y = max(links)
-            if best < sign * threshold:
+        spot, n = {x: k for k, x in enumerate(items)}, len(items)
+        total, count = np.zeros((n, n)), np.zeros((n, n))
+        most, least = np.full((n, n), -np.inf), np.full((n, n), np.inf)
+        a, b, v = pdf["i"].map(spot).to_numpy(int), pdf["j"].map(spot).to_numpy(int), pdf["s"].to_numpy(float)
+        for p, q in ((a, b), (b, a)):
+            np.add.at(total, (p, q), v)
+            np.add.at(count, (p, q), 1)
+            np.maximum.at(most, (p, q), v)
+            np.minimum.at(least, (p, q), v)
+
+        def link(row):
+            known = count[row] > 0
+            value = (total[row] / np.maximum(count[row], 1), most[row], least[row])[pick]
+            return np.where(known, sign * np.where(known, value, 0.0), -np.inf)
+
+        links = np.array([link(k) for k in range(n)]).reshape(n, n)
+        np.fill_diagonal(links, -np.inf)
+        home = np.arange(n)
+        while n > 1:
+            x, y = divmod(int(np.argmax(links)), n)  # the first of equals; x < y, as links are symmetric
+            if not links[x, y] > -np.inf or links[x, y] < sign * threshold:
                 break
-            clusters[-x] += clusters.pop(-y)
-        rows = [(x, min(c)) for c in clusters for x in c]
-        return pd.DataFrame({target: pdf[target].iloc[0], "item": [r[0] for r in rows], "cluster": [r[1] for r in rows]})
+            for m, add in ((total, np.add), (count, np.add), (most, np.maximum), (least, np.minimum)):
+                m[x] = add(m[x], m[y])
+                m[:, x] = m[x]
+            count[y], count[:, y] = 0, 0
+            home[home == y] = x
+            links[x] = link(x)
+            links[x, x] = -np.inf
+            links[:, x] = links[x]
+            links[y], links[:, y] = -np.inf, -np.inf
+        return pd.DataFrame({target: [pdf[target].iloc[0]] * n if n else [], "item": items, "cluster": [items[k] for k in home]})
 
     kinds = dict(similarities.dtypes)
     return similarities.groupBy(target).applyInPandas(run, f"{target} {kinds[target]}, item {kinds['i']}, cluster {kinds['i']}")
@@ -76,18 +105,19 @@ def constraint_functions(distances: DataFrame, keys: list[str], cutoff: float, s
     return out.select(*keys, F.array(*[f"c{k}" for k in range(points + 1)]).alias("constraint"), "num_clusters", "variance", *best)
 
 
-def constraint_scores(pairs: DataFrame, constraints: DataFrame, keys: list[str], step: float) -> DataFrame:
-    """(keys, res, score, count, clusters, variance) from pairs(keys, i, j, d) with i < j.
+def constraint_scores(pairs: DataFrame, constraints: DataFrame, keys: list[str], step: float, models: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, models, res, score, count, clusters, variance) from pairs(keys, models, i, j, d) with i < j.
 
-    A pair's score is interpolated in its constraint and credited to both ends; a residue's is the mean.
+    A pair's score is interpolated in its constraint and credited to both ends; a residue's is the mean. models names the
+    columns that tell several models of one target apart.
     """
     hit = pairs.join(constraints, [*keys, "i", "j"])
     hit = hit.withColumn("s", interpolated(F.col("constraint"), F.col("d"), step)).withColumn("res", F.explode(F.array("i", "j")))
-    return hit.groupBy(*keys, "res").agg(F.avg("s").alias("score"), F.count("s").alias("count"), F.avg("num_clusters").alias("clusters"), F.avg("variance").alias("variance"))
+    return hit.groupBy(*keys, *models, "res").agg(F.avg("s").alias("score"), F.count("s").alias("count"), F.avg("num_clusters").alias("clusters"), F.avg("variance").alias("variance"))
 
 
-def constraint_data(pairs: DataFrame, constraints: DataFrame, keys: list[str], cutoff: float, step: float) -> DataFrame:
-    """(keys, res, disco, counts, avg_num_clusters, avg_variance, avg_max_seqsim, avg_max_seqid, num_constraints, fraction_observed).
+def constraint_data(pairs: DataFrame, constraints: DataFrame, keys: list[str], cutoff: float, step: float, models: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, models, res, disco, counts, avg_num_clusters, avg_variance, avg_max_seqsim, avg_max_seqid, num_constraints, fraction_observed).
 
     pairs(keys, i, j, d), i < j, are all pairs of a model; those beyond the cutoff count for num_constraints only. constraints
     may have max_seqsim and max_seqid, from the best cluster member of the pair; without them the averages are null.
@@ -97,7 +127,7 @@ def constraint_data(pairs: DataFrame, constraints: DataFrame, keys: list[str], c
     s = F.when(near, interpolated(F.col("constraint"), F.col("d"), step))
     rows = hit.withColumn("s_", s).withColumn("near_", near).withColumn("res", F.explode(F.array("i", "j")))
     mean = lambda c: (F.avg(F.when(F.col("near_"), F.col(c))) if c in constraints.columns else F.lit(None).cast("double")).alias(f"avg_{c}")
-    out = rows.groupBy(*keys, "res").agg(F.avg("s_").alias("disco"), F.count_if("near_").alias("counts"), *[mean(c) for c in ("num_clusters", "variance", "max_seqsim", "max_seqid")], F.count("*").alias("num_constraints"))
+    out = rows.groupBy(*keys, *models, "res").agg(F.avg("s_").alias("disco"), F.count_if("near_").alias("counts"), *[mean(c) for c in ("num_clusters", "variance", "max_seqsim", "max_seqid")], F.count("*").alias("num_constraints"))
     return out.withColumn("fraction_observed", fraction_observed(F.col("counts"), F.col("num_constraints")))
 
 
@@ -118,3 +148,87 @@ def aligned_positions(columns: DataFrame, keys: list[str]) -> DataFrame:
     """columns(keys, col, t, s) with the running positions t_pos and s_pos of letters, null at gaps."""
     w = Window.partitionBy(*keys).orderBy("col").rowsBetween(Window.unboundedPreceding, 0)
     return columns.select("*", *[F.when(F.col(c) != "-", F.sum((F.col(c) != "-").cast("int")).over(w)).alias(f"{c}_pos") for c in ("t", "s")])
+
+
+def merged_columns(alignments: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, at, k, t, s) of the pairwise alignments (keys, t, s) of one full sequence t: its letters have k = 0 at their place `at`.
+
+    Letters of s that t has a gap for have k = 1, 2, ... after the place before them, from the left, so that insertions of
+    several templates at one place share columns.
+    """
+    letters = alignments.select(*keys, F.posexplode(F.zip_with(F.split("t", ""), F.split("s", ""), lambda a, b: F.struct(a.alias("t"), b.alias("s")))).alias("col", "p")).select(*keys, "col", "p.t", "p.s")
+    w = Window.partitionBy(*keys).orderBy("col").rowsBetween(Window.unboundedPreceding, 0)
+    placed = letters.withColumn("at", F.sum((F.col("t") != "-").cast("int")).over(w))
+    inserted = Window.partitionBy(*keys, "at").orderBy("col").rowsBetween(Window.unboundedPreceding, 0)
+    return placed.select(*keys, "at", F.sum((F.col("t") == "-").cast("int")).over(inserted).alias("k"), "t", "s")
+
+
+@dataclass(frozen=True)
+class ConstraintOptions:
+    """cutoff of distances, gamma of the cluster weights, least average similarity within a cluster, and the grid's step."""
+
+    cutoff: float = 15.0
+    gamma: float = 70.0
+    similarity: float = 0.5
+    step: float = 0.5
+    padding: float = 3.0  # past the cutoff, for the last Gaussians to fade out
+
+
+class ConstraintSet:
+    """Distance constraints of many targets: (target, i, j, constraint, num_clusters, variance, max_seqsim, max_seqid)."""
+
+    KEYS = ["target", "i", "j"]
+
+    def __init__(self, table: DataFrame, options: ConstraintOptions):
+        self.table, self.options = table, options
+
+    @classmethod
+    def build(cls, sequences: DataFrame, alignments: DataFrame, positions: DataFrame, substitutions: DataFrame, options: ConstraintOptions | None = None) -> ConstraintSet:
+        """From sequences(target, sequence), alignments(target, template, t, s) and positions(target, template, pos, x, y, z).
+
+        t without gaps is the target's sequence, pos the place in it (from 1) of a template's residue. substitutions is (a, b, s).
+        Templates of a target are clustered by their average similarity; a cluster weighs by its mean similarity to the target.
+        """
+        options = options or ConstraintOptions()
+        known = alignments.join(sequences, "target", "left")
+        wrong = F.raise_error(F.lit("an alignment's first sequence must be the target's, without gaps there")).cast("string")
+        fits = (F.regexp_replace("t", "-", "") == F.col("sequence")) & ~F.col("sequence").contains("-")
+        checked = known.select("target", "template", F.when(F.coalesce(fits, F.lit(False)), F.col("t")).otherwise(wrong).alias("t"), "s")
+        columns = merged_columns(checked, ["target", "template"])
+        to_target = columns.select("target", "template", F.col("t").alias("a"), F.col("s").alias("b"))
+        own = column_similarity(to_target, substitutions, ["target", "template"]).withColumnRenamed("similarity", "seqsim")
+        own = checked.select("target", "template").distinct().join(own, ["target", "template"], "left")
+        own = own.join(identity(to_target, ["target", "template"]).withColumn("seqid", F.col("identity") / 100).drop("identity"), ["target", "template"], "left").na.fill(0.0, ["seqsim", "seqid"])
+        letters = columns.where("s != '-'").select("target", "template", "at", "k", "s")
+        i, j = letters.withColumnsRenamed({"template": "i", "s": "a"}), letters.withColumnsRenamed({"template": "j", "s": "b"})
+        between = column_similarity(i.join(j, ["target", "at", "k"]).where("i < j"), substitutions, ["target", "i", "j"]).withColumnRenamed("similarity", "s")
+        members = linkage_clusters(between, "target", options.similarity).withColumnRenamed("item", "template")
+        members = own.join(members, ["target", "template"], "left").withColumn("cluster", F.coalesce("cluster", "template"))
+        weights = members.groupBy("target", "cluster").agg(F.avg("seqsim").alias("seqsim"), F.avg("seqid").alias("seqid"))
+        weights = members.select("target", "template", "cluster").join(weights.withColumn("weight", F.exp(options.gamma * F.col("seqsim"))), ["target", "cluster"])
+        outside = F.raise_error(F.lit("a position is not in the target's sequence")).cast("int")
+        inside = F.col("pos").between(1, F.length("sequence"))
+        places = positions.join(sequences, "target").withColumn("pos", F.when(inside, F.col("pos")).otherwise(outside)).drop("sequence")
+        pairs = self_pairs(places, options.cutoff, "pos", ["target", "template"], ordered=False, strict=True)
+        distances = pairs.select(*[F.col(f"l_{c}").alias(c) for c in ("target", "template")], F.col("l_pos").alias("i"), F.col("r_pos").alias("j"), F.sqrt("d2").alias("d")).join(weights, ["target", "template"])
+        return cls(constraint_functions(distances, cls.KEYS, options.cutoff + options.padding, options.step), options)
+
+    def at(self, target, i: int, j: int) -> DataFrame:
+        """The row of one pair, in either order; no row where there is no constraint."""
+        return self.table.where((F.col("target") == target) & (F.col("i") == min(i, j)) & (F.col("j") == max(i, j)))
+
+    def data(self, pairs: DataFrame, models: tuple[str, ...] = ("model",)) -> DataFrame:
+        """constraint_data of pairs(target, models, i, j, d), i < j."""
+        return constraint_data(pairs, self.table, ["target"], self.options.cutoff, self.options.step, models)
+
+    def save(self, path: str) -> None:
+        """Values as whole numbers of 1/250, similarities of 1/100; a value that they cannot hold is an error."""
+        bad = F.raise_error(F.lit("a similarity is over 1")).cast("double")
+        held = {c: F.when(F.col(c) > 1, bad).otherwise(F.floor(F.col(c) * 100 + 0.5) / 100) for c in ("max_seqsim", "max_seqid")}
+        self.table.withColumns({**held, "constraint": quantised(F.col("constraint")).cast("array<smallint>")}).write.mode("overwrite").parquet(f"{path}/constraints")
+        self.table.sparkSession.createDataFrame([(json.dumps(asdict(self.options)),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/options")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> ConstraintSet:
+        options = ConstraintOptions(**json.loads(spark.read.text(f"{path}/options").first()["value"]))
+        return cls(spark.read.parquet(f"{path}/constraints").withColumn("constraint", dequantised(F.col("constraint"))), options)

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import mean_of_known, missing_to_null
-from .models import GroupScorer, held
-from .sequences import nearest_entry, size_matched_z
+from .chains import membrane_key
+from .models import GroupScorer, held, subset_score
+from .sequences import nearest_entry, size_matched_zs
 
 #: Expected error of a model's average local score, for lengths of 40, 45, 50, ... 400 residues.
 EXPECTED_ERRORS = [
@@ -44,11 +45,41 @@ def global_score(rows: DataFrame, weights: dict[str, float], intercept: float, n
 
 def z_scores(models: DataFrame, reference: DataFrame, columns: dict[str, str]) -> DataFrame:
     """models with <column>_z_score against reference rows of like size; columns names the reference column of each."""
-    out = models
-    for own, other in columns.items():
-        ref = reference.select(F.col("residues"), F.col(other).alias(own))
-        out = size_matched_z(out, ref, "residues", own).withColumnRenamed("z", f"{own}_z_score")
-    return out
+    return size_matched_zs(models, reference, "residues", columns)
+
+
+def model_scores(features: DataFrame, by: list[str], scores: dict[str, tuple[dict[str, float], float]], reference: DataFrame | None = None) -> DataFrame:
+    """(by, residues, avg_<feature>, <score>, <either>_z_score): all global scores of each model and their parts.
+
+    scores has the weights and the intercept of each score. A score that lacks one of its features is null. reference is a table of
+    residues and columns named as the features and scores; each that it has gives a z-score.
+    """
+    names = sorted({f for weights, _ in scores.values() for f in weights})
+    out = averages(features, by, names)
+    for name, (weights, intercept) in scores.items():
+        out = global_score(out, weights, intercept, name)
+    if reference is None:
+        return out
+    columns = {f"avg_{n}": n for n in names} | {n: n for n in scores}
+    return z_scores(out, reference, {own: other for own, other in columns.items() if other in reference.columns})
+
+
+def linear_local_scores(features: DataFrame, scorer: DataFrame, by: list[str], names: list[str]) -> DataFrame:
+    """features with score: weights of a row's own (by) for exactly the features it has, within [0, 1]; 0 where there are none."""
+    return subset_score(features, scorer, by, names).withColumn("score", held(F.col("score")))
+
+
+def membrane_local_scores(features: DataFrame, soluble: DataFrame, membrane: DataFrame, names: list[str], soluble_only: list[str], by: list[str]) -> DataFrame:
+    """features(side, structure, ...) with score, of residues in and beside a membrane by scorers of their own.
+
+    Both scorers have state besides by: soluble those of structure, membrane the states membrane and interface. The features
+    named in soluble_only (agreement with predictions) are left out inside the membrane and at its faces.
+    """
+    inside = F.coalesce(F.col("side").isin("core", "interface"), F.lit(False))
+    rows = features.withColumn("kept_", F.struct(*soluble_only)).withColumns({n: F.when(~inside, F.col(n)) for n in soluble_only})
+    rows = rows.withColumn("state", membrane_key(F.col("side"), F.col("structure")))
+    out = linear_local_scores(rows, soluble.unionByName(membrane), ["state", *by], names)
+    return out.withColumns({n: F.col(f"kept_.{n}") for n in soluble_only}).drop("kept_", "state")
 
 
 def local_scores(features: DataFrame, means: DataFrame, by: list[str], scorer: GroupScorer, letter: str = "aa") -> DataFrame:

@@ -15,33 +15,76 @@ from pyspark.sql import functions as F
 from ..functions.geometry import clamped
 from ..functions.scalars import AMINO_ACIDS, clamp01, missing_to_null, one_hot
 
-MIN_ROWS, MAGIC, VERSION = 100, 444222, 1
+MIN_ROWS = 100
+#: Of this repository's own network files.
+MAGIC, VERSION = 0x4C57, 1
 
 
-def least_squares(rows: DataFrame, by: list[str], features: list[str], target: str, min_rows: int = MIN_ROWS) -> DataFrame:
-    """(by, n, intercept, weights) by normal equations: one pass of sums in Spark, a small solve for each group.
+def _subset_sums(rows: DataFrame, by: list[str], features: list[str], target: str) -> tuple[DataFrame, int]:
+    """Sums of products of the known values of every row, by the bits of the features that it has, and how many columns they are of.
 
-    Rows with a missing feature or target are left out; groups of fewer than min_rows rows get zeros. Features that
-    depend on each other get the solution of least norm.
+    Sums are of distances from the columns' means, lest the squares of large values swallow the spread. A feature that a row lacks
+    adds nothing to its sums.
+    """
+    cols = {c: missing_to_null(F.col(c).cast("double")).alias(c) for c in [*features, target]}
+    known = rows.select(*by, *cols.values()).where(F.col(target).isNotNull())
+    centre = known.agg(F.struct(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"c{k}") for k, c in enumerate(cols)]).alias("c")).scalar()
+    x = [F.lit(1.0), *[F.coalesce(F.col(c) - centre.getField(f"c{k}"), F.lit(0.0)) for k, c in enumerate(cols)]]
+    y, x, k = x[-1], x[:-1], len(x) - 1
+    has = sum((F.col(c).isNotNull().cast("int") * (1 << i) for i, c in enumerate(features)), F.lit(0))
+    sums = [F.sum(x[i] * x[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)] + [F.sum(v * y).alias(f"v{i}") for i, v in enumerate(x)]
+    centres = [F.first(centre.getField(f"c{i}")).alias(f"c{i}") for i in range(len(cols))]
+    return known.groupBy(*by, has.alias("has_")).agg(*centres, F.count("*").alias("n"), *sums), k
+
+
+def _solved(sums: dict, at: list[int], k: int) -> np.ndarray:
+    """Intercept and weights of the features at the given places, from centred sums."""
+    spots = [0, *at]
+    m = np.array([[sums[f"m{min(i, j)}_{max(i, j)}"] for j in spots] for i in spots])
+    v = np.array([sums[f"v{i}"] for i in spots])
+    centre, top = np.array([sums[f"c{i - 1}"] for i in at]), sums[f"c{k - 1}"]
+    shift = np.eye(len(spots))
+    shift[1:, 0] = centre
+    scales = np.sqrt(np.where(np.diag(m) > 0, np.diag(m), 1.0))
+    if np.linalg.matrix_rank(m / np.outer(scales, scales)) == len(spots):
+        w = np.linalg.solve(m / np.outer(scales, scales), v / scales) / scales
+        return np.concatenate([[w[0] + top - centre @ w[1:]], w[1:]])
+    # features that depend on each other: the solution of least norm is one of the values as they are
+    return np.linalg.lstsq(shift @ m @ shift.T, shift @ (v + top * m[:, 0]), rcond=None)[0]
+
+
+def _fits(rows: DataFrame, by: list[str], features: list[str], target: str, subsets: list[tuple[int, ...]], min_rows: int) -> DataFrame:
+    """(by, subset, n, intercept, weights) for each subset of feature places, of the rows that have all of its features.
+
+    One pass over the rows gives sums by the features that are there; what a subset needs is added up from these few.
     """
-    cols = {c: missing_to_null(F.col(c).cast("double")) for c in [*features, target]}
-    known = rows.select(*by, *[v.alias(c) for c, v in cols.items()]).dropna(subset=list(cols))
-    x = [F.lit(1.0), *[F.col(c) for c in features]]
-    k = len(x)
-    sums = [F.sum(x[i] * x[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)] + [F.sum(v * F.col(target)).alias(f"v{i}") for i, v in enumerate(x)]
-    totals = known.groupBy(*by).agg(F.count("*").alias("n"), *sums)
+    sums, k = _subset_sums(rows, by, features, target)
+    masks = F.array(*[F.struct(F.lit(i).alias("subset"), F.lit(sum(1 << p for p in s)).alias("mask_")) for i, s in enumerate(subsets)])
+    wide = sums.withColumn("s_", F.explode(masks)).select("*", "s_.*").where(F.col("has_").bitwiseAND(F.col("mask_")) == F.col("mask_"))
+    add = [F.sum(c).alias(c) for c in ["n", *[f"m{i}_{j}" for i in range(k) for j in range(i, k)], *[f"v{i}" for i in range(k)]]]
+    centres = [F.first(f"c{i}").alias(f"c{i}") for i in range(k)]
+    totals = wide.groupBy(*by, "subset").agg(*centres, *add)
 
     def solve(batches):
         for pdf in batches:
             out = []
             for r in pdf.to_dict("records"):
-                m = np.array([[r[f"m{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-                w = np.linalg.lstsq(m, np.array([r[f"v{i}"] for i in range(k)]), rcond=None)[0] if r["n"] >= min_rows else np.zeros(k)
-                out.append({**{b: r[b] for b in by}, "n": r["n"], "intercept": w[0], "weights": w[1:].tolist()})
-            yield pd.DataFrame(out, columns=[*by, "n", "intercept", "weights"])
+                at = [p + 1 for p in subsets[r["subset"]]]
+                w = _solved(r, at, k) if r["n"] >= min_rows else np.zeros(len(at) + 1)
+                out.append({**{b: r[b] for b in by}, "subset": r["subset"], "n": r["n"], "intercept": w[0], "weights": w[1:].tolist()})
+            yield pd.DataFrame(out, columns=[*by, "subset", "n", "intercept", "weights"])
 
-    kinds = dict(known.dtypes)
-    return totals.mapInPandas(solve, ", ".join([*[f"{b} {kinds[b]}" for b in by], "n long", "intercept double", "weights array<double>"]))
+    kinds = dict(rows.dtypes)
+    return totals.mapInPandas(solve, ", ".join([*[f"`{b}` {kinds[b]}" for b in by], "subset int", "n long", "intercept double", "weights array<double>"]))
+
+
+def least_squares(rows: DataFrame, by: list[str], features: list[str], target: str, min_rows: int = MIN_ROWS) -> DataFrame:
+    """(by, n, intercept, weights) by normal equations: one pass of sums in Spark, a small solve for each group.
+
+    Rows with a missing feature or target are left out; groups of fewer than min_rows rows get zeros. Features that
+    depend on each other get the solution of least norm.
+    """
+    return _fits(rows, by, features, target, [tuple(range(len(features)))], min_rows).drop("subset")
 
 
 def linear(features: list[Column], intercept: Column, weights: Column) -> Column:
@@ -57,11 +100,22 @@ def present(features: list[str]) -> Column:
 
 
 def subset_scorer(rows: DataFrame, by: list[str], features: list[str], target: str, min_rows: int = MIN_ROWS) -> DataFrame:
-    """Weights for every non-empty subset of the features: (by, pattern, n, intercept, weights)."""
-    parts = [least_squares(rows, by, list(s), target, min_rows).withColumn("pattern", F.lit(",".join(s))) for k in range(1, len(features) + 1) for s in combinations(features, k)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    """Weights for every non-empty subset of the features: (by, pattern, n, intercept, weights), by one pass over the rows."""
+    subsets = [s for k in range(1, len(features) + 1) for s in combinations(range(len(features)), k)]
+    names = F.array(*[F.lit(",".join(features[p] for p in s)) for s in subsets])
+    return _fits(rows, by, features, target, subsets, min_rows).withColumn("subset", F.get(names, F.col("subset"))).withColumnRenamed("subset", "pattern")
+
+
+def saved_scorer(scorer: DataFrame, path: str) -> None:
+    """Writes the weights of a linear scorer, to be read by loaded_scorer."""
+    scorer.write.mode("overwrite").parquet(path)
+
+
+def loaded_scorer(spark: SparkSession, path: str, features: list[str]) -> DataFrame:
+    """A linear scorer's weights; a file that lacks the scorer of all the features is an error."""
+    out = spark.read.parquet(path)
+    if out.where(F.col("pattern") == ",".join(features)).isEmpty():
+        raise ValueError(f"no weights of {', '.join(features)} in {path}")
     return out
 
 

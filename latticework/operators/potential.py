@@ -14,22 +14,23 @@ def _energy(n: Column, share: Column, sigma: float) -> Column:
     return F.ln(1 + sigma * n) - F.ln(1 + sigma * n * share)
 
 
-def sippl(counts: DataFrame, keys: list[str], sizes: dict[str, int], sigma: float = SIGMA, reference_state: str = "classic") -> DataFrame:
+def sippl(counts: DataFrame, keys: list[str], sizes: dict[str, int], sigma: float = SIGMA, reference_state: str = "classic", within: tuple[str, ...] = ()) -> DataFrame:
     """(keys, bins, e) for every bin of each key: sparse-data corrected log-odds against a reference state.
 
     classic takes the distribution over bins of all keys together, uniform gives each bin the same share. Every bin is
-    there, counted or not; a key without counts has energy 0.
+    there, counted or not; a key without counts has energy 0. within names key columns whose values have a table each: their
+    distributions are their own.
     """
     if reference_state not in ("classic", "uniform"):
         raise ValueError(f"unknown reference state {reference_state!r}: classic and uniform are implemented")
-    bins = list(sizes)
+    bins, keys = list(sizes), [*keys, *[c for c in within if c not in keys]]
     cells = 1
     for n in sizes.values():
         cells *= n
     rows = dense(counts, keys, sizes).withColumn("n_", F.sum("w").over(Window.partitionBy(*keys)))
     if reference_state == "classic":
-        by_bin = counts.groupBy(*bins).agg(F.sum("w").alias("nb_"))
-        rows = rows.join(by_bin, bins, "left").withColumn("all_", F.sum(F.coalesce("nb_", F.lit(0.0))).over(Window.partitionBy(*keys)))
+        by_bin = counts.groupBy(*within, *bins).agg(F.sum("w").alias("nb_"))
+        rows = rows.join(by_bin, [*within, *bins], "left").withColumn("all_", F.sum(F.coalesce("nb_", F.lit(0.0))).over(Window.partitionBy(*keys)))
         ref = F.try_divide(F.coalesce("nb_", F.lit(0.0)), F.col("all_"))
     else:
         ref = F.lit(1.0 / cells)

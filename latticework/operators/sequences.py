@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import clamped
+from ..functions.scalars import missing_to_null
 
 
 def triplets(rows: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
@@ -29,25 +32,35 @@ def kept_states(rows: DataFrame, by: list[str], order: list[str], value: str) ->
     return t.withColumn("kept", F.when(same, F.col(value))).drop("prev_" + value, "next_" + value)
 
 
-def size_matched_z(models: DataFrame, reference: DataFrame, size: str, value: str, low: int = 40, high: int = 600, spread: float = 0.1, invert: bool = False) -> DataFrame:
-    """models with z: distance of value from the reference rows of like size, in their sample standard deviations.
+def size_matched_zs(models: DataFrame, reference: DataFrame, size: str, values: dict[str, str], low: int = 40, high: int = 600, spread: float = 0.1, invert: bool = False) -> DataFrame:
+    """models with <column>_z_score for each column of values, which names the reference's column of each.
 
-    The size is clamped to [low, high]; like is between (1 - spread) and (1 + spread) of it, as whole numbers. Reference rows are
-    summed by size first, and each model size's window once, so that the range join is between distinct sizes. A model without a
-    size has no z.
+    A z-score is the distance from the reference rows of like size, in their sample standard deviations. The size is clamped to
+    [low, high]; like is between (1 - spread) and (1 + spread) of it, as whole numbers. Reference rows are summed by size first, and
+    each model size's window once for all columns, so that the range join is between distinct sizes. A model without a size has no z.
     """
     size_ = clamped(F.col(size), low, high)
     sizes = models.select(size_.alias("s_")).distinct().where("s_ is not null")
+    theirs = [missing_to_null(F.col(c).cast("double")) for c in values.values()]
     # sums are of distances from one value near them all, lest the squares of large values swallow the spread
-    centre = reference.agg(F.coalesce(F.avg(value), F.lit(0.0))).scalar()
-    off = F.col("off_")
-    by = reference.select(F.col(size).alias("r_"), (F.col(value) - centre).alias("off_")).groupBy("r_").agg(F.count(off).alias("n_"), F.sum(off).alias("x_"), F.sum(off * off).alias("xx_"))
+    centre = reference.agg(F.struct(*[F.coalesce(F.avg(v), F.lit(0.0)).alias(f"c{k}") for k, v in enumerate(theirs)])).scalar()
+    off = reference.select(F.col(size).cast("long").alias("r_"), *[(v - centre.getField(f"c{k}")).alias(f"o{k}_") for k, v in enumerate(theirs)])
+    parts = {f"{n}{k}_": v for k in range(len(theirs)) for n, v in (("n", F.count(f"o{k}_")), ("x", F.sum(f"o{k}_")), ("xx", F.sum(F.col(f"o{k}_") * F.col(f"o{k}_"))))}
+    by = off.groupBy("r_").agg(*[v.alias(n) for n, v in parts.items()])
     window = sizes.withColumn("r_", F.explode(F.sequence(F.floor(F.col("s_") * (1 - spread)).cast("long"), F.floor(F.col("s_") * (1 + spread)).cast("long"))))
-    stat = window.join(by.withColumn("r_", F.col("r_").cast("long")), "r_").groupBy("s_").agg(F.sum("n_").alias("n_"), F.sum("x_").alias("x_"), F.sum("xx_").alias("xx_"))
-    mean = F.col("x_") / F.col("n_")
-    sd = F.sqrt(F.greatest(F.try_divide(F.col("xx_") - F.col("n_") * mean * mean, F.col("n_") - 1), F.lit(0.0)))
-    z = F.try_divide(F.col(value) - centre - mean, sd) * (-1 if invert else 1)
-    return models.withColumn("s_", size_).join(stat, "s_", "left").withColumn("z", z).drop("s_", "n_", "x_", "xx_")
+    stat = window.join(by, "r_").groupBy("s_").agg(*[F.sum(n).alias(n) for n in parts])
+    out = models.withColumn("s_", size_).join(stat, "s_", "left")
+    for k, own in enumerate(values):
+        n, mean = F.col(f"n{k}_"), F.try_divide(F.col(f"x{k}_"), F.col(f"n{k}_"))
+        sd = F.sqrt(clamped(F.try_divide(F.col(f"xx{k}_") - n * mean * mean, n - 1), low=0.0))
+        z = F.try_divide(missing_to_null(F.col(own).cast("double")) - centre.getField(f"c{k}") - mean, sd) * (-1 if invert else 1)
+        out = out.withColumn(f"{own}_z_score", z)
+    return out.drop("s_", *parts)
+
+
+def size_matched_z(models: DataFrame, reference: DataFrame, size: str, value: str, low: int = 40, high: int = 600, spread: float = 0.1, invert: bool = False) -> DataFrame:
+    """models with z, the z-score of one column that both tables have."""
+    return size_matched_zs(models, reference, size, {value: value}, low, high, spread, invert).withColumnRenamed(f"{value}_z_score", "z")
 
 
 def nearest_entry(values: Column, table: list[tuple[float, float]]) -> Column:
@@ -92,6 +105,31 @@ def unique_by_hash(rows: DataFrame, text: str, order: list[str]) -> DataFrame:
     return rows.groupBy(F.md5(text).alias("hash")).agg(F.min(F.struct(*order)).alias("f"), F.count("*").alias("n")).select("hash", "f.*", "n")
 
 
+def annotated_by_hash(rows: DataFrame, text: str, annotations: DataFrame) -> DataFrame:
+    """rows with the columns of annotations(hash, ...), by the hash of a text column; rows that none fits have nulls."""
+    return rows.withColumn("hash", F.md5(text)).join(annotations, "hash", "left")
+
+
+def differences(base: DataFrame, others: dict[str, DataFrame], on: list[str], score: str) -> DataFrame:
+    """(on, <name>): base's score less that of each other table, for the keys that all of them have."""
+    out = base.select(*on, F.col(score).alias("base_"))
+    for name, t in others.items():
+        out = out.join(t.select(*on, F.col(score).alias(f"o_{name}")), on)
+    return out.select(*on, *[(F.col("base_") - F.col(f"o_{n}")).alias(n) for n in others])
+
+
+def smoothed(rows: DataFrame, by: list[str], order: list[str], value: str, sigma: float, reach: int) -> DataFrame:
+    """rows with smooth: Gaussian means of a value over the rows up to reach before and after, rescaled at the ends."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    terms = []
+    for k in range(-reach, reach + 1):
+        v = F.col(value) if k == 0 else (F.lag(value, -k).over(w) if k < 0 else F.lead(value, k).over(w))
+        terms.append((v, math.exp(-0.5 * (k / sigma) ** 2)))
+    total = sum((F.coalesce(v * g, F.lit(0.0)) for v, g in terms), F.lit(0.0))
+    weight = sum((F.when(v.isNotNull(), g).otherwise(0.0) for v, g in terms), F.lit(0.0))
+    return rows.withColumn("smooth", F.try_divide(total, weight))
+
+
 def missing_keys(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """Rows whose key the table lacks."""
     return rows.join(table, key, "left_anti")

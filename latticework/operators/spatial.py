@@ -80,16 +80,17 @@ RADII = {"C": 1.6, "N": 1.3, "O": 1.3, "S": 1.7}
 CLASH_REACH, CLASH_FULL, CLASH_MOST, CLASH_SLOPE = 3.2, 0.8254, 10.0, 57.273
 
 
-def clash_scores(atoms: DataFrame, id_col: str, element: str, residue: str, chain: str, number: str, separation: int = 2, disulfide: Column | None = None) -> DataFrame:
-    """(residue, clash): penalties of close atom pairs, summed over each residue's atoms, 0 where there are none."""
-    pairs = apart_in_sequence(self_pairs(atoms, CLASH_REACH, id_col), chain, number, separation)
+def clash_scores(atoms: DataFrame, id_col: str, element: str, residue: str, chain: str, number: str, separation: int = 2, disulfide: Column | None = None, keys: list[str] | None = None) -> DataFrame:
+    """(keys, residue, clash): penalties of close atom pairs, summed over each residue's atoms, 0 where there are none."""
+    on = [*(keys or []), residue]
+    pairs = apart_in_sequence(self_pairs(atoms, CLASH_REACH, id_col, keys), chain, number, separation)
     if disulfide is not None:
         pairs = pairs.where(~disulfide)
     contact = sum(F.coalesce(*[F.when(F.col(f"{p}_{element}") == e, r) for e, r in RADII.items()]) for p in "lr")
     d = F.sqrt("d2")
     score = F.when(d < CLASH_FULL * contact, CLASH_MOST).when(d <= contact, CLASH_SLOPE * (1 - d / contact)).otherwise(0.0)
-    found = pairs.groupBy(F.col(f"l_{residue}").alias(residue)).agg(F.sum(score).alias("s"))
-    return atoms.select(residue).distinct().join(found, residue, "left").select(residue, F.coalesce("s", F.lit(0.0)).alias("clash"))
+    found = pairs.groupBy(*[F.col(f"l_{c}").alias(c) for c in on]).agg(F.sum(score).alias("s"))
+    return atoms.select(*on).distinct().join(found, on, "left").select(*on, F.coalesce("s", F.lit(0.0)).alias("clash"))
 
 
 #: Thresholds of the distance-preservation similarity.

@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions.atom_types import atom_type
 from ..functions.geometry import add, box_state, dihedral, place_atom, rebuilt_cb, sub, unit, vec
-from .terms import Term, hbond, packing, pair_distance, reduced, smoothed_states, torsion
+from .chains import agreement, exposure, structure_class
+from .features import feature_table
+from .sequences import match_score
+from .spatial import clash_scores
+from .terms import Term, hbond, packing, pair_distance, reduced, residue_counts, smoothed_states, torsion
 
 #: Bond and angle of an amide hydrogen, and the angles that residues at chain ends are given.
 H_BOND, H_ANGLE, END_PHI, END_PSI = 0.9970, 2.0420, -1.0472, -0.78540
@@ -30,8 +34,9 @@ def _here(rows: DataFrame) -> list[Column]:
 
 
 def atom_points(atoms: DataFrame) -> DataFrame:
-    """(model, chain, rnum, res, id, kind, x, y, z) of atoms of known type."""
-    return atoms.select(*_here(atoms), F.col("serial").alias("id"), atom_type(F.col("rname"), F.col("aname")).alias("kind"), "x", "y", "z").where("kind is not null")
+    """(model, chain, rnum, res, rname, id, kind, x, y, z) of atoms of known type, and of membrane points, which have none."""
+    rows = atoms.select(*_here(atoms), "rname", F.col("serial").alias("id"), atom_type(F.col("rname"), F.col("aname")).alias("kind"), "x", "y", "z")
+    return rows.where("kind is not null or rname = 'MEM'")
 
 
 def side_chain_points(backbone: DataFrame) -> DataFrame:
@@ -91,3 +96,57 @@ def make_term(name: str, **options) -> Term:
     if name not in TERMS:
         raise ValueError(f"unknown term {name!r}: {', '.join(TERMS)} are known")
     return TERMS[name][1](**options)
+
+
+#: Features that need no energies; those after the second are made from annotations.
+FEATURES = ("counts", "clash", "exposed", "fraction_loops", "ss_agreement", "acc_agreement")
+
+
+def disulfide_contact() -> Column:
+    """Of pairs of atoms with l_ and r_ names: contacts within a disulfide bridge, which are no clashes."""
+
+    def bridge(p, q):
+        return (F.col(f"{p}_aname") == "SG") & ((F.col(f"{q}_aname") == "SG") | ((F.col(f"{q}_rname") == "CYS") & (F.col(f"{q}_aname") == "CB")))
+
+    return bridge("l", "r") | bridge("r", "l")
+
+
+def residue_feature(name: str, atoms: DataFrame, backbone: DataFrame, annotations: DataFrame | None = None, tables: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(model, res, energy) of one of FEATURES; without the annotations it needs, a feature is null.
+
+    annotations is (model, chain, rnum, dssp, pred, conf, area, acc): the observed state, the predicted one and its confidence, the
+    accessible share of the surface and the predicted b or e. tables are the probabilities that chains.agreement takes.
+    """
+    if name not in FEATURES:
+        raise ValueError(f"unknown feature {name!r}: {', '.join(FEATURES)} are known")
+    if name == "counts":
+        ca = backbone.select(*_here(backbone), *[F.col(f"ca{v}").alias(v) for v in "xyz"]).where("x is not null")
+        return residue_counts(ca).select("model", "res", F.col("n").cast("double").alias("energy"))
+    if name == "clash":
+        rows = atoms.withColumn("res", residue_id(F.col("chain"), F.col("rnum")))
+        return clash_scores(rows, "serial", "element", "res", "chain", "rnum", disulfide=disulfide_contact(), keys=["model"]).withColumnRenamed("clash", "energy")
+    if annotations is None or (name == "ss_agreement" and tables is None):
+        return backbone.select("model", residue_id(F.col("chain"), F.col("rnum")).alias("res"), F.lit(None).cast("double").alias("energy"))
+    rows = annotations.withColumn("res", residue_id(F.col("chain"), F.col("rnum")))
+    if name == "ss_agreement":
+        return agreement(rows, *tables).select("model", "res", F.col("agreement").alias("energy"))
+    value = {
+        "exposed": F.col("area").cast("double"),
+        "fraction_loops": (structure_class(F.lit(None).cast("string"), F.col("dssp")) == "coil").cast("double"),
+        "acc_agreement": match_score(F.col("acc"), exposure(F.col("area")), ["b", "e"]),
+    }
+    return rows.select("model", "res", value[name].alias("energy"))
+
+
+def structure_features(atoms: DataFrame, backbone: DataFrame, terms: dict[str, tuple[str, Term]], energies: dict[str, DataFrame], names: tuple[str, ...] = (), **inputs) -> DataFrame:
+    """(model, chain, rnum, rname, aa, res, ...): a column for each term, scored with its energies, and for each of the named FEATURES.
+
+    terms has the kind and the term of each name; inputs are annotations and tables, as residue_feature takes them.
+    """
+    scores = {}
+    for name, (kind, term) in terms.items():
+        points = term_points(kind, atoms, backbone)
+        scores[name] = term.score(points, points, energies[name])
+    scores |= {name: residue_feature(name, atoms, backbone, **inputs) for name in names}
+    residues = backbone.select("model", "chain", "rnum", "rname", "aa", residue_id(F.col("chain"), F.col("rnum")).alias("res"))
+    return feature_table(residues, scores, ["model", "res"])

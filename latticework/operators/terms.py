@@ -9,11 +9,12 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import product
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import add, angle, dihedral, scale, sub, vec
+from ..functions.geometry import add, angle, dihedral, scale, sub, vec, wrap
 from ..functions.scalars import bin_of
 from .histogram import histogram
 from .potential import SIGMA, lookup, normalised_by_state, residue_energies, sippl
@@ -29,23 +30,28 @@ class Term:
     rows: Callable[[DataFrame, DataFrame], DataFrame]
     sums: bool = False  # energies are scaled by state; a residue's is a sum, and 0 without interactions
 
-    def train(self, target: DataFrame, environment: DataFrame, weight: float = 1.0) -> DataFrame:
-        return histogram(self.rows(target, environment), list(self.keys), list(self.sizes), weight)
+    def train(self, target: DataFrame, environment: DataFrame, weight: float = 1.0, extra: tuple[str, ...] = ()) -> DataFrame:
+        """Counts; extra names columns of target whose values are counted apart, in one pass over the rows."""
+        return histogram(self._rows(target, environment, extra), [*self.keys, *extra], list(self.sizes), weight)
 
-    def energies(self, counts: DataFrame, sigma: float = SIGMA, reference_state: str = "classic") -> DataFrame:
+    def energies(self, counts: DataFrame, sigma: float = SIGMA, reference_state: str = "classic", extra: tuple[str, ...] = ()) -> DataFrame:
+        """Energies of counts, a table of its own for each value of the extra columns."""
         if self.sums:
+            if extra:
+                raise ValueError("energies that are scaled by state have no further tables")
             return normalised_by_state(counts, self.keys[0], self.sizes)
-        return sippl(counts, list(self.keys), self.sizes, sigma, reference_state)
+        return sippl(counts, list(self.keys), self.sizes, sigma, reference_state, extra)
+
+    def _rows(self, target: DataFrame, environment: DataFrame, extra: tuple[str, ...]) -> DataFrame:
+        rows = self.rows(target, environment)
+        return rows.join(target.select("model", "res", *extra).distinct(), ["model", "res"]) if extra else rows
 
     def score(self, target: DataFrame, environment: DataFrame, energies: DataFrame, extra: tuple[str, ...] = (), normalise: bool = True) -> DataFrame:
         """(model, res, energy). extra names key columns of target and energies besides the term's, as a secondary structure state.
 
         A residue's rows take its own values of them, so that tables of all states are looked up in one join.
         """
-        rows = self.rows(target, environment)
-        if extra:
-            rows = rows.join(target.select("model", "res", *extra).distinct(), ["model", "res"])
-        scored = lookup(rows, energies, [*self.keys, *extra, *self.sizes], 0.0 if self.sums else None)
+        scored = lookup(self._rows(target, environment, extra), energies, [*self.keys, *extra, *self.sizes], 0.0 if self.sums else None)
         return residue_energies(target, scored, ["model", "res"], normalise and not self.sums, 0.0 if self.sums else None)
 
     def keyed(self, tables: dict[str, DataFrame], name: str) -> DataFrame:
@@ -95,27 +101,34 @@ def reduced(low: float, high: float, bins: int, angle_bins: int, dihedral_bins:
 
 
 def packing(cutoff: float, most: int, kind: str) -> Term:
-    """How many points of other residues lie within cutoff, clamped; no neighbours is a count of its own."""
+    """How many points of other residues lie within cutoff, clamped; no neighbours is a count of its own.
+
+    Environment points of residue MEM (column rname, where there is one) stand for a membrane: they count like others, but
+    as targets they have no kind and are left out.
+    """
     _check(0, cutoff, most)
 
     def rows(target, around):
         # an atom and a residue are the same row here: id is unique in the model
         pairs = radius_join(target, around, cutoff, ["model"]).where(F.col("l_res") != F.col("r_res"))
         n = pairs.groupBy(F.col("l_model").alias("model"), F.col("l_id").alias("id")).agg(F.count("*").alias("c"))
-        out = target.join(n, ["model", "id"], "left")
+        out = target.where(F.col(kind).isNotNull()).join(n, ["model", "id"], "left")
         return out.select("model", "res", F.col(kind).alias("a"), F.least(F.coalesce("c", F.lit(0)), F.lit(most)).cast("int").alias("n"))
 
     return Term(("a",), {"n": most + 1}, rows)
 
 
-def torsion(rules: list[tuple[str, str, str]], bins: tuple[int, ...]) -> Term:
+def torsion(rules: list[tuple[str, str, str]], bins: tuple[int, ...], names: list[str] | None = None) -> Term:
     """Backbone angles of three residues in a row, by the first rule that fits their names.
 
     A rule has three entries, each `all` or names with commas between. residues need aa3, phi and psi; all three residues
-    must follow each other and have both angles.
+    must follow each other and have both angles. Angles are held within [-pi, pi]. With names, rules that leave one of their
+    triplets without a group are an error.
     """
     if len(bins) != 6:
         raise ValueError("six bin counts are needed: phi and psi of three residues")
+    if names is not None and (gap := uncovered(rules, names)):
+        raise ValueError(f"no rule covers {', '.join(gap)}")
     most = math.pi - 0.0001
 
     def rows(target, around):
@@ -134,6 +147,18 @@ def torsion(rules: list[tuple[str, str, str]], bins: tuple[int, ...]) -> Term:
     return Term(("g",), {f"b{i}": n for i, n in enumerate(bins)}, rows)
 
 
+def uncovered(rules: list[tuple[str, ...]], names: list[str]) -> tuple[str, ...] | None:
+    """The first triplet of names that no rule fits, or None."""
+    entries = [[None if e == "all" else {x.strip() for x in e.split(",")} for e in r] for r in rules]
+    return next((t for t in product(names, repeat=3) if not any(all(e is None or n in e for n, e in zip(t, r)) for r in entries)), None)
+
+
+def angle_energies(rows: DataFrame, energies: DataFrame, bins: tuple[int, ...], angles: list[str]) -> DataFrame:
+    """rows(g, six angle columns) with e of a torsion table; angles of any turn are wrapped, an unknown group has null."""
+    cells = {f"b{i}": bin_of(wrap(F.col(a)), -math.pi, math.pi, n) for i, (a, n) in enumerate(zip(angles, bins, strict=True))}
+    return lookup(rows.withColumns(cells), energies, ["g", *cells]).drop(*cells)
+
+
 def first_rule(names: list, rules: list[tuple[str, ...]]):
     """The number of the first rule whose entries all fit, else null; `all` fits anything."""
     out = F.lit(None).cast("int")

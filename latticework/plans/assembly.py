@@ -33,9 +33,10 @@ def constraint_interp(spark, d):
 
 
 def constraint_data(spark, d):
-    pairs = _templates(spark, d).where("label = 0").select("target", "i", "j", "d")
-    out = C.constraint_data(pairs, _functions(spark, d), ["target"], CUTOFF / 2, STEP)
-    return out.select("res", r6("disco"), "counts", F.round("avg_num_clusters", 6).alias("clusters"), "num_constraints", r6("fraction_observed"))
+    """Every label's points as a model."""
+    pairs = _templates(spark, d).select("target", "label", "i", "j", "d")
+    out = C.constraint_data(pairs, _functions(spark, d), ["target"], CUTOFF / 2, STEP, ("label",))
+    return out.select("label", "res", r6("disco"), "counts", F.round("avg_num_clusters", 6).alias("clusters"), "num_constraints", r6("fraction_observed"))
 
 
 def chain_names(spark, d):
@@ -64,11 +65,10 @@ def sequence_coverage(spark, d):
 
 
 def keyed_energy(spark, d):
-    """Energies by a state of the residue: three tables in one, looked up in one join."""
-    r, term = _residues(spark, d), pair_distance(0.0, RADIUS, 5, 0, "label")
-    tables = {str(k): term.energies(term.train(r.where(F.col("ss") == k), r)) for k in range(3)}
-    target = r.withColumn("ss", F.col("ss").cast("string"))
-    return term.score(target, target, term.keyed(tables, "ss"), ("ss",)).select(F.col("res").alias("id"), r6("energy"))
+    """Energies by a state of the residue: three tables in one, counted in one pass and looked up in one join."""
+    r, term, state = _residues(spark, d), pair_distance(0.0, RADIUS, 5, 0, "label"), ("ss",)
+    energies = term.energies(term.train(r, r, extra=state), extra=state)
+    return term.score(r, r, energies, state).select(F.col("res").alias("id"), r6("energy"))
 
 
 def packing_energy(spark, d):
@@ -144,9 +144,9 @@ def _reduced_sql() -> str:
 
 ORACLES = {
     "constraint_interp": f"WITH t AS (SELECT l_returnflag, l_linestatus, l_discount * 5 / 0.1::DOUBLE AS u FROM lineitem), w AS (SELECT *, floor(u)::INT AS k, {_GRID} AS g FROM t) SELECT l_returnflag, l_linestatus, round(avg(g[k + 1] * (1 - (u - k)) + g[k + 2] * (u - k)), 6) AS v FROM w GROUP BY ALL",
-    "constraint_data": _CONSTRAINED + f""", m AS (SELECT i, j, d, floor(d / {STEP}::DOUBLE)::INT AS k FROM d WHERE label = 0 AND d < {CUTOFF}),
-      x AS (SELECT m.i, m.j, m.d < {CUTOFF / 2} AS near, lo.num_clusters, lo.v * (1 - (m.d / {STEP}::DOUBLE - m.k)) + hi.v * (m.d / {STEP}::DOUBLE - m.k) AS s FROM m JOIN f lo ON lo.i = m.i AND lo.j = m.j AND lo.k = m.k LEFT JOIN f hi ON hi.i = m.i AND hi.j = m.j AND hi.k = m.k + 1)
-      SELECT res, round(avg(s) FILTER (near), 6) AS disco, (count(*) FILTER (near))::BIGINT AS counts, round(avg(num_clusters) FILTER (near), 6) AS clusters, count(*)::BIGINT AS num_constraints, round((count(*) FILTER (near)) / count(*)::DOUBLE, 6) AS fraction_observed FROM (SELECT unnest([i, j]) AS res, s, near, num_clusters FROM x) GROUP BY res""",
+    "constraint_data": _CONSTRAINED + f""", m AS (SELECT label, i, j, d, floor(d / {STEP}::DOUBLE)::INT AS k FROM d WHERE d < {CUTOFF}),
+      x AS (SELECT m.label, m.i, m.j, m.d < {CUTOFF / 2} AS near, lo.num_clusters, lo.v * (1 - (m.d / {STEP}::DOUBLE - m.k)) + hi.v * (m.d / {STEP}::DOUBLE - m.k) AS s FROM m JOIN f lo ON lo.i = m.i AND lo.j = m.j AND lo.k = m.k LEFT JOIN f hi ON hi.i = m.i AND hi.j = m.j AND hi.k = m.k + 1)
+      SELECT label, res, round(avg(s) FILTER (near), 6) AS disco, (count(*) FILTER (near))::BIGINT AS counts, round(avg(num_clusters) FILTER (near), 6) AS clusters, count(*)::BIGINT AS num_constraints, round((count(*) FILTER (near)) / count(*)::DOUBLE, 6) AS fraction_observed FROM (SELECT label, unnest([i, j]) AS res, s, near, num_clusters FROM x) GROUP BY label, res""",
     "chain_names": f"""WITH c AS (SELECT DISTINCT n_regionkey, CASE WHEN n_nationkey % 3 = 0 THEN repeat(' ', n_nationkey % 7) ELSE substr(n_name, 1, 1) END AS chain FROM nation),
       b AS (SELECT n_regionkey, chain, row_number() OVER (PARTITION BY n_regionkey ORDER BY chain) AS k FROM c WHERE trim(chain) = ''),
       f AS (SELECT r.n_regionkey, n.name, row_number() OVER (PARTITION BY r.n_regionkey ORDER BY n.spot) AS k FROM (SELECT DISTINCT n_regionkey FROM c) r CROSS JOIN (SELECT unnest(range(1, 65)) AS spot, substr('{CH.CHAIN_NAMES}', spot, 1) AS name) n WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.n_regionkey = r.n_regionkey AND c.chain = n.name))

@@ -131,9 +131,10 @@ def constraint_function(spark, d):
 
 
 def constraint_score(spark, d):
-    pairs = _templates(spark, d).where("label = 0").select("target", "i", "j", "d")
-    out = C.constraint_scores(pairs, _functions(spark, d), ["target"], STEP)
-    return out.select("res", r6("score"), "count", F.round("clusters", 6).alias("clusters"), F.round("variance", 8).alias("variance"))
+    """Every label's points as a model."""
+    pairs = _templates(spark, d).select("target", "label", "i", "j", "d")
+    out = C.constraint_scores(pairs, _functions(spark, d), ["target"], STEP, ("label",))
+    return out.select("label", "res", r6("score"), "count", F.round("clusters", 6).alias("clusters"), F.round("variance", 8).alias("variance"))
 
 
 def pairwise_similarity(spark, d):
@@ -233,9 +234,9 @@ ORACLES = {
     "mlp_predict": f"WITH {_Z} SELECT p_partkey, round(0.05 + 0.7 * greatest(0.1 + 0.5 * a - 0.25 * b + 0.1 * c, 0) - 0.4 * greatest(-0.2 - 0.3 * a + 0.8 * b + 0.2 * c, 0), 4)::DOUBLE AS y FROM z1",
     "one_hot_counts": "WITH c AS (SELECT upper(substr(p_type, 1, 1)) AS c FROM part) SELECT c, sum((c = 'E')::INT)::DOUBLE AS n0, sum((c = 'P')::INT)::DOUBLE AS n1, sum((c = 'S')::INT)::DOUBLE AS n2 FROM c GROUP BY c",
     "constraint_function": f"WITH {_TEMPLATES} SELECT i, j, num_clusters, round(variance, 8) AS variance, k, round(v, 6) AS v FROM f",
-    "constraint_score": f"""WITH {_TEMPLATES}, m AS (SELECT i, j, d, floor(d / {STEP}::DOUBLE)::INT AS k FROM d WHERE label = 0 AND d < {CUTOFF}),
-      x AS (SELECT m.i, m.j, lo.num_clusters, lo.variance, lo.v * (1 - (m.d / {STEP}::DOUBLE - m.k)) + hi.v * (m.d / {STEP}::DOUBLE - m.k) AS s FROM m JOIN f lo ON lo.i = m.i AND lo.j = m.j AND lo.k = m.k LEFT JOIN f hi ON hi.i = m.i AND hi.j = m.j AND hi.k = m.k + 1)
-      SELECT res, round(avg(s), 6) AS score, count(s)::BIGINT AS count, round(avg(num_clusters), 6) AS clusters, round(avg(variance), 8) AS variance FROM (SELECT unnest([i, j]) AS res, s, num_clusters, variance FROM x) GROUP BY res""",
+    "constraint_score": f"""WITH {_TEMPLATES}, m AS (SELECT label, i, j, d, floor(d / {STEP}::DOUBLE)::INT AS k FROM d WHERE d < {CUTOFF}),
+      x AS (SELECT m.label, m.i, m.j, lo.num_clusters, lo.variance, lo.v * (1 - (m.d / {STEP}::DOUBLE - m.k)) + hi.v * (m.d / {STEP}::DOUBLE - m.k) AS s FROM m JOIN f lo ON lo.i = m.i AND lo.j = m.j AND lo.k = m.k LEFT JOIN f hi ON hi.i = m.i AND hi.j = m.j AND hi.k = m.k + 1)
+      SELECT label, res, round(avg(s), 6) AS score, count(s)::BIGINT AS count, round(avg(num_clusters), 6) AS clusters, round(avg(variance), 8) AS variance FROM (SELECT label, unnest([i, j]) AS res, s, num_clusters, variance FROM x) GROUP BY label, res""",
     "pairwise_similarity": """WITH n AS (SELECT n_regionkey, n_name, unnest(range(1, 15)) AS col FROM nation), c AS (SELECT n_regionkey, n_name, col, substr(rpad(n_name, 14, '-'), col::INT, 1) AS c FROM n)
       SELECT a.n_name AS one, b.n_name AS two, round(avg((a.c = b.c)::INT::DOUBLE) * 100, 6) AS identity FROM c a JOIN c b ON a.n_regionkey = b.n_regionkey AND a.col = b.col AND a.n_name < b.n_name WHERE a.c <> '-' AND b.c <> '-' GROUP BY ALL""",
     "gap_counts": "WITH g AS (SELECT lang, regexp_replace(text, '[aeiou]', '-', 'g') AS t FROM documents) SELECT lang, sum(len(regexp_extract_all(trim(t, '-'), '-+')))::BIGINT AS runs, sum(len(t) - len(replace(t, '-', '')))::BIGINT AS gaps FROM g GROUP BY lang",

@@ -55,20 +55,23 @@ def read_structures(spark: SparkSession, path: str) -> DataFrame:
     return {"pdb": read_pdb, "cif": read_cif}[structure_format(path)](spark, path)
 
 
-def preprocessed(atoms: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
-    """Modified residues renamed, then hydrogens, atoms without occupancy and non-standard residues left out."""
+def preprocessed(atoms: DataFrame, mapping: dict[str, str] | None = None, membrane: bool = False) -> DataFrame:
+    """Modified residues renamed, then hydrogens, atoms without occupancy and non-standard residues left out.
+
+    With membrane, points of residue MEM stay, as neighbours for the packing terms.
+    """
     rname = F.col("rname")
     for modified, plain in (mapping or {"MSE": "MET"}).items():
         rname = F.when(F.col("rname") == modified, F.lit(plain)).otherwise(rname)
     rows = atoms.withColumn("rname", rname).withColumn("aa", one_letter(F.col("rname")))
-    return rows.where(~F.col("element").isin("H", "D") & (F.coalesce("occ", F.lit(1.0)) > 0) & F.col("aa").isNotNull() & F.col("altloc").isin("", "A"))
+    return rows.where(~F.col("element").isin("H", "D") & (F.coalesce("occ", F.lit(1.0)) > 0) & (F.col("aa").isNotNull() | (F.lit(membrane) & (F.col("rname") == "MEM"))) & F.col("altloc").isin("", "A"))
 
 
 def backbone(atoms: DataFrame) -> DataFrame:
     """One row a residue with the positions of its n, ca, c, o and cb."""
     names = ["N", "CA", "C", "O", "CB"]
     at = [F.first(F.when(F.col("aname") == n, F.col(v)), ignorenulls=True).alias(f"{n.lower()}{v}") for n in names for v in "xyz"]
-    return atoms.groupBy("model", "chain", "rnum", "rname", "aa").agg(*at)
+    return atoms.where("aa is not null").groupBy("model", "chain", "rnum", "rname", "aa").agg(*at)
 
 
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -50,12 +50,26 @@ def score_arrays(positions: DataFrame, scores: DataFrame, by: list[str], positio
     return rows.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(pair)), lambda x: x["v"]).alias("scores"))
 
 
-def result_documents(chains: DataFrame, totals: DataFrame, model: str = "model") -> DataFrame:
-    """(model, json): local scores by chain and the global scores of every model, as one document."""
+def term_arrays(scores: DataFrame, names: list[str], by: list[str], position: str) -> DataFrame:
+    """(by, terms): arrays of every named column in order of position, null where it is missing, rounded to three digits."""
+    values = [F.round(F.nanvl(F.col(n).cast("double"), F.lit(None).cast("double")), 3).alias(n) for n in names]
+    rows = scores.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(position).alias("at_"), *values))).alias("r_"))
+    return rows.select(*by, F.struct(*[F.col("r_").getField(n).alias(n) for n in names]).alias("terms"))
+
+
+def result_documents(chains: DataFrame, totals: DataFrame, model: str = "model", terms: DataFrame | None = None) -> DataFrame:
+    """(model, json): local scores by chain and the global scores of every model, as one document.
+
+    chains is (model, chain, scores); with terms(model, chain, terms) the document has all terms of each chain as local_terms.
+    """
     local = chains.groupBy(model).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("chain", "scores")))).alias("local_scores"))
+    parts = ["local_scores", "global_scores"]
+    if terms is not None:
+        shown = terms.groupBy(model).agg(F.map_from_entries(F.collect_list(F.struct("chain", "terms"))).alias("local_terms"))
+        local, parts = local.join(shown, model, "left"), [*parts, "local_terms"]
     names = [c for c in totals.columns if c != model]
     globals_ = totals.select(model, F.struct(*[F.round(c, 3).alias(c) for c in names]).alias("global_scores"))
-    return local.join(globals_, model, "left").select(model, F.to_json(F.struct("local_scores", "global_scores"), {"ignoreNullFields": "false"}).alias("json"))
+    return local.join(globals_, model, "left").select(model, F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def scores_as_bfactors(atoms: DataFrame, scores: DataFrame, by: list[str], score: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -14,7 +15,7 @@ from latticework.operators import constraints as C
 from latticework.operators import features as FT
 from latticework.operators import models as M
 from latticework.operators import raw_model as RM
-from latticework.operators.terms import hbond, pair_distance
+from latticework.operators.terms import hbond, pair_distance, torsion
 from latticework.sources.profiles import average_entropy, column_entropy, read_hhm, read_training_rows
 
 
@@ -191,3 +192,88 @@ def test_raw_model_is_brute_force(spark):
     assert 4 <= len(whole) <= 10
     want = np.mean([tor[seq[i][3], 0, 0, bin3(phi[i]), bin3(psi[i]), 0, 0] for i in whole])
     assert abs(got["torsion"] - want) < 1e-9
+
+
+def _similar(a, b, sub, low, high):
+    s = [sub[p, q] for p, q in zip(a, b) if p != "-" and q != "-"]
+    return (sum(s) / len(s) - low) / (high - low) if s else 0.0
+
+
+def test_constraint_set_is_brute_force(spark, tmp_path):
+    r = random.Random(5)
+    sub = {(a, b): float(ord(a) * ord(b) % 9 - 4) if a != b else 5.0 for a in "ACDE" for b in "ACDE"}
+    sub = {(a, b): sub[min(a, b), max(a, b)] for a in "ACDE" for b in "ACDE"}
+    target = "ACDEACDEAC"
+    rows = {"p": "ACDEACDE-C", "q": "ACDEACD-AC", "r": "EE-CCADEDA"}
+    places = {t: {k + 1: [r.uniform(0, 6) for _ in "xyz"] for k, c in enumerate(s) if c != "-"} for t, s in rows.items()}
+    o = C.ConstraintOptions(cutoff=5.0, gamma=3.0, similarity=0.8, step=0.5)
+    frames = (
+        spark.createDataFrame([("t", target)], "target string, sequence string"),
+        spark.createDataFrame([("t", k, target, s) for k, s in rows.items()], "target string, template string, t string, s string"),
+        spark.createDataFrame([("t", k, p, *x) for k, at in places.items() for p, x in at.items()], "target string, template string, pos int, x double, y double, z double"),
+        spark.createDataFrame([(*k, v) for k, v in sub.items()], "a string, b string, s double"),
+    )
+    low, high = min(sub.values()), max(sub.values())
+    own = {k: _similar(target, s, sub, low, high) for k, s in rows.items()}
+    assert _similar(rows["p"], rows["q"], sub, low, high) >= 0.8 > max(_similar(rows[k], rows["r"], sub, low, high) for k in "pq")
+    cluster = {"p": "p", "q": "p", "r": "r"}
+    weight = {"p": math.exp(3 * (own["p"] + own["q"]) / 2), "r": math.exp(3 * own["r"])}
+    want = {}
+    for i in range(1, 11):
+        for j in range(i + 1, 11):
+            ds = [(cluster[k], math.floor(math.dist(at[i], at[j]) * 1000) / 1000) for k, at in places.items() if i in at and j in at and math.dist(at[i], at[j]) < 5]
+            n = Counter(c for c, _ in ds)
+            total = sum(weight[c] for c in n)
+            if ds:
+                want[i, j] = [sum(weight[c] / total / n[c] * math.exp(-0.5 * (d - 0.5 * k) ** 2) for c, d in ds) for k in range(17)]
+    built = C.ConstraintSet.build(*frames, o)
+    got = {(x["i"], x["j"]): x for x in built.table.collect()}
+    assert got.keys() == want.keys()
+    for k, v in want.items():
+        assert np.allclose(got[k]["constraint"], v)
+    built.save(str(tmp_path / "c"))
+    back = C.ConstraintSet.load(spark, str(tmp_path / "c"))
+    i, j = next(iter(want))
+    assert back.options == o and np.allclose(back.at("t", j, i).first()["constraint"], want[i, j], atol=0.0021)
+    assert back.at("t", 1, 99).isEmpty()
+    with pytest.raises(PySparkException):
+        C.ConstraintSet.build(frames[0], frames[1].withColumn("t", F.lit("ACDE")), *frames[2:], o).table.collect()
+
+
+def test_linkage_is_brute_force(spark):
+    r = random.Random(2)
+    for linkage, combine in (("average", lambda v: sum(v) / len(v)), ("max", max), ("min", min)):
+        s = {(i, j): r.random() for i in range(9) for j in range(i + 1, 9) if r.random() < 0.8}
+        groups = [[i] for i in range(9)]
+        while True:
+            links = [(combine(v), -x, -y) for x, a in enumerate(groups) for y, b in enumerate(groups) if x < y and (v := [s[min(p, q), max(p, q)] for p in a for q in b if (min(p, q), max(p, q)) in s])]
+            if not links or max(links)[0] < 0.5:
+                break
+            _, x, y = max(links)
+            groups[-x] += groups.pop(-y)
+        rows = spark.createDataFrame([("t", i, j, v) for (i, j), v in s.items()], "t string, i int, j int, s double")
+        got = {x["item"]: x["cluster"] for x in C.linkage_clusters(rows, "t", 0.5, linkage).collect()}
+        assert got == {i: min(g) for g in groups for i in g}
+
+
+def test_fits_are_numpy(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(400, 2)) + 1e6
+    rows = [("g", float(a), float(b) if k % 3 else None, float(2 * a - b + 3 + e)) for k, ((a, b), e) in enumerate(zip(x, r.normal(size=400)))]
+    table = spark.createDataFrame(rows, "g string, a double, b double, y double")
+    got = {p["pattern"]: p for p in M.subset_scorer(table, ["g"], ["a", "b"], "y").collect()}
+    for pattern, use in (("a", [0]), ("b", [1]), ("a,b", [0, 1])):
+        known = [(v[1:3], v[3]) for v in rows if all(v[1 + u] is not None for u in use)]
+        m = np.array([[v[0][u] - 1e6 for u in use] for v in known])
+        w = np.linalg.lstsq(np.c_[np.ones(len(m)), m], np.array([v[1] for v in known]), rcond=None)[0]
+        assert got[pattern]["n"] == len(known) and np.allclose(got[pattern]["weights"], w[1:], rtol=1e-6)
+        assert abs(got[pattern]["intercept"] + 1e6 * sum(got[pattern]["weights"]) - w[0]) < 1e-3
+    twice = spark.createDataFrame([("g", float(k), 2.0 * k, 5.0 * k + 1) for k in range(120)], "g string, a double, b double, y double")
+    fit = M.least_squares(twice, ["g"], ["a", "b"], "y").first()
+    assert np.allclose(fit["weights"], [1, 2]) and abs(fit["intercept"] - 1) < 1e-6
+
+
+def test_rules_must_cover(spark):
+    with pytest.raises(ValueError):
+        torsion([("A", "all", "all")], (1, 1, 3, 3, 1, 1), ["A", "B"])
+    assert torsion([("A", "all", "all"), ("all", "all", "all")], (1, 1, 3, 3, 1, 1), ["A", "B"]).keys == ("g",)

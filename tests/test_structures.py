@@ -10,7 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from latticework.__main__ import main
+from latticework.operators import models as M
 from latticework.operators import structures as ST
+from latticework.operators.terms import packing
 from latticework.sources import readers as R
 
 FILE = f"{os.path.dirname(os.path.abspath(__file__))}/data/1crn.pdb"
@@ -80,3 +82,39 @@ def test_command_line(spark, tmp_path):
     # what was counted is favoured: every energy is below zero on the structure it was made of
     assert all(means[f"avg_{n}"] < 0 for n in ("pairs", "packing", "torsion", "hbond"))
     assert len(document["local_scores"]["A"]) == 46 and abs(document["global_scores"]["avg_pairs"] - means["avg_pairs"]) < 6e-4
+    assert {k: len(v) for k, v in document["local_terms"]["A"].items()} == {k: 46 for k in settings}
+
+
+def test_composed_scores(spark, crambin, tmp_path):
+    settings = {"pairs": {"term": "interaction", "low": 0.0, "high": 10.0, "bins": 10, "separation": 4}, "cb": {"term": "cb_packing", "cutoff": 9.0, "most": 20}}
+    (tmp_path / "terms.json").write_text(json.dumps(settings))
+    main(["train", "--structures", FILE, "--terms", str(tmp_path / "terms.json"), "--out", str(tmp_path / "t")], spark)
+    scores = {"two": {"weights": {"pairs": -1.0, "counts": 0.01}, "intercept": 0.1}, "none": {"weights": {"exposed": 1.0}, "intercept": 0.0}}
+    (tmp_path / "scores.json").write_text(json.dumps(scores))
+    spark.createDataFrame([(n, 0.1 * n, 0.01 * n) for n in (42, 45, 50, 70)], "residues int, pairs double, two double").write.parquet(str(tmp_path / "ref"))
+    (tmp_path / "net").mkdir()
+    (tmp_path / "net/feature_groups.json").write_text(json.dumps([["counts", "avg_pairs"]]))
+    wide = M.Network([0.0] * 22, [1.0] * 22).add_layer([[0.01, -0.1, *[0.0] * 20]], [0.2], False)
+    (tmp_path / "net/nn_0.dat").write_bytes(wide.to_bytes())
+    main(["score", "--models", FILE, "--tables", str(tmp_path / "t"), "--out", str(tmp_path / "s"), "--features", "counts", "clash", "exposed", "--scores", str(tmp_path / "scores.json"), "--reference", str(tmp_path / "ref"), "--network", str(tmp_path / "net")], spark)
+    m = spark.read.parquet(str(tmp_path / "s/averages")).first()
+    two = min(1.0, max(0.0, 0.1 - m["avg_pairs"] + 0.01 * m["avg_counts"]))
+    ref = np.array([0.01 * n for n in (42, 45, 50)])
+    assert abs(m["two"] - two) < 1e-12 and m["none"] is None and m["avg_exposed"] is None
+    assert abs(m["two_z_score"] - (two - ref.mean()) / ref.std(ddof=1)) < 1e-9 and m["avg_pairs_z_score"] is not None
+    f = spark.read.parquet(str(tmp_path / "s/features")).collect()
+    local = {r["rnum"]: min(1.0, max(0.0, 0.2 + 0.01 * r["counts"] - 0.1 * m["avg_pairs"])) for r in f}
+    assert abs(m["avg_local_score"] - sum(local.values()) / 46) < 1e-6
+    document = json.loads(spark.read.text(str(tmp_path / "s/documents")).first()["value"])
+    assert sorted(document["local_terms"]["A"]) == ["cb", "clash", "counts", "exposed", "pairs", "score"]
+    assert document["local_scores"]["A"][0] == round(local[1], 3) and max(r["clash"] for r in f) < 10
+    # three disulfide bridges are no clashes
+    bridges = [r["clash"] for r in f if r["rname"] == "CYS"]
+    assert len(bridges) == 6 and max(bridges) < 1
+
+
+def test_membrane_points_count_as_neighbours(spark):
+    atoms = spark.createDataFrame([("m", "A", 1, "ALA", "CA", 1, 0.0), ("m", "A", 1, "ALA", "CB", 2, 1.0), ("m", "M", 9, "MEM", "X", 3, 2.0)], "model string, chain string, rnum int, rname string, aname string, serial int, x double").withColumns({"y": F.lit(0.0), "z": F.lit(0.0)})
+    points = ST.atom_points(atoms)
+    rows = packing(3.0, 5, "kind").rows(points, points).collect()
+    assert sorted((r["res"], r["n"]) for r in rows) == [("A:1", 1), ("A:1", 1)]
