@@ -236,7 +236,7 @@ def test_constraint_set_is_brute_force(spark, tmp_path):
     i, j = next(iter(want))
     assert back.options == o and np.allclose(back.at("t", j, i).first()["constraint"], want[i, j], atol=0.0021)
     assert back.at("t", 1, 99).isEmpty()
-    with pytest.raises(PySparkException):
+    with pytest.raises(Exception, match="first sequence must be the target's"):  # several stages fail at once, so the type varies
         C.ConstraintSet.build(frames[0], frames[1].withColumn("t", F.lit("ACDE")), *frames[2:], o).table.collect()
 
 
