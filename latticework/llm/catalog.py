@@ -5,6 +5,7 @@ from .language_id import op3_language_id
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .mixing import OP2_SQL, op2_mixing
 from .nearest import OP7_SQL, op7_nearest
+from .periodic_runs import op11_periodic_runs
 from .quality import op10_quality
 from .simhash import op9_simhash
 from .substring_dedup import op5_substring_dedup
@@ -22,5 +23,6 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 ORACLES = {"op1_line_dedup": OP1_SQL, "op2_mixing": OP2_SQL, "op6_url_filter": OP6_SQL, "op7_nearest": OP7_SQL}
