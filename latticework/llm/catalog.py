@@ -1,5 +1,6 @@
 """The queries of the training-data operators, and the SQL of those that SQL can express."""
 
+from .conversations import op13_conversation_repair
 from .decontamination import op4_decontamination
 from .language_id import op3_language_id
 from .line_dedup import OP1_SQL, op1_line_dedup
@@ -24,5 +25,6 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLES = {"op1_line_dedup": OP1_SQL, "op2_mixing": OP2_SQL, "op6_url_filter": OP6_SQL, "op7_nearest": OP7_SQL}
