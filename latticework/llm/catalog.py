@@ -6,6 +6,7 @@ from .language_id import op3_language_id
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .mixing import OP2_SQL, op2_mixing
 from .nearest import OP7_SQL, op7_nearest
+from .ngram_join import op12_ngram_join
 from .periodic_runs import op11_periodic_runs
 from .quality import op10_quality
 from .simhash import op9_simhash
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_ngram_join": op12_ngram_join,
     "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLES = {"op1_line_dedup": OP1_SQL, "op2_mixing": OP2_SQL, "op6_url_filter": OP6_SQL, "op7_nearest": OP7_SQL}
