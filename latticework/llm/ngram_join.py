@@ -3,10 +3,11 @@
 Jaccard distance is a metric, but documents that share nothing are all at distance 1 from each other, so pivots cannot tell them apart.
 Documents are therefore grouped first by parts of their sets. Sets of LEAST_CUT n-grams or more are cut by ranges of the n-grams' hashes into more
 parts than two linked sets can differ in, with room for empty parts: some part that is not empty is the same in both. Of smaller sets, the
-first few n-grams in order of their hashes give triples, one of which is in both. Documents reachable over equal parts form a group; most documents
-are in none. No link leaves its group.
+first few n-grams in order of their hashes give triples, one of which is in both. N-grams that over a thousandth of the documents hold (counted
+over all) are left out of parts and come last in that order, unless too little of a set is left; so passages that many share do not
+join their documents. Documents reachable over equal parts form a group; most documents are in none. No link leaves its group.
 
-Within a group the metric join runs. Pivots far from one another are chosen until every document is linked to one or is one itself; a
+Within a group, documents are told apart once more by their n-grams that are rarest in it, and then the metric join runs. Pivots far from one another are chosen until every document is linked to one or is one itself; a
 document belongs to the region of its nearest pivot p. If x of that region and y of another are within r, then y is within d(x, p) + r of
 p: such windows join the region, and region and window are joined in the same way. A group too large for one task is divided by pivots on
 Spark first: intersections with the pivots are a join on n-grams, regions and windows become groups of the next level, and a region that is
@@ -26,13 +27,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import connected_components, stage, table, union_all
-from .simhash import shingle_hashes
 
 WIDTH, SIMILAR = 4, 85
 #: Sets from this size on are cut into parts; sizes of one class differ by CLASS at most; smaller sets give TUPLE-subsets.
 LEAST_CUT, CLASS, TUPLE = 40, 1.5, 3
 #: Most n-grams and documents of a group that one task joins; n-grams in a task; pivots of a larger group; documents below which regions are not divided.
-GROUP_SHINGLES, GROUP_DOCS, TASK_SHINGLES, PIVOTS, LEAF = 1 << 19, 2048, 1 << 20, 16, 32
+GROUP_SHINGLES, GROUP_DOCS, TASK_SHINGLES, PIVOTS, LEAF = 1 << 22, 1 << 14, 1 << 22, 16, 32
+#: An n-gram is frequent if more than one in so many documents have it; n-grams that a task counts at a time; bits of the filter of wanted rows, at most.
+FREQUENT, COUNTED, FILTER_BITS = 1000, 1 << 22, 1 << 27
 #: A region with more of its group's documents than this share is compared block against block.
 SPLIT = 0.7
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -78,60 +80,130 @@ def subsets(n: int) -> np.ndarray:
     return np.array(list(combinations(range(n), TUPLE)), np.int64).reshape(-1, TUPLE)
 
 
-def part_keys(h: np.ndarray, similar: int = SIMILAR) -> np.ndarray:
-    """Keys of a set of sorted distinct hashes: any two different linked sets have one in common."""
+def part_keys(h: np.ndarray, similar: int = SIMILAR, frequent: np.ndarray | None = None) -> np.ndarray:
+    """Keys of a set of sorted distinct hashes: any two different linked sets have one in common, whichever n-grams are frequent (sorted)."""
     n, out = len(h), []
     common = least_common(n, similar)
     if common == n and n * 100 < (n + 1) * similar:
         return np.empty(0, np.uint64)  # linked with equal sets only
+    often = np.zeros(n, bool)
+    if frequent is not None and len(frequent):
+        often = frequent[np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)] == h
     with np.errstate(over="ignore"):
         if common < LEAST_CUT:
-            chosen = h[subsets(min(n, n - common + TUPLE))]
+            chosen = np.r_[h[~often], h[often]][subsets(min(n, n - common + TUPLE))]
             key = np.zeros(len(chosen), np.uint64)
             for k in range(TUPLE):
                 key = mixed(key + chosen[:, k])
             out.append(key)
         if n >= LEAST_CUT:
-            inner = mixed(h)
             for c, parts, differ in schemes(n, similar):
-                of = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-                begin = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
                 salt = np.uint64(c + 1) * _MIX
-                out.append(mixed(np.add.reduceat(inner, begin) + salt))
-                if len(begin) <= differ:  # so many are empty that two sets might agree in empty parts only
+                for own in (h[~often], h) if often.any() else (h,):
+                    of = ((own >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+                    begin = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(own) else np.empty(0, np.int64)
+                    if len(own):
+                        out.append(mixed(np.add.reduceat(mixed(own), begin) + salt))
+                    if len(begin) > differ:
+                        break
+                else:  # so many are empty that two sets might agree in empty parts only
                     out.append(mixed(mixed(np.setdiff1d(np.arange(parts, dtype=np.uint64), of[begin]) + salt) + salt))
     return np.concatenate(out)
 
 
-def ngram_sets(docs: DataFrame, id_col: str, text_col: str, width: int, similar: int) -> DataFrame:
-    """(doc, n, key, th, parts) for every row: set size, hash of the set (null if empty), hash of the text, keys of parts.
+def ngrams(text: bytes | None, width: int) -> np.ndarray:
+    """Hashes of a text's distinct word n-grams, sorted; of all its words if they are fewer than width."""
+    words = (text or b"").lower().split()
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    n = max(len(h) - width + 1, min(len(h), 1))
+    out = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(min(width, len(h))):
+            out = mixed(out * np.uint64(3) + h[k : k + n])
+    return np.unique(out)
+
+
+class Counts:
+    """N-grams that many documents hold, counted in bounded memory: what is rare when the buffer is full is dropped."""
+
+    def __init__(self) -> None:
+        self.kept, self.times, self.new, self.size, self.docs = np.empty(0, np.uint64), np.empty(0, np.int64), [], 0, 0
+
+    def add(self, h: np.ndarray) -> None:
+        self.new.append(h)
+        self.size += len(h)
+        self.docs += 1
+        if self.size > COUNTED:
+            self.settle()
+
+    def settle(self) -> None:
+        flat = np.concatenate([self.kept, *self.new])
+        times = np.r_[self.times, np.ones(len(flat) - len(self.times), np.int64)]
+        self.kept, of = np.unique(flat, return_inverse=True)
+        self.times = np.bincount(of, weights=times).astype(np.int64)
+        often = (self.times > 1) & (self.times * 2 * FREQUENT > self.docs)
+        self.kept, self.times, self.new, self.size = self.kept[often], self.times[often], [], 0
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("t"))
+
+
+def _texts(batch: pa.RecordBatch):
+    for t in batch.column("t").cast(pa.large_binary()):
+        yield t.as_py()
 
-    A set that stood earlier in the same partition has no parts again.
+
+def ngram_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(doc, n, key, th) for every row: set size, hash of the set (null if empty), hash of the text.
+
+    After its rows, each task gives its frequent n-grams: n is -1, key the n-gram and th how many documents have it.
     """
 
     def run(batches):
-        seen = set()
+        counts, names = Counts(), ["doc", "n", "key", "th"]
         for b in batches:
-            sizes, keys, parts = [], [], []
-            for t in b.column("t").cast(pa.large_binary()):
-                h = np.unique(shingle_hashes(t.as_py() or b"", width))
+            sizes, keys = [], []
+            for t in _texts(b):
+                h = ngrams(t, width)
+                counts.add(h)
                 sizes.append(len(h))
-                key = xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63) if len(h) else None
-                keys.append(key)
-                parts.append(np.empty(0, np.int64) if key is None or key in seen else np.unique(part_keys(h, similar)).view(np.int64))
-                seen.add(key)
-            ends = pa.array(np.cumsum([0, *map(len, parts)]), pa.int32())
-            flat = pa.array(np.concatenate(parts) if parts else [], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), b.column("th"), pa.ListArray.from_arrays(ends, flat)], ["doc", "n", "key", "th", "parts"])
+                keys.append(xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63) if len(h) else None)
+            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), b.column("th")], names)
+        counts.settle()
+        n = len(counts.kept)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(np.full(n, -1)), pa.array(counts.kept.view(np.int64)), pa.array(counts.times)], names)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInArrow(run, "doc long, n long, key long, th long, parts array<long>")
+    return _rows(docs, id_col, text_col).mapInArrow(run, "doc long, n long, key long, th long")
 
 
-def candidate_links(sets: DataFrame) -> DataFrame:
-    """(a, b), keys of different sets with an equal part: neighbours in the order of each part's sets, so few and not all pairs."""
+def frequent_ngrams(found: DataFrame) -> np.ndarray:
+    """Sorted hashes of n-grams that over one in FREQUENT documents have: FREQUENT times a document's n-grams in the mean, at most."""
+    total = found.where("n >= 0").count()
+    counts = found.where("n < 0").groupBy("key").agg(F.sum("th").alias("c")).where(F.col("c") * FREQUENT > total)
+    return np.sort(np.array([r["key"] for r in counts.select("key").collect()], np.int64).view(np.uint64))
 
-    def run(batches):
+
+def candidate_links(docs: DataFrame, id_col: str, text_col: str, width: int, similar: int, frequent: np.ndarray) -> DataFrame:
+    """(a, b), keys of different sets with an equal part: neighbours in the order of each part's sets, so few and not all pairs.
+
+    A set that stood earlier in the same partition gives its parts once.
+    """
+
+    def cut(batches):
+        seen = set()
+        for b in batches:
+            parts, keys = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            for t in _texts(b):
+                h = ngrams(t, width)
+                key = xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63)
+                if len(h) and key not in seen:
+                    seen.add(key)
+                    parts.append(np.unique(part_keys(h, similar, frequent)))
+                    keys.append(np.full(len(parts[-1]), key))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.concatenate(keys))], ["part", "key"])
+
+    def pair(batches):
         part, key = np.empty(0, np.int64), np.empty(0, np.int64)
         for b in batches:
             part, key = np.r_[part[-1:], b.column("part").to_numpy()], np.r_[key[-1:], b.column("key").to_numpy()]
@@ -139,8 +211,35 @@ def candidate_links(sets: DataFrame) -> DataFrame:
             pairs = np.unique(np.stack([key[new], key[new + 1]], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    parts = sets.select("key", F.explode("parts").alias("part"))
-    return parts.repartition("part").sortWithinPartitions("part", "key").mapInArrow(run, "a long, b long").distinct()
+    parts = _rows(docs, id_col, text_col).mapInArrow(cut, "part long, key long")
+    return parts.repartition("part").sortWithinPartitions("part", "key").mapInArrow(pair, "a long, b long").distinct()
+
+
+def wanted_sets(docs: DataFrame, id_col: str, text_col: str, width: int, wanted: DataFrame) -> DataFrame:
+    """(key, n, set) of the rows of docs that wanted(doc, th) names, and of a few others.
+
+    Which rows are wanted is a filter of hashed bits, 16 for each up to FILTER_BITS, so that texts are read where they lie and not shuffled.
+    """
+    bits = 1 << 20
+    while bits < min(16 * wanted.count(), FILTER_BITS):
+        bits *= 2
+    spot = F.pmod(F.xxhash64("doc", "th"), F.lit(bits)) + 1
+    maps = wanted.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits")).collect()
+    known = np.zeros(bits // 8, np.uint8)
+    for r in maps:
+        known[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+
+    def run(batches):
+        for b in batches:
+            at = b.column("spot").to_numpy() - 1
+            here = pa.array((known[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+            found = [ngrams(t, width) for t in _texts(b.filter(here))]
+            keys = [xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63) for h in found]
+            ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+            flat = pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([len(h) for h in found], pa.int64()), pa.ListArray.from_arrays(ends, flat)], ["key", "n", "set"])
+
+    return _rows(docs, id_col, text_col).withColumn("spot", spot).select("spot", "t").mapInArrow(run, "key long, n long, set array<long>")
 
 
 # ---- the metric join of a group
@@ -226,15 +325,38 @@ def metric_join(sets: list[np.ndarray], forest: Forest, names: list[int], simila
                 found.append((names[inner[near[0]]], names[y]))
 
 
+def rare_groups(sets: list[np.ndarray], similar: int) -> list[list[int]]:
+    """Sets that may be linked, by number: those reachable over n-grams that are among the rarest in both sets, counted in these sets.
+
+    Of two linked sets each lacks less than its n - least_common + 1 rarest ones, so that they share one of these.
+    """
+    sizes = np.array([len(s) for s in sets])
+    _, flat, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    of = np.repeat(np.arange(len(sets)), sizes)
+    order = np.lexsort((flat, times[flat], of))
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    first = order[place < (sizes - -(-similar * sizes // 100) + 1)[of]]
+    first = first[np.lexsort((of[first], flat[first]))]
+    forest = Forest(range(len(sets)))
+    same = np.flatnonzero(flat[first[1:]] == flat[first[:-1]])
+    for a, b in np.unique(np.stack([of[first[same]], of[first[same + 1]]], axis=1), axis=0).tolist():
+        forest.join(a, b)
+    out: dict[int, list[int]] = {}
+    for i in range(len(sets)):
+        out.setdefault(forest.root(i), []).append(i)
+    return [g for g in out.values() if len(g) > 1]
+
+
 def group_links(keys: list[int], roots: list[int], sets: list[np.ndarray], similar: int) -> list[tuple[int, int]]:
     """Links (a, b) between keys that connect all that links of the group connect; keys of equal root are connected already."""
     forest, found = Forest(roots), []
-    metric_join(sets, forest, list(range(len(keys))), similar, found)
+    for own in rare_groups(sets, similar):
+        metric_join([sets[i] for i in own], forest, own, similar, found)
     return [(keys[a], keys[b]) for a, b in found]
 
 
-def _task_links(members: DataFrame, similar: int) -> DataFrame:
-    """(a, b) from members(grp, key, root, n, set) whose groups fit one task."""
+def _task_links(members: DataFrame, similar: int, total: int) -> DataFrame:
+    """(a, b) from members(grp, key, root, n, set) whose groups fit one task, with total n-grams in all."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
@@ -248,7 +370,6 @@ def _task_links(members: DataFrame, similar: int) -> DataFrame:
         a, b = (pa.array([x[k] for x in out], pa.int64()) for k in (0, 1))
         return pa.Table.from_arrays([a, b], ["a", "b"])
 
-    total = members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     tasks = int(total // TASK_SHINGLES) + 1
     return members.withColumn("task", F.pmod(F.xxhash64("grp"), F.lit(tasks))).groupBy("task").applyInArrow(run, "a long, b long")
 
@@ -293,29 +414,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     if not 80 <= similar <= 100:
         raise ValueError("similar must be from 80 to 100")
-    sets = stage(ngram_sets(docs, id_col, text_col, width, similar), "sets")
-    groups = stage(connected_components(candidate_links(sets)).select(F.col("node").alias("key"), F.col("root").alias("grp")), "groups")
+    found = stage(ngram_sets(docs, id_col, text_col, width), "sets")
+    sets = found.where("n >= 0")
+    links = candidate_links(docs, id_col, text_col, width, similar, frequent_ngrams(found))
+    groups = stage(connected_components(links).select(F.col("node").alias("key"), F.col("root").alias("grp")), "groups")
     known = sets.where("key is not null").groupBy("key").agg(F.min(F.struct(F.col("doc").isNull(), "doc", "th")).alias("at"), F.min("doc").alias("low"), F.first("n").alias("n"))
     known = stage(known.select("key", "at.doc", "at.th", "low", "n"), "known")
-    wanted = stage(groups.join(known, "key").select(F.col("key").alias("wanted"), "grp", F.col("doc").alias("at_doc"), F.col("th").alias("at_th")), "wanted")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("t"))
-    texts = texts.join(wanted, texts["doc"].eqNullSafe(wanted["at_doc"]) & (texts["th"] == wanted["at_th"])).select("t", "wanted", "grp")
-
-    def run(batches):
-        for b in batches:
-            found = [np.unique(shingle_hashes(t.as_py() or b"", width)) for t in b.column("t").cast(pa.large_binary())]
-            ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
-            flat = pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("grp"), b.column("wanted"), pa.array([len(h) for h in found], pa.int64()), pa.ListArray.from_arrays(ends, flat)], ["grp", "key", "n", "set"])
-
-    content = stage(texts.mapInArrow(run, "grp long, key long, n long, set array<long>"), "content")
-    sizes = content.groupBy("grp").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
-    sizes = stage(sizes, "sizes")
-    placed = content.join(sizes.where(~_too_large()).select("grp"), "grp", "left_semi").withColumn("root", F.col("key"))
-    links = [stage(_task_links(placed, similar), "links")]
-    large = content.join(sizes.where(_too_large()), "grp").dropDuplicates(["grp", "key"])
+    members = stage(groups.join(known, "key"), "members")
+    sizes = stage(members.groupBy("grp").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")), "sizes")
+    content = wanted_sets(docs, id_col, text_col, width, members.select("doc", "th"))
+    if large_ones := not sizes.where(_too_large()).isEmpty():
+        content = stage(content, "content")
+    placed = content.join(members.select("key", "grp"), "key")
+    if large_ones:
+        large = placed.join(sizes.where(_too_large()), "grp").dropDuplicates(["grp", "key"])
+        placed = placed.join(sizes.where(~_too_large()).select("grp"), "grp", "left_semi")
+    total = sizes.where(~_too_large()).agg(F.coalesce(F.sum("shingles"), F.lit(0))).first()[0]
+    links = [stage(_task_links(placed.withColumn("root", F.col("key")), similar, total), "links")]
     level = 0
-    while not large.isEmpty():
+    while large_ones:
         more, cells = _divided(stage(large, "large"), level, similar)
         links.append(stage(more, "links"))
         roots = connected_components(union_all(links))
@@ -329,9 +446,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         other = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.xxhash64("grp", F.least(k, F.col("own")), F.greatest(k, F.col("own")))))
         pairs = placed.where(stuck).withColumn("blocks", blocks).withColumn("own", own).withColumn("grp", other)
         columns = ["grp", "key", "root", "n", "set"]
-        links.append(stage(_task_links(placed.where(~_too_large()).select(*columns).unionByName(pairs.select(*columns)), similar), "links"))
+        fitting = placed.where(~_too_large()).select(*columns).unionByName(pairs.select(*columns))
+        links.append(stage(_task_links(fitting, similar, fitting.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]), "links"))
         large = placed.where(_too_large() & ~stuck).select("grp", "key", "n", "set", "docs", "shingles")
-        level += 1
+        large_ones, level = not large.isEmpty(), level + 1
     roots = stage(connected_components(union_all(links)), "roots").withColumnRenamed("node", "key")
     named = known.select("key", "low").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     lows = named.groupBy("root").agg(F.min("low").alias("component"))

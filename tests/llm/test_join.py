@@ -5,7 +5,6 @@ import numpy as np
 import pytest
 
 from latticework.llm import ngram_join as J
-from latticework.llm.simhash import shingle_hashes
 
 
 def shingles(text, width=4):
@@ -59,6 +58,16 @@ def texts(seed, n, sizes=(1, 2, 4, 5, 7, 9, 12, 20, 39, 43, 44, 48, 60, 100, 300
     return out[:n]
 
 
+def test_frequent_ngrams_are_counted(monkeypatch):
+    monkeypatch.setattr(J, "COUNTED", 50)
+    monkeypatch.setattr(J, "FREQUENT", 5)
+    c = J.Counts()
+    for i in range(40):
+        c.add(np.array([1, 2, 100 + i] if i % 2 else [1, 200 + i], np.uint64))
+    c.settle()
+    assert dict(zip(c.kept.tolist(), c.times.tolist())) == {1: 40, 2: 20}
+
+
 def run(spark, rows, **args):
     docs = spark.createDataFrame([(*x, "k", "n", 1) for x in rows], "doc_id long, text string, key string, n string, grp int")
     return sorted(map(tuple, J.jaccard_components(docs, **args).collect()), key=repr)
@@ -77,7 +86,9 @@ def test_linked_sets_have_a_part_in_common():
                 hashes = [r.getrandbits(64) for _ in range(n + size - common)]
                 a, b = (np.array(sorted(x), np.uint64) for x in (hashes[:n], hashes[n - common :]))
                 assert len(a) == n and len(b) == size
+                often = np.sort(np.array(r.sample(hashes, r.choice([0, len(hashes) // 2, len(hashes)])) + [7], np.uint64))
                 if len(a) != len(b) or (a != b).any():
+                    assert np.intersect1d(J.part_keys(a, similar, often), J.part_keys(b, similar, often)).size, (n, size, similar, len(often))
                     assert np.intersect1d(J.part_keys(a, similar), J.part_keys(b, similar)).size, (n, size, similar)
 
 
@@ -137,7 +148,7 @@ def test_metric_join(monkeypatch):
                 words[r.randrange(60)] = f"e{r.randint(0, 3)}" if seed % 2 else f"e{i}"
             rows.append((i, " ".join(words)))
         keys = list(range(150))
-        sets = [np.unique(shingle_hashes(t.encode(), 4)) for _, t in rows]
+        sets = [J.ngrams(t.encode(), 4) for _, t in rows]
         up = J.Forest(keys)
         for a, b in J.group_links(keys, keys, sets, 85):
             assert 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))
