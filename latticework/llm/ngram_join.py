@@ -35,6 +35,8 @@ LEAST_CUT, CLASS, TUPLE = 40, 1.5, 3
 GROUP_SHINGLES, GROUP_DOCS, TASK_SHINGLES, PIVOTS, LEAF = 1 << 22, 1 << 14, 1 << 22, 16, 32
 #: An n-gram is frequent if more than one in so many documents have it; n-grams that a task counts at a time; bits of the filter of wanted rows, at most.
 FREQUENT, COUNTED, FILTER_BITS = 1000, 1 << 22, 1 << 27
+#: Documents in groups that are sent to all tasks, 16 bytes each; more are joined by shuffling sets.
+SENT = 1 << 20
 #: A region with more of its group's documents than this share is compared block against block.
 SPLIT = 0.7
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -215,13 +217,13 @@ def candidate_links(docs: DataFrame, id_col: str, text_col: str, width: int, sim
     return parts.repartition("part").sortWithinPartitions("part", "key").mapInArrow(pair, "a long, b long").distinct()
 
 
-def wanted_sets(docs: DataFrame, id_col: str, text_col: str, width: int, wanted: DataFrame) -> DataFrame:
-    """(key, n, set) of the rows of docs that wanted(doc, th) names, and of a few others.
+def wanted_sets(docs: DataFrame, id_col: str, text_col: str, width: int, wanted: DataFrame, count: int) -> DataFrame:
+    """(key, n, set) of the rows of docs that wanted(doc, th) names, count in all, and of a few others.
 
     Which rows are wanted is a filter of hashed bits, 16 for each up to FILTER_BITS, so that texts are read where they lie and not shuffled.
     """
     bits = 1 << 20
-    while bits < min(16 * wanted.count(), FILTER_BITS):
+    while bits < min(16 * count, FILTER_BITS):
         bits *= 2
     spot = F.pmod(F.xxhash64("doc", "th"), F.lit(bits)) + 1
     maps = wanted.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits")).collect()
@@ -422,10 +424,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     known = stage(known.select("key", "at.doc", "at.th", "low", "n"), "known")
     members = stage(groups.join(known, "key"), "members")
     sizes = stage(members.groupBy("grp").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")), "sizes")
-    content = wanted_sets(docs, id_col, text_col, width, members.select("doc", "th"))
+    count = members.count()
+    content = wanted_sets(docs, id_col, text_col, width, members.select("doc", "th"), count)
     if large_ones := not sizes.where(_too_large()).isEmpty():
         content = stage(content, "content")
-    placed = content.join(members.select("key", "grp"), "key")
+    of = members.select("key", "grp")
+    placed = content.join(F.broadcast(of) if count <= SENT else of, "key")
     if large_ones:
         large = placed.join(sizes.where(_too_large()), "grp").dropDuplicates(["grp", "key"])
         placed = placed.join(sizes.where(~_too_large()).select("grp"), "grp", "left_semi")
