@@ -4,9 +4,9 @@
     python -m latticework score --models 'y/*.pdb' --tables tables --out scores
 
 terms.json is an object of {name: {"term": ..., options}}, as {"pairs": {"term": "interaction", "low": 0, "high": 10, "bins": 10,
-"separation": 4}}. tables holds the counts, the energies and a copy of it. out gets the features and averages as Parquet, the
-local values as CSV and a JSON document for each model: global_scores, local_terms with every term of every chain, and
-local_scores, the network's or else the first term's. --scores is a JSON file of {name: {"weights": {feature: w}, "intercept": i}},
+"separation": 4}}. tables holds the counts and the energies, each with its term's options. out gets the features and averages as Parquet, the
+local values as CSV and a JSON document for each model: global_scores, local_terms with every term of every chain, preprocessing with
+what was left out of the model, and local_scores, the network's or else the first term's. --scores is a JSON file of {name: {"weights": {feature: w}, "intercept": i}},
 --reference a Parquet table of residues, features and scores for z-scores, --network a folder that GroupScorer.load reads.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .operators.features import average_local_scores, averages, local_scores, model_scores
 from .operators.models import GroupScorer
 from .operators.structures import FEATURES, make_term, structure_features, term_points
-from .sources.readers import backbone, preprocessed, read_structures
+from .sources.readers import backbone, preprocessed, preprocessing_report, read_structures
 from .sources.sinks import Container, result_documents, score_arrays, term_arrays, write_scores
 
 
@@ -48,24 +48,25 @@ def _json(path: str | None) -> dict | None:
 
 def train(spark: SparkSession, structures: str, settings: dict, out: str, sigma: float) -> None:
     atoms, residues = _structures(spark, structures)
-    counts, energies = Container(), Container()
+    counts, energies = Container(kind="counts", options=settings), Container(kind="energies", options=settings)
     for name, (kind, term) in _terms(settings).items():
         points = term_points(kind, atoms, residues)
         counts[name] = term.train(points, points)
     counts.save(f"{out}/counts")
-    saved = Container.load(spark, f"{out}/counts")
+    saved = Container.load(spark, f"{out}/counts", "counts")
     for name, (_, term) in _terms(settings).items():
         energies[name] = term.energies(saved[name], sigma)
     energies.save(f"{out}/energies")
-    spark.createDataFrame([(json.dumps(settings),)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/terms")
 
 
 def score(spark: SparkSession, models: str, tables: str, out: str, names: tuple[str, ...] = (), scores: dict | None = None, reference: str | None = None, network: str | None = None) -> None:
     """Features of every residue, averages and global scores of every model, and a document of both."""
-    terms = _terms(json.loads(spark.read.text(f"{tables}/terms").first()["value"]))
+    energies = Container.load(spark, f"{tables}/energies", "energies")
+    terms = _terms(energies.options)
+    given = read_structures(spark, models)
     atoms, residues = _structures(spark, models)
     columns = [*terms, *names]
-    structure_features(atoms, residues, terms, Container.load(spark, f"{tables}/energies"), names).write.mode("overwrite").parquet(f"{out}/features")
+    structure_features(atoms, residues, terms, energies, names).write.mode("overwrite").parquet(f"{out}/features")
     features = spark.read.parquet(f"{out}/features")  # what follows reads the features, instead of scoring again
     means = averages(features, ["model"], columns)
     if scores:
@@ -81,7 +82,7 @@ def score(spark: SparkSession, models: str, tables: str, out: str, names: tuple[
     write_scores(shown, f"{out}/local", ["chain", "rnum", "rname", *columns])
     arrays = score_arrays(features.select("model", "chain", "rnum"), shown.select("model", "chain", "rnum", local), ["model", "chain"], "rnum", local)
     every = term_arrays(shown, columns, ["model", "chain"], "rnum")
-    result_documents(arrays, spark.read.parquet(f"{out}/averages"), terms=every).select("json").write.mode("overwrite").text(f"{out}/documents")
+    result_documents(arrays, spark.read.parquet(f"{out}/averages"), terms=every, preprocessing=preprocessing_report(given)).select("json").write.mode("overwrite").text(f"{out}/documents")
 
 
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> None:

@@ -17,7 +17,8 @@ from ..functions.scalars import AMINO_ACIDS, clamp01, missing_to_null, one_hot
 
 MIN_ROWS = 100
 #: Of this repository's own network files.
-MAGIC, VERSION = 0x4C57, 1
+#: The first two numbers of a regressor file, and its activations.
+MAGIC, VERSION, LINEAR, RELU = 444222, 1, 0, 1
 
 
 def _subset_sums(rows: DataFrame, by: list[str], features: list[str], target: str) -> tuple[DataFrame, int]:
@@ -182,26 +183,34 @@ class Network:
         return run
 
     def to_bytes(self) -> bytes:
-        """magic, version, number of inputs, number of layers, then each layer's size and activation, mean, std, weights and bias."""
+        """magic, version, number of layers with the inputs, their sizes and activations; then mean, std, every bias, all weights."""
         if not self.layers or len(self.layers[-1][1]) != 1:
             raise ValueError("the last layer must have one output")
-        head = [MAGIC, VERSION, len(self.mean), len(self.layers)] + [v for w, b, r in self.layers for v in (len(b), int(r))]
-        body = [*self.mean, *self.std] + [v for w, b, _ in self.layers for row in [*w, b] for v in row]
+        sizes = [len(self.mean), *(len(b) for _, b, _ in self.layers)]
+        kinds = [LINEAR, *(RELU if r else LINEAR for *_, r in self.layers)]
+        head = [MAGIC, VERSION, len(sizes), *sizes, *kinds]
+        body = [*self.mean, *self.std, *(v for _, b, _ in self.layers for v in b), *(v for w, _, _ in self.layers for row in w for v in row)]
         return struct.pack(f"<{len(head)}i", *head) + np.array(body, "<f4").tobytes()
 
     @classmethod
     def from_bytes(cls, data: bytes) -> Network:
-        magic, version, n, layers = struct.unpack_from("<4i", data)
-        if (magic, version) != (MAGIC, VERSION):
+        """The network of such a file; another magic, version or activation, or a file of another length, is an error."""
+        if len(data) < 12 or (head := struct.unpack_from("<3i", data))[:2] != (MAGIC, VERSION):
             raise ValueError("not a regressor file of a known version")
-        sizes = struct.unpack_from(f"<{2 * layers}i", data, 16)
-        values = iter(np.frombuffer(data, "<f4", offset=16 + 8 * layers).astype(float).tolist())
+        n = head[2]
+        if n < 2 or len(data) < 12 + 8 * n:
+            raise ValueError("a regressor file needs an input layer and another")
+        sizes, kinds = struct.unpack_from(f"<{n}i", data, 12), struct.unpack_from(f"<{n}i", data, 12 + 4 * n)
+        if any(k not in (LINEAR, RELU) for k in kinds) or kinds[0] != LINEAR:
+            raise ValueError(f"unknown activations {kinds}")
+        if min(sizes) < 1 or len(data) != 12 + 8 * n + 4 * (2 * sizes[0] + sum(b + a * b for a, b in zip(sizes, sizes[1:]))):
+            raise ValueError("a regressor file's length does not fit its layers")
+        values = iter(np.frombuffer(data, "<f4", offset=12 + 8 * n).astype(float).tolist())
         take = lambda k: [next(values) for _ in range(k)]
-        net = cls(take(n), take(n))
-        width = n
-        for size, relu in zip(sizes[::2], sizes[1::2]):
-            net.add_layer([take(width) for _ in range(size)], take(size), bool(relu))
-            width = size
+        net = cls(take(sizes[0]), take(sizes[0]))
+        biases = [take(k) for k in sizes[1:]]
+        for width, bias, kind in zip(sizes, biases, kinds[1:]):
+            net.add_layer([take(width) for _ in bias], bias, kind == RELU)
         return net
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.checks import checked, refusing
+from .cif import read_star
+
 #: Three-letter and one-letter codes.
 RESIDUES = {"ALA": "A", "CYS": "C", "ASP": "D", "GLU": "E", "PHE": "F", "GLY": "G", "HIS": "H", "ILE": "I", "LYS": "K", "LEU": "L", "MET": "M", "ASN": "N", "PRO": "P", "GLN": "Q", "ARG": "R", "SER": "S", "THR": "T", "VAL": "V", "TRP": "W", "TYR": "Y"}
 STRUCTURE_SUFFIXES = {".pdb": "pdb", ".ent": "pdb", ".cif": "cif", ".mmcif": "cif"}
@@ -40,19 +43,37 @@ def read_pdb(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_cif(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Atom records of an mmCIF file's atom_site loop, in the columns of read_pdb."""
-    text = spark.read.text(path, wholetext=True).withColumn("model", file_stem(F.col("_metadata.file_path")))
-    names = F.regexp_extract_all("value", F.lit(r"(?m)^_atom_site\.(\S+)"), F.lit(1))
-    rows = text.select("model", names.alias("names"), F.explode(F.regexp_extract_all("value", F.lit(r"(?m)^(?:ATOM|HETATM)\s.*$"), F.lit(0))).alias("line"))
-    cells = rows.withColumn("m", F.map_from_arrays("names", F.slice(F.split(F.trim("line"), r"\s+"), F.lit(1), F.size("names"))))
-    at = lambda name: F.col("m")[name]
-    known = lambda c: F.when(~c.isin("?", "."), c)
-    auth = lambda a, b: F.coalesce(known(at(f"auth_{a}")), known(at(f"label_{b}")))
-    return cells.select("model", at("id").try_cast("int").alias("serial"), F.regexp_replace(at("label_atom_id"), '"', "").alias("aname"), F.coalesce(known(at("label_alt_id")), F.lit("")).alias("altloc"), at("label_comp_id").alias("rname"), one_letter(at("label_comp_id")).alias("aa"), auth("asym_id", "asym_id").alias("chain"), auth("seq_id", "seq_id").try_cast("int").alias("rnum"), F.coalesce(known(at("pdbx_PDB_ins_code")), F.lit("")).alias("icode"), *[at(f"Cartn_{v}").try_cast("double").alias(v) for v in "xyz"], at("occupancy").try_cast("double").alias("occ"), at("B_iso_or_equiv").try_cast("double").alias("bfac"), at("type_symbol").alias("element"), (at("group_PDB") == "HETATM").alias("hetero"))
+    """Atom records of mmCIF files, in the columns of read_pdb; the author's names and numbers, where there are any. A file without atoms is an error."""
+    rows = read_star(spark, path, "_atom_site", ["id", "group_PDB", "label_atom_id", "label_alt_id", "label_comp_id", "auth_asym_id", "label_asym_id", "auth_seq_id", "label_seq_id", "pdbx_PDB_ins_code", "Cartn_x", "Cartn_y", "Cartn_z", "occupancy", "B_iso_or_equiv", "type_symbol"], required=True)
+    number = lambda c, kind: F.col(c).try_cast(kind)
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    return rows.select(file_stem(F.col("path")).alias("model"), number("id", "int").alias("serial"), F.col("label_atom_id").alias("aname"), blank("label_alt_id").alias("altloc"), F.col("label_comp_id").alias("rname"), one_letter(F.col("label_comp_id")).alias("aa"), F.coalesce("auth_asym_id", "label_asym_id").alias("chain"), F.coalesce("auth_seq_id", "label_seq_id").try_cast("int").alias("rnum"), blank("pdbx_PDB_ins_code").alias("icode"), *[number(f"Cartn_{v}", "double").alias(v) for v in "xyz"], number("occupancy", "double").alias("occ"), number("B_iso_or_equiv", "double").alias("bfac"), F.col("type_symbol").alias("element"), (F.col("group_PDB") == "HETATM").alias("hetero"))
 
 
 def read_structures(spark: SparkSession, path: str) -> DataFrame:
-    return {"pdb": read_pdb, "cif": read_cif}[structure_format(path)](spark, path)
+    """Atoms of PDB or mmCIF files, by the suffix of path. A file without atoms is an error, whichever columns are used."""
+    if structure_format(path) == "cif":
+        return read_cif(spark, path)
+    lines = spark.read.text(path)
+    plain = lambda c: F.regexp_replace(c, r"^(\w+):/+", "$1:/").alias("path")  # noqa: E731  # listings and rows differ in the slashes of local paths
+    full = lines.where(F.col("value").startswith("ATOM  ") | F.col("value").startswith("HETATM")).select(plain("_metadata.file_path")).distinct()
+    files = spark.createDataFrame([(f,) for f in lines.inputFiles()], "path string").select(plain("path"))  # readers pass over files of no length
+    return refusing(read_pdb(spark, path), files.join(full, "path", "left_anti"), F.concat(F.lit("no atoms in "), "path"))
+
+
+def _prepared(atoms: DataFrame, mapping: dict[str, str] | None, membrane: bool) -> tuple[DataFrame, dict[str, Column]]:
+    """atoms with modified residues renamed, and the reasons to leave one out, first reason first."""
+    rname = F.col("rname")
+    for modified, plain in (mapping or {"MSE": "MET"}).items():
+        rname = F.when(F.col("rname") == modified, F.lit(plain)).otherwise(rname)
+    rows = atoms.withColumn("was_", F.col("rname")).withColumn("rname", rname).withColumn("aa", one_letter(F.col("rname")))
+    reasons = {
+        "hydrogens": F.col("element").isin("H", "D"),
+        "without_occupancy": F.coalesce("occ", F.lit(1.0)) <= 0,
+        "other_residues": F.col("aa").isNull() & ~(F.lit(membrane) & F.coalesce(F.col("rname") == "MEM", F.lit(False))),
+        "other_locations": ~F.coalesce("altloc", F.lit("")).isin("", "A"),
+    }
+    return rows, {k: F.coalesce(v, F.lit(False)) for k, v in reasons.items()}
 
 
 def preprocessed(atoms: DataFrame, mapping: dict[str, str] | None = None, membrane: bool = False) -> DataFrame:
@@ -60,11 +81,30 @@ def preprocessed(atoms: DataFrame, mapping: dict[str, str] | None = None, membra
 
     With membrane, points of residue MEM stay, as neighbours for the packing terms.
     """
-    rname = F.col("rname")
-    for modified, plain in (mapping or {"MSE": "MET"}).items():
-        rname = F.when(F.col("rname") == modified, F.lit(plain)).otherwise(rname)
-    rows = atoms.withColumn("rname", rname).withColumn("aa", one_letter(F.col("rname")))
-    return rows.where(~F.col("element").isin("H", "D") & (F.coalesce("occ", F.lit(1.0)) > 0) & (F.col("aa").isNotNull() | (F.lit(membrane) & (F.col("rname") == "MEM"))) & F.col("altloc").isin("", "A"))
+    rows, reasons = _prepared(atoms, mapping, membrane)
+    kept = F.lit(True)
+    for reason in reasons.values():
+        kept &= ~reason
+    return rows.where(kept).drop("was_")
+
+
+def preprocessing_report(atoms: DataFrame, mapping: dict[str, str] | None = None, membrane: bool = False) -> DataFrame:
+    """(model, preprocessing): what preprocessed leaves out of each model, in one pass and one grouping.
+
+    preprocessing has atoms, renamed, an atom count for each reason (an atom counts for its first one), and how many residues and
+    chains are lost as a whole.
+    """
+    rows, reasons = _prepared(atoms, mapping, membrane)
+    why = F.lit(None).cast("string")
+    for name, reason in reversed(reasons.items()):
+        why = F.when(reason, name).otherwise(why)
+    rows = rows.withColumn("why_", why)
+    counts = [F.count("*").alias("atoms"), F.count_if(~F.col("was_").eqNullSafe(F.col("rname")) & F.col("why_").isNull()).alias("renamed"), *[F.count_if(F.col("why_") == n).alias(n) for n in reasons]]
+    residues = rows.groupBy("model", "chain", "rnum", "icode").agg(*counts, F.bool_or(F.col("why_").isNull()).alias("kept_"))
+    names = ["atoms", "renamed", *reasons]
+    chains = residues.groupBy("model", "chain").agg(*[F.sum(n).alias(n) for n in names], F.count_if(~F.col("kept_")).alias("residues_removed"), F.bool_or("kept_").alias("kept_"))
+    out = chains.groupBy("model").agg(*[F.sum(n).alias(n) for n in names], F.sum("residues_removed").alias("residues_removed"), F.count_if(~F.col("kept_")).alias("chains_removed"))
+    return out.select("model", F.struct(*names, "residues_removed", "chains_removed").alias("preprocessing"))
 
 
 def backbone(atoms: DataFrame) -> DataFrame:
@@ -121,9 +161,9 @@ def read_accpro_output(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sequence_features(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """rows checked to have columns of equal length."""
-    same = F.size(F.array_distinct(F.array(*[F.length(c) for c in columns]))) == 1
-    return rows.withColumn(columns[0], F.when(same, F.col(columns[0])).otherwise(F.raise_error(F.lit("sequence features differ in length")).cast("string")))
+    """rows, whose columns must be of equal length in each."""
+    same = F.size(F.array_distinct(F.array(*[F.coalesce(F.length(c), F.lit(-1)) for c in columns]))) == 1
+    return checked(rows, same, "sequence features differ in length")
 
 
 def read_clusters(spark: SparkSession, path: str) -> DataFrame:
@@ -146,13 +186,3 @@ def first_released(entries: DataFrame, dates: DataFrame, before: str | None) ->
     if before is not None:
         rows = rows.join(dates, F.lower(F.substring_index("chain", ".", 1)) == F.lower("pdb_id")).where(F.col("release_date") < F.to_date(F.lit(before)))
     return rows.groupBy("hash", "k").agg(F.min_by("chain", "at").alias("chain")).select("hash", "chain")
-
-
-def template_range(templates: DataFrame, wanted: DataFrame, columns: DataFrame) -> DataFrame:
-    """Template positions under an alignment: (entry, chain, rnum, and the template's columns).
-
-    templates are rows (entry, chain, pos, ...); wanted is (entry, chain, offset); columns is (entry, chain, col, t, s, t_pos, s_pos)
-    of alignments of targets t to templates s. Residue numbers count the target's letters.
-    """
-    hit = columns.where("t != '-' and s != '-'").join(wanted, ["entry", "chain"]).withColumn("pos", F.col("offset") + F.col("s_pos"))
-    return hit.join(templates, ["entry", "chain", "pos"]).where("atomseq_char != '-'").drop("col", "t", "s", "s_pos", "offset").withColumnRenamed("t_pos", "rnum")
