@@ -94,8 +94,8 @@ def rebuilt_cb(n: Vec, ca: Vec, c: Vec) -> Vec:
 
 
 def box_state(phi: Column, psi: Column, boxes) -> Column:
-    """The number of the first (low phi, high phi, low psi, high psi, state) that holds the angles, else 0."""
+    """The number of the first (low phi, high phi, low psi, high psi, state) that holds the angles, bounds left out, else 0."""
     out = F.lit(0)
     for a, b, c, d, state in reversed(list(boxes)):
-        out = F.when((phi >= a) & (phi <= b) & (psi >= c) & (psi <= d), F.lit(state)).otherwise(out)
+        out = F.when((phi > a) & (phi < b) & (psi > c) & (psi < d), F.lit(state)).otherwise(out)
     return out

@@ -28,8 +28,17 @@ def marginals(counts: DataFrame, keys: list[str], bins: list[str]) -> DataFrame:
     return counts.groupingSets(sets, *keys, *bins).agg(level.alias("level"), F.sum("w").alias("w"))
 
 
-def cell_count(counts: DataFrame, **at) -> DataFrame:
-    """One row with w of the cell (or marginal) that the given columns name, 0 where nothing was counted."""
+def cell_count(counts: DataFrame, known: dict[str, list | int] | None = None, **at) -> DataFrame:
+    """One row with w of the cell (or marginal) that the given columns name, 0 where nothing was counted.
+
+    known has the values of a key column, or the number of a bin column's bins; a column that counts lacks, or a value that is not known, is an
+    error.
+    """
+    if lacking := [c for c in at if c not in counts.columns or c == "w"]:
+        raise ValueError(f"no such key or bin: {', '.join(lacking)}")
+    for name, values in (known or {}).items():
+        if name in at and not (0 <= at[name] < values if isinstance(values, int) else at[name] in values):
+            raise ValueError(f"{at[name]!r} is no {name}")
     condition = reduce(lambda a, b: a & b, [F.col(k) == v for k, v in at.items()], F.lit(True))
     return counts.where(condition).agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("w"))
 

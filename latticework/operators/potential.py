@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .checks import refusing
 from .histogram import dense
 
 SIGMA, MAX_ENERGY = 0.02, 8.0
@@ -55,19 +56,24 @@ def sippl_hybrid(first: DataFrame, second: DataFrame, keys: list[str], sizes: di
     return both.select(*keys, *bins, e.alias("e"))
 
 
-def normalised_by_state(counts: DataFrame, state: str, sizes: dict[str, int]) -> DataFrame:
+def normalised_by_state(counts: DataFrame, state: str, sizes: dict[str, int], states: tuple | None = None) -> DataFrame:
     """(state, bins, e): -ln of the share over the uniform one, not above 0, scaled so that a state's expectation is -1.
 
-    A state without a favoured bin has energy 0 throughout.
+    A state without a favoured bin has energy 0 throughout. Each of states, if given, must have counts; one without any is an error.
     """
-    cells = 1
+    n_cells = 1
     for n in sizes.values():
-        cells *= n
+        n_cells *= n
     w = Window.partitionBy(state)
     rows = dense(counts, [state], sizes).withColumn("p_", F.col("w") / F.sum("w").over(w))
-    rows = rows.withColumn("e_", -F.ln(F.greatest(F.col("p_") * cells, F.lit(1.0))))
+    rows = rows.withColumn("e_", -F.ln(F.greatest(F.col("p_") * n_cells, F.lit(1.0))))
     rows = rows.withColumn("t_", F.abs(F.sum(F.col("p_") * F.col("e_")).over(w)))
-    return rows.select(state, *sizes, F.coalesce(F.try_divide(F.col("e_"), F.col("t_")), F.lit(0.0)).alias("e"))
+    out = rows.select(state, *sizes, F.coalesce(F.try_divide(F.col("e_"), F.col("t_")), F.lit(0.0)).alias("e"))
+    if states is None:
+        return out
+    wanted = counts.sparkSession.createDataFrame([(s,) for s in states], f"state_ {counts.schema[state].dataType.simpleString()}")
+    have = counts.groupBy(F.col(state).alias("state_")).agg(F.sum("w").alias("n_")).where("n_ > 0")
+    return refusing(out, wanted.join(have, "state_", "left_anti"), F.concat(F.lit("no counts of state "), F.col("state_").cast("string")))
 
 
 def lookup(rows: DataFrame, energies: DataFrame, on: list[str], missing: float | None = None) -> DataFrame:
@@ -76,11 +82,13 @@ def lookup(rows: DataFrame, energies: DataFrame, on: list[str], missing: float |
     return out if missing is None else out.withColumn("e", F.coalesce("e", F.lit(missing)))
 
 
-def residue_energies(residues: DataFrame, scored: DataFrame, id_cols: list[str], normalise: bool = True, empty: float | None = None) -> DataFrame:
-    """(ids, energy) for every residue: mean (or sum) of its interactions, `empty` where it has none."""
+def residue_energies(residues: DataFrame, scored: DataFrame, id_cols: list[str], normalise: bool = True, empty: float | None = None, counts: bool = False) -> DataFrame:
+    """(ids, energy) for every residue: mean (or sum) of its interactions, `empty` where it has none; with counts their number too."""
     e = F.avg("e") if normalise else F.sum("e")
-    found = scored.groupBy(*id_cols).agg(e.alias("energy"))
+    found = scored.groupBy(*id_cols).agg(e.alias("energy"), *([F.count("e").alias("count")] if counts else []))
     out = residues.select(*id_cols).distinct().join(found, id_cols, "left")
+    if counts:
+        out = out.withColumn("count", F.coalesce("count", F.lit(0)))
     return out if empty is None else out.withColumn("energy", F.coalesce("energy", F.lit(empty)))
 
 

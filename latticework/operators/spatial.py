@@ -8,28 +8,37 @@ from pyspark.sql import functions as F
 from ..functions.geometry import distance2, vec
 
 
-def _cell(v: Column, width: float) -> Column:
-    return F.floor(v / F.lit(width)).cast("long")
+def cell(v: Column, width: Column) -> Column:
+    return F.floor(v / width).cast("long")
 
 
-def radius_join(left: DataFrame, right: DataFrame, radius: float, keys: list[str] | None = None, strict: bool = False) -> DataFrame:
+def _reach(radius: float | str, side: str) -> Column:
+    return F.col(f"{side}_{radius}") if isinstance(radius, str) else F.lit(radius)
+
+
+def cells_around(targets: DataFrame, width: float | str) -> DataFrame:
+    """targets with the prefix l_, once for each of the 27 cells around them, as l_cell_x, l_cell_y, l_cell_z."""
+    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]))
+    out = targets.select(*[F.col(c).alias(f"l_{c}") for c in targets.columns]).withColumn("s_", steps)
+    return out.select("*", *[(cell(F.col(f"l_{v}"), _reach(width, "l")) + F.col(f"s_.{s}")).alias(f"l_cell_{v}") for v, s in zip("xyz", "abc")]).drop("s_")
+
+
+def radius_join(left: DataFrame, right: DataFrame, radius: float | str, keys: list[str] | None = None, strict: bool = False) -> DataFrame:
     """Pairs of points at most radius apart, within equal keys; columns get the prefixes l_ and r_, and d2 is added.
 
     Both sides have x, y, z. The grid's cells are one radius wide, so a left point meets the 27 cells around it; the
     join is an equi-join on cell and keys with the exact distance as its residual condition. Null coordinates match
-    nothing. With strict, pairs at exactly radius are left out.
+    nothing. With strict, pairs at exactly radius are left out. A radius that is a name is a column of both sides, with one value in all
+    rows of equal keys.
     """
-    keys = keys or []
-    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]))
-    a = left.select(*[F.col(c).alias(f"l_{c}") for c in left.columns]).withColumn("s_", steps)
-    a = a.select("*", *[(_cell(F.col(f"l_{v}"), radius) + F.col(f"s_.{s}")).alias(f"lc_{v}") for v, s in zip("xyz", "abc")]).drop("s_")
+    a = cells_around(left, radius)
     b = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
-    b = b.select("*", *[_cell(F.col(f"r_{v}"), radius).alias(f"rc_{v}") for v in "xyz"])
-    d2 = distance2(vec("l_"), vec("r_"))
-    on = [F.col(f"lc_{v}") == F.col(f"rc_{v}") for v in "xyz"] + [F.col(f"l_{k}") == F.col(f"r_{k}") for k in keys]
-    near = d2 < radius * radius if strict else d2 <= radius * radius
+    b = b.select("*", *[cell(F.col(f"r_{v}"), _reach(radius, "r")).alias(f"r_cell_{v}") for v in "xyz"])
+    d2, reach = distance2(vec("l_"), vec("r_")), _reach(radius, "l")
+    on = [F.col(f"l_cell_{v}") == F.col(f"r_cell_{v}") for v in "xyz"] + [F.col(f"l_{k}") == F.col(f"r_{k}") for k in keys or []]
+    near = d2 < reach * reach if strict else d2 <= reach * reach
     out = a.join(b, [*on, near])
-    return out.withColumn("d2", d2).drop(*[f"{p}c_{v}" for p in "lr" for v in "xyz"])
+    return out.withColumn("d2", d2).drop(*[f"{p}_cell_{v}" for p in "lr" for v in "xyz"])
 
 
 def self_pairs(points: DataFrame, radius: float, id_col: str, keys: list[str] | None = None, ordered: bool = True, strict: bool = False) -> DataFrame:
@@ -80,15 +89,20 @@ RADII = {"C": 1.6, "N": 1.3, "O": 1.3, "S": 1.7}
 CLASH_REACH, CLASH_FULL, CLASH_MOST, CLASH_SLOPE = 3.2, 0.8254, 10.0, 57.273
 
 
+def clash_penalty(element: str, d2: Column) -> Column:
+    """The penalty of a pair with l_ and r_ elements at the square root of d2; 0 where an element has no radius."""
+    contact = sum(F.coalesce(*[F.when(F.col(f"{p}_{element}") == e, r) for e, r in RADII.items()]) for p in "lr")
+    d = F.sqrt(d2)
+    return F.when(d < CLASH_FULL * contact, CLASH_MOST).when(d <= contact, CLASH_SLOPE * (1 - d / contact)).otherwise(0.0)
+
+
 def clash_scores(atoms: DataFrame, id_col: str, element: str, residue: str, chain: str, number: str, separation: int = 2, disulfide: Column | None = None, keys: list[str] | None = None) -> DataFrame:
     """(keys, residue, clash): penalties of close atom pairs, summed over each residue's atoms, 0 where there are none."""
     on = [*(keys or []), residue]
     pairs = apart_in_sequence(self_pairs(atoms, CLASH_REACH, id_col, keys), chain, number, separation)
     if disulfide is not None:
         pairs = pairs.where(~disulfide)
-    contact = sum(F.coalesce(*[F.when(F.col(f"{p}_{element}") == e, r) for e, r in RADII.items()]) for p in "lr")
-    d = F.sqrt("d2")
-    score = F.when(d < CLASH_FULL * contact, CLASH_MOST).when(d <= contact, CLASH_SLOPE * (1 - d / contact)).otherwise(0.0)
+    score = clash_penalty(element, F.col("d2"))
     found = pairs.groupBy(*[F.col(f"l_{c}").alias(c) for c in on]).agg(F.sum(score).alias("s"))
     return atoms.select(*on).distinct().join(found, on, "left").select(*on, F.coalesce("s", F.lit(0.0)).alias("clash"))
 

@@ -80,7 +80,7 @@ TERMS = {
     "packing": (atom_points, lambda cutoff, most: packing(cutoff, most, "kind")),
     "cb_packing": (side_chain_points, lambda cutoff, most: packing(cutoff, most, "kind")),
     "torsion": (backbone_angles, torsion),
-    "hbond": (bonding_points, hbond),
+    "hbond": (bonding_points, lambda ranges, separation, reach=9.0, states=(0, 1, 2): hbond(ranges, separation, reach, states)),
 }
 
 

@@ -11,26 +11,45 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import product
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import add, angle, dihedral, scale, sub, vec, wrap
 from ..functions.scalars import bin_of
+from .checks import checked
+from .environment import Environment, pairs_within, points_of
 from .histogram import histogram
 from .potential import SIGMA, lookup, normalised_by_state, residue_energies, sippl
-from .spatial import apart_in_sequence, neighbor_counts, radius_join
+from .spatial import neighbor_counts
+
+
+@dataclass(frozen=True)
+class Role:
+    """A way in which a pair is an interaction: when, and its keys and bins; both from l_ and r_ columns and the squared distance."""
+
+    holds: Callable[[Column], Column]
+    columns: Callable[[Column], dict[str, Column]]
 
 
 @dataclass(frozen=True)
 class Term:
-    """rows(target, environment) has keys, the bins of sizes, model and res."""
+    """rows(target, environment) has keys, the bins of sizes, model and res.
+
+    Terms of pairs say how far they reach and which roles a pair has; counted ones take the number of pairs that hold as their only bin,
+    held to the size less one, and kind is their key's column.
+    """
 
     keys: tuple[str, ...]
     sizes: dict[str, int]
-    rows: Callable[[DataFrame, DataFrame], DataFrame]
+    rows: Callable[[DataFrame, DataFrame | Environment], DataFrame]
     sums: bool = False  # energies are scaled by state; a residue's is a sum, and 0 without interactions
+    reach: float | None = None
+    roles: tuple[Role, ...] = ()
+    counted: bool = False
+    kind: str | None = None
+    states: tuple[int, ...] | None = None  # of summed terms: the states that must have counts
 
-    def train(self, target: DataFrame, environment: DataFrame, weight: float = 1.0, extra: tuple[str, ...] = ()) -> DataFrame:
+    def train(self, target: DataFrame, environment: DataFrame | Environment, weight: float = 1.0, extra: tuple[str, ...] = ()) -> DataFrame:
         """Counts; extra names columns of target whose values are counted apart, in one pass over the rows."""
         return histogram(self._rows(target, environment, extra), [*self.keys, *extra], list(self.sizes), weight)
 
@@ -39,20 +58,61 @@ class Term:
         if self.sums:
             if extra:
                 raise ValueError("energies that are scaled by state have no further tables")
-            return normalised_by_state(counts, self.keys[0], self.sizes)
+            return normalised_by_state(counts, self.keys[0], self.sizes, self.states)
         return sippl(counts, list(self.keys), self.sizes, sigma, reference_state, extra)
 
-    def _rows(self, target: DataFrame, environment: DataFrame, extra: tuple[str, ...]) -> DataFrame:
+    def _rows(self, target: DataFrame, environment: DataFrame | Environment, extra: tuple[str, ...]) -> DataFrame:
         rows = self.rows(target, environment)
         return rows.join(target.select("model", "res", *extra).distinct(), ["model", "res"]) if extra else rows
 
-    def score(self, target: DataFrame, environment: DataFrame, energies: DataFrame, extra: tuple[str, ...] = (), normalise: bool = True) -> DataFrame:
-        """(model, res, energy). extra names key columns of target and energies besides the term's, as a secondary structure state.
+    def score(self, target: DataFrame, environment: DataFrame | Environment, energies: DataFrame, extra: tuple[str, ...] = (), normalise: bool = True, counts: bool = False) -> DataFrame:
+        """(model, res, energy), with counts also how many interactions a residue has. extra names key columns of target and
+        energies besides the term's, as a secondary structure state.
 
         A residue's rows take its own values of them, so that tables of all states are looked up in one join.
         """
-        scored = lookup(self._rows(target, environment, extra), energies, [*self.keys, *extra, *self.sizes], 0.0 if self.sums else None)
-        return residue_energies(target, scored, ["model", "res"], normalise and not self.sums, 0.0 if self.sums else None)
+        return self._scored(target, self._rows(target, environment, extra), energies, extra, normalise, counts)
+
+    def _scored(self, target: DataFrame, rows: DataFrame, energies: DataFrame, extra: tuple[str, ...], normalise: bool, counts: bool) -> DataFrame:
+        scored = lookup(rows, energies, [*self.keys, *extra, *self.sizes], 0.0 if self.sums else None)
+        return residue_energies(target, scored, ["model", "res"], normalise and not self.sums, 0.0 if self.sums else None, counts)
+
+    def fitted(self, target: DataFrame, environment: DataFrame | Environment, extra: tuple[str, ...] = (), normalise: bool = True, counts: bool = False, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(rows, energies, scores) of a target scored with what is counted on itself: one look for interactions serves both.
+
+        Rows are dealt by residue once; counting combines them where they lie, and scoring groups them as they are.
+        """
+        columns = [*self.keys, *extra, *self.sizes]
+        rows = self._rows(target, environment, extra).select("model", "res", *columns).dropna(subset=columns).repartition("model", "res")
+        energies = self.energies(histogram(rows, [*self.keys, *extra], list(self.sizes)), extra=extra, **options)
+        return rows, energies, self._scored(target, rows, energies, extra, normalise, counts)
+
+    def total(self, target: DataFrame, environment: DataFrame | Environment, energies: DataFrame, normalise: bool = True) -> DataFrame:
+        """(model, energy): of all interactions their mean, or sum. Summed terms take each pair once, and the mean is over residues."""
+        if self.sums:
+            each = self.score(target, environment, energies)
+            total = F.sum("energy") / 2  # both residues of a pair have its energy
+            return each.groupBy("model").agg((total / F.count("*") if normalise else total).alias("energy"))
+        scored = lookup(self.rows(target, environment), energies, [*self.keys, *self.sizes])
+        found = scored.groupBy("model").agg((F.avg("e") if normalise else F.sum("e")).alias("energy"))
+        return target.select("model").distinct().join(found, "model", "left")
+
+    def at(self, rows: DataFrame, energies: DataFrame, values: dict[str, tuple[Column, float, float]], keys: dict[str, list], free: tuple[str, ...] = ()) -> DataFrame:
+        """rows with e of given keys and values: values has each bin's (value, low, high).
+
+        A key that is not among the known ones, or a value outside its range, is an error; for the values named in free it gives null, or 0
+        for summed terms.
+        """
+        bins = {n: bin_of(v, low, high, self.sizes[n]) for n, (v, low, high) in values.items()}
+        right = F.lit(True)
+        for name, known in keys.items():
+            right &= F.coalesce(F.col(name).isin(*known), F.lit(False))
+        for name, b in bins.items():
+            if name not in free:
+                right &= b.isNotNull()
+        shown = F.concat_ws(", ", *[F.coalesce(F.col(n).cast("string"), F.lit("null")) for n in keys], *[F.coalesce(v.cast("string"), F.lit("null")) for v, _, _ in values.values()])
+        found = checked(rows, right, F.concat(F.lit("no energy of "), shown)).withColumns(bins)
+        return lookup(found, energies, [*self.keys, *self.sizes], 0.0 if self.sums else None).drop(*bins)
 
     def keyed(self, tables: dict[str, DataFrame], name: str) -> DataFrame:
         """Energies of several tables as one, with their names in a column."""
@@ -68,36 +128,50 @@ def _check(low: float, high: float, *counts: int) -> None:
         raise ValueError("a range needs low < high and at least one bin")
 
 
-def _pairs(target: DataFrame, around: DataFrame, low: float, high: float, separation: int) -> DataFrame:
-    pairs = radius_join(target, around, high, ["model"]).where((F.col("l_res") != F.col("r_res")) & (F.col("d2") >= low * low) & (F.col("d2") < high * high))
-    return apart_in_sequence(pairs, "chain", "rnum", separation).withColumn("model", F.col("l_model")).withColumn("res", F.col("l_res"))
+def apart(separation: int) -> Column:
+    """Of a pair: in different chains, or so many numbers apart."""
+    return (F.col("l_chain") != F.col("r_chain")) | (F.abs(F.col("l_rnum") - F.col("r_rnum")) >= separation)
+
+
+def _of_pairs(keys: tuple[str, ...], sizes: dict[str, int], reach: float, roles: tuple[Role, ...], **options) -> Term:
+    def rows(target, around):
+        pairs = pairs_within(target, around, reach)
+        each = [F.when(r.holds(F.col("d2")), F.struct(*[c.alias(n) for n, c in r.columns(F.col("d2")).items()])) for r in roles]
+        found = pairs.select(F.col("l_model").alias("model"), F.col("l_res").alias("res"), *([each[0].alias("i_")] if len(each) == 1 else [F.explode(F.array(*each)).alias("i_")])).where("i_ is not null")
+        return found.select("model", "res", *[F.col(f"i_.{n}").alias(n) for n in (*keys, *sizes)])
+
+    return Term(keys, sizes, rows, reach=reach, roles=roles, **options)
 
 
 def pair_distance(low: float, high: float, bins: int, separation: int, kind: str) -> Term:
     """All-atom (kind is the atom type) and side-chain (kind is the residue type) distance terms."""
     _check(low, high, bins)
 
-    def rows(target, around):
-        out = _pairs(target, around, low, high, separation)
-        return out.select("model", "res", F.col(f"l_{kind}").alias("a"), F.col(f"r_{kind}").alias("b"), bin_of(F.sqrt("d2"), low, high, bins).alias("d"))
+    def holds(d2):
+        return (F.col("l_res") != F.col("r_res")) & (d2 >= low * low) & (d2 < high * high) & apart(separation)
+
+    def columns(d2):
+        return {"a": F.col(f"l_{kind}"), "b": F.col(f"r_{kind}"), "d": bin_of(F.sqrt(d2), low, high, bins)}
 
-    return Term(("a", "b"), {"d": bins}, rows)
+    return _of_pairs(("a", "b"), {"d": bins}, high, (Role(holds, columns),), kind=kind)
 
 
 def reduced(low: float, high: float, bins: int, angle_bins: int, dihedral_bins: int, separation: int) -> Term:
     """Distance and orientation of two residues: points with an axis (ax, ay, az) and the residue type aa."""
     _check(low, high, bins, angle_bins, dihedral_bins)
 
-    def rows(target, around):
-        out = _pairs(target, around, low, high, separation)
+    def holds(d2):
+        return (F.col("l_res") != F.col("r_res")) & (d2 >= low * low) & (d2 < high * high) & apart(separation)
+
+    def columns(d2):
         p, q, u, v = vec("l_"), vec("r_"), vec("l_a"), vec("r_a")
         to = sub(q, p)
-        alpha, beta = angle(u, to), angle(v, scale(to, F.lit(-1.0)))
-        gamma = dihedral(add(p, u), p, q, add(q, v))
         top = math.pi + 1e-9
-        return out.select("model", "res", F.col("l_aa").alias("a"), F.col("r_aa").alias("b"), bin_of(F.sqrt("d2"), low, high, bins).alias("d"), bin_of(alpha, 0.0, top, angle_bins).alias("alpha"), bin_of(beta, 0.0, top, angle_bins).alias("beta"), bin_of(gamma, -math.pi, top, dihedral_bins).alias("gamma"))
+        angles = {"alpha": bin_of(angle(u, to), 0.0, top, angle_bins), "beta": bin_of(angle(v, scale(to, F.lit(-1.0))), 0.0, top, angle_bins)}
+        gamma = dihedral(add(p, u), p, q, add(q, v))
+        return {"a": F.col("l_aa"), "b": F.col("r_aa"), "d": bin_of(F.sqrt(d2), low, high, bins), **angles, "gamma": bin_of(gamma, -math.pi, top, dihedral_bins)}
 
-    return Term(("a", "b"), {"d": bins, "alpha": angle_bins, "beta": angle_bins, "gamma": dihedral_bins}, rows)
+    return _of_pairs(("a", "b"), {"d": bins, "alpha": angle_bins, "beta": angle_bins, "gamma": dihedral_bins}, high, (Role(holds, columns),))
 
 
 def packing(cutoff: float, most: int, kind: str) -> Term:
@@ -108,14 +182,17 @@ def packing(cutoff: float, most: int, kind: str) -> Term:
     """
     _check(0, cutoff, most)
 
+    def holds(d2):
+        return (F.col("l_res") != F.col("r_res")) & (d2 <= cutoff * cutoff)
+
     def rows(target, around):
         # an atom and a residue are the same row here: id is unique in the model
-        pairs = radius_join(target, around, cutoff, ["model"]).where(F.col("l_res") != F.col("r_res"))
+        pairs = pairs_within(target, around, cutoff).where(holds(F.col("d2")))
         n = pairs.groupBy(F.col("l_model").alias("model"), F.col("l_id").alias("id")).agg(F.count("*").alias("c"))
         out = target.where(F.col(kind).isNotNull()).join(n, ["model", "id"], "left")
         return out.select("model", "res", F.col(kind).alias("a"), F.least(F.coalesce("c", F.lit(0)), F.lit(most)).cast("int").alias("n"))
 
-    return Term(("a",), {"n": most + 1}, rows)
+    return Term(("a",), {"n": most + 1}, rows, reach=cutoff, roles=(Role(holds, lambda d2: {}),), counted=True, kind=kind)
 
 
 def torsion(rules: list[tuple[str, str, str]], bins: tuple[int, ...], names: list[str] | None = None) -> Term:
@@ -133,7 +210,7 @@ def torsion(rules: list[tuple[str, str, str]], bins: tuple[int, ...], names: lis
 
     def rows(target, around):
         w = Window.partitionBy("model", "chain").orderBy("rnum")
-        out = around.select("*", *[f.over(w).alias(n) for n, f in (("p_aa3", F.lag("aa3")), ("n_aa3", F.lead("aa3")), ("p_phi", F.lag("phi")), ("p_psi", F.lag("psi")), ("n_phi", F.lead("phi")), ("n_psi", F.lead("psi")))])
+        out = points_of(around).select("*", *[f.over(w).alias(n) for n, f in (("p_aa3", F.lag("aa3")), ("n_aa3", F.lead("aa3")), ("p_phi", F.lag("phi")), ("p_psi", F.lag("psi")), ("n_phi", F.lead("phi")), ("n_psi", F.lead("psi")))])
         names = [F.col("p_aa3"), F.col("aa3"), F.col("n_aa3")]
         group = first_rule(names, rules)
         values = ["p_phi", "p_psi", "phi", "psi", "n_phi", "n_psi"]
@@ -153,6 +230,31 @@ def uncovered(rules: list[tuple[str, ...]], names: list[str]) -> tuple[str, ...]
     return next((t for t in product(names, repeat=3) if not any(all(e is None or n in e for n, e in zip(t, r)) for r in entries)), None)
 
 
+def triplets_by_rule(names: DataFrame, rules: list[tuple[str, ...]], required: bool = True) -> DataFrame:
+    """(p_aa3, aa3, n_aa3, g) of every three of names(aa3), a small table: g is the number of the first rule that fits.
+
+    Rules are rows joined by what they name; with required, a triplet that no rule fits is an error.
+    """
+    spark = names.sparkSession
+    rows = [(k, *[None if e == "all" else [x.strip() for x in e.split(",")] for e in r]) for k, r in enumerate(rules)]
+    table = spark.createDataFrame(rows, "g int, r1 array<string>, r2 array<string>, r3 array<string>")
+    every = names.select("aa3").distinct().agg(F.sort_array(F.collect_list("aa3")).alias("all"))
+    three = every.select(F.explode("all").alias("p_aa3"), "all").select("p_aa3", F.explode("all").alias("aa3"), "all").select("p_aa3", "aa3", F.explode("all").alias("n_aa3"))
+    fits = F.lit(True)
+    for name, rule in (("p_aa3", "r1"), ("aa3", "r2"), ("n_aa3", "r3")):
+        fits &= F.col(rule).isNull() | F.array_contains(rule, F.col(name))
+    found = three.join(F.broadcast(table), fits, "left").groupBy("p_aa3", "aa3", "n_aa3").agg(F.min("g").alias("g"))
+    return checked(found, F.col("g").isNotNull(), F.concat_ws(" ", F.lit("no rule covers"), "p_aa3", "aa3", "n_aa3")) if required else found
+
+
+def triplet_energies(rows: DataFrame, triplets: DataFrame, energies: DataFrame, bins: tuple[int, ...], angles: list[str]) -> DataFrame:
+    """rows(p_aa3, aa3, n_aa3, six angle columns) with g and e of a torsion table by the three residues' names.
+
+    Names that triplets lacks, and groups that the table lacks, have null; angles are wrapped, and a missing one gives null.
+    """
+    return angle_energies(rows.join(triplets, ["p_aa3", "aa3", "n_aa3"], "left"), energies, bins, angles)
+
+
 def angle_energies(rows: DataFrame, energies: DataFrame, bins: tuple[int, ...], angles: list[str]) -> DataFrame:
     """rows(g, six angle columns) with e of a torsion table; angles of any turn are wrapped, an unknown group has null."""
     cells = {f"b{i}": bin_of(wrap(F.col(a)), -math.pi, math.pi, n) for i, (a, n) in enumerate(zip(angles, bins, strict=True))}
@@ -171,28 +273,30 @@ def first_rule(names: list, rules: list[tuple[str, ...]]):
     return out
 
 
-def hbond(ranges: dict[str, tuple[float, float, int]], separation: int, reach: float = 9.0) -> Term:
-    """Donor and acceptor geometry between residues of one state.
+def hbond(ranges: dict[str, tuple[float, float, int]], separation: int, reach: float = 9.0, states: tuple[int, ...] | None = None) -> Term:
+    """Donor and acceptor geometry between residues, by the state that both have, or 0 where their states differ.
 
     ranges has (low, high, bins) for d, alpha, beta and gamma. Points are residues with state, donates, and the positions n,
-    h (donor) and o, c, ca; a bond is looked for between residues whose ca are within reach and whose states agree.
+    h (donor) and o, c, ca; a bond is looked for between residues whose ca are within reach. Each of the states, if given, must have counts.
     """
     for low, high, n in ranges.values():
         _check(low, high, n)
 
-    def rows(target, around):
-        pairs = apart_in_sequence(radius_join(target, around, reach, ["model"]).where(F.col("l_res") != F.col("r_res")), "chain", "rnum", separation)
-        # each pair is taken once with either end as the donor
-        both = pairs.where(F.col("l_state") == F.col("r_state")).withColumn("donor", F.explode(F.array(F.lit("l"), F.lit("r"))))
-        ends = lambda name, first, second: F.when(F.col("donor") == "l", F.col(first + name)).otherwise(F.col(second + name))
-        roles = [ends(f"{k}{v}", "l_", "r_").alias(f"{k}{v}") for k in ("h", "n") for v in "xyz"] + [ends(f"{k}{v}", "r_", "l_").alias(f"{k}{v}") for k in ("o", "c", "ca") for v in "xyz"]
-        one = both.where(ends("donates", "l_", "r_")).select(F.col("l_model").alias("model"), F.col("l_res").alias("res"), F.col("l_state").alias("state"), *roles)
-        h, n, o, c, ca = (vec(k) for k in ("h", "n", "o", "c", "ca"))
-        ho = sub(o, h)
-        geometry = {"d": F.sqrt(sum(x * x for x in ho)), "alpha": angle(sub(n, h), ho), "beta": angle(sub(c, o), sub(h, o)), "gamma": dihedral(ca, c, o, h)}
-        return one.select("model", "res", "state", *[bin_of(v, *ranges[k]).alias(k) for k, v in geometry.items()])
-
-    return Term(("state",), {k: v[2] for k, v in ranges.items()}, rows, sums=True)
+    def role(donor: str, acceptor: str) -> Role:
+        def holds(d2):
+            return (F.col("l_res") != F.col("r_res")) & (d2 <= reach * reach) & apart(separation) & F.col(f"{donor}_donates")
+
+        def columns(d2):
+            h, n, o, c, ca = *(vec(f"{donor}_{k}") for k in ("h", "n")), *(vec(f"{acceptor}_{k}") for k in ("o", "c", "ca"))
+            ho = sub(o, h)
+            geometry = {"d": F.sqrt(sum(x * x for x in ho)), "alpha": angle(sub(n, h), ho), "beta": angle(sub(c, o), sub(h, o)), "gamma": dihedral(ca, c, o, h)}
+            state = F.when(F.col("l_state") == F.col("r_state"), F.col("l_state")).otherwise(F.lit(0))
+            return {"state": state, **{k: bin_of(v, *ranges[k]) for k, v in geometry.items()}}
+
+        return Role(holds, columns)
+
+    # each pair is an interaction twice, with either end as the donor
+    return _of_pairs(("state",), {k: v[2] for k, v in ranges.items()}, reach, (role("l", "r"), role("r", "l")), sums=True, states=states)
 
 
 def smoothed_states(residues: DataFrame, state: str = "state") -> DataFrame:

@@ -67,8 +67,7 @@ def sequence_coverage(spark, d):
 def keyed_energy(spark, d):
     """Energies by a state of the residue: three tables in one, counted in one pass and looked up in one join."""
     r, term, state = _residues(spark, d), pair_distance(0.0, RADIUS, 5, 0, "label"), ("ss",)
-    energies = term.energies(term.train(r, r, extra=state), extra=state)
-    return term.score(r, r, energies, state).select(F.col("res").alias("id"), r6("energy"))
+    return term.fitted(r, r, state)[2].select(F.col("res").alias("id"), r6("energy"))
 
 
 def packing_energy(spark, d):

@@ -75,7 +75,7 @@ def alignment_features(spark, d):
 
 
 def hbond_energy(spark, d):
-    """Five points of an embedding as the atoms of a residue; bonds between residues of one state."""
+    """Five points of an embedding as the atoms of a residue; bonds by the state of both residues, 0 if they differ."""
     at = {f"{a}{v}": F.get("embedding", F.lit(3 * k + i)).cast("double") for k, a in enumerate(("h", "n", "o", "c", "ca")) for i, v in enumerate("xyz")}
     r = table(spark, d, "embeddings").select(F.lit(0).alias("model"), F.lit("A").alias("chain"), F.col("vec_id").alias("rnum"), F.col("vec_id").alias("res"), (F.col("label") % 2).alias("state"), (F.col("vec_id") % 3 != 0).alias("donates"), *[c.alias(n) for n, c in at.items()])
     r = r.select("*", *[F.col(f"ca{v}").alias(v) for v in "xyz"])
@@ -179,7 +179,7 @@ def _hbond_sql() -> str:
     cells = math.prod(n for _, _, n in RANGES.values())
     on = " AND ".join(f"e.b_{n} = b.b_{n}" for n in RANGES)
     return f"""WITH r AS (SELECT vec_id AS id, label % 2 AS state, vec_id % 3 <> 0 AS donates, {at} FROM embeddings),
-      f AS (SELECT p.id AS l, q.id AS r, p.state, {parts} FROM r p JOIN r q ON p.id <> q.id AND p.state = q.state AND p.donates AND {d2} <= {RADIUS * RADIUS}),
+      f AS (SELECT p.id AS l, q.id AS r, CASE WHEN p.state = q.state THEN p.state ELSE 0 END AS state, {parts} FROM r p JOIN r q ON p.id <> q.id AND p.donates AND {d2} <= {RADIUS * RADIUS}),
       g AS (SELECT l, r, state, {", ".join(f"{e} AS {n}" for n, e in geometry.items())} FROM f), b AS (SELECT l, r, state, {bins} FROM g),
       c AS (SELECT state, {", ".join(f"b_{n}" for n in RANGES)}, count(*) * 2.0::DOUBLE AS w FROM b WHERE {" AND ".join(f"b_{n} IS NOT NULL" for n in RANGES)} GROUP BY ALL),
       s AS (SELECT *, w / sum(w) OVER (PARTITION BY state) AS p FROM c), t AS (SELECT *, -ln(greatest(p * {cells}, 1.0::DOUBLE)) AS e0 FROM s),
@@ -201,7 +201,7 @@ def _rebuilt_sql() -> str:
     at = ", ".join(f"embedding[{3 * k + i + 1}]::DOUBLE AS {a}{v}" for k, a in enumerate(("n", "ca", "c")) for i, v in enumerate("xyz"))
     b, e = ([f"(ca{v} - n{v})" for v in "xyz"], [f"(c{v} - ca{v})" for v in "xyz"])
     cb = [f"ca{v} + ({n} * -0.58273431::DOUBLE + ({p} * 0.56802827::DOUBLE + {q} * -0.54067466::DOUBLE))" for v, n, p, q in zip("xyz", _cross(b, e), b, e)]
-    state = " ".join(f"WHEN nx * 12 BETWEEN {a}::DOUBLE AND {z}::DOUBLE AND ny * 12 BETWEEN {y}::DOUBLE AND {x}::DOUBLE THEN {s}" for a, z, y, x, s in STATE_BOXES)
+    state = " ".join(f"WHEN nx * 12 > {a}::DOUBLE AND nx * 12 < {z}::DOUBLE AND ny * 12 > {y}::DOUBLE AND ny * 12 < {x}::DOUBLE THEN {s}" for a, z, y, x, s in STATE_BOXES)
     return f"WITH r AS (SELECT vec_id, {at} FROM embeddings) SELECT vec_id, {', '.join(f'round({p}, 6) AS {v}' for p, v in zip(cb, 'xyz'))}, (CASE {state} ELSE 0 END)::INT AS state FROM r"
 
 

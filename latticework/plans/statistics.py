@@ -95,7 +95,7 @@ def pair_energy(spark, d):
 
 def _scored(spark, d, normalise: bool) -> DataFrame:
     r, term = _residues(spark, d), _species()
-    return term.score(r, r, term.energies(pair_hist(spark, d)), normalise=normalise).select(F.col("res").alias("id"), r6("energy"))
+    return term.fitted(r, r, normalise=normalise)[2].select(F.col("res").alias("id"), r6("energy"))
 
 
 def residue_energy_mean(spark, d):
@@ -108,7 +108,8 @@ def residue_energy_sum(spark, d):
 
 def total_energy(spark, d):
     r, term = _residues(spark, d), _species()
-    return P.total_energy(P.lookup(term.rows(r, r), term.energies(pair_hist(spark, d)), ["a", "b", "d"]), ["a"]).select(F.col("a").alias("label"), r6("energy"))
+    rows, energies, _ = term.fitted(r, r)
+    return P.total_energy(P.lookup(rows, energies, ["a", "b", "d"]), ["a"]).select(F.col("a").alias("label"), r6("energy"))
 
 
 def seq_sep_pairs(spark, d):
