@@ -18,9 +18,10 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators.constraints import ConstraintSet
 from .operators.features import average_local_scores, averages, local_scores, model_scores
 from .operators.models import GroupScorer
-from .operators.structures import FEATURES, make_term, structure_features, term_points
+from .operators.structures import FEATURES, Constraints, make_term, structure_features, term_points
 from .sources.readers import backbone, preprocessed, preprocessing_report, read_structures
 from .sources.sinks import Container, result_documents, score_arrays, term_arrays, write_scores
 
@@ -59,14 +60,18 @@ def train(spark: SparkSession, structures: str, settings: dict, out: str, sigma:
     energies.save(f"{out}/energies")
 
 
-def score(spark: SparkSession, models: str, tables: str, out: str, names: tuple[str, ...] = (), scores: dict | None = None, reference: str | None = None, network: str | None = None) -> None:
+def score(spark: SparkSession, models: str, tables: str, out: str, names: tuple[str, ...] = (), scores: dict | None = None, reference: str | None = None, network: str | None = None, constraints: str | None = None, annotations: str | None = None) -> None:
     """Features of every residue, averages and global scores of every model, and a document of both."""
     energies = Container.load(spark, f"{tables}/energies", "energies")
     terms = _terms(energies.options)
     given = read_structures(spark, models)
     atoms, residues = _structures(spark, models)
     columns = [*terms, *names]
-    structure_features(atoms, residues, terms, energies, names).write.mode("overwrite").parquet(f"{out}/features")
+    inputs = {"annotations": spark.read.parquet(annotations)} if annotations else {}
+    if constraints:
+        bounds = ConstraintSet.load(spark, constraints)
+        inputs["constraints"] = Constraints(bounds.table.withColumnRenamed("target", "chain"), bounds.options.step, bounds.options.cutoff)
+    structure_features(atoms, residues, terms, energies, names, **inputs).write.mode("overwrite").parquet(f"{out}/features")
     features = spark.read.parquet(f"{out}/features")  # what follows reads the features, instead of scoring again
     means = averages(features, ["model"], columns)
     if scores:
@@ -76,7 +81,7 @@ def score(spark: SparkSession, models: str, tables: str, out: str, names: tuple[
     local, shown = columns[0], features
     if network:
         local, shown = "score", local_scores(features, means, ["model"], GroupScorer.load(spark, network)).select(*features.columns, "score")
-        means = means.join(average_local_scores(shown, ["model"], F.lit(False)).drop("residues"), "model")
+        means = means.join(average_local_scores(shown, ["model"], F.col("dist_const").isNotNull() if constraints and "dist_const" in names else F.lit(False)).drop("residues"), "model")
     means.write.mode("overwrite").parquet(f"{out}/averages")
     columns += [local] if network else []
     write_scores(shown, f"{out}/local", ["chain", "rnum", "rname", *columns])
@@ -99,6 +104,8 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     two.add_argument("--scores", help="JSON file of linear global scores")
     two.add_argument("--reference", help="reference table for z-scores")
     two.add_argument("--network", help="folder of the local network scorer")
+    two.add_argument("--constraints", help="folder of a constraint set whose targets are chains, for dist_const")
+    two.add_argument("--annotations", help="Parquet table of annotations, for the features that need them")
     for p in (one, two):
         p.add_argument("--out", required=True)
     a = parser.parse_args(arguments)
@@ -106,7 +113,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     if a.command == "train":
         train(spark, a.structures, _json(a.terms), a.out, a.sigma)
     else:
-        score(spark, a.models, a.tables, a.out, tuple(a.features), _json(a.scores), a.reference, a.network)
+        score(spark, a.models, a.tables, a.out, tuple(a.features), _json(a.scores), a.reference, a.network, a.constraints, a.annotations)
 
 
 if __name__ == "__main__":

@@ -44,8 +44,11 @@ def cell_count(counts: DataFrame, known: dict[str, list | int] | None = None, **
 
 
 def dense(counts: DataFrame, keys: list[str], sizes: dict[str, int]) -> DataFrame:
-    """Every bin of each key that occurs, w 0 where nothing was counted."""
-    grid = counts.select(*keys).distinct()
+    """(keys, bins, w, n_): every bin of each key that occurs, w 0 where nothing was counted; n_ is the key's total.
+
+    The keys come from their totals, so that all that is made of counts here reads one exchange of them.
+    """
+    grid = counts.groupBy(*keys).agg(F.sum("w").alias("n_")).where("n_ is not null")
     for b, n in sizes.items():
         grid = grid.withColumn(b, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return grid.join(counts, [*keys, *sizes], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
+    return grid.join(counts, [*keys, *sizes], "left").select(*keys, *sizes, F.coalesce("w", F.lit(0.0)).alias("w"), "n_")

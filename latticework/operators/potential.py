@@ -28,7 +28,7 @@ def sippl(counts: DataFrame, keys: list[str], sizes: dict[str, int], sigma: floa
     cells = 1
     for n in sizes.values():
         cells *= n
-    rows = dense(counts, keys, sizes).withColumn("n_", F.sum("w").over(Window.partitionBy(*keys)))
+    rows = dense(counts, keys, sizes)
     if reference_state == "classic":
         by_bin = counts.groupBy(*within, *bins).agg(F.sum("w").alias("nb_"))
         rows = rows.join(by_bin, [*within, *bins], "left").withColumn("all_", F.sum(F.coalesce("nb_", F.lit(0.0))).over(Window.partitionBy(*keys)))
@@ -44,7 +44,7 @@ def sippl_hybrid(first: DataFrame, second: DataFrame, keys: list[str], sizes: di
     bins = list(sizes)
 
     def shares(counts, name):
-        rows = dense(counts, keys, sizes).withColumn("n_", F.sum("w").over(Window.partitionBy(*keys)))
+        rows = dense(counts, keys, sizes)
         by_bin = counts.groupBy(*bins).agg(F.sum("w").alias("nb_"))
         rows = rows.join(by_bin, bins, "left").withColumn("all_", F.sum(F.coalesce("nb_", F.lit(0.0))).over(Window.partitionBy(*keys)))
         share = F.coalesce(F.try_divide(F.try_divide(F.col("w"), F.col("n_")), F.try_divide(F.coalesce("nb_", F.lit(0.0)), F.col("all_"))), F.lit(0.0))
@@ -65,7 +65,7 @@ def normalised_by_state(counts: DataFrame, state: str, sizes: dict[str, int], st
     for n in sizes.values():
         n_cells *= n
     w = Window.partitionBy(state)
-    rows = dense(counts, [state], sizes).withColumn("p_", F.col("w") / F.sum("w").over(w))
+    rows = dense(counts, [state], sizes).withColumn("p_", F.col("w") / F.col("n_"))
     rows = rows.withColumn("e_", -F.ln(F.greatest(F.col("p_") * n_cells, F.lit(1.0))))
     rows = rows.withColumn("t_", F.abs(F.sum(F.col("p_") * F.col("e_")).over(w)))
     out = rows.select(state, *sizes, F.coalesce(F.try_divide(F.col("e_"), F.col("t_")), F.lit(0.0)).alias("e"))

@@ -87,6 +87,8 @@ def kernel_smooth(points: DataFrame, values: list[str], sigma: float, id_col: st
 #: Contact radii by element, and the two slopes of the clash function.
 RADII = {"C": 1.6, "N": 1.3, "O": 1.3, "S": 1.7}
 CLASH_REACH, CLASH_FULL, CLASH_MOST, CLASH_SLOPE = 3.2, 0.8254, 10.0, 57.273
+#: Numbers that atoms of one chain must be apart.
+CLASH_APART = 2
 
 
 def clash_penalty(element: str, d2: Column) -> Column:
@@ -96,7 +98,7 @@ def clash_penalty(element: str, d2: Column) -> Column:
     return F.when(d < CLASH_FULL * contact, CLASH_MOST).when(d <= contact, CLASH_SLOPE * (1 - d / contact)).otherwise(0.0)
 
 
-def clash_scores(atoms: DataFrame, id_col: str, element: str, residue: str, chain: str, number: str, separation: int = 2, disulfide: Column | None = None, keys: list[str] | None = None) -> DataFrame:
+def clash_scores(atoms: DataFrame, id_col: str, element: str, residue: str, chain: str, number: str, separation: int = CLASH_APART, disulfide: Column | None = None, keys: list[str] | None = None) -> DataFrame:
     """(keys, residue, clash): penalties of close atom pairs, summed over each residue's atoms, 0 where there are none."""
     on = [*(keys or []), residue]
     pairs = apart_in_sequence(self_pairs(atoms, CLASH_REACH, id_col, keys), chain, number, separation)

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.atom_types import atom_type
-from ..functions.geometry import add, box_state, dihedral, place_atom, rebuilt_cb, sub, unit, vec
+from ..functions.geometry import add, box_state, dihedral, distance2, place_atom, rebuilt_cb, sub, unit, vec
 from .chains import agreement, exposure, structure_class
 from .features import feature_table
 from .sequences import match_score
-from .spatial import clash_scores
-from .terms import Term, hbond, packing, pair_distance, reduced, residue_counts, smoothed_states, torsion
+from .spatial import CLASH_APART, CLASH_REACH, clash_penalty
+from .stream import Part, atom_stream, constraint_value, residue_stream
+from .terms import Term, apart, hbond, packing, pair_distance, reduced, smoothed_states, torsion
 
 #: Bond and angle of an amide hydrogen, and the angles that residues at chain ends are given.
 H_BOND, H_ANGLE, END_PHI, END_PSI = 0.9970, 2.0420, -1.0472, -0.78540
@@ -98,8 +100,18 @@ def make_term(name: str, **options) -> Term:
     return TERMS[name][1](**options)
 
 
-#: Features that need no energies; those after the second are made from annotations.
-FEATURES = ("counts", "clash", "exposed", "fraction_loops", "ss_agreement", "acc_agreement")
+#: Features that need no energies: of pairs, of constraints, and of annotations.
+FEATURES = ("counts", "clash", "dist_const", "exposed", "fraction_loops", "ss_agreement", "acc_agreement")
+COUNT_REACH = 15.0
+
+
+@dataclass(frozen=True)
+class Constraints:
+    """Distance constraints of chains: rows (chain, i, j, constraint), the step of their values and the cutoff of distances."""
+
+    rows: DataFrame
+    step: float = 0.5
+    cutoff: float = 15.0
 
 
 def disulfide_contact() -> Column:
@@ -111,20 +123,12 @@ def disulfide_contact() -> Column:
     return bridge("l", "r") | bridge("r", "l")
 
 
-def residue_feature(name: str, atoms: DataFrame, backbone: DataFrame, annotations: DataFrame | None = None, tables: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
-    """(model, res, energy) of one of FEATURES; without the annotations it needs, a feature is null.
+def annotated(name: str, backbone: DataFrame, annotations: DataFrame | None, tables: tuple[DataFrame, DataFrame, DataFrame] | None) -> DataFrame:
+    """(model, res, energy) of a feature of annotations; without what it needs, it is null.
 
     annotations is (model, chain, rnum, dssp, pred, conf, area, acc): the observed state, the predicted one and its confidence, the
     accessible share of the surface and the predicted b or e. tables are the probabilities that chains.agreement takes.
     """
-    if name not in FEATURES:
-        raise ValueError(f"unknown feature {name!r}: {', '.join(FEATURES)} are known")
-    if name == "counts":
-        ca = backbone.select(*_here(backbone), *[F.col(f"ca{v}").alias(v) for v in "xyz"]).where("x is not null")
-        return residue_counts(ca).select("model", "res", F.col("n").cast("double").alias("energy"))
-    if name == "clash":
-        rows = atoms.withColumn("res", residue_id(F.col("chain"), F.col("rnum")))
-        return clash_scores(rows, "serial", "element", "res", "chain", "rnum", disulfide=disulfide_contact(), keys=["model"]).withColumnRenamed("clash", "energy")
     if annotations is None or (name == "ss_agreement" and tables is None):
         return backbone.select("model", residue_id(F.col("chain"), F.col("rnum")).alias("res"), F.lit(None).cast("double").alias("energy"))
     rows = annotations.withColumn("res", residue_id(F.col("chain"), F.col("rnum")))
@@ -138,15 +142,87 @@ def residue_feature(name: str, atoms: DataFrame, backbone: DataFrame, annotation
     return rows.select("model", "res", value[name].alias("energy"))
 
 
-def structure_features(atoms: DataFrame, backbone: DataFrame, terms: dict[str, tuple[str, Term]], energies: dict[str, DataFrame], names: tuple[str, ...] = (), **inputs) -> DataFrame:
+def stream_atoms(atoms: DataFrame) -> DataFrame:
+    """Atoms for atom_stream: kind is null for those of unknown type, point tells those that packing counts."""
+    kind = atom_type(F.col("rname"), F.col("aname"))
+    rows = atoms.select(*_here(atoms), "rname", "aname", "element", F.col("serial").alias("id"), kind.alias("kind"), "x", "y", "z")
+    return rows.withColumn("point", F.col("kind").isNotNull() | (F.col("rname") == "MEM"))
+
+
+def stream_residues(backbone: DataFrame, bonds: bool) -> DataFrame:
+    """Residues for residue_stream: met by CA, or by CB where that is missing; with axis, CB, and what bonds need."""
+    axis = add(unit(sub(vec("ca"), vec("n"))), unit(sub(vec("ca"), vec("c"))))
+    cb = [F.coalesce(F.col(f"cb{v}"), p) for v, p in zip("xyz", rebuilt_cb(vec("n"), vec("ca"), vec("c")))]
+    rows = backbone.select(*_here(backbone), "aa", F.col("aa").alias("kind"), *[p.alias(f"cb{v}") for p, v in zip(cb, "xyz")], *[p.alias(f"a{v}") for p, v in zip(axis, "xyz")], F.col("cax").isNotNull().alias("has_ca"), *[F.coalesce(f"ca{v}", p).alias(v) for p, v in zip(cb, "xyz")])
+    rows = rows.withColumn("id", F.col("res"))
+    if not bonds:
+        return rows
+    own = bonding_points(backbone).select("model", "res", "state", "donates", *[f"{a}{v}" for a in ("n", "h", "o", "c", "ca") for v in "xyz"])
+    return rows.join(own, ["model", "res"], "left")
+
+
+def _part(kind: str, term: Term, energies: DataFrame) -> Part:
+    """How a term of pairs takes part in the stream of atoms or of residues."""
+    d2, both = F.col("d2"), lambda c: F.col(f"l_{c}").isNotNull() & F.col(f"r_{c}").isNotNull()
+    between_cb = distance2(vec("l_cb"), vec("r_cb"))
+    known = F.col("kind").isNotNull()
+    if kind == "interaction":
+        return Part(term, energies, known, both("kind"), d2)
+    if kind == "packing":
+        return Part(term, energies, known, F.col("l_kind").isNotNull() & F.col("r_point"), d2, "kind")
+    if kind == "cbeta":
+        return Part(term, energies, known, both("kind"), between_cb)
+    if kind == "cb_packing":
+        return Part(term, energies, known & F.col("cbx").isNotNull(), both("kind"), between_cb, "kind")
+    if kind == "reduced":
+        return Part(term, energies, F.col("ax").isNotNull(), both("ax") & both("aa"), d2)
+    return Part(term, energies, F.col("state").isNotNull(), both("state"), d2)
+
+
+OF_ATOMS, OF_RESIDUES = ("interaction", "packing"), ("cbeta", "cb_packing", "reduced", "hbond")
+
+
+def structure_features(atoms: DataFrame, backbone: DataFrame, terms: dict[str, tuple[str, Term]], energies: dict[str, DataFrame], names: tuple[str, ...] = (), annotations: DataFrame | None = None, tables: tuple[DataFrame, DataFrame, DataFrame] | None = None, constraints: Constraints | None = None) -> DataFrame:
     """(model, chain, rnum, rname, aa, res, ...): a column for each term, scored with its energies, and for each of the named FEATURES.
 
-    terms has the kind and the term of each name; inputs are annotations and tables, as residue_feature takes them.
+    terms has the kind and the term of each name. All terms of atoms and the clashes come from one radius join, all terms of residues, counts and
+    distance constraints from another; torsions need none. Without constraints dist_const is null.
     """
-    scores = {}
-    for name, (kind, term) in terms.items():
-        points = term_points(kind, atoms, backbone)
-        scores[name] = term.score(points, points, energies[name])
-    scores |= {name: residue_feature(name, atoms, backbone, **inputs) for name in names}
+    if unknown := [n for n in names if n not in FEATURES]:
+        raise ValueError(f"unknown feature {unknown[0]!r}: {', '.join(FEATURES)} are known")
     residues = backbone.select("model", "chain", "rnum", "rname", "aa", residue_id(F.col("chain"), F.col("rnum")).alias("res"))
-    return feature_table(residues, scores, ["model", "res"])
+    wanted, out = [*terms, *names], residues
+    atom_parts = {n: _part(k, t, energies[n]) for n, (k, t) in terms.items() if k in OF_ATOMS}
+    residue_parts = {n: _part(k, t, energies[n]) for n, (k, t) in terms.items() if k in OF_RESIDUES}
+    if atom_parts or "clash" in names:
+        apart_enough = (F.col("l_id") != F.col("r_id")) & apart(CLASH_APART) & ~disulfide_contact() & (F.col("d2") <= CLASH_REACH**2)
+        clash = {"clash": F.when(apart_enough, clash_penalty("element", F.col("d2")))} if "clash" in names else {}
+        rows = stream_atoms(atoms)
+        found = atom_stream(rows, rows, atom_parts, CLASH_REACH if clash else 0.0, sums=clash)
+        out = out.join(found.select("model", "res", *[n for n in wanted if n in atom_parts or n in clash]), ["model", "res"], "left")
+    bound = constraints is not None and "dist_const" in names
+    if residue_parts or "counts" in names or bound:
+        rows = stream_residues(backbone, any(k == "hbond" for k, _ in terms.values()))
+        placed = F.col("l_has_ca") & F.col("r_has_ca") & (F.col("l_res") != F.col("r_res"))
+        more = {"counts": {"counts": F.coalesce(placed & (F.col("d2") <= COUNT_REACH**2), F.lit(False))}} if "counts" in names else {}
+        far = [COUNT_REACH] * bool(more)
+        if bound:
+            more |= {"constraints": constraints.rows.select("chain", "i", "j", "constraint"), "means": {"dist_const": F.when(placed, constraint_value(constraints.step, constraints.cutoff, F.col("d2")))}}
+            far.append(constraints.cutoff)
+        found = residue_stream(rows, residue_parts, max(far, default=0.0), **more)
+        found = found.select("model", "res", *[n for n in wanted if n in residue_parts or (n == "counts" and more) or (n == "dist_const" and bound)])
+        out = out.join(found, ["model", "res"], "left")
+        if "counts" in names:
+            out = out.join(backbone.select("model", residue_id(F.col("chain"), F.col("rnum")).alias("res"), F.col("cax").isNotNull().alias("has_ca_")), ["model", "res"]).withColumn("counts", F.when(F.col("has_ca_"), F.col("counts").cast("double"))).drop("has_ca_")
+    others = {}
+    for name in wanted:
+        if name in out.columns:
+            continue
+        if name in terms:
+            points = term_points(terms[name][0], atoms, backbone)
+            others[name] = terms[name][1].score(points, points, energies[name])
+        elif name == "dist_const":
+            out = out.withColumn(name, F.lit(None).cast("double"))
+        else:
+            others[name] = annotated(name, backbone, annotations, tables)
+    return feature_table(out, others, ["model", "res"]).select(*residues.columns, *wanted)

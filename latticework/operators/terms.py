@@ -80,10 +80,11 @@ class Term:
     def fitted(self, target: DataFrame, environment: DataFrame | Environment, extra: tuple[str, ...] = (), normalise: bool = True, counts: bool = False, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(rows, energies, scores) of a target scored with what is counted on itself: one look for interactions serves both.
 
-        Rows are dealt by residue once; counting combines them where they lie, and scoring groups them as they are.
+        rows, of which those with a missing key or bin are left out, are persisted on the executors, in memory or on their disks; what is
+        lost with one is looked for again. Whoever has used the result may unpersist them.
         """
         columns = [*self.keys, *extra, *self.sizes]
-        rows = self._rows(target, environment, extra).select("model", "res", *columns).dropna(subset=columns).repartition("model", "res")
+        rows = self._rows(target, environment, extra).select("model", "res", *columns).dropna().persist()
         energies = self.energies(histogram(rows, [*self.keys, *extra], list(self.sizes)), extra=extra, **options)
         return rows, energies, self._scored(target, rows, energies, extra, normalise, counts)
 
@@ -135,10 +136,12 @@ def apart(separation: int) -> Column:
 
 def _of_pairs(keys: tuple[str, ...], sizes: dict[str, int], reach: float, roles: tuple[Role, ...], **options) -> Term:
     def rows(target, around):
-        pairs = pairs_within(target, around, reach)
-        each = [F.when(r.holds(F.col("d2")), F.struct(*[c.alias(n) for n, c in r.columns(F.col("d2")).items()])) for r in roles]
-        found = pairs.select(F.col("l_model").alias("model"), F.col("l_res").alias("res"), *([each[0].alias("i_")] if len(each) == 1 else [F.explode(F.array(*each)).alias("i_")])).where("i_ is not null")
-        return found.select("model", "res", *[F.col(f"i_.{n}").alias(n) for n in (*keys, *sizes)])
+        pairs, d2 = pairs_within(target, around, reach), F.col("d2")
+        names = [F.col("l_model").alias("model"), F.col("l_res").alias("res")]
+        if len(roles) == 1:
+            return pairs.where(roles[0].holds(d2)).select(*names, *[c.alias(n) for n, c in roles[0].columns(d2).items()])
+        each = [F.when(r.holds(d2), F.struct(*[c.alias(n) for n, c in r.columns(d2).items()])) for r in roles]
+        return pairs.select(*names, F.explode(F.array(*each)).alias("i_")).where("i_ is not null").select("model", "res", *[F.col(f"i_.{n}").alias(n) for n in (*keys, *sizes)])
 
     return Term(keys, sizes, rows, reach=reach, roles=roles, **options)
 

@@ -44,7 +44,7 @@ def hist_merged(spark, d):
 
 
 def hist_dense(spark, d):
-    return H.dense(_counts(spark, d), ["l_returnflag"], QUANTITY)
+    return H.dense(_counts(spark, d), ["l_returnflag"], QUANTITY).drop("n_")
 
 
 def potential_classic(spark, d):

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import alignment as A
 from ..operators import templates as T
 from ..operators.models import GroupScorer, Network
-from .common import r6, table
+from ..operators.stream import Part, atom_stream
+from ..operators.terms import packing, triplet_energies, triplets_by_rule
+from .assembly import _residues
+from .common import RADIUS, r6, table
 from .composed import _ALIGNED, _aligned, _substitutions
+from .statistics import _PAIR_E, _species
 
 EVENTS = "VCEPS"
 MATCH, MISMATCH, GAPS = 10, -20, A.Gaps(-5, -2)
@@ -83,7 +89,33 @@ def template_score(spark, d):
     return out.select("p_partkey", r6("seq_id"), r6("seqres_coverage"), r6("dist_const"), r6("profile_score"), r6("template_score"))
 
 
-QUERIES = {f.__name__: f for f in (fallback_alignment, profile_score, template_score)}
+def streamed_terms(spark, d):
+    """A distance term, a packing term and two counts of every point, by one radius join."""
+    r = _residues(spark, d).withColumn("id", F.col("res"))
+    pairs, packed = _species(), packing(RADIUS / 2, 8, "label")
+    energies = pairs.fitted(r, r)[1]
+    parts = {"pair": Part(pairs, energies, F.lit(True), F.lit(True), F.col("d2")), "pack": Part(packed, packed.energies(packed.train(r, r)), F.lit(True), F.lit(True), F.col("d2"), "label")}
+    other = F.col("l_id") != F.col("r_id")
+    out = atom_stream(r, r, parts, RADIUS, counts={"near": other, "close": other & (F.col("d2") <= (RADIUS / 4) ** 2)})
+    return out.select(F.col("res").alias("id"), r6("pair"), F.col("pair_count").cast("long").alias("pair_count"), r6("pack"), F.col("near").cast("long").alias("near"), F.col("close").cast("long").alias("close"))
+
+
+NAMES = ["click", "error", "purchase", "signup", "view"]
+RULES = [("error", "all", "all"), ("all", "click,view", "purchase"), ("all", "all", "signup"), ("all", "all", "all")]
+
+
+def triplet_energy(spark, d):
+    """Three events in a row by the rule of their types, six values as angles looked up in that rule's table."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = table(spark, d, "events").select("event_id", F.lag("event_type").over(w).alias("p_aa3"), F.col("event_type").alias("aa3"), F.lead("event_type").over(w).alias("n_aa3"), *[(F.col("value") * (k + 1)).alias(f"v{k}") for k in range(6)])
+    triplets = triplets_by_rule(table(spark, d, "events").select(F.col("event_type").alias("aa3")), RULES)
+    cells = spark.range(3 * 36).select((F.col("id") % 3).cast("int").alias("g"), *[F.lit(0).alias(f"b{i}") for i in (0, 1)], (F.floor(F.col("id") / 3) % 6).cast("int").alias("b2"), F.floor(F.col("id") / 18).cast("int").alias("b3"), *[F.lit(0).alias(f"b{i}") for i in (4, 5)])
+    energies = cells.withColumn("e", F.col("g") + F.col("b2") * 0.1 + F.col("b3") * 0.01)
+    out = triplet_energies(rows, triplets, energies, (1, 1, 6, 6, 1, 1), [f"v{k}" for k in range(6)])
+    return out.select("event_id", F.col("g"), r6("e"))
+
+
+QUERIES = {f.__name__: f for f in (fallback_alignment, profile_score, template_score, streamed_terms, triplet_energy)}
 
 _FALL = f"""WITH RECURSIVE r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, upper(event_type[1]) AS aa FROM events),
   q AS (SELECT user_id, string_agg(aa, '' ORDER BY pos) AS t, string_agg(aa, '' ORDER BY pos) FILTER ((pos + user_id) % 20 < 15) AS s FROM r GROUP BY user_id),
@@ -113,7 +145,27 @@ def _net_sql(k: int) -> str:
 
 _WHICH = " ".join(f"WHEN {' AND '.join(f'{c} IS NOT NULL' for c in g)} THEN {_net_sql(k)}" for k, g in enumerate(GROUPS[:3]))
 
+_TURN = 6 / (2 * math.pi)
+_WRAP = [f"(v{i} + {math.pi}::DOUBLE - {2 * math.pi}::DOUBLE * floor((v{i} + {math.pi}::DOUBLE) / {2 * math.pi}::DOUBLE))" for i in (2, 3)]
+
+
+def _rule_sql(rule: tuple[str, ...]) -> str:
+    parts = [f"{name} IN ({', '.join(repr(x) for x in entry.split(','))})" for name, entry in zip(("p", "a", "n"), rule) if entry != "all"]
+    return " AND ".join(["p IS NOT NULL AND n IS NOT NULL", *parts])
+
+
+_PACK = f"""pk AS (SELECT p.id, p.label AS a, least(8, (SELECT count(*) FROM q WHERE q.id = p.id AND d2 <= {(RADIUS / 2) ** 2})) AS n FROM p),
+  pw AS (SELECT a, n, count(*)::DOUBLE AS w FROM pk GROUP BY ALL), pg AS (SELECT k.a, x.n, coalesce(pw.w, 0) AS w FROM (SELECT DISTINCT a FROM pw) k CROSS JOIN (SELECT unnest(range(9)) AS n) x LEFT JOIN pw ON pw.a = k.a AND pw.n = x.n),
+  pt AS (SELECT *, sum(w) OVER (PARTITION BY a) AS k, sum(w) OVER (PARTITION BY n) AS nb, sum(w) OVER () AS al FROM pg),
+  pe AS (SELECT a, n, ln(1 + 0.02 * k) - ln(1 + 0.02 * k * coalesce((w / k) / nullif(nb / al, 0), 0)) AS e FROM pt)"""
+
 ORACLES = {
+    "streamed_terms": f"""WITH {_PAIR_E}, {_PACK}, s AS (SELECT h.id, avg(e.e) AS e, count(*) AS c FROM h JOIN e USING (a, b, d) GROUP BY h.id)
+      SELECT p.id, round(s.e, 6) AS pair, coalesce(s.c, 0)::BIGINT AS pair_count, round(pe.e, 6) AS pack, (SELECT count(*) FROM q WHERE q.id = p.id) AS near, (SELECT count(*) FROM q WHERE q.id = p.id AND d2 <= {(RADIUS / 4) ** 2}) AS close
+      FROM p LEFT JOIN s USING (id) JOIN pk USING (id) JOIN pe ON pe.a = pk.a AND pe.n = pk.n""",
+    "triplet_energy": f"""WITH r AS (SELECT event_id, lag(event_type) OVER w AS p, event_type AS a, lead(event_type) OVER w AS n, value * 3 AS v2, value * 4 AS v3 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+      g AS (SELECT *, CASE {' '.join(f"WHEN {_rule_sql(rule)} THEN {k}" for k, rule in enumerate(RULES))} END AS g FROM r)
+      SELECT event_id, g, round(CASE WHEN g < 3 THEN g + floor({_WRAP[0]} * {_TURN}::DOUBLE) * 0.1::DOUBLE + floor({_WRAP[1]} * {_TURN}::DOUBLE) * 0.01::DOUBLE END, 6) AS e FROM g""",
     "fallback_alignment": _FALL,
     "profile_score": f"""WITH r AS (SELECT l_suppkey, l_linenumber AS pos, l_returnflag || l_linestatus AS kind FROM lineitem),
       g AS (SELECT {', '.join(f"count(*) FILTER (kind = '{k}') / count(*)::DOUBLE AS g{i}" for i, k in enumerate(KINDS))} FROM r),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from latticework.__main__ import main
 from latticework.operators import models as M
 from latticework.operators import structures as ST
+from latticework.operators.constraints import ConstraintOptions, ConstraintSet
 from latticework.operators.terms import packing
 from latticework.sources import readers as R
 
@@ -118,3 +119,18 @@ def test_membrane_points_count_as_neighbours(spark):
     points = ST.atom_points(atoms)
     rows = packing(3.0, 5, "kind").rows(points, points).collect()
     assert sorted((r["res"], r["n"]) for r in rows) == [("A:1", 1), ("A:1", 1)]
+
+
+def test_constraints_from_the_command_line(spark, tmp_path):
+    (tmp_path / "terms.json").write_text(json.dumps({"pairs": {"term": "interaction", "low": 0.0, "high": 10.0, "bins": 10, "separation": 4}}))
+    main(["train", "--structures", FILE, "--terms", str(tmp_path / "terms.json"), "--out", str(tmp_path / "t")], spark)
+    rows = [("A", i, j, [0.5] * 37, 1, 0.0, 0.5, 0.5) for i in range(1, 40) for j in range(i + 1, 41)]
+    shape = "target string, i int, j int, constraint array<double>, num_clusters int, variance double, max_seqsim double, max_seqid double"
+    ConstraintSet(spark.createDataFrame(rows, shape), ConstraintOptions()).save(str(tmp_path / "c"))
+    spark.createDataFrame([("1crn", "A", 3, "H", "H", 9, 0.1, "b")], "model string, chain string, rnum int, dssp string, pred string, conf int, area double, acc string").write.parquet(str(tmp_path / "a"))
+    main(["score", "--models", FILE, "--tables", str(tmp_path / "t"), "--out", str(tmp_path / "s"), "--features", "dist_const", "exposed", "acc_agreement", "--constraints", str(tmp_path / "c"), "--annotations", str(tmp_path / "a")], spark)
+    f = {r["rnum"]: r for r in spark.read.parquet(str(tmp_path / "s/features")).collect()}
+    assert all(abs(f[k]["dist_const"] - 0.5) < 1e-9 for k in range(1, 41)) and f[45]["dist_const"] is None
+    assert f[3]["exposed"] == 0.1 and f[3]["acc_agreement"] == 1.0 and f[4]["exposed"] is None
+    document = json.loads(spark.read.text(str(tmp_path / "s/documents")).first()["value"])
+    assert document["preprocessing"]["atoms"] == 327 and document["preprocessing"]["residues_removed"] == 0
