@@ -103,10 +103,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def quality_weight(docs: DataFrame, labels: DataFrame, good: float = 1.0, unknown: float = 0.5, bad: float = 0.25) -> DataFrame:
-    """docs with the column mix_weight, from labels(doc_id, quality); the best label counts where there are several."""
-    known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("q_")).withColumnRenamed("doc_id", "ld_")
-    w = F.when(F.col("q_") >= 1, good).when(F.col("q_") < 1, bad).otherwise(unknown)
-    return docs.join(known, docs["doc_id"] == known["ld_"], "left").select(*[docs[c] for c in docs.columns if c != "mix_weight"], w.alias("mix_weight"))
+    """docs with the column mix_weight, from labels(doc_id, quality); the best label counts where there are several.
+
+    A column mix_weight that docs has is replaced; all its others stay, whatever their names.
+    """
+    known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).select(F.struct("doc_id", "quality").alias("label"))
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    quality = F.col("label.quality")
+    w = F.when(quality >= 1, good).when(quality < 1, bad).otherwise(unknown)
+    out = rows.join(known, F.col("row.doc_id") == F.col("label.doc_id"), "left")
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c != "mix_weight"], w.alias("mix_weight"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

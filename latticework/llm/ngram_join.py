@@ -33,8 +33,8 @@ WIDTH, SIMILAR = 4, 85
 LEAST_CUT, CLASS, TUPLE = 40, 1.5, 3
 #: Most n-grams and documents of a group that one task joins; n-grams in a task; pivots of a larger group; documents below which regions are not divided.
 GROUP_SHINGLES, GROUP_DOCS, TASK_SHINGLES, PIVOTS, LEAF = 1 << 22, 1 << 14, 1 << 22, 16, 32
-#: An n-gram is frequent if more than one in so many documents have it; n-grams that a task counts at a time; bits of the filter of wanted rows, at most.
-FREQUENT, COUNTED, FILTER_BITS = 1000, 1 << 22, 1 << 27
+#: An n-gram is frequent if more than one in so many documents have it, and FEWEST at least; n-grams that a task counts at a time; bits of the filter of wanted rows, at most.
+FREQUENT, FEWEST, COUNTED, FILTER_BITS = 1000, 100, 1 << 22, 1 << 27
 #: Documents in groups that are sent to all tasks, 16 bytes each; more are joined by shuffling sets.
 SENT = 1 << 20
 #: A region with more of its group's documents than this share is compared block against block.
@@ -179,10 +179,26 @@ def ngram_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
     return _rows(docs, id_col, text_col).mapInArrow(run, "doc long, n long, key long, th long")
 
 
+def counted_ngrams(docs: DataFrame, text_col: str, hashes) -> DataFrame:
+    """(n, key, th), staged: a row of n 0 for every row, and each task's frequent n-grams as ngram_sets gives them; hashes(text) are a text's n-grams."""
+
+    def run(batches):
+        counts = Counts()
+        for b in batches:
+            for t in _texts(b):
+                counts.add(np.unique(hashes(t or b"")))
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b.num_rows, np.int64)), pa.nulls(b.num_rows, pa.int64()), pa.nulls(b.num_rows, pa.int64())], ["n", "key", "th"])
+        counts.settle()
+        n = len(counts.kept)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, -1)), pa.array(counts.kept.view(np.int64)), pa.array(counts.times)], ["n", "key", "th"])
+
+    return stage(docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(run, "n long, key long, th long"), "counted")
+
+
 def frequent_ngrams(found: DataFrame) -> np.ndarray:
-    """Sorted hashes of n-grams that over one in FREQUENT documents have: FREQUENT times a document's n-grams in the mean, at most."""
+    """Sorted hashes of n-grams that over one in FREQUENT documents have, and FEWEST at least: FREQUENT times a document's n-grams in the mean, at most."""
     total = found.where("n >= 0").count()
-    counts = found.where("n < 0").groupBy("key").agg(F.sum("th").alias("c")).where(F.col("c") * FREQUENT > total)
+    counts = found.where("n < 0").groupBy("key").agg(F.sum("th").alias("c")).where((F.col("c") * FREQUENT > total) & (F.col("c") >= FEWEST))
     return np.sort(np.array([r["key"] for r in counts.select("key").collect()], np.int64).view(np.uint64))
 
 
@@ -218,7 +234,7 @@ def candidate_links(docs: DataFrame, id_col: str, text_col: str, width: int, sim
 
 
 def wanted_sets(docs: DataFrame, id_col: str, text_col: str, width: int, wanted: DataFrame, count: int) -> DataFrame:
-    """(key, n, set) of the rows of docs that wanted(doc, th) names, count in all, and of a few others.
+    """(doc, th, n, set) of the rows of docs that wanted(doc, th) names, count in all, and of a few others.
 
     Which rows are wanted is a filter of hashed bits, 16 for each up to FILTER_BITS, so that texts are read where they lie and not shuffled.
     """
@@ -234,14 +250,13 @@ def wanted_sets(docs: DataFrame, id_col: str, text_col: str, width: int, wanted:
     def run(batches):
         for b in batches:
             at = b.column("spot").to_numpy() - 1
-            here = pa.array((known[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
-            found = [ngrams(t, width) for t in _texts(b.filter(here))]
-            keys = [xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63) for h in found]
+            here = b.filter(pa.array((known[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+            found = [ngrams(t, width) for t in _texts(here)]
             ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
             flat = pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([len(h) for h in found], pa.int64()), pa.ListArray.from_arrays(ends, flat)], ["key", "n", "set"])
+            yield pa.RecordBatch.from_arrays([here.column("doc"), here.column("th"), pa.array([len(h) for h in found], pa.int64()), pa.ListArray.from_arrays(ends, flat)], ["doc", "th", "n", "set"])
 
-    return _rows(docs, id_col, text_col).withColumn("spot", spot).select("spot", "t").mapInArrow(run, "key long, n long, set array<long>")
+    return _rows(docs, id_col, text_col).withColumn("spot", spot).select("spot", "doc", "th", "t").mapInArrow(run, "doc long, th long, n long, set array<long>")
 
 
 # ---- the metric join of a group
@@ -405,32 +420,18 @@ def _divided(large: DataFrame, level: int, similar: int) -> tuple[DataFrame, Dat
     return links, cells.select("grp", "cell", "key")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similar: int = SIMILAR) -> DataFrame:
-    """(doc, n_shingles, component) for every row: component is the smallest id reachable over links.
+def links_in_groups(docs: DataFrame, id_col: str, text_col: str, width: int, similar: int, members: DataFrame) -> list[DataFrame]:
+    """Tables (a, b) of links between keys that connect all that links connect within the groups of members(key, grp, doc, th, n), a written table.
 
-    Two documents link when their sets of distinct word n-grams (words [^\\x20\\x09-\\x0D]+, A-Z lower-cased; fewer words than width are one
-    n-gram) have a Jaccard similarity of similar percent or more, 80 to 100. N-grams and sets are told apart by 64-bit hashes. Texts that are null
-    or have no words have no n-grams and link with nothing. Equal sets are taken together first. Rows with a null id take part in links, and get
-    their component's smallest id (null if it has none); rows that share an id share no component by that. Texts of any length, empty
-    tables and further columns of any name need nothing special.
+    A key stands for one text, that of the row of docs with this id and hash of its text; n is how many n-grams it has.
     """
-    if not 80 <= similar <= 100:
-        raise ValueError("similar must be from 80 to 100")
-    found = stage(ngram_sets(docs, id_col, text_col, width), "sets")
-    sets = found.where("n >= 0")
-    links = candidate_links(docs, id_col, text_col, width, similar, frequent_ngrams(found))
-    groups = stage(connected_components(links).select(F.col("node").alias("key"), F.col("root").alias("grp")), "groups")
-    known = sets.where("key is not null").groupBy("key").agg(F.min(F.struct(F.col("doc").isNull(), "doc", "th")).alias("at"), F.min("doc").alias("low"), F.first("n").alias("n"))
-    known = stage(known.select("key", "at.doc", "at.th", "low", "n"), "known")
-    members = stage(groups.join(known, "key"), "members")
     sizes = stage(members.groupBy("grp").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")), "sizes")
     count = members.count()
     content = wanted_sets(docs, id_col, text_col, width, members.select("doc", "th"), count)
+    of = members.select("key", "grp", F.col("doc").alias("of_doc"), F.col("th").alias("of_th"))
+    placed = content.join(F.broadcast(of) if count <= SENT else of, F.col("doc").eqNullSafe(F.col("of_doc")) & (F.col("th") == F.col("of_th"))).select("key", "grp", "n", "set")
     if large_ones := not sizes.where(_too_large()).isEmpty():
-        content = stage(content, "content")
-    of = members.select("key", "grp")
-    placed = content.join(F.broadcast(of) if count <= SENT else of, "key")
-    if large_ones:
+        content = placed = stage(placed, "content")
         large = placed.join(sizes.where(_too_large()), "grp").dropDuplicates(["grp", "key"])
         placed = placed.join(sizes.where(~_too_large()).select("grp"), "grp", "left_semi")
     total = sizes.where(~_too_large()).agg(F.coalesce(F.sum("shingles"), F.lit(0))).first()[0]
@@ -454,6 +455,28 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         links.append(stage(_task_links(fitting, similar, fitting.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]), "links"))
         large = placed.where(_too_large() & ~stuck).select("grp", "key", "n", "set", "docs", "shingles")
         large_ones, level = not large.isEmpty(), level + 1
+    return links
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similar: int = SIMILAR) -> DataFrame:
+    """(doc, n_shingles, component) for every row: component is the smallest id reachable over links.
+
+    Two documents link when their sets of distinct word n-grams (words [^\\x20\\x09-\\x0D]+, A-Z lower-cased; fewer words than width are one
+    n-gram) have a Jaccard similarity of similar percent or more, 80 to 100. N-grams and sets are told apart by 64-bit hashes. Texts that are null
+    or have no words have no n-grams and link with nothing. Equal sets are taken together first. Rows with a null id take part in links, and get
+    their component's smallest id (null if it has none); rows that share an id share no component by that. Texts of any length, empty
+    tables and further columns of any name need nothing special.
+    """
+    if not 80 <= similar <= 100:
+        raise ValueError("similar must be from 80 to 100")
+    found = stage(ngram_sets(docs, id_col, text_col, width), "sets")
+    sets = found.where("n >= 0")
+    links = candidate_links(docs, id_col, text_col, width, similar, frequent_ngrams(found))
+    groups = stage(connected_components(links).select(F.col("node").alias("key"), F.col("root").alias("grp")), "groups")
+    known = sets.where("key is not null").groupBy("key").agg(F.min(F.struct(F.col("doc").isNull(), "doc", "th")).alias("at"), F.min("doc").alias("low"), F.first("n").alias("n"))
+    known = stage(known.select("key", "at.doc", "at.th", "low", "n"), "known")
+    members = stage(groups.join(known, "key"), "members")
+    links = links_in_groups(docs, id_col, text_col, width, similar, members)
     roots = stage(connected_components(union_all(links)), "roots").withColumnRenamed("node", "key")
     named = known.select("key", "low").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     lows = named.groupBy("root").agg(F.min("low").alias("component"))

@@ -7,24 +7,28 @@ each half's own cell and the cells one step up; pairs found are verified on the
 
 Three bits of 64 find only texts that are nearly equal. For links down to a given shingle similarity, each text
 also gets fingerprints of small samples of its shingles: the few that are smallest under a permutation of the
-hashes. Texts that agree in one sample's fingerprint are compared with the group's first text on their shingles.
+hashes, without those that over a thousandth of the texts have. Texts reachable over equal fingerprints of samples form a group; groups
+are then joined exactly on their shingles.
 """
 
 from __future__ import annotations
 
 from itertools import accumulate
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .shared import connected_components, stage, table
+from .ngram_join import counted_ngrams, frequent_ngrams, links_in_groups
+from .shared import connected_components, stage, table, union_all
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 3
 #: Shingles in a sample. Texts of similarity s agree in one sample with a chance of about s ** SAMPLE.
-SAMPLE = 4
+SAMPLE = 3
 
 
 def shingle_hashes(text: bytes, width: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -49,9 +53,14 @@ def majority_bits(hashes: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(hashes)).view(">i8")[0])
 
 
-def sample_bits(hashes: np.ndarray, samples: int, seed: int = SEED) -> list[int]:
-    """Fingerprints of the SAMPLE distinct shingles that are smallest under each of so many permutations."""
-    distinct = np.unique(hashes)
+def sample_bits(distinct: np.ndarray, samples: int, seed: int = SEED, frequent: np.ndarray | None = None) -> list[int]:
+    """Fingerprints of the SAMPLE shingles, of sorted distinct ones, that are smallest under each of so many permutations.
+
+    Frequent shingles (sorted) are left out, unless fewer than SAMPLE others are left.
+    """
+    if frequent is not None and len(frequent):
+        others = distinct[frequent[np.minimum(np.searchsorted(frequent, distinct), len(frequent) - 1)] != distinct]
+        distinct = others if len(others) >= SAMPLE else distinct
     if not len(distinct):
         return []
     odd = np.random.default_rng(seed).integers(0, 1 << 63, samples, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -60,20 +69,25 @@ def sample_bits(hashes: np.ndarray, samples: int, seed: int = SEED) -> list[int]
     return [majority_bits(distinct[np.argpartition(distinct * m, SAMPLE)[:SAMPLE]]) for m in odd]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, seed: int = SEED, samples: int = 0) -> DataFrame:
-    """(doc, fp, parts) for every row; parts are the samples' fingerprints. Without words, fp is 0 and parts are empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, seed: int = SEED, samples: int = 0, frequent: np.ndarray | None = None) -> DataFrame:
+    """(doc, fp, th, n, parts) for every row: th is the text's hash; parts are the samples' fingerprints and n the distinct shingles.
+
+    Without words, fp is 0 and parts are empty; without samples, parts are empty and n is 0.
+    """
 
     def run(batches):
         for b in batches:
-            fps, parts = [], []
+            fps, sizes, parts = [], [], []
             for t in b.column("t").cast(pa.large_binary()):
                 hashes = shingle_hashes(t.as_py() or b"", width, seed)
                 fps.append(majority_bits(hashes))
-                parts.append(sample_bits(hashes, samples, seed) if samples else [])
-            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(fps, pa.int64()), pa.array(parts, pa.list_(pa.int64()))], ["doc", "fp", "parts"])
+                distinct = np.unique(hashes) if samples else hashes[:0]
+                sizes.append(len(distinct))
+                parts.append(sample_bits(distinct, samples, seed, frequent) if samples else [])
+            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(fps, pa.int64()), b.column("th"), pa.array(sizes, pa.int64()), pa.array(parts, pa.list_(pa.int64()))], ["doc", "fp", "th", "n", "parts"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, "doc long, fp long, parts array<long>")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("t"))
+    return rows.mapInArrow(run, "doc long, fp long, th long, n long, parts array<long>")
 
 
 def segment_counts(half: Column) -> Column:
@@ -104,49 +118,44 @@ def close_pairs(fps: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     return probe.join(own, (probe["g"] == own["g"]) & (probe["cell"] == own["cell"]) & near & (F.col("up") | (F.col("a") < F.col("b")))).where("a != b").select("a", "b")
 
 
-def similar_texts(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, seed: int, similarity: float) -> DataFrame:
-    """(a, b), fingerprints of nodes(fp, low, parts) whose texts share a sample's fingerprint and enough shingles.
+def sample_groups(nodes: DataFrame) -> DataFrame:
+    """(key, grp), fingerprints of nodes(fp, parts) reachable over samples' fingerprints: each is tied to the next one of equal sample."""
+    entries = nodes.select("fp", F.posexplode("parts").alias("part", "bits"))
+    tied = entries.select("fp", F.lead("fp").over(Window.partitionBy("part", "bits").orderBy("fp")).alias("next")).where("next is not null")
+    return connected_components(tied.select(F.col("fp").alias("a"), F.col("next").alias("b"))).select(F.col("node").alias("key"), F.col("root").alias("grp"))
 
-    Each text is compared with the first one of every group it is in, so a group costs one comparison a member.
-    """
-    entries = nodes.where("low is not null").select("fp", "low", F.posexplode("parts").alias("part", "bits"))
-    firsts = entries.groupBy("part", "bits").agg(F.min(F.struct("low", "fp")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("part").alias("part_"), F.col("bits").alias("bits_"), F.col("first.low").alias("low_a"), F.col("first.fp").alias("a"))
-    met = entries.join(firsts, (F.col("part") == F.col("part_")) & (F.col("bits") == F.col("bits_"))).where("a != fp").select("a", "low_a", F.col("fp").alias("b"), F.col("low").alias("low_b")).distinct()
-    met = stage(met, "candidates")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    left, right = (texts.select(F.col("id").alias(f"id_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
-    pairs = met.join(right, F.col("low_b") == F.col("id_b")).join(left, F.col("low_a") == F.col("id_a")).select("a", "b", "text_a", "text_b")
 
-    def run(batches):
-        last = known = None
-        for batch in batches:
-            close = []
-            for one, two in zip(batch.column("text_a"), batch.column("text_b")):
-                if (one := one.as_py() or b"") != last:
-                    last, known = one, np.unique(shingle_hashes(one, width, seed))
-                other = np.unique(shingle_hashes(two.as_py() or b"", width, seed))
-                both = len(np.intersect1d(known, other, assume_unique=True))
-                close.append(both >= similarity * (len(known) + len(other) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(close, pa.bool_()))
+def similar_texts(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> list[DataFrame]:
+    """Tables (a, b) of links between fingerprints of nodes(fp, low, th, n, parts) whose texts, in one group of samples, share enough shingles.
 
-    return pairs.mapInArrow(run, "a long, b long")
+    Every two texts of a group whose similarity reaches the threshold are connected, whatever else the group holds.
+    """
+    known = nodes.where("low is not null and n > 0")
+    groups = sample_groups(known)
+    members = groups.join(known.select(F.col("fp").alias("key"), F.col("low").alias("doc"), "th", "n"), "key")
+    return links_in_groups(docs, id_col, text_col, width, ceil(100 * similarity), stage(members, "members"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, seed: int = SEED, most_bits: int = MOST_BITS, samples: int = 0, similarity: float = 0.8) -> DataFrame:
     """(doc, fp, component) for every row; component is the smallest id reachable over links.
 
     Fingerprints link at most_bits or fewer differing bits. With samples above 0, texts also link where at least
-    the given share of their distinct shingles is common (Jaccard), found with a chance of 1 - (1 - share ** SAMPLE)
-    ** samples. Equal fingerprints are taken together first, so groups of copies cost one fingerprint; the text with
-    the smallest id stands for them. Rows with a null id have a fingerprint, take part in its links, and get the
-    component's smallest id (null if it has none); they are not compared on shingles. Where rows share an id, any of
+    the given share of their distinct shingles is common (Jaccard, in whole percent, 0.8 or more), found with a chance of
+    1 - (1 - share ** SAMPLE) ** samples, share being that of the shingles that are not frequent. Equal fingerprints are taken together
+    first, so groups of copies cost one fingerprint; the text with the smallest id stands for them. Rows with a null id have a fingerprint, take
+    part in its links, and get the component's smallest id (null if it has none); they are not compared on shingles. Where rows share an id, any of
     their texts stands for it.
     """
-    fps = stage(fingerprints(docs, id_col, text_col, width, seed, samples), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("doc").alias("low"), F.min_by("parts", "doc").alias("parts"))
+    frequent = None
+    if samples:
+        frequent = frequent_ngrams(counted_ngrams(docs, text_col, lambda t: shingle_hashes(t, width, seed)))
+    fps = stage(fingerprints(docs, id_col, text_col, width, seed, samples, frequent), "fingerprints")
+    first = F.min(F.when(F.col("doc").isNotNull(), F.struct("doc", "th")))
+    nodes = fps.groupBy("fp").agg(first.alias("at"), F.min_by("n", "doc").alias("n"), F.min_by("parts", "doc").alias("parts")).select("fp", F.col("at.doc").alias("low"), F.col("at.th").alias("th"), "n", "parts")
+    nodes = stage(nodes, "nodes") if samples else nodes
     links = close_pairs(nodes, most_bits)
     if samples:
-        links = links.unionByName(similar_texts(nodes, docs, id_col, text_col, width, seed, similarity))
+        links = union_all([links, *similar_texts(nodes, docs, id_col, text_col, width, similarity)])
     roots = connected_components(links)
     groups = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = groups.groupBy("root").agg(F.min("low").alias("component"))
