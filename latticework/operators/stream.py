@@ -32,6 +32,7 @@ class Part:
     pair: Column  # of the pair's columns: points that it counts
     d2: Column
     kind: str | None = None  # of counted terms: the target's key column
+    extra: tuple[str, ...] = ()  # further key columns of the energies, of which a target has its own values
 
 
 def _small(table: DataFrame) -> DataFrame:
@@ -44,7 +45,7 @@ def streamed(pairs: DataFrame, targets: DataFrame, parts: dict[str, Part], sums:
     pairs are those of all parts, at the largest reach; sums, counts and means are further values of pairs by residue: sums 0 and
     means null without any.
     """
-    rows, gone = pairs, []
+    rows = pairs
     aggregates = [F.sum(v).alias(n) for n, v in (sums or {}).items()] + [F.count_if(v).alias(n) for n, v in (counts or {}).items()]
     for n, v in (means or {}).items():
         aggregates += [F.sum(v).alias(f"{n}_sum_"), F.count(v).alias(f"{n}_n_")]
@@ -54,14 +55,14 @@ def streamed(pairs: DataFrame, targets: DataFrame, parts: dict[str, Part], sums:
         if term.counted:
             aggregates.append(F.count_if(here[0]).alias(f"{name}_n_"))
             continue
-        table, energy, number = _small(part.energies.select(*term.keys, *term.sizes, "e")), F.lit(0.0), F.lit(0)
+        table, energy, number = _small(part.energies.select(*term.keys, *part.extra, *term.sizes, "e")), F.lit(0.0), F.lit(0)
         for j, (role, holds) in enumerate(zip(term.roles, here)):
             own = {c: f"p{k}_{j}_{c}" for c in (*term.keys, *term.sizes)}
             rows = rows.withColumns({own[c]: F.when(holds, v) for c, v in role.columns(part.d2).items()})
+            own |= {c: f"l_{c}" for c in part.extra}
             found = table.select(*[F.col(c).alias(f"e{k}_{j}_{c}") for c in own], F.col("e").alias(f"e{k}_{j}"))
             rows = rows.join(found, reduce(lambda a, b: a & b, [F.col(o) == F.col(f"e{k}_{j}_{c}") for c, o in own.items()]), "left")
             energy, number = energy + F.coalesce(F.col(f"e{k}_{j}"), F.lit(0.0)), number + F.col(f"e{k}_{j}").isNotNull().cast("int")
-            gone += [*own.values(), *[f"e{k}_{j}_{c}" for c in own]]
         aggregates += [F.sum(energy).alias(f"{name}_sum_"), F.sum(number).alias(f"{name}_n_")]
     grouped = rows.groupBy(F.col("l_model").alias("model"), F.col("l_id").alias("id")).agg(*(aggregates or [F.count("*").alias("pairs_")]))
     points = targets.join(grouped, ["model", "id"], "left")
@@ -72,8 +73,8 @@ def streamed(pairs: DataFrame, targets: DataFrame, parts: dict[str, Part], sums:
         if term.counted:
             most = term.sizes["n"] - 1
             points = points.withColumns({f"a{k}_": F.when(part.target, F.col(part.kind)), f"n{k}_": F.least(F.coalesce(f"{name}_n_", F.lit(0)), F.lit(most)).cast("int")})
-            table = _small(part.energies.select(F.col("a").alias(f"a{k}_"), F.col("n").alias(f"n{k}_"), F.col("e").alias(f"e{k}_")))
-            points = points.join(table, [f"a{k}_", f"n{k}_"], "left")
+            table = _small(part.energies.select(F.col("a").alias(f"a{k}_"), F.col("n").alias(f"n{k}_"), F.col("e").alias(f"e{k}_"), *part.extra))
+            points = points.join(table, [f"a{k}_", f"n{k}_", *part.extra], "left")
             by_residue += [F.avg(f"e{k}_").alias(name), F.count(f"e{k}_").alias(f"{name}_count")]
         else:
             total, number = F.sum(F.when(part.target, F.col(f"{name}_sum_"))), F.coalesce(F.sum(F.when(part.target, F.col(f"{name}_n_"))), F.lit(0))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -161,8 +161,17 @@ def stream_residues(backbone: DataFrame, bonds: bool) -> DataFrame:
     return rows.join(own, ["model", "res"], "left")
 
 
+#: The column of energies that are tables of several states, and of the states that residues have.
+STATE_KEY = "table_key"
+
+
 def _part(kind: str, term: Term, energies: DataFrame) -> Part:
     """How a term of pairs takes part in the stream of atoms or of residues."""
+    part = _plain_part(kind, term, energies)
+    return replace(part, extra=(STATE_KEY,)) if STATE_KEY in energies.columns else part
+
+
+def _plain_part(kind: str, term: Term, energies: DataFrame) -> Part:
     d2, both = F.col("d2"), lambda c: F.col(f"l_{c}").isNotNull() & F.col(f"r_{c}").isNotNull()
     between_cb = distance2(vec("l_cb"), vec("r_cb"))
     known = F.col("kind").isNotNull()
@@ -182,12 +191,18 @@ def _part(kind: str, term: Term, energies: DataFrame) -> Part:
 OF_ATOMS, OF_RESIDUES = ("interaction", "packing"), ("cbeta", "cb_packing", "reduced", "hbond")
 
 
-def structure_features(atoms: DataFrame, backbone: DataFrame, terms: dict[str, tuple[str, Term]], energies: dict[str, DataFrame], names: tuple[str, ...] = (), annotations: DataFrame | None = None, tables: tuple[DataFrame, DataFrame, DataFrame] | None = None, constraints: Constraints | None = None) -> DataFrame:
+def structure_features(atoms: DataFrame, backbone: DataFrame, terms: dict[str, tuple[str, Term]], energies: dict[str, DataFrame], names: tuple[str, ...] = (), annotations: DataFrame | None = None, tables: tuple[DataFrame, DataFrame, DataFrame] | None = None, constraints: Constraints | None = None, states: DataFrame | None = None) -> DataFrame:
     """(model, chain, rnum, rname, aa, res, ...): a column for each term, scored with its energies, and for each of the named FEATURES.
 
     terms has the kind and the term of each name. All terms of atoms and the clashes come from one radius join, all terms of residues, counts and
     distance constraints from another; torsions need none. Without constraints dist_const is null.
+    Energies with a column table_key are several tables in one: a residue is scored by that of its own key in states(model, res, table_key), as its
+    structure class or its place in a membrane; a residue without a key, or with one that has no table, has null.
     """
+    keyed = [n for n in terms if STATE_KEY in energies[n].columns]
+    if keyed and states is None:
+        raise ValueError(f"the energies of {', '.join(keyed)} have several tables: states are needed")
+    with_key = (lambda rows: rows.join(states.select("model", "res", STATE_KEY), ["model", "res"], "left")) if keyed else (lambda rows: rows)
     if unknown := [n for n in names if n not in FEATURES]:
         raise ValueError(f"unknown feature {unknown[0]!r}: {', '.join(FEATURES)} are known")
     residues = backbone.select("model", "chain", "rnum", "rname", "aa", residue_id(F.col("chain"), F.col("rnum")).alias("res"))
@@ -197,12 +212,12 @@ def structure_features(atoms: DataFrame, backbone: DataFrame, terms: dict[str, t
     if atom_parts or "clash" in names:
         apart_enough = (F.col("l_id") != F.col("r_id")) & apart(CLASH_APART) & ~disulfide_contact() & (F.col("d2") <= CLASH_REACH**2)
         clash = {"clash": F.when(apart_enough, clash_penalty("element", F.col("d2")))} if "clash" in names else {}
-        rows = stream_atoms(atoms)
+        rows = with_key(stream_atoms(atoms))
         found = atom_stream(rows, rows, atom_parts, CLASH_REACH if clash else 0.0, sums=clash)
         out = out.join(found.select("model", "res", *[n for n in wanted if n in atom_parts or n in clash]), ["model", "res"], "left")
     bound = constraints is not None and "dist_const" in names
     if residue_parts or "counts" in names or bound:
-        rows = stream_residues(backbone, any(k == "hbond" for k, _ in terms.values()))
+        rows = with_key(stream_residues(backbone, any(k == "hbond" for k, _ in terms.values())))
         placed = F.col("l_has_ca") & F.col("r_has_ca") & (F.col("l_res") != F.col("r_res"))
         more = {"counts": {"counts": F.coalesce(placed & (F.col("d2") <= COUNT_REACH**2), F.lit(False))}} if "counts" in names else {}
         far = [COUNT_REACH] * bool(more)
@@ -220,7 +235,8 @@ def structure_features(atoms: DataFrame, backbone: DataFrame, terms: dict[str, t
             continue
         if name in terms:
             points = term_points(terms[name][0], atoms, backbone)
-            others[name] = terms[name][1].score(points, points, energies[name])
+            own = (STATE_KEY,) if name in keyed else ()
+            others[name] = terms[name][1].score(with_key(points) if own else points, points, energies[name], own)
         elif name == "dist_const":
             out = out.withColumn(name, F.lit(None).cast("double"))
         else:
