@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import inner_gap_runs, without_gaps
+from .checks import checked
 
 #: Names for chains that have none, in the order in which they are given out.
 CHAIN_NAMES = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-"
@@ -73,6 +74,18 @@ def agreement(rows: DataFrame, observed: DataFrame, predicted: DataFrame, joint:
     return out.withColumn("agreement", F.when(ratio > 0, F.ln(F.when(ratio > 0, ratio)))).drop("p0_", "p1_", "p2_")
 
 
+def agreement_parts(rows: DataFrame, observed: DataFrame, predicted: DataFrame, joint: DataFrame) -> DataFrame:
+    """rows(dssp, pred, conf, ...) with p_observed, p_predicted and p_joint of the three tables, null where a table lacks the state.
+
+    A confidence outside 0 to 9 is an error, which hangs on the rows themselves.
+    """
+    words = F.concat(F.lit("a confidence must be from 0 to 9: "), F.coalesce(F.col("conf").cast("string"), F.lit("null")))
+    out = checked(rows, F.coalesce(F.col("conf").between(0, 9), F.lit(False)), words)
+    for table, on, name in ((observed, ["dssp"], "p_observed"), (predicted, ["pred", "conf"], "p_predicted"), (joint, ["dssp", "pred", "conf"], "p_joint")):
+        out = out.join(table.select(*on, F.col("p").alias(name)), on, "left")
+    return out
+
+
 def alignment_features(alignments: DataFrame, substitutions: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, seq_id, seq_sim, n_insertions, n_deletions, seqres_length, seqres_coverage) of alignments(keys, t, s).
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import uuid
 from dataclasses import asdict, dataclass
 
 import numpy as np
@@ -12,8 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import interpolated
+from .checks import checked
 from .spatial import self_pairs
 
+#: Least length of a sequence that is too long, most templates of a target, and the largest cutoff of distances.
+TOO_LONG, MOST_TEMPLATES, FARTHEST = 65535, 65534, 30.0
+
 
 def column_similarity(pairs: DataFrame, scores: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, similarity) of aligned columns pairs(keys, a, b): mean substitution score, scaled to [0, 1] by the table's range.
@@ -81,6 +86,53 @@ def linkage_clusters(similarities: DataFrame, target: str, threshold: float, lin
     return similarities.groupBy(target).applyInPandas(run, f"{target} {kinds[target]}, item {kinds['i']}, cluster {kinds['i']}")
 
 
+def linkage_rounds(similarities: DataFrame, target: str, threshold: float, folder: str, linkage: str = "average", above: bool = True) -> DataFrame:
+    """What linkage_clusters gives, for targets of any size: all pairs that are each other's best merge at once, round by round, on tables.
+
+    The linkages are reducible (a merged cluster is no nearer to a third than the nearer of the two was), so that mutual best pairs merge in
+    any order. Of equal partners the least is best. A round is a grouped best, a join and a grouped sum; its tables lie in folder, which all
+    executors must share, and are deleted when the next ones are there. There are about as many rounds as the longest merging chain.
+    """
+    spark, sign = similarities.sparkSession, 1.0 if above else -1.0
+    given = similarities.where("i is not null and j is not null and s is not null").select(target, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.col("s").cast("double").alias("s"))
+    sums = [F.sum("total").alias("total"), F.sum("n").alias("n"), F.max("most").alias("most"), F.min("least").alias("least")]
+    value = {"average": F.col("total") / F.col("n"), "max": F.col("most"), "min": F.col("least")}[linkage] * sign
+
+    def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+        path = f"{folder}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path), path
+
+    links = given.select(target, "i", "j", F.col("s").alias("total"), F.lit(1).cast("long").alias("n"), F.col("s").alias("most"), F.col("s").alias("least")).where("i != j")
+    links, at = written(links.groupBy(target, "i", "j").agg(*sums), "links")
+    items = given.select(target, F.explode(F.array("i", "j")).alias("item")).distinct()
+    home, home_at = written(items.withColumn("cluster", F.col("item")), "home")
+    while True:
+        scored = links.select(target, "i", "j", value.alias("v")).where(F.col("v") >= sign * threshold)
+        both = scored.unionByName(scored.select(target, F.col("j").alias("i"), F.col("i").alias("j"), "v"))
+        # a cluster's best partner among all, not among those that reach the threshold: the same, where one does
+        best = both.groupBy(target, "i").agg(F.min(F.struct((-F.col("v")).alias("v"), "j")).alias("b")).select(target, "i", F.col("b.j").alias("j"))
+        mutual = best.join(best.select(target, F.col("i").alias("j"), F.col("j").alias("back")), [target, "j"]).where("back = i and i < j")
+        moves, moves_at = written(mutual.select(target, F.col("j").alias("from"), F.col("i").alias("to")), "moves")
+        if moves.isEmpty():
+            remove_folders(spark, [at, moves_at])
+            return home
+        for column in ("i", "j"):
+            moved = moves.withColumnsRenamed({"from": column, "to": "to_"})
+            links = links.join(moved, [target, column], "left").withColumn(column, F.coalesce("to_", column)).drop("to_")
+        merged = links.where("i != j").select(target, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "total", "n", "most", "least").groupBy(target, "i", "j").agg(*sums)
+        old = [at, home_at, moves_at]
+        links, at = written(merged, "links")
+        home, home_at = written(home.join(moves.withColumnsRenamed({"from": "cluster", "to": "to_"}), [target, "cluster"], "left").select(target, "item", F.coalesce("to_", "cluster").alias("cluster")), "home")
+        remove_folders(spark, old)
+
+
+def remove_folders(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cluster_weights(members: DataFrame, keys: list[str], gamma: float = 70.0) -> DataFrame:
     """(keys, cluster, similarity, weight) with the weight exp(gamma * mean similarity of the members)."""
     return members.groupBy(*keys, "cluster").agg(F.avg("similarity").alias("similarity")).withColumn("weight", F.exp(gamma * F.col("similarity")))
@@ -173,6 +225,10 @@ class ConstraintOptions:
     step: float = 0.5
     padding: float = 3.0  # past the cutoff, for the last Gaussians to fade out
 
+    def __post_init__(self) -> None:
+        if not 0 < self.cutoff <= FARTHEST or self.step <= 0:
+            raise ValueError(f"the cutoff must be above 0 and at most {FARTHEST}, the step above 0")
+
 
 class ConstraintSet:
     """Distance constraints of many targets: (target, i, j, constraint, num_clusters, variance, max_seqsim, max_seqid)."""
@@ -190,14 +246,19 @@ class ConstraintSet:
         Templates of a target are clustered by their average similarity; a cluster weighs by its mean similarity to the target.
         """
         options = options or ConstraintOptions()
+        long = F.concat_ws(" ", F.lit(f"a sequence must have no gaps and fewer than {TOO_LONG} letters:"), "target")
+        sequences = checked(sequences, F.coalesce((F.length("sequence") < TOO_LONG) & ~F.col("sequence").contains("-"), F.lit(False)), long)
+        many = alignments.groupBy("target").agg(F.count("*").alias("templates_"))
+        crowd = F.concat_ws(" ", F.lit(f"a target has at most {MOST_TEMPLATES} templates:"), "target")
+        alignments = checked(alignments.join(many, "target"), F.col("templates_") <= MOST_TEMPLATES, crowd).drop("templates_")
         known = alignments.join(sequences, "target", "left")
         wrong = F.raise_error(F.lit("an alignment's first sequence must be the target's, without gaps there")).cast("string")
         fits = (F.regexp_replace("t", "-", "") == F.col("sequence")) & ~F.col("sequence").contains("-")
-        checked = known.select("target", "template", F.when(F.coalesce(fits, F.lit(False)), F.col("t")).otherwise(wrong).alias("t"), "s")
-        columns = merged_columns(checked, ["target", "template"])
+        fitting = known.select("target", "template", F.when(F.coalesce(fits, F.lit(False)), F.col("t")).otherwise(wrong).alias("t"), "s")
+        columns = merged_columns(fitting, ["target", "template"])
         to_target = columns.select("target", "template", F.col("t").alias("a"), F.col("s").alias("b"))
         own = column_similarity(to_target, substitutions, ["target", "template"]).withColumnRenamed("similarity", "seqsim")
-        own = checked.select("target", "template").distinct().join(own, ["target", "template"], "left")
+        own = fitting.select("target", "template").distinct().join(own, ["target", "template"], "left")
         own = own.join(identity(to_target, ["target", "template"]).withColumn("seqid", F.col("identity") / 100).drop("identity"), ["target", "template"], "left").na.fill(0.0, ["seqsim", "seqid"])
         letters = columns.where("s != '-'").select("target", "template", "at", "k", "s")
         i, j = letters.withColumnsRenamed({"template": "i", "s": "a"}), letters.withColumnsRenamed({"template": "j", "s": "b"})
