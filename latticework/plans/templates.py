@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from ..operators import alignment as A
 from ..operators import templates as T
+from ..operators.constraints import constraint_functions, constraint_scores
 from ..operators.models import GroupScorer, Network
+from ..operators.spatial import self_pairs
 from ..operators.stream import Part, atom_stream
 from ..operators.terms import packing, triplet_energies, triplets_by_rule
 from .assembly import _residues
-from .common import RADIUS, r6, table
+from .common import RADIUS, points, r6, table, union_all
 from .composed import _ALIGNED, _aligned, _substitutions
 from .statistics import _PAIR_E, _species
 
@@ -115,7 +117,24 @@ def triplet_energy(spark, d):
     return out.select("event_id", F.col("g"), r6("e"))
 
 
-QUERIES = {f.__name__: f for f in (fallback_alignment, profile_score, template_score, streamed_terms, triplet_energy)}
+NEAR, GRID_STEP, TEMPLATES = 0.15, 0.05, 4
+
+
+def _placed(spark, d, k):
+    """Pairs of vectors within NEAR by their k-th three values, each vector a residue of one long sequence."""
+    p = points(spark, d, (3 * k, 3 * k + 1, 3 * k + 2)).select("id", "x", "y", "z")
+    return self_pairs(p, NEAR, "id", ordered=False, strict=True).select(F.lit(0).alias("target"), F.col("l_id").alias("i"), F.col("r_id").alias("j"), F.sqrt("d2").alias("d"))
+
+
+def point_constraints(spark, d):
+    """Constraints of all vectors' places from four templates in two clusters, scored on a fifth."""
+    rows = union_all([_placed(spark, d, k).select("target", "i", "j", F.lit(k % 2).alias("cluster"), F.lit(1.0 + k % 2).alias("weight"), "d") for k in range(TEMPLATES)])
+    functions = constraint_functions(rows, ["target", "i", "j"], NEAR, GRID_STEP)
+    out = constraint_scores(_placed(spark, d, TEMPLATES), functions, ["target"], GRID_STEP)
+    return out.select("res", r6("score"), "count", F.round("clusters", 6).alias("clusters"), F.round("variance", 8).alias("variance"))
+
+
+QUERIES = {f.__name__: f for f in (point_constraints, fallback_alignment, profile_score, template_score, streamed_terms, triplet_energy)}
 
 _FALL = f"""WITH RECURSIVE r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, upper(event_type[1]) AS aa FROM events),
   q AS (SELECT user_id, string_agg(aa, '' ORDER BY pos) AS t, string_agg(aa, '' ORDER BY pos) FILTER ((pos + user_id) % 20 < 15) AS s FROM r GROUP BY user_id),
@@ -159,7 +178,18 @@ _PACK = f"""pk AS (SELECT p.id, p.label AS a, least(8, (SELECT count(*) FROM q W
   pt AS (SELECT *, sum(w) OVER (PARTITION BY a) AS k, sum(w) OVER (PARTITION BY n) AS nb, sum(w) OVER () AS al FROM pg),
   pe AS (SELECT a, n, ln(1 + 0.02 * k) - ln(1 + 0.02 * k * coalesce((w / k) / nullif(nb / al, 0), 0)) AS e FROM pt)"""
 
+def _places_sql(k: int) -> str:
+    d2 = " + ".join(f"(a.embedding[{3 * k + v}]::DOUBLE - b.embedding[{3 * k + v}]::DOUBLE) * (a.embedding[{3 * k + v}]::DOUBLE - b.embedding[{3 * k + v}]::DOUBLE)" for v in (1, 2, 3))
+    return f"SELECT a.vec_id AS i, b.vec_id AS j, {k % 2} AS cluster, {1.0 + k % 2}::DOUBLE AS weight, sqrt({d2}) AS d FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND {d2} < {NEAR * NEAR}"
+
+
 ORACLES = {
+    "point_constraints": f"""WITH u AS ({' UNION ALL '.join(_places_sql(k) for k in range(TEMPLATES))}), e AS (SELECT i, j, cluster, weight, floor(d * 1000) / 1000 AS d FROM u),
+      n AS (SELECT i, j, cluster, count(*) AS n, any_value(weight) AS w FROM e GROUP BY ALL), s AS (SELECT i, j, sum(w) AS t, count(*) AS num_clusters FROM n GROUP BY ALL), v AS (SELECT i, j, var_pop(d) AS variance FROM e GROUP BY ALL),
+      m AS (SELECT i, j, d, floor(d / {GRID_STEP}::DOUBLE)::INT AS k FROM ({_places_sql(TEMPLATES)})),
+      g AS (SELECT e.i, e.j, k.k, sum(n.w / s.t / n.n * exp(-0.5 * (e.d - k.k * {GRID_STEP}) * (e.d - k.k * {GRID_STEP}))) AS v FROM e JOIN n USING (i, j, cluster) JOIN s USING (i, j) JOIN m ON m.i = e.i AND m.j = e.j JOIN (SELECT unnest(range({math.ceil(NEAR / GRID_STEP) + 1}))::INT AS k) k ON k.k IN (m.k, m.k + 1) GROUP BY ALL),
+      x AS (SELECT m.i, m.j, s.num_clusters, v.variance, lo.v * (1 - (m.d / {GRID_STEP}::DOUBLE - m.k)) + hi.v * (m.d / {GRID_STEP}::DOUBLE - m.k) AS s FROM m JOIN s USING (i, j) JOIN v USING (i, j) JOIN g lo ON lo.i = m.i AND lo.j = m.j AND lo.k = m.k LEFT JOIN g hi ON hi.i = m.i AND hi.j = m.j AND hi.k = m.k + 1)
+      SELECT res, round(avg(s), 6) AS score, count(s)::BIGINT AS count, round(avg(num_clusters), 6) AS clusters, round(avg(variance), 8) AS variance FROM (SELECT unnest([i, j]) AS res, s, num_clusters, variance FROM x) GROUP BY res""",
     "streamed_terms": f"""WITH {_PAIR_E}, {_PACK}, s AS (SELECT h.id, avg(e.e) AS e, count(*) AS c FROM h JOIN e USING (a, b, d) GROUP BY h.id)
       SELECT p.id, round(s.e, 6) AS pair, coalesce(s.c, 0)::BIGINT AS pair_count, round(pe.e, 6) AS pack, (SELECT count(*) FROM q WHERE q.id = p.id) AS near, (SELECT count(*) FROM q WHERE q.id = p.id AND d2 <= {(RADIUS / 4) ** 2}) AS close
       FROM p LEFT JOIN s USING (id) JOIN pk USING (id) JOIN pe ON pe.a = pk.a AND pe.n = pk.n""",
