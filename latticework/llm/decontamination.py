@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table, union_all
+from .shared import stage, table, union_all
 
 Q, SHORT, EDIT_RATE, BLOCK_BYTES, CHUNK = 12, 8, 0.06, 16 << 20, 2_000_000
 #: Pairs of q-grams counted, and regions aligned, at a time.
@@ -269,8 +269,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", q: int = Q, rate: float = EDIT_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs that hold no benchmark item, all columns as they are."""
-    for items in item_blocks(benchmark, block_bytes=block_bytes):
+    """The rows of docs that hold no benchmark item, all columns as they are.
+
+    A benchmark of several blocks takes a pass for each, whose rows are written for the next one: a task holds one block's index at a time.
+    """
+    for k, items in enumerate(item_blocks(benchmark, block_bytes=block_bytes)):
+        docs = stage(docs, "clean") if k else docs
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches, sent=sent):

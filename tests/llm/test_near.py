@@ -1,6 +1,6 @@
 import random
 
-from latticework.llm import mixing, simhash
+from latticework.llm import decontamination, mixing, simhash
 
 
 def prose(words, seed):
@@ -45,3 +45,13 @@ def test_weights_whatever_columns_are_called(spark):
     out = mixing.quality_weight(docs, labels)
     assert out.columns == ["doc_id", *names[:-1], "mix_weight"]
     assert {(r["doc_id"], r["q_"], r["quality"], r["mix_weight"]) for r in out.collect()} == {(1, "a", "e", 1.0), (2, "a", "e", 0.25), (None, "a", "e", 0.5)}
+
+
+def test_blocks_of_items_take_turns(spark):
+    items = [(k, " ".join(prose(30, 5000 + k))) for k in range(6)]
+    rows = [(k, " ".join(prose(20, 6000 + k)) + " " + (items[k % 6][1] if k % 2 else "")) for k in range(24)] + [(None, items[0][1]), (99, None)]
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(tuple, decontamination.decontaminate(docs, benchmark).collect()), key=repr)
+    blocks = decontamination.decontaminate(docs, benchmark, block_bytes=200)
+    assert len(want) == 13 and sorted(map(tuple, blocks.collect()), key=repr) == want
+    assert blocks._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
