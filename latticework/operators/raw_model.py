@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import add, clamped, cross, dihedral, distance2, dot, scale, sub, unit, vec
-from ..functions.scalars import bin_of, interpolated
+from ..functions.scalars import AMINO_ACIDS, bin_of, interpolated
 from .chains import agreement
+from .checks import checked
 from .spatial import radius_join
 
 #: The largest angle that falls into a bin, the least cosine, and the square of the longest C-N bond.
@@ -76,8 +77,14 @@ def raw_scores(residues: DataFrame, sequence: DataFrame, tables: RawTables, opti
     residues is (model, rnum, dssp, and n, ca, c, cb positions), sequence (rnum, aa, pred, conf, g): the letter, predicted state
     and torsion group of every position. Pairs count within the larger of the reduced and constraint reaches between CA atoms, for CB
     counts too. All means are over all positions of the model, those of torsion over residues with six angles; a model without
-    any has torsion 0.
+    any has torsion 0. A position of the sequence with another letter than the twenty or another state than H, E and C is an error, and so are
+    numbers that are not 1, 2, 3, ...
     """
+    length = sequence.agg(F.count("*").cast("double")).scalar()
+    numbered = F.count("*").over(Window.partitionBy("rnum")) == 1
+    good = F.col("aa").isin(*AMINO_ACIDS) & F.col("pred").isin("H", "E", "C") & (F.col("rnum") >= 1) & (F.col("rnum") <= length) & F.col("once_")
+    words = F.concat_ws(" ", F.lit("not a position of a sequence with predictions:"), F.col("rnum").cast("string"), "aa", "pred")
+    sequence = checked(sequence.withColumn("once_", numbered), F.coalesce(good, F.lit(False)), words).drop("once_")
     v = unit(add(unit(sub(vec("ca"), vec("n"))), unit(sub(vec("ca"), vec("c")))))
     known = residues.join(sequence, "rnum")
     points = known.select("model", "rnum", "aa", "pred", *[F.col(f"ca{x}").alias(x) for x in "xyz"], *[f"cb{x}" for x in "xyz"], *[p.alias(f"v{x}") for p, x in zip(v, "xyz")])
@@ -101,6 +108,5 @@ def raw_scores(residues: DataFrame, sequence: DataFrame, tables: RawTables, opti
     by_residue = agreement(by_residue, tables.observed, tables.predicted, tables.joint).withColumnRenamed("agreement", "ss_agreement")
     mean = lambda c: (F.sum(F.coalesce(c, F.lit(0.0))) / F.count("*")).alias(c)
     scores = by_residue.groupBy("model").agg(*[mean(c) for c in ("dist_const", "reduced", "cb_packing", "ss_agreement")], F.count("*").alias("placed"))
-    length = sequence.agg(F.count("*").cast("double")).scalar()
     scores = scores.withColumn("coverage", F.col("placed") / length).join(_torsions(known, F.col("g"), tables.torsion, options), "model", "left")
     return scores.select("model", "dist_const", "reduced", "cb_packing", F.coalesce("torsion", F.lit(0.0)).alias("torsion"), "ss_agreement", "coverage")

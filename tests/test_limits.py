@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from latticework.operators import chains as CH
 from latticework.operators import constraints as C
+from latticework.operators import raw_model as RM
 from latticework.settings import MembraneSettings, Settings
 
 
@@ -93,3 +94,24 @@ def test_settings(spark, tmp_path):
         Settings.load(spark, str(tmp_path / "s"))
     with pytest.raises(ValueError, match="no setting"):
         s.path("root")
+
+
+def test_sequences_of_raw_models_are_checked(spark):
+    o = RM.RawOptions(reach=6.0, distance_bins=3, angle_bins=2, dihedral_bins=2, separation=2, packing_reach=5.0, most=4, constraint_reach=7.0, step=1.0, torsion_bins=(1, 1, 3, 3, 1, 1))
+    none = lambda shape: spark.createDataFrame([], shape)
+    tables = RM.RawTables(
+        none("ss string, a string, b string, d int, alpha int, beta int, gamma int, e double"),
+        none("ss string, a string, n int, e double"),
+        none("g int, b0 int, b1 int, b2 int, b3 int, b4 int, b5 int, e double"),
+        none("i int, j int, constraint array<double>"),
+        none("dssp string, p double"),
+        none("pred string, conf int, p double"),
+        none("dssp string, pred string, conf int, p double"),
+    )
+    residues = spark.createDataFrame([("m", k, "H", *[float(k * j) for j in range(12)]) for k in (1, 2)], "model string, rnum int, dssp string, " + ", ".join(f"{k}{v} double" for k in ("n", "ca", "c", "cb") for v in "xyz"))
+    shape = "rnum int, aa string, pred string, conf int, g int"
+    good = [(1, "A", "C", 1, 0), (2, "C", "H", 1, 0)]
+    assert RM.raw_scores(residues, spark.createDataFrame(good, shape), tables, o).first()["coverage"] == 1.0
+    for bad in ((2, "X", "H", 1, 0), (2, "C", "T", 1, 0), (1, "C", "H", 1, 0), (3, "C", "H", 1, 0), (2, None, "H", 1, 0)):
+        with pytest.raises(Exception, match="not a position of a sequence"):
+            RM.raw_scores(residues, spark.createDataFrame([good[0], bad], shape), tables, o).select("model").collect()
