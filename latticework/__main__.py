@@ -18,6 +18,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators.checks import at_most, checked, unique_numbers
 from .operators.constraints import ConstraintSet
 from .operators.features import average_local_scores, averages, local_scores, model_scores
 from .operators.models import GroupScorer
@@ -26,9 +27,12 @@ from .sources.readers import backbone, preprocessed, preprocessing_report, read_
 from .sources.sinks import Container, result_documents, score_arrays, term_arrays, write_scores
 
 
-def _structures(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    atoms = preprocessed(read_structures(spark, path))
-    return atoms, backbone(atoms)
+def _structures(given: DataFrame, most_models: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Atoms and backbone of what was read; residues of one number in a chain, insertion codes and too many models are errors."""
+    code = F.concat_ws(" ", F.lit("an insertion code:"), "model", "chain", F.col("rnum").cast("string"), "icode")
+    atoms = checked(preprocessed(given), F.coalesce(F.trim("icode"), F.lit("")) == "", code)
+    residues = unique_numbers(backbone(atoms), ["model", "chain"])
+    return atoms, at_most(residues, ["model"], most_models, "models") if most_models else residues
 
 
 def _terms(settings: dict) -> dict:
@@ -48,7 +52,7 @@ def _json(path: str | None) -> dict | None:
 
 
 def train(spark: SparkSession, structures: str, settings: dict, out: str, sigma: float) -> None:
-    atoms, residues = _structures(spark, structures)
+    atoms, residues = _structures(read_structures(spark, structures))
     counts, energies = Container(kind="counts", options=settings), Container(kind="energies", options=settings)
     for name, (kind, term) in _terms(settings).items():
         points = term_points(kind, atoms, residues)
@@ -60,12 +64,12 @@ def train(spark: SparkSession, structures: str, settings: dict, out: str, sigma:
     energies.save(f"{out}/energies")
 
 
-def score(spark: SparkSession, models: str, tables: str, out: str, names: tuple[str, ...] = (), scores: dict | None = None, reference: str | None = None, network: str | None = None, constraints: str | None = None, annotations: str | None = None) -> None:
+def score(spark: SparkSession, models: str, tables: str, out: str, names: tuple[str, ...] = (), scores: dict | None = None, reference: str | None = None, network: str | None = None, constraints: str | None = None, annotations: str | None = None, most_models: int | None = None) -> None:
     """Features of every residue, averages and global scores of every model, and a document of both."""
     energies = Container.load(spark, f"{tables}/energies", "energies")
     terms = _terms(energies.options)
     given = read_structures(spark, models)
-    atoms, residues = _structures(spark, models)
+    atoms, residues = _structures(given, most_models)
     columns = [*terms, *names]
     inputs = {"annotations": spark.read.parquet(annotations)} if annotations else {}
     if constraints:
@@ -105,6 +109,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     two.add_argument("--reference", help="reference table for z-scores")
     two.add_argument("--network", help="folder of the local network scorer")
     two.add_argument("--constraints", help="folder of a constraint set whose targets are chains, for dist_const")
+    two.add_argument("--most-models", type=int, help="more models than these are an error")
     two.add_argument("--annotations", help="Parquet table of annotations, for the features that need them")
     for p in (one, two):
         p.add_argument("--out", required=True)
@@ -113,7 +118,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     if a.command == "train":
         train(spark, a.structures, _json(a.terms), a.out, a.sigma)
     else:
-        score(spark, a.models, a.tables, a.out, tuple(a.features), _json(a.scores), a.reference, a.network, a.constraints, a.annotations)
+        score(spark, a.models, a.tables, a.out, tuple(a.features), _json(a.scores), a.reference, a.network, a.constraints, a.annotations, a.most_models)
 
 
 if __name__ == "__main__":

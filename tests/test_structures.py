@@ -134,3 +134,20 @@ def test_constraints_from_the_command_line(spark, tmp_path):
     assert f[3]["exposed"] == 0.1 and f[3]["acc_agreement"] == 1.0 and f[4]["exposed"] is None
     document = json.loads(spark.read.text(str(tmp_path / "s/documents")).first()["value"])
     assert document["preprocessing"]["atoms"] == 327 and document["preprocessing"]["residues_removed"] == 0
+
+
+def test_the_command_line_refuses(spark, tmp_path):
+    (tmp_path / "terms.json").write_text(json.dumps({"pairs": {"term": "interaction", "low": 0.0, "high": 10.0, "bins": 10, "separation": 4}}))
+    main(["train", "--structures", FILE, "--terms", str(tmp_path / "terms.json"), "--out", str(tmp_path / "t")], spark)
+    lines = open(FILE).read().splitlines()
+    atoms = [x for x in lines if x.startswith("ATOM")]
+    coded = [x[:26] + "B" + x[27:] if int(x[22:26]) == 5 else x for x in atoms]
+    twice = [x[:22] + "   4" + x[26:] if int(x[22:26]) == 5 else x for x in atoms]
+    for name, text, words in (("coded", coded, "an insertion code: coded A 5 B"), ("twice", twice, "unique and without insertion codes: twice A 4")):
+        (tmp_path / f"{name}.pdb").write_text("\n".join(text) + "\n")
+        with pytest.raises(Exception, match=words):
+            main(["score", "--models", str(tmp_path / f"{name}.pdb"), "--tables", str(tmp_path / "t"), "--out", str(tmp_path / f"o{name}")], spark)
+    for k in range(3):
+        (tmp_path / f"m{k}.ent").write_text("\n".join(atoms) + "\n")
+    with pytest.raises(Exception, match="more than 2 models: 3"):
+        main(["score", "--models", str(tmp_path / "m*.ent"), "--tables", str(tmp_path / "t"), "--out", str(tmp_path / "o"), "--most-models", "2"], spark)
