@@ -7,7 +7,8 @@ terms.json is an object of {name: {"term": ..., options}}, as {"pairs": {"term":
 "separation": 4}}. tables holds the counts and the energies, each with its term's options. out gets the features and averages as Parquet, the
 local values as CSV and a JSON document for each model: global_scores, local_terms with every term of every chain, preprocessing with
 what was left out of the model, and local_scores, the network's or else the first term's. --scores is a JSON file of {name: {"weights": {feature: w}, "intercept": i}},
---reference a Parquet table of residues, features and scores for z-scores, --network a folder that GroupScorer.load reads.
+With --annotations when training, terms have a table for each structure class, and with --slabs for membrane and interface; scoring then
+needs them too. --reference a Parquet table of residues, features and scores for z-scores, --network a folder that GroupScorer.load reads.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ from pyspark.sql import functions as F
 from .operators.checks import at_most, checked, unique_numbers
 from .operators.constraints import ConstraintSet
 from .operators.features import average_local_scores, averages, local_scores, model_scores
+from .operators.membrane import scoring_states, sides
 from .operators.models import GroupScorer
-from .operators.structures import FEATURES, Constraints, make_term, structure_features, term_points
+from .operators.structures import FEATURES, STATE_KEY, Constraints, make_term, residue_id, structure_features, term_points
 from .sources.readers import backbone, preprocessed, preprocessing_report, read_structures
 from .sources.sinks import Container, result_documents, score_arrays, term_arrays, write_scores
 
@@ -51,27 +53,41 @@ def _json(path: str | None) -> dict | None:
         return json.load(f)
 
 
-def train(spark: SparkSession, structures: str, settings: dict, out: str, sigma: float) -> None:
+def _states(spark: SparkSession, residues: DataFrame, annotations: str | None, slabs: str | None) -> DataFrame | None:
+    """What residues are scored with: their structure class, or their place in a membrane; None without annotations."""
+    if annotations is None:
+        if slabs:
+            raise ValueError("slabs need annotations")
+        return None
+    outside = residues.select("model", "chain", "rnum", residue_id(F.col("chain"), F.col("rnum")).alias("res"), F.lit("outside").alias("side"), F.lit(False).alias("in_membrane"))
+    return scoring_states(sides(residues, spark.read.parquet(slabs)) if slabs else outside, spark.read.parquet(annotations))
+
+
+def train(spark: SparkSession, structures: str, settings: dict, out: str, sigma: float, annotations: str | None = None, slabs: str | None = None) -> None:
+    """Counts and energies of every term; with annotations, a table for each state of residues, but for terms that are scaled by state."""
     atoms, residues = _structures(read_structures(spark, structures))
+    states = _states(spark, residues, annotations, slabs)
     counts, energies = Container(kind="counts", options=settings), Container(kind="energies", options=settings)
     for name, (kind, term) in _terms(settings).items():
         points = term_points(kind, atoms, residues)
-        counts[name] = term.train(points, points)
+        keyed = states is not None and not term.sums
+        own = points.join(states.select("model", "res", STATE_KEY), ["model", "res"]) if keyed else points
+        counts[name] = term.train(own, points, extra=(STATE_KEY,) if keyed else ())
     counts.save(f"{out}/counts")
     saved = Container.load(spark, f"{out}/counts", "counts")
     for name, (_, term) in _terms(settings).items():
-        energies[name] = term.energies(saved[name], sigma)
+        energies[name] = term.energies(saved[name], sigma, extra=(STATE_KEY,) if STATE_KEY in saved[name].columns else ())
     energies.save(f"{out}/energies")
 
 
-def score(spark: SparkSession, models: str, tables: str, out: str, names: tuple[str, ...] = (), scores: dict | None = None, reference: str | None = None, network: str | None = None, constraints: str | None = None, annotations: str | None = None, most_models: int | None = None) -> None:
+def score(spark: SparkSession, models: str, tables: str, out: str, names: tuple[str, ...] = (), scores: dict | None = None, reference: str | None = None, network: str | None = None, constraints: str | None = None, annotations: str | None = None, most_models: int | None = None, slabs: str | None = None) -> None:
     """Features of every residue, averages and global scores of every model, and a document of both."""
     energies = Container.load(spark, f"{tables}/energies", "energies")
     terms = _terms(energies.options)
     given = read_structures(spark, models)
     atoms, residues = _structures(given, most_models)
     columns = [*terms, *names]
-    inputs = {"annotations": spark.read.parquet(annotations)} if annotations else {}
+    inputs = {"annotations": spark.read.parquet(annotations), "states": _states(spark, residues, annotations, slabs)} if annotations else {}
     if constraints:
         bounds = ConstraintSet.load(spark, constraints)
         inputs["constraints"] = Constraints(bounds.table.withColumnRenamed("target", "chain"), bounds.options.step, bounds.options.cutoff)
@@ -110,15 +126,16 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     two.add_argument("--network", help="folder of the local network scorer")
     two.add_argument("--constraints", help="folder of a constraint set whose targets are chains, for dist_const")
     two.add_argument("--most-models", type=int, help="more models than these are an error")
-    two.add_argument("--annotations", help="Parquet table of annotations, for the features that need them")
     for p in (one, two):
+        p.add_argument("--annotations", help="Parquet table of annotations: for features that need them, and for tables by state of residues")
+        p.add_argument("--slabs", help="Parquet table of the models' membranes")
         p.add_argument("--out", required=True)
     a = parser.parse_args(arguments)
     spark = spark or SparkSession.builder.appName("latticework").getOrCreate()
     if a.command == "train":
-        train(spark, a.structures, _json(a.terms), a.out, a.sigma)
+        train(spark, a.structures, _json(a.terms), a.out, a.sigma, a.annotations, a.slabs)
     else:
-        score(spark, a.models, a.tables, a.out, tuple(a.features), _json(a.scores), a.reference, a.network, a.constraints, a.annotations, a.most_models)
+        score(spark, a.models, a.tables, a.out, tuple(a.features), _json(a.scores), a.reference, a.network, a.constraints, a.annotations, a.most_models, a.slabs)
 
 
 if __name__ == "__main__":

@@ -1,10 +1,12 @@
 """Membranes from structures, and the tables that residues are scored with."""
 
+import json
 import os
 
 import pytest
 from pyspark.sql import functions as F
 
+from latticework.__main__ import main
 from latticework.operators import membrane as MB
 from latticework.operators import structures as ST
 from latticework.sources import readers as R
@@ -78,3 +80,24 @@ def test_extended_membranes_are_refused(spark, crambin):
     notes = backbone.select("model", "chain", "rnum", F.lit("E").alias("dssp"), F.lit(None).cast("string").alias("pred"))
     with pytest.raises(Exception, match="only helical membrane proteins"):
         MB.scoring_states(placed, notes).select("res").collect()
+
+
+def test_tables_by_state_from_the_command_line(spark, crambin, tmp_path):
+    atoms, backbone = crambin
+    settings = {"pairs": {"term": "interaction", "low": 0.0, "high": 10.0, "bins": 5, "separation": 4}, "packing": {"term": "packing", "cutoff": 5.0, "most": 32}}
+    (tmp_path / "terms.json").write_text(json.dumps(settings))
+    none = F.lit(None)
+    notes = backbone.select("model", "chain", "rnum", F.when(F.col("rnum") % 4 == 0, "E").otherwise("H").alias("dssp"), none.cast("string").alias("pred"), none.cast("int").alias("conf"), none.cast("double").alias("area"), none.cast("string").alias("acc"))
+    notes.write.parquet(f"{tmp_path}/notes")
+    slab(spark, ("1crn", 0.0, 0.0, 1.0, 6.0, 12.0)).write.parquet(f"{tmp_path}/slabs")
+    more = ["--annotations", f"{tmp_path}/notes", "--slabs", f"{tmp_path}/slabs"]
+    main(["train", "--structures", FILE, "--terms", f"{tmp_path}/terms.json", "--out", f"{tmp_path}/t", *more], spark)
+    main(["score", "--models", FILE, "--tables", f"{tmp_path}/t", "--out", f"{tmp_path}/s", *more], spark)
+    states = MB.scoring_states(MB.sides(backbone, spark.read.parquet(f"{tmp_path}/slabs")), spark.read.parquet(f"{tmp_path}/notes"))
+    term, points = ST.make_term("interaction", low=0.0, high=10.0, bins=5, separation=4), ST.atom_points(atoms)
+    own, extra = points.join(states.select("model", "res", "table_key"), ["model", "res"]), ("table_key",)
+    want = {r["res"]: r["energy"] for r in term.score(own, points, term.energies(term.train(own, points, extra=extra), extra=extra), extra).collect()}
+    got = {f"A:{r['rnum']}": r for r in spark.read.parquet(f"{tmp_path}/s/features").collect()}
+    assert len(got) == 46 and all(got[k]["pairs"] == pytest.approx(v) for k, v in want.items()) and all(r["packing"] is not None for r in got.values())
+    with pytest.raises(ValueError, match="states are needed"):
+        main(["score", "--models", FILE, "--tables", f"{tmp_path}/t", "--out", f"{tmp_path}/x"], spark)
