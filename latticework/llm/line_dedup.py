@@ -9,6 +9,7 @@ exactly one run, with the smallest document that holds it, so a line stays only
 from __future__ import annotations
 
 import uuid
+from os.path import commonprefix
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,11 +37,19 @@ def line_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.select("doc", "th", "pos", key.alias("key")).where(F.char_length("key") >= min_chars).select("doc", "th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
 
-def order_key(id_: Column, kind: T.DataType) -> Column:
-    """A number that never falls as ids rise: numbers themselves, of others the first seven bytes of their text."""
+def order_key(id_: Column, kind: T.DataType, skip: int = 0) -> Column:
+    """A number that never falls as ids rise: numbers themselves, of others seven bytes of their text after the first skip."""
     if isinstance(kind, T.NumericType):
         return id_
-    return F.conv(F.rpad(F.substring(F.hex(F.encode(id_.cast("string"), "UTF-8")), 1, 14), 14, "0"), 16, 10).cast("long")
+    return F.conv(F.rpad(F.substring(F.hex(F.encode(id_.cast("string"), "UTF-8")), 2 * skip + 1, 14), 14, "0"), 16, 10).cast("long")
+
+
+def shared_bytes(docs: DataFrame, id_col: str) -> int:
+    """How many bytes all ids that are text begin with alike; 0 for numbers."""
+    if isinstance(docs.schema[id_col].dataType, T.NumericType):
+        return 0
+    low, high = docs.agg(*[f(F.col(id_col).cast("string")) for f in (F.min, F.max)]).first()
+    return len(commonprefix([(low or "").encode(), (high or "").encode()]))
 
 
 class LineRuns:
@@ -99,11 +108,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     part and keep all their lines. Other columns stay as they are; columns named n_lines or n_dropped are replaced.
     """
     hashes = line_hashes(docs, id_col, text_col, min_chars)
-    hashes = stage(hashes.withColumn("at", order_key(F.col("doc"), docs.schema[id_col].dataType)), "lines")
+    kind, skip = docs.schema[id_col].dataType, shared_bytes(docs, id_col)
+    hashes = stage(hashes.withColumn("at", order_key(F.col("doc"), kind, skip)), "lines")
     total = hashes.count()
     n_batches = max(n_batches, -(-total // batch_lines))
     shares = [i / n_batches for i in range(1, n_batches)]
-    cuts = sorted(set(docs.agg(F.percentile_approx(order_key(F.col(id_col), docs.schema[id_col].dataType), shares, 100 * n_batches)).first()[0] or [] if shares else []))
+    cuts = sorted(set(docs.agg(F.percentile_approx(order_key(F.col(id_col), kind, skip), shares, 100 * n_batches)).first()[0] or [] if shares else []))
     hashes = hashes.withColumn("batch", sum([(F.col("at") > F.lit(c)).cast("int") for c in cuts], F.lit(0)))
     runs, shared = LineRuns(docs.sparkSession, fanout), []
     for b in range(len(cuts) + 1):

@@ -1,6 +1,6 @@
 import random
 
-from latticework.llm import decontamination, mixing, simhash
+from latticework.llm import decontamination, line_dedup, mixing, simhash
 
 
 def prose(words, seed):
@@ -55,3 +55,15 @@ def test_blocks_of_items_take_turns(spark):
     blocks = decontamination.decontaminate(docs, benchmark, block_bytes=200)
     assert len(want) == 13 and sorted(map(tuple, blocks.collect()), key=repr) == want
     assert blocks._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_long_prefixes_of_ids_make_no_single_batch(spark, monkeypatch):
+    rows = [(f"https://example.org/page/{k:02}", f"one shared line of text\nown line number {k:05}\nanother of {k // 2:05} ones") for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    added = []
+    add = line_dedup.LineRuns.add
+    monkeypatch.setattr(line_dedup.LineRuns, "add", lambda self, part: added.append(part.count()) or add(self, part))
+    out = {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup_lines(docs, batch_lines=30, fanout=2).collect()}
+    assert len(added) >= 4 and max(added) <= 60 and sum(added) == 150
+    assert out == {i: int(k > 0) + k % 2 for k, (i, _) in enumerate(rows)}
+    assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
