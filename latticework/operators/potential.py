@@ -83,9 +83,12 @@ def lookup(rows: DataFrame, energies: DataFrame, on: list[str], missing: float |
 
 
 def residue_energies(residues: DataFrame, scored: DataFrame, id_cols: list[str], normalise: bool = True, empty: float | None = None, counts: bool = False) -> DataFrame:
-    """(ids, energy) for every residue: mean (or sum) of its interactions, `empty` where it has none; with counts their number too."""
-    e = F.avg("e") if normalise else F.sum("e")
-    found = scored.groupBy(*id_cols).agg(e.alias("energy"), *([F.count("e").alias("count")] if counts else []))
+    """(ids, energy) for every residue: mean (or sum) of its interactions, `empty` where it has none; with counts their number too.
+
+    A row of scored stands for as many interactions as its column times says, where there is one.
+    """
+    known = F.sum(F.when(F.col("e").isNotNull(), F.col("times"))) if "times" in scored.columns else F.count("e")
+    found = scored.groupBy(*id_cols).agg(_of_all(scored, normalise).alias("energy"), *([known.alias("count")] if counts else []))
     out = residues.select(*id_cols).distinct().join(found, id_cols, "left")
     if counts:
         out = out.withColumn("count", F.coalesce("count", F.lit(0)))
@@ -93,4 +96,12 @@ def residue_energies(residues: DataFrame, scored: DataFrame, id_cols: list[str],
 
 
 def total_energy(scored: DataFrame, by: list[str] | None = None, normalise: bool = True) -> DataFrame:
-    return scored.groupBy(*(by or [])).agg((F.avg("e") if normalise else F.sum("e")).alias("energy"))
+    return scored.groupBy(*(by or [])).agg(_of_all(scored, normalise).alias("energy"))
+
+
+def _of_all(scored: DataFrame, normalise: bool) -> Column:
+    """Mean (or sum) of e over rows, each as many times as the column times says, where there is one."""
+    if "times" not in scored.columns:
+        return F.avg("e") if normalise else F.sum("e")
+    total = F.sum(F.col("e") * F.col("times"))
+    return F.try_divide(total, F.sum(F.when(F.col("e").isNotNull(), F.col("times")))) if normalise else total

@@ -9,8 +9,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +22,9 @@ from ..functions.scalars import bin_of
 from .checks import checked
 from .environment import Environment, pairs_within, points_of
 from .histogram import histogram
-from .potential import SIGMA, lookup, normalised_by_state, residue_energies, sippl
+from .potential import SIGMA, lookup, normalised_by_state, residue_energies, sippl, total_energy
 from .spatial import neighbor_counts
+from .tiles import Cells, apart_test, bins_of, coded, edges, numbers, pair_counts, tiled
 
 
 @dataclass(frozen=True)
@@ -48,10 +52,13 @@ class Term:
     counted: bool = False
     kind: str | None = None
     states: tuple[int, ...] | None = None  # of summed terms: the states that must have counts
+    columns: tuple[str, ...] = ()  # of points, that cells needs besides res and x, y, z
+    cells: Callable[[pa.Table, pa.Table], Cells] | None = None  # the roles once more, for points that meet in tiles
 
     def train(self, target: DataFrame, environment: DataFrame | Environment, weight: float = 1.0, extra: tuple[str, ...] = ()) -> DataFrame:
         """Counts; extra names columns of target whose values are counted apart, in one pass over the rows."""
-        return histogram(self._rows(target, environment, extra), [*self.keys, *extra], list(self.sizes), weight)
+        rows = self._times(target, environment, extra, by_residue=bool(extra))
+        return histogram(rows, [*self.keys, *extra], list(self.sizes), F.col("times") * float(weight) if "times" in rows.columns else weight)
 
     def energies(self, counts: DataFrame, sigma: float = SIGMA, reference_state: str = "classic", extra: tuple[str, ...] = ()) -> DataFrame:
         """Energies of counts, a table of its own for each value of the extra columns."""
@@ -65,13 +72,26 @@ class Term:
         rows = self.rows(target, environment)
         return rows.join(target.select("model", "res", *extra).distinct(), ["model", "res"]) if extra else rows
 
+    def _times(self, target: DataFrame, environment: DataFrame | Environment, extra: tuple[str, ...], by_residue: bool = True) -> DataFrame:
+        """rows, of terms of pairs counted where they are found: equal ones (of one residue, unless all are counted together) are one row with times."""
+        if self.cells is None or isinstance(environment, Environment):
+            return self._rows(target, environment, extra)
+        needed = ["model", *dict.fromkeys(["x", "y", "z", "res", *self.columns])]
+        by = ["model", "res"] if by_residue else []
+        kinds = dict(target.dtypes)
+        names = [f"{c} {kinds[c]}" for c in by] + [f"{k} {kinds[self.kind if k in ('a', 'b') else k]}" for k in self.keys] + [f"{b} int" for b in self.sizes]
+        cells, reach = self.cells, self.reach
+        found = tiled(target.select(*needed), environment.select(*needed), reach, lambda left, right: pair_counts(left, right, reach, cells(left, right), by), ", ".join([*names, "times long"]), ["model"])
+        found = found.groupBy(*by, *self.keys, *self.sizes).agg(F.sum("times").alias("times"))
+        return found.join(target.select("model", "res", *extra).distinct(), ["model", "res"]) if extra else found
+
     def score(self, target: DataFrame, environment: DataFrame | Environment, energies: DataFrame, extra: tuple[str, ...] = (), normalise: bool = True, counts: bool = False) -> DataFrame:
         """(model, res, energy), with counts also how many interactions a residue has. extra names key columns of target and
         energies besides the term's, as a secondary structure state.
 
         A residue's rows take its own values of them, so that tables of all states are looked up in one join.
         """
-        return self._scored(target, self._rows(target, environment, extra), energies, extra, normalise, counts)
+        return self._scored(target, self._times(target, environment, extra), energies, extra, normalise, counts)
 
     def _scored(self, target: DataFrame, rows: DataFrame, energies: DataFrame, extra: tuple[str, ...], normalise: bool, counts: bool) -> DataFrame:
         scored = lookup(rows, energies, [*self.keys, *extra, *self.sizes], 0.0 if self.sums else None)
@@ -80,12 +100,14 @@ class Term:
     def fitted(self, target: DataFrame, environment: DataFrame | Environment, extra: tuple[str, ...] = (), normalise: bool = True, counts: bool = False, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(rows, energies, scores) of a target scored with what is counted on itself: one look for interactions serves both.
 
-        rows, of which those with a missing key or bin are left out, are persisted on the executors, in memory or on their disks; what is
+        rows have times where equal interactions of a residue are one row. They, of which those with a missing key or bin are left out, are persisted on the executors, in memory or on their disks; what is
         lost with one is looked for again. Whoever has used the result may unpersist them.
         """
         columns = [*self.keys, *extra, *self.sizes]
-        rows = self._rows(target, environment, extra).select("model", "res", *columns).dropna().persist()
-        energies = self.energies(histogram(rows, [*self.keys, *extra], list(self.sizes)), extra=extra, **options)
+        rows = self._times(target, environment, extra)
+        times = [c for c in rows.columns if c == "times"]
+        rows = rows.select("model", "res", *columns, *times).dropna().persist()
+        energies = self.energies(histogram(rows, [*self.keys, *extra], list(self.sizes), F.col("times").cast("double") if times else 1.0), extra=extra, **options)
         return rows, energies, self._scored(target, rows, energies, extra, normalise, counts)
 
     def total(self, target: DataFrame, environment: DataFrame | Environment, energies: DataFrame, normalise: bool = True) -> DataFrame:
@@ -94,8 +116,8 @@ class Term:
             each = self.score(target, environment, energies)
             total = F.sum("energy") / 2  # both residues of a pair have its energy
             return each.groupBy("model").agg((total / F.count("*") if normalise else total).alias("energy"))
-        scored = lookup(self.rows(target, environment), energies, [*self.keys, *self.sizes])
-        found = scored.groupBy("model").agg((F.avg("e") if normalise else F.sum("e")).alias("energy"))
+        scored = lookup(self._times(target, environment, ()), energies, [*self.keys, *self.sizes])
+        found = total_energy(scored, ["model"], normalise)
         return target.select("model").distinct().join(found, "model", "left")
 
     def at(self, rows: DataFrame, energies: DataFrame, values: dict[str, tuple[Column, float, float]], keys: dict[str, list], free: tuple[str, ...] = ()) -> DataFrame:
@@ -156,7 +178,20 @@ def pair_distance(low: float, high: float, bins: int, separation: int, kind: str
     def columns(d2):
         return {"a": F.col(f"l_{kind}"), "b": F.col(f"r_{kind}"), "d": bin_of(F.sqrt(d2), low, high, bins)}
 
-    return _of_pairs(("a", "b"), {"d": bins}, high, (Role(holds, columns),), kind=kind)
+    def cells(left, right):
+        (a, b), kinds = coded(left[kind], right[kind])
+        found = Cells({"a": left[kind]}, {"b": kinds}, {"d": bins}, [])
+        held = _held(left, right, separation, low, high)
+
+        def role(i, j, d2):
+            i, j, d2 = held(i, j, d2)
+            return i, found.cell([b[j], bins_of(np.sqrt(d2), low, high, bins)])
+
+        found.roles.append(role)
+        found.plain = b, _distance_edges(low, high, bins), _held_by_slices(left, right, separation)
+        return found
+
+    return _of_pairs(("a", "b"), {"d": bins}, high, (Role(holds, columns),), kind=kind, columns=("chain", "rnum", kind), cells=cells)
 
 
 def reduced(low: float, high: float, bins: int, angle_bins: int, dihedral_bins: int, separation: int) -> Term:
@@ -174,7 +209,90 @@ def reduced(low: float, high: float, bins: int, angle_bins: int, dihedral_bins:
         gamma = dihedral(add(p, u), p, q, add(q, v))
         return {"a": F.col("l_aa"), "b": F.col("r_aa"), "d": bin_of(F.sqrt(d2), low, high, bins), **angles, "gamma": bin_of(gamma, -math.pi, top, dihedral_bins)}
 
-    return _of_pairs(("a", "b"), {"d": bins, "alpha": angle_bins, "beta": angle_bins, "gamma": dihedral_bins}, high, (Role(holds, columns),))
+    sizes = {"d": bins, "alpha": angle_bins, "beta": angle_bins, "gamma": dihedral_bins}
+
+    def cells(left, right):
+        (a, b), kinds = coded(left["aa"], right["aa"])
+        found = Cells({"a": left["aa"]}, {"b": kinds}, sizes, [])
+        held, top = _held(left, right, separation, low, high), math.pi + 1e-9
+        p, u, q, v = (_places(t, c) for t, c in ((left, ""), (left, "a"), (right, ""), (right, "a")))
+
+        def role(i, j, d2):
+            i, j, d2 = held(i, j, d2)
+            pi, ui, qj, vj = p[:, i], u[:, i], q[:, j], v[:, j]
+            to = qj - pi
+            alpha, beta = bins_of(_angle(ui, to), 0.0, top, angle_bins), bins_of(_angle(vj, -to), 0.0, top, angle_bins)
+            gamma = bins_of(_dihedral(pi + ui, pi, qj, qj + vj), -math.pi, top, dihedral_bins)
+            return i, found.cell([b[j], bins_of(np.sqrt(d2), low, high, bins), alpha, beta, gamma])
+
+        found.roles.append(role)
+        return found
+
+    return _of_pairs(("a", "b"), sizes, high, (Role(holds, columns),), kind="aa", columns=("chain", "rnum", "aa", "ax", "ay", "az"), cells=cells)
+
+
+def _held(left: pa.Table, right: pa.Table, separation: int, low: float = 0.0, high: float = math.inf) -> Callable:
+    """Of pairs (i, j, d2) those of two residues that are far enough apart in sequence and whose distance is in [low, high)."""
+    (lr, rr), _ = coded(left["res"], right["res"])
+    apart_ = apart_test(left, right, "chain", "rnum", separation)
+
+    def held(i, j, d2):
+        keep = (lr[i] != rr[j]) & (lr[i] >= 0) & (rr[j] >= 0) & (d2 >= low * low) & (d2 < high * high)
+        if apart_ is not None:
+            keep &= apart_(i, j)
+        return (i, j, d2) if keep.all() else (i[keep], j[keep], d2[keep])
+
+    return held
+
+
+@lru_cache(maxsize=None)
+def _distance_edges(low: float, high: float, bins: int) -> np.ndarray:
+    def bins_and_beyond(d2):
+        return np.where((d2 >= high * high) | (np.sqrt(d2) >= high), bins, np.where(d2 < low * low, -1, bins_of(np.sqrt(d2), low, high, bins)))
+
+    return edges(bins_and_beyond, bins, high)
+
+
+def _held_by_slices(left: pa.Table, right: pa.Table, separation: int) -> Callable:
+    """Of rows against rows: whether they are of two residues far enough apart in sequence."""
+    (lr, rr), _ = coded(left["res"], right["res"])
+    lr, rr = lr.astype(np.int32), np.where(rr < 0, -2, rr).astype(np.int32)
+    apart_, missing = apart_test(left, right, "chain", "rnum", separation), (lr < 0).any() or (rr < 0).any()
+
+    def held(i, j):
+        out = lr[i][:, None] != rr[j]
+        if missing:
+            out &= (lr[i] >= 0)[:, None] & (rr[j] >= 0)
+        if apart_ is not None:
+            out &= apart_(i, j)
+        return out
+
+    return held
+
+
+def _places(points: pa.Table, prefix: str) -> np.ndarray:
+    return np.array([numbers(points, prefix + v) for v in "xyz"])
+
+
+def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+
+
+def _cross(a: np.ndarray, b: np.ndarray) -> tuple:
+    return a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]
+
+
+def _angle(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """functions.geometry.angle, NaN for null."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.arccos(np.clip(_dot(a, b) / (np.sqrt(_dot(a, a)) * np.sqrt(_dot(b, b))), -1.0, 1.0))
+
+
+def _dihedral(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """functions.geometry.dihedral, NaN for null."""
+    u, v, w = b - a, c - b, d - c
+    n1, n2 = _cross(u, v), _cross(v, w)
+    return np.arctan2(np.sqrt(_dot(v, v)) * _dot(u, n2), _dot(n1, n2))
 
 
 def packing(cutoff: float, most: int, kind: str) -> Term:
@@ -298,8 +416,36 @@ def hbond(ranges: dict[str, tuple[float, float, int]], separation: int, reach: f
 
         return Role(holds, columns)
 
+    sizes = {k: v[2] for k, v in ranges.items()}
+    atoms = ("h", "n", "o", "c", "ca")
+
+    def cells(left, right):
+        kind = left["state"].type
+        (ls, rs, zero), states_ = coded(left["state"], right["state"], pa.chunked_array([pa.array([0]).cast(kind)]))
+        found = Cells({}, {"state": states_}, sizes, [])
+        held = _held(left, right, separation)
+        sides = [({a: _places(t, a) for a in atoms}, t["donates"].combine_chunks().fill_null(False).to_numpy(zero_copy_only=False)) for t in (left, right)]
+
+        def role(first: bool):
+            def of_pairs(i, j, d2):
+                (donor, donates), acceptor = (sides[0], sides[1][0]) if first else (sides[1], sides[0][0])
+                keep = donates[i if first else j]
+                i, j, _ = held(i[keep], j[keep], d2[keep])
+                p, q = (i, j) if first else (j, i)
+                h, n, o, c, ca = donor["h"][:, p], donor["n"][:, p], acceptor["o"][:, q], acceptor["c"][:, q], acceptor["ca"][:, q]
+                ho = o - h
+                geometry = {"d": np.sqrt(_dot(ho, ho)), "alpha": _angle(n - h, ho), "beta": _angle(c - o, h - o), "gamma": _dihedral(ca, c, o, h)}
+                state = np.where((ls[i] == rs[j]) & (ls[i] >= 0), ls[i], zero[0])
+                return i, found.cell([state, *[bins_of(geometry[k], *ranges[k]) for k in sizes]])
+
+            return of_pairs
+
+        found.roles += [role(True), role(False)]
+        return found
+
     # each pair is an interaction twice, with either end as the donor
-    return _of_pairs(("state",), {k: v[2] for k, v in ranges.items()}, reach, (role("l", "r"), role("r", "l")), sums=True, states=states)
+    needed = ("chain", "rnum", "state", "donates", *[f"{a}{v}" for a in atoms for v in "xyz"])
+    return _of_pairs(("state",), sizes, reach, (role("l", "r"), role("r", "l")), sums=True, states=states, columns=needed, cells=cells)
 
 
 def smoothed_states(residues: DataFrame, state: str = "state") -> DataFrame:
