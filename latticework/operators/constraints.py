@@ -9,12 +9,14 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import interpolated
 from .checks import checked
 from .spatial import self_pairs
+from .tiles import blocks, coded, numbers, tiled
 
 #: Least length of a sequence that is too long, most templates of a target, and the largest cutoff of distances.
 TOO_LONG, MOST_TEMPLATES, FARTHEST = 65535, 65534, 30.0
@@ -168,6 +170,58 @@ def constraint_scores(pairs: DataFrame, constraints: DataFrame, keys: list[str],
     return hit.groupBy(*keys, *models, "res").agg(F.avg("s").alias("score"), F.count("s").alias("count"), F.avg("num_clusters").alias("clusters"), F.avg("variance").alias("variance"))
 
 
+def placed_constraint_scores(points: DataFrame, target: str, residue: str, templates: list[tuple[str, int, float]], model: str, cutoff: float, step: float) -> DataFrame:
+    """(target, residue, score, count, clusters, variance): constraint_scores of the model's pairs closer than cutoff, in the constraint_functions of the templates'.
+
+    points(target, residue, ...) have a place (columns <prefix>x, <prefix>y, <prefix>z) in each of templates (prefix, cluster, weight) and in the
+    model, a prefix too. Pairs are found by the model's places; their distances in the templates, constraint and score are worked out where they
+    are found, and a residue's sums are all that leaves. Templates of a cluster have equal weights.
+    """
+    last = int(math.ceil(cutoff / step))
+    clusters = sorted({c for _, c, _ in templates})
+    weight = {c: w for _, c, w in templates}
+
+    def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
+        (li, ri), _ = coded(left["id_"], right["id_"])
+        known = (li >= 0)[:, None], ri >= 0
+        places = [[np.array([numbers(t, f"t{k}_{v}") for v in "xyz"]) for t in (left, right)] for k in range(len(templates))]
+        sums = np.zeros((5, len(left)))
+        for part, met in blocks(left, right, cutoff):
+            for there, d2 in met:
+                rows, columns = np.nonzero((d2 < cutoff * cutoff) & (li[part][:, None] != ri[there]) & known[0][part] & known[1][there])
+                i, j, d = rows + part.start, columns + there.start, np.sqrt(d2[rows, columns])
+                own = []
+                for p, q in places:
+                    to = p[:, i] - q[:, j]
+                    e2 = to[0] * to[0] + to[1] * to[1] + to[2] * to[2]
+                    own.append(np.where(e2 < cutoff * cutoff, np.floor(np.sqrt(e2) * 1000) / 1000, np.nan))
+                own = np.array(own)
+                some = ~np.isnan(own).all(axis=0)
+                i, d, own = i[some], d[some], own[:, some]
+                here = ~np.isnan(own)
+                held = {c: sum(h for h, t in zip(here, templates) if t[1] == c) for c in clusters}
+                total = sum(np.where(held[c] > 0, weight[c], 0.0) for c in clusters)
+                present = sum((held[c] > 0).astype(float) for c in clusters)
+                near = np.where(here, own, 0.0)
+                count = here.sum(axis=0)
+                off = np.where(here, own - near.sum(axis=0) / count, 0.0)
+                at = np.floor(d / step)
+                share = [np.where(h, t[2] / total / np.maximum(held[t[1]], 1), 0.0) for h, t in zip(here, templates)]
+                low, high = (sum(w * np.exp(-0.5 * (x - k * step) * (x - k * step)) for w, x in zip(share, near)) for k in (at, at + 1))
+                score = low * (1 - (d / step - at)) + high * (d / step - at)
+                inside = at + 1 <= last
+                for n, v in enumerate((np.where(inside, score, 0.0), inside, present, (off * off).sum(axis=0) / count, np.ones(len(i)))):
+                    sums[n] += np.bincount(i, v, minlength=len(left))
+        return pa.table({"target_": left["target_"], "id_": left["id_"], "score": sums[0], "count": sums[1].astype(np.int64), "clusters": sums[2], "variance": sums[3], "rows": sums[4].astype(np.int64)})
+
+    kinds = dict(points.dtypes)
+    at = [F.col(f"{p}{v}").cast("double").alias(f"t{k}_{v}") for k, (p, _, _) in enumerate(templates) for v in "xyz"]
+    placed = points.select(F.col(target).alias("target_"), F.col(residue).alias("id_"), *[F.col(f"{model}{v}").cast("double").alias(v) for v in "xyz"], *at)
+    found = tiled(placed, placed, cutoff, kernel, f"target_ {kinds[target]}, id_ {kinds[residue]}, score double, count long, clusters double, variance double, rows long", ["target_"])
+    found = found.groupBy(F.col("target_").alias(target), F.col("id_").alias(residue)).agg(*[F.sum(c).alias(c) for c in ("score", "count", "clusters", "variance", "rows")]).where("rows > 0")
+    return found.select(target, residue, F.try_divide("score", "count").alias("score"), "count", (F.col("clusters") / F.col("rows")).alias("clusters"), (F.col("variance") / F.col("rows")).alias("variance"))
+
+
 def constraint_data(pairs: DataFrame, constraints: DataFrame, keys: list[str], cutoff: float, step: float, models: tuple[str, ...] = ()) -> DataFrame:
     """(keys, models, res, disco, counts, avg_num_clusters, avg_variance, avg_max_seqsim, avg_max_seqid, num_constraints, fraction_observed).
 

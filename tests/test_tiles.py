@@ -81,3 +81,20 @@ def test_sums_of_all_pairs_have_no_join_of_points(spark):
     for df in (S.kernel_smooth(p, ["x"], 0.1, "id"), S.clash_scores(p, "id", "element", "id", "chain", "id")):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "FlatMapGroupsInArrow" in plan and not [x for x in plan.splitlines() if "Join" in x and " l_x#" in x.replace("(", " ")]
+
+
+def test_constraints_of_placed_points(crowd):
+    """Scores worked out where pairs are found are those of tables of constraints, and no table of pairs is made."""
+    from functools import reduce
+
+    from latticework.operators import constraints as C
+
+    p = crowd.select(F.lit(0).alias("target"), "id", *[F.col(f"{a}{v}") for a in ("h", "n", "o", "c") for v in "xyz"])
+    near = lambda a: S.self_pairs(p.select("id", *[F.col(f"{a}{v}").alias(v) for v in "xyz"]), 0.15, "id", ordered=False, strict=True).select(F.lit(0).alias("target"), F.col("l_id").alias("i"), F.col("r_id").alias("j"), F.sqrt("d2").alias("d"))
+    templates = [("h", 0, 1.0), ("n", 1, 2.0), ("o", 0, 1.0)]
+    rows = reduce(lambda x, y: x.unionByName(y), [near(a).select("*", F.lit(c).alias("cluster"), F.lit(w).alias("weight")) for a, c, w in templates])
+    want = C.constraint_scores(near("c"), C.constraint_functions(rows, ["target", "i", "j"], 0.15, 0.05), ["target"], 0.05)
+    want = {r["res"]: (r["score"], r["count"], r["clusters"], r["variance"]) for r in want.collect()}
+    out = C.placed_constraint_scores(p, "target", "id", templates, "c", 0.15, 0.05)
+    got = {r["id"]: (r["score"], r["count"], r["clusters"], r["variance"]) for r in out.collect()}
+    assert got.keys() == want.keys() and len(got) > 50 and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
