@@ -16,7 +16,7 @@ from latticework.llm.quality import classify
 from latticework.llm.shared import stage, table
 from latticework.llm.simhash import near_duplicates
 
-SHINGLE_WORDS, SIMILARITY, SAMPLES = 5, 0.8, 16
+SHINGLE_WORDS, SIMILAR = 5, 80
 FIGURES = ["size", "source_size", "target", "taken"]
 
 
@@ -31,11 +31,11 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity of 0.8 or more) the smallest document stays.
+    """Of each group of near-duplicates (five-word shingles, similarity of 80 percent or more, every such link found; or fingerprints of 3 bits or fewer) the smallest document stays.
 
     Rows with a null id stay. Rows that share an id stay if one of their texts is the first of its group.
     """
-    near = near_duplicates(docs, width=SHINGLE_WORDS, samples=SAMPLES, similarity=SIMILARITY)
+    near = near_duplicates(docs, width=SHINGLE_WORDS, similar=SIMILAR)
     copies = near.groupBy("doc").agg(F.max(F.col("doc") == F.col("component")).alias("first")).where("not first")
     return docs.join(copies, docs["doc_id"] == copies["doc"], "left_anti")
 

@@ -8,7 +8,7 @@ each half's own cell and the cells one step up; pairs found are verified on the
 Three bits of 64 find only texts that are nearly equal. For links down to a given shingle similarity, each text
 also gets fingerprints of small samples of its shingles: the few that are smallest under a permutation of the
 hashes, without those that over a thousandth of the texts have. Texts reachable over equal fingerprints of samples form a group; groups
-are then joined exactly on their shingles.
+are then joined exactly on their shingles. Samples miss a link now and then; where none may be missed, the exact join of ngram_join gives the links.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .ngram_join import counted_ngrams, frequent_ngrams, links_in_groups
+from .ngram_join import counted_ngrams, frequent_ngrams, linked_sets, links_in_groups
 from .shared import connected_components, stage, table, union_all
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 3
@@ -136,12 +136,25 @@ def similar_texts(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str,
     return links_in_groups(docs, id_col, text_col, width, ceil(100 * similarity), stage(members, "members"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, seed: int = SEED, most_bits: int = MOST_BITS, samples: int = 0, similarity: float = 0.8) -> DataFrame:
+def equal_sets(fps: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, similar: int) -> DataFrame:
+    """(a, b), links between fingerprints of fps(doc, fp, th) whose texts links of similar percent connect, exactly, or that have one set of shingles.
+
+    Texts are told apart by their sets, so those of one fingerprint each have their own links.
+    """
+    sets, _, roots = linked_sets(docs, id_col, text_col, width, similar)
+    of = sets.where("key is not null").join(roots, "key", "left").select(F.col("doc").alias("d"), F.col("th").alias("t"), F.coalesce("root", "key").alias("grp")).distinct()
+    entries = fps.select("doc", "th", "fp").join(of, F.col("doc").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("grp", "fp").distinct()
+    tied = entries.select("fp", F.lead("fp").over(Window.partitionBy("grp").orderBy("fp")).alias("next")).where("next is not null")
+    return stage(tied.select(F.col("fp").alias("a"), F.col("next").alias("b")), "equal-sets")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, seed: int = SEED, most_bits: int = MOST_BITS, samples: int = 0, similarity: float = 0.8, similar: int | None = None) -> DataFrame:
     """(doc, fp, component) for every row; component is the smallest id reachable over links.
 
     Fingerprints link at most_bits or fewer differing bits. With samples above 0, texts also link where at least
     the given share of their distinct shingles is common (Jaccard, in whole percent, 0.8 or more), found with a chance of
-    1 - (1 - share ** SAMPLE) ** samples, share being that of the shingles that are not frequent. Equal fingerprints are taken together
+    1 - (1 - share ** SAMPLE) ** samples, share being that of the shingles that are not frequent. With similar, a whole percentage from 80 on,
+    all texts of that similarity or more link: none is left out. Equal fingerprints are taken together
     first, so groups of copies cost one fingerprint; the text with the smallest id stands for them. Rows with a null id have a fingerprint, take
     part in its links, and get the component's smallest id (null if it has none); they are not compared on shingles. Where rows share an id, any of
     their texts stands for it.
@@ -156,6 +169,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = close_pairs(nodes, most_bits)
     if samples:
         links = union_all([links, *similar_texts(nodes, docs, id_col, text_col, width, similarity)])
+    if similar is not None:
+        links = links.unionByName(equal_sets(fps, docs, id_col, text_col, width, similar))
     roots = connected_components(links)
     groups = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = groups.groupBy("root").agg(F.min("low").alias("component"))

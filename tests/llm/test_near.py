@@ -67,3 +67,13 @@ def test_long_prefixes_of_ids_make_no_single_batch(spark, monkeypatch):
     assert len(added) >= 4 and max(added) <= 60 and sum(added) == 150
     assert out == {i: int(k > 0) + k % 2 for k, (i, _) in enumerate(rows)}
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_the_pipeline_leaves_no_link_out(spark, tmp_path):
+    """Two texts of one fingerprint, that of a word they repeat; a third has nearly all shingles of the greater one, which no sample stood for."""
+    import corpus_pipeline
+
+    rows = [(1, ["ha"] * 300 + prose(100, 1)), (2, ["ha"] * 300 + prose(100, 2)), (3, prose(100, 2)), (4, prose(100, 3))]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in rows], "doc_id long, text string")
+    first = corpus_pipeline.one_of_each_group(spark, docs, str(tmp_path))
+    assert sorted(r["doc_id"] for r in first.collect()) == [1, 4]
