@@ -424,6 +424,31 @@ def test_passages_shared_with_scattered_pieces(spark):
         assert covered >= set(range(50, 170))
 
 
+def test_edited_passages_shared_with_scattered_pieces(spark):
+    """As above with a word in 30 edited in one of three documents."""
+    shared = prose(120, 4500).split()
+    edited = [f"e{k}" if k % 30 == 15 else w for k, w in enumerate(shared)]
+    for step in (40, 20, 10):
+        pieces = " ".join(f"{prose(25, 4600 + k)} {' '.join(shared[k : k + 20])}" for k in range(0, 101, step))
+        rows = [(1, pieces, "en", "a"), *[(i, f"{prose(50, 4700 + i)} {' '.join(t)} {prose(50, 4800 + i)}", "en", "a") for i, t in ((2, shared), (3, edited), (4, shared))]]
+        found = substring_dedup.fuzzy_passages(table(spark, rows)).where("other = 2").collect()
+        assert (3, 50, 170, 50, 170) in {(r["doc"], r["start"], r["end"], r["other_start"], r["other_end"]) for r in found}
+        assert {k for r in found if r["doc"] == 4 for k in range(r["start"], r["end"])} == set(range(50, 170))
+
+
+def test_seeds_are_the_least_of_their_windows():
+    words = [w.encode() for w in (prose(80, 4900) + " of" * 60 + prose(40, 4901)).split()]
+    for n in (1, 3, 12, 40, len(words)):
+        h = substring_dedup.run_hashes(words, n)
+        assert len(h) == len(words) - n + 1 and len(set(h.tolist())) == len({tuple(words[i : i + n]) for i in range(len(h))})
+    h = substring_dedup.run_hashes(words, 5)
+    want = sorted({i + int(h[i : i + 12].argmin()) for i in range(len(h) - 11)})
+    found, at = substring_dedup.minimizers(words)
+    assert at.tolist() == want and found.view(np.uint64).tolist() == h[want].tolist()
+    assert substring_dedup.minimizers(words[:7])[1].tolist() == [int(h[:3].argmin())]
+    assert len(substring_dedup.minimizers([])[1]) == 0
+
+
 def test_short_passages_with_edits(spark):
     words = prose(51, 4400).split()
     edited = [w if k not in (5, 45) else "edit" for k, w in enumerate(words)]
