@@ -54,22 +54,32 @@ def apart_in_sequence(pairs: DataFrame, chain: str, number: str, separation: int
     return pairs.where((F.col(f"l_{chain}") != F.col(f"r_{chain}")) | (F.abs(F.col(f"l_{number}") - F.col(f"r_{number}")) >= separation))
 
 
-def neighbor_counts(targets: DataFrame, around: DataFrame, radius: float, id_col: str, keys: list[str] | None = None, most: int | None = None) -> DataFrame:
-    """(keys, id, n): others within radius of each target, zero included, clamped to most."""
-    on = [*(keys or []), id_col]
+def counts_within(targets: DataFrame, around: DataFrame, radii: dict[str, float], id_col: str, keys: list[str] | None = None) -> DataFrame:
+    """(keys, id, names of radii): others within each radius of each target, zero included, in one look at what is near."""
+    on, reach = [*(keys or []), id_col], max(radii.values())
 
     def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
         (li, ri), _ = coded(left[id_col], right[id_col])
         known = (li >= 0)[:, None], ri >= 0
-        counted = row_sums(left, right, radius, lambda i, j, d2: ((d2 <= radius * radius) & (li[i][:, None] != ri[j]) & known[0][i] & known[1][j]).sum(axis=1)[:, None], 1)
-        return pa.table({c: left[c] for c in on} | {"n": counted[:, 0].astype(np.int64)})
+
+        def counted(i, j, d2):
+            other = (li[i][:, None] != ri[j]) & known[0][i] & known[1][j]
+            return np.array([((d2 <= r * r) & other).sum(axis=1) for r in radii.values()]).T
+
+        sums = row_sums(left, right, reach, counted, len(radii))
+        return pa.table({c: left[c] for c in on} | {n: sums[:, k].astype(np.int64) for k, n in enumerate(radii)})
 
     kinds = dict(targets.dtypes)
     needed = list(dict.fromkeys([*on, *"xyz"]))
-    parts = tiled(targets.select(*needed), around.select(*needed), radius, kernel, ", ".join([*[f"{c} {kinds[c]}" for c in on], "n long"]), keys)
-    found = parts.groupBy(*on).agg(F.sum("n").alias("n")).where("n > 0")
-    n = F.coalesce("n", F.lit(0))
-    return targets.select(*on).join(found, on, "left").select(*on, (n if most is None else F.least(n, F.lit(most))).cast("long").alias("n"))
+    parts = tiled(targets.select(*needed), around.select(*needed), reach, kernel, ", ".join([*[f"{c} {kinds[c]}" for c in on], *[f"{n} long" for n in radii]]), keys)
+    found = parts.groupBy(*on).agg(*[F.sum(n).alias(n) for n in radii]).where(" or ".join(f"`{n}` > 0" for n in radii))
+    return targets.select(*on).join(found, on, "left").select(*on, *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in radii])
+
+
+def neighbor_counts(targets: DataFrame, around: DataFrame, radius: float, id_col: str, keys: list[str] | None = None, most: int | None = None) -> DataFrame:
+    """(keys, id, n): others within radius of each target, zero included, clamped to most."""
+    found = counts_within(targets, around, {"n": radius}, id_col, keys)
+    return found if most is None else found.withColumn("n", F.least("n", F.lit(most)).cast("long"))
 
 
 def near_any(targets: DataFrame, others: DataFrame, radius: float, id_col: str, keys: list[str] | None = None) -> DataFrame:

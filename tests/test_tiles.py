@@ -1,5 +1,6 @@
 """Points that meet in tiles give what the joins of rows give, and no pair leaves a tile."""
 
+import math
 import random
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from latticework.operators import spatial as S
 from latticework.operators import terms as T
 from latticework.operators import tiles
+from latticework.plans import templates
 
 
 @pytest.fixture(scope="module")
@@ -98,3 +100,14 @@ def test_constraints_of_placed_points(crowd):
     out = C.placed_constraint_scores(p, "target", "id", templates, "c", 0.15, 0.05)
     got = {r["id"]: (r["score"], r["count"], r["clusters"], r["variance"]) for r in out.collect()}
     assert got.keys() == want.keys() and len(got) > 50 and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+
+
+def test_counts_at_several_radii_and_streamed_terms_keep_pairs_in_tiles(spark):
+    r = random.Random(5)
+    rows = [(k % 2, k, *[r.uniform(0, 2) for _ in range(3)]) for k in range(120)]
+    points = spark.createDataFrame(rows, "model int, id int, x double, y double, z double")
+    radii = {"near": 0.9, "close": 0.3}
+    got = {tuple(x) for x in S.counts_within(points, points, radii, "id", ["model"]).collect()}
+    assert got == {(m, i, *[sum(m == o and i != j and math.dist(p, q) <= d for o, j, *q in rows) for d in radii.values()]) for m, i, *p in rows}
+    plan = templates.streamed_terms(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_cell_x" not in plan and plan.count("FlatMapGroupsInArrow") >= 2
