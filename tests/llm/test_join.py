@@ -154,3 +154,23 @@ def test_metric_join(monkeypatch):
             assert 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))
             up.join(a, b)
         assert [up.root(i) for i in keys] == [c for _, _, c in sorted(brute(rows)[0])]
+
+
+def test_ngrams_of_large_groups_stay_where_they_are(spark, monkeypatch):
+    """Pivots are few: their n-grams go to the others', which are not shuffled to meet them; either way gives the same."""
+    r, staged, stage = random.Random(8), {}, J.stage
+    rows = [(1, k, 30, sorted(r.sample(range(90), 30)), 24) for k in range(24)]
+    large = spark.createDataFrame(rows, "grp long, key long, n long, set array<long>, docs long")
+    monkeypatch.setattr(J, "stage", lambda df, label: staged.setdefault(label, df) and stage(df, label))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = []
+        for most in (1 << 19, 0):
+            staged.clear()
+            monkeypatch.setattr(J, "SENT_NGRAMS", most)
+            links, cells = J._divided(large, 0, 80)
+            got.append((sorted(map(tuple, links.collect())), sorted(map(tuple, cells.collect()), key=str)))
+            assert ("ResolvedHint (strategy=broadcast)" in staged["pivots"]._jdf.queryExecution().analyzed().toString()) == (most > 0)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got[0] == got[1] and got[0][1]
