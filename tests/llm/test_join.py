@@ -174,3 +174,45 @@ def test_ngrams_of_large_groups_stay_where_they_are(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got[0] == got[1] and got[0][1]
+
+
+def test_linked_sets_have_as_many_parts_in_common_as_they_need():
+    r, most = random.Random(11), 0
+    for n in [*range(1, 60), 75, 130, 260, 1000, 3000]:
+        for similar in (80, 85, 93):
+            size = r.randint(n, 100 * n // similar)
+            common = min(n, -(-similar * (n + size) // (100 + similar)))
+            hashes = [r.getrandbits(64) for _ in range(n + size - common)]
+            a, b = (np.array(sorted(x), np.uint64) for x in (hashes[:n], hashes[n - common :]))
+            if len(a) == len(b) and (a == b).all() or 100 * common < similar * len(hashes):
+                continue
+            for often in (None, np.sort(np.array(r.sample(hashes, r.choice([1, len(hashes) // 2, len(hashes)])), np.uint64))):
+                (x, p), (y, q) = (J.needed_parts(s, similar, often) for s in (a, b))
+                assert len(np.intersect1d(x, y)) >= max(p, q), (n, size, similar, often is None)
+                most = max(most, p, q)
+    assert most > 50
+
+
+def test_a_passage_in_common_does_not_tie_documents(spark):
+    r = random.Random(12)
+    words = lambda k: [f"w{r.randint(0, 10**9)}" for _ in range(k)]
+    passage, copy = words(150), words(400)
+    rows = [(i, " ".join(words(200) + passage + words(200))) for i in range(12)]
+    rows += [(100 + i, " ".join([*copy[:k], "new", *copy[k:]])) for i, k in enumerate((50, 150, 250))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    name = {(J.xxhash.xxh64_intdigest(J.ngrams(t.encode(), 5).tobytes()) - (1 << 63)) >> J.NEED_BITS: i for i, t in rows}
+    got = {(name[a], name[b]) for a, b in J.candidate_links(docs, "doc_id", "text", 5, 80, np.empty(0, np.uint64)).collect()}
+    assert {tuple(sorted(x)) for x in got} == {(100, 101), (100, 102), (101, 102)}
+
+
+def test_parts_of_many_sets_over_batches(spark, monkeypatch):
+    """Few sets to a pair's part, and batches that end within a part: the same components."""
+    rows = list(enumerate(texts(13, 300)))
+    want = brute(rows)[0]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        for met in (1, 3):
+            monkeypatch.setattr(J, "MET", met)
+            assert run(spark, rows) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
