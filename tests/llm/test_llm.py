@@ -449,6 +449,23 @@ def test_seeds_are_the_least_of_their_windows():
     assert len(substring_dedup.minimizers([])[1]) == 0
 
 
+def test_open_pairs_of_seeds_are_brute_force():
+    """Near seeds that lie together in no span; covered ones are not listed first."""
+    r = np.random.default_rng(5)
+    for n in (0, 1, 2, 30, 400):
+        pos = np.sort(r.integers(0, 4 * n + 1, n))
+        seed = r.integers(0, 50, n)
+        for count in (0, 1, 6):
+            start = np.unique(r.integers(0, 4 * n + 1, count))
+            spans = [{"start": int(s), "end": int(e)} for s, e in zip(start, np.maximum.accumulate(start + r.integers(5, 80, len(start))) + np.arange(len(start)))]
+            key, i, j = substring_dedup.near_seeds(seed, pos)
+            bare = np.array([not any(x["start"] <= pos[a] and pos[b] + substring_dedup.K <= x["end"] for x in spans) for a, b in zip(i, j)], bool)
+            got = substring_dedup.near_seeds(seed, pos, substring_dedup.known_ends(pos, r.permutation(spans).tolist()))
+            assert sorted(zip(*(x.tolist() for x in got))) == sorted(zip(key[bare].tolist(), i[bare].tolist(), j[bare].tolist()))
+    pos = np.arange(0, 600_000, 6)
+    assert len(substring_dedup.near_seeds(pos, pos, substring_dedup.known_ends(pos, [{"start": 0, "end": 600_010}]))[0]) == 0
+
+
 def test_short_passages_with_edits(spark):
     words = prose(51, 4400).split()
     edited = [w if k not in (5, 45) else "edit" for k, w in enumerate(words)]
