@@ -436,6 +436,39 @@ def test_edited_passages_shared_with_scattered_pieces(spark):
         assert {k for r in found if r["doc"] == 4 for k in range(r["start"], r["end"])} == set(range(50, 170))
 
 
+def test_a_line_of_many_texts_does_not_tie_them_all(spark, monkeypatch):
+    """Texts with a line in common, each among words of its own, do not all meet; those that share words beyond edits about it too are found."""
+    line, before, after = prose(32, 5000), prose(4, 5001), prose(4, 5002)
+    rows = [(i, f"{prose(50, 5100 + i)} {line} {prose(50, 5300 + i)}", "en", "a") for i in range(90)]
+    rows += [(i, f"{prose(50, 5500 + i)} {before} e{i} {line} f{i} {after} {prose(50, 5510 + i)}", "en", "a") for i in (200, 201, 202)]
+    met, chained = [], substring_dedup.met_chains
+    monkeypatch.setattr(substring_dedup, "met_chains", lambda linked, pairs, known: met.append(pairs.count()) or chained(linked, pairs, known))
+    got = {(r["doc"], r["other"], r["start"], r["end"], r["other_start"], r["other_end"]) for r in substring_dedup.fuzzy_passages(table(spark, rows)).collect()}
+    assert got >= {(201, 200, 50, 92, 50, 92), (202, 200, 50, 92, 50, 92)} and all(r[0] >= 200 for r in got)
+    assert sum(met) < 10 * len(rows)
+
+
+def test_words_beside_a_span_are_brute_force():
+    words = np.random.default_rng(7).integers(0, 1 << 32, 300).astype(np.uint64)
+    h, x, y = substring_dedup.run_hashes(words, 3), np.array([0, 5, 140, 290]), np.array([6, 30, 150, 300])
+    got = sorted(zip(*(c.tolist() for c in substring_dedup.side_grams(h, x, y))))
+    value = lambda v: int(v.view(np.int64))
+    want = [(n, value(h[k]), k + 3 - b) for n, b in enumerate(y) for k in range(298) if 0 < k + 3 - b <= substring_dedup.FAR]
+    want += [(n, value(substring_dedup.mixed(h[k : k + 1])[0]), k - a) for n, a in enumerate(x) for k in range(298) if 0 < a - k <= substring_dedup.FAR]
+    assert got == sorted((n, g, int(d)) for n, g, d in want)
+    assert len(substring_dedup.side_grams(h[:0], x, y)[0]) == 0
+
+
+def test_least_spans_hold_no_other():
+    r = np.random.default_rng(8)
+    for n in (0, 1, 5, 60):
+        seed, pos = r.integers(0, 4, n), np.sort(r.choice(300, n, replace=False))
+        key, i, j = substring_dedup.near_seeds(seed, pos)
+        spans = list(zip(key.tolist(), i.tolist(), j.tolist()))
+        want = [k for k, (c, a, b) in enumerate(spans) if not any(c == c_ and a <= a_ and b_ <= b and (a, b) != (a_, b_) for c_, a_, b_ in spans)]
+        assert substring_dedup.least_spans(key, i, j).tolist() == want
+
+
 def test_seeds_are_the_least_of_their_windows():
     words = [w.encode() for w in (prose(80, 4900) + " of" * 60 + prose(40, 4901)).split()]
     for n in (1, 3, 12, 40, len(words)):
