@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import time
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ import corpus_pipeline
 from latticework.llm import decontamination as D
 from latticework.llm import language_id as L
 from latticework.llm import line_dedup, mixing, nearest, quality, simhash, substring_dedup, suffix_dedup, url_filter
-from latticework.llm.shared import connected_components, stage
+from latticework.llm.shared import connected_components, shared_dir, stage
 
 SYLLABLES = "an er on th en in ed ti re st".split()
 
@@ -448,6 +449,17 @@ def test_a_line_of_many_texts_does_not_tie_them_all(spark, monkeypatch):
     assert sum(met) < 10 * len(rows)
 
 
+def test_passages_leave_no_large_tables(spark):
+    folder = Path(shared_dir(spark).removeprefix("file://")) / "staged"
+    before = set(folder.glob("*"))
+    text = prose(60, 5600)
+    rows = [(i, f"{prose(30, 5610 + i)} {text} {prose(30, 5620 + i)}", "en", "a") for i in range(2)]
+    got = substring_dedup.fuzzy_passages(table(spark, rows))
+    left = {p.name.rpartition("-")[0] for p in set(folder.glob("*")) - before}
+    assert not left & {"seeds", "firsts", "stretches", "cuts", "chains", "grams"}
+    assert [(r["doc"], r["start"], r["end"]) for r in got.collect()] == [(1, 30, 90)]
+
+
 def test_words_beside_a_span_are_brute_force():
     words = np.random.default_rng(7).integers(0, 1 << 32, 300).astype(np.uint64)
     h, x, y = substring_dedup.run_hashes(words, 3), np.array([0, 5, 140, 290]), np.array([6, 30, 150, 300])
