@@ -494,6 +494,16 @@ def test_seeds_are_the_least_of_their_windows():
     assert len(substring_dedup.minimizers([])[1]) == 0
 
 
+def test_minimizers_of_texts_together_are_those_of_each():
+    r = random.Random(1)
+    texts = [(i * 7 % 101, [str(r.randint(0, 9 if i % 3 else 5000)).encode() for _ in range(r.randint(16, 90))]) for i in range(60)]
+    h, doc, at = substring_dedup.minimizers_of_each(texts)
+    want = [(d, *x) for d, words in texts for x in zip(*(c.tolist() for c in substring_dedup.minimizers(words)))]
+    assert list(zip(doc.tolist(), h.tolist(), at.tolist())) == want
+    new = substring_dedup.first_seen(h, doc)
+    assert [x for x, n in zip(want, new) if n] == [x for k, x in enumerate(want) if x[:2] not in {w[:2] for w in want[:k]}]
+
+
 def test_open_pairs_of_seeds_are_brute_force():
     """Near seeds that lie together in no span; covered ones are not listed first."""
     r = np.random.default_rng(5)
