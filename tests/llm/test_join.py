@@ -216,3 +216,21 @@ def test_parts_of_many_sets_over_batches(spark, monkeypatch):
             assert run(spark, rows) == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_passage_of_many_documents_ties_none_and_many_copies_stay_linked(spark):
+    """A passage that over MET documents have joined them all, through parts of few n-grams of it."""
+    r = random.Random(14)
+    words = lambda k: [f"w{r.randint(0, 10**9)}" for _ in range(k)]
+    passage, copy = words(60), words(300)
+    rows = [(i, " ".join(words(60) + passage + words(60))) for i in range(3 * J.MET)]
+    rows += [(1000 + i, " ".join([*copy[: 3 * i], "new", *copy[3 * i :]])) for i in range(2 * J.MET)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    name = {(J.xxhash.xxh64_intdigest(J.ngrams(t.encode(), 5).tobytes()) - (1 << 63)) >> J.NEED_BITS: i for i, t in rows}
+    links = J.candidate_links(docs, "doc_id", "text", 5, 80, np.empty(0, np.uint64))
+    groups = {}
+    for x in J.connected_components(links).collect():
+        groups.setdefault(x["root"], set()).update({name[x["node"]]} if x["node"] in name else ())
+    assert [g for g in groups.values() if len(g) > 1] == [{i for i, _ in rows if i >= 1000}]
+    found = {x["doc"]: x["component"] for x in J.jaccard_components(docs, width=5, similar=80).collect()}
+    assert found == {i: min(i, 1000) for i, _ in rows}
