@@ -3,6 +3,8 @@
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +113,24 @@ def test_counts_at_several_radii_and_streamed_terms_keep_pairs_in_tiles(spark):
     assert got == {(m, i, *[sum(m == o and i != j and math.dist(p, q) <= d for o, j, *q in rows) for d in radii.values()]) for m, i, *p in rows}
     plan = templates.streamed_terms(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "l_cell_x" not in plan and plan.count("FlatMapGroupsInArrow") >= 2
+
+
+@pytest.mark.parametrize("name", ["reduced"])
+def test_whole_blocks_give_the_bins_of_single_pairs(name):
+    """Angles on the edges of bins, points and axes that coincide, axes without a length or a value: what blocks come to is what pairs one by one do."""
+    r = np.random.default_rng(5)
+    n, names = 300, ["x", "y", "z", "ax", "ay", "az", *[f"{a}{v}" for a in ("h", "n", "o", "c", "ca") for v in "xyz"]]
+    rough = np.arange(n) < n // 2
+    values = {c: np.where(rough, r.integers(-2, 3, n) * 0.0625, r.normal(0, 0.12, n)) for c in names}
+    values["ax"][::37] = np.nan
+    for c in ("cx", "cy", "cz"):
+        values[c][::29] = values["o" + c[1]][::29]
+    points = pa.table({c: pa.chunked_array([pa.array(v, mask=np.isnan(v))]) for c, v in values.items()} | {"res": pa.chunked_array([pa.array(np.arange(n) // 2)]), "chain": pa.chunked_array([pa.array(["A"] * n)]), "rnum": pa.chunked_array([pa.array(np.arange(n))]), "aa": pa.chunked_array([pa.array([None if i % 11 == 0 else i % 4 for i in range(n)], pa.int64())]), "state": pa.chunked_array([pa.array([None if i % 13 == 0 else i % 3 for i in range(n)], pa.int64())]), "donates": pa.chunked_array([pa.array([i % 5 > 0 for i in range(n)])])})
+    term, got = TERMS[name], []
+    for whole in (True, False):
+        for by in ([], ["res"]):
+            cells = term.cells(points, points)
+            assert cells.whole
+            cells.whole = cells.whole if whole else None
+            got.append(sorted(map(str, tiles.pair_counts(points, points, 0.25, cells, by).group_by([*by, *cells.own, *cells.keys, *cells.sizes]).aggregate([("times", "sum")]).to_pylist())))
+    assert got[:2] == got[2:] and len(got[0]) > 50
