@@ -115,7 +115,7 @@ def test_counts_at_several_radii_and_streamed_terms_keep_pairs_in_tiles(spark):
     assert "l_cell_x" not in plan and plan.count("FlatMapGroupsInArrow") >= 2
 
 
-@pytest.mark.parametrize("name", ["reduced"])
+@pytest.mark.parametrize("name", ["reduced", "hbond"])
 def test_whole_blocks_give_the_bins_of_single_pairs(name):
     """Angles on the edges of bins, points and axes that coincide, axes without a length or a value: what blocks come to is what pairs one by one do."""
     r = np.random.default_rng(5)
