@@ -20,6 +20,8 @@ from .tiles import blocks, coded, numbers, tiled
 
 #: Least length of a sequence that is too long, most templates of a target, and the largest cutoff of distances.
 TOO_LONG, MOST_TEMPLATES, FARTHEST = 65535, 65534, 30.0
+#: Up to so many templates, what a pair has of them is looked up by which they are.
+PATTERNS = 10
 
 
 def column_similarity(pairs: DataFrame, scores: DataFrame, keys: list[str]) -> DataFrame:
@@ -177,40 +179,64 @@ def placed_constraint_scores(points: DataFrame, target: str, residue: str, templ
     model, a prefix too. Pairs are found by the model's places; their distances in the templates, constraint and score are worked out where they
     are found, and a residue's sums are all that leaves. Templates of a cluster have equal weights.
     """
-    last = int(math.ceil(cutoff / step))
+    last, levels = int(math.ceil(cutoff / step)), int(math.floor(cutoff * 1000)) + 2
     clusters = sorted({c for _, c, _ in templates})
     weight = {c: w for _, c, w in templates}
 
+    def of_patterns(here: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(each template's share, how many templates, how many clusters) where here (templates, patterns) says which templates have the pair."""
+        held = {c: sum(h.astype(np.int64) for h, t in zip(here, templates) if t[1] == c) for c in clusters}
+        total = sum(np.where(held[c] > 0, weight[c], 0.0) for c in clusters)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            share = [np.where(h, t[2] / total / np.maximum(held[t[1]], 1), 0.0) for h, t in zip(here, templates)]
+        return np.array(share), here.sum(axis=0), sum((held[c] > 0).astype(float) for c in clusters)
+
     def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
         (li, ri), _ = coded(left["id_"], right["id_"])
-        known = (li >= 0)[:, None], ri >= 0
-        places = [[np.array([numbers(t, f"t{k}_{v}") for v in "xyz"]) for t in (left, right)] for k in range(len(templates))]
+        li, ri = li.astype(np.int32), np.where(ri < 0, -2, ri).astype(np.int32)
+        missing = (li < 0).any() or (ri < 0).any()
+        mine, theirs = (np.array([numbers(t, f"t{k}_{v}") for k in range(len(templates)) for v in "xyz"]) for t in (left, right))
+        few = len(templates) <= PATTERNS
+        bits = 1 << np.arange(len(templates))
+        known = of_patterns((np.arange(1 << len(templates)) & bits[:, None]) > 0) if few else None
+        # distances are whole thousandths, so that their exponentials at the places of the grid are a small table
+        place, level = np.arange(last + 1, dtype=float)[:, None], np.arange(levels) / 1000
+        table = np.exp(-0.5 * (level - place * step) * (level - place * step)).ravel()
         sums = np.zeros((5, len(left)))
         for part, met in blocks(left, right, cutoff):
             for there, d2 in met:
-                rows, columns = np.nonzero((d2 < cutoff * cutoff) & (li[part][:, None] != ri[there]) & known[0][part] & known[1][there])
-                i, j, d = rows + part.start, columns + there.start, np.sqrt(d2[rows, columns])
-                own = []
-                for p, q in places:
-                    to = p[:, i] - q[:, j]
-                    e2 = to[0] * to[0] + to[1] * to[1] + to[2] * to[2]
-                    own.append(np.where(e2 < cutoff * cutoff, np.floor(np.sqrt(e2) * 1000) / 1000, np.nan))
-                own = np.array(own)
-                some = ~np.isnan(own).all(axis=0)
-                i, d, own = i[some], d[some], own[:, some]
-                here = ~np.isnan(own)
-                held = {c: sum(h for h, t in zip(here, templates) if t[1] == c) for c in clusters}
-                total = sum(np.where(held[c] > 0, weight[c], 0.0) for c in clusters)
-                present = sum((held[c] > 0).astype(float) for c in clusters)
-                near = np.where(here, own, 0.0)
-                count = here.sum(axis=0)
-                off = np.where(here, own - near.sum(axis=0) / count, 0.0)
-                at = np.floor(d / step)
-                share = [np.where(h, t[2] / total / np.maximum(held[t[1]], 1), 0.0) for h, t in zip(here, templates)]
-                low, high = (sum(w * np.exp(-0.5 * (x - k * step) * (x - k * step)) for w, x in zip(share, near)) for k in (at, at + 1))
-                score = low * (1 - (d / step - at)) + high * (d / step - at)
-                inside = at + 1 <= last
-                for n, v in enumerate((np.where(inside, score, 0.0), inside, present, (off * off).sum(axis=0) / count, np.ones(len(i)))):
+                near = d2 < cutoff * cutoff
+                near &= li[part][:, None] != ri[there]
+                if missing:
+                    near &= (li[part] >= 0)[:, None] & (ri[there] >= 0)
+                at = np.flatnonzero(near)
+                rows, columns = np.divmod(at.astype(np.int32), there.stop - there.start)
+                to = mine[:, part].take(rows, axis=1)
+                to -= theirs[:, there].take(columns, axis=1)
+                to *= to
+                e2 = to[0::3] + to[1::3]
+                e2 += to[2::3]
+                here = e2 < cutoff * cutoff
+                some = np.flatnonzero(here.any(axis=0))
+                i, d = rows.take(some) + part.start, np.sqrt(d2.ravel()[at[some]])
+                here, e2 = here.take(some, axis=1), e2.take(some, axis=1)
+                e2[~here] = 0.0  # places that are missing too
+                own = np.floor(np.sqrt(e2) * 1000)
+                if few:
+                    pattern = bits @ here
+                    share, count, present = (x.take(pattern, axis=-1) for x in known)
+                else:
+                    share, count, present = of_patterns(here)
+                near = own / 1000
+                off = np.where(here, near - near.sum(axis=0) / count, 0.0)
+                whole = np.floor(d / step)
+                spot = own.astype(np.int32) + whole.astype(np.int32) * levels
+                inside = whole + 1 <= last
+                spot *= inside
+                low, high = ((share * table.take(x)).sum(axis=0) for x in (spot, spot + levels))
+                part_ = d / step - whole
+                score = low * (1 - part_) + high * part_
+                for n, v in enumerate((np.where(inside, score, 0.0), inside, present, (off * off).sum(axis=0) / count, None)):
                     sums[n] += np.bincount(i, v, minlength=len(left))
         return pa.table({"target_": left["target_"], "id_": left["id_"], "score": sums[0], "count": sums[1].astype(np.int64), "clusters": sums[2], "variance": sums[3], "rows": sums[4].astype(np.int64)})
 

@@ -134,3 +134,36 @@ def test_whole_blocks_give_the_bins_of_single_pairs(name):
             cells.whole = cells.whole if whole else None
             got.append(sorted(map(str, tiles.pair_counts(points, points, 0.25, cells, by).group_by([*by, *cells.own, *cells.keys, *cells.sizes]).aggregate([("times", "sum")]).to_pylist())))
     assert got[:2] == got[2:] and len(got[0]) > 50
+
+
+def test_constraints_of_few_templates_are_looked_up(crowd, monkeypatch):
+    """Templates in two clusters, some places missing: what is looked up by templates is what is worked out pair by pair, and both are what the exponentials say."""
+    from latticework.operators import constraints as C
+
+    p = crowd.select("model", F.col("id").alias("res"), *[F.col(f"{a}{v}").alias(f"{a}_{v}") for a in ("h", "n", "o", "c") for v in "xyz"])
+    p = p.withColumn("n_x", F.when(F.col("res") % 5 > 0, F.col("n_x"))).where("h_x is not null").cache()
+    templates = [("n_", 0, 1.0), ("o_", 1, 2.0), ("c_", 0, 1.0)]
+    got = []
+    for most in (10, 0):
+        monkeypatch.setattr(C, "PATTERNS", most)
+        got.append({(x["model"], x["res"]): x for x in C.placed_constraint_scores(p, "model", "res", templates, "h_", 0.3, 0.1).collect()})
+    assert got[0] == got[1] and len(got[0]) > 100
+    rows, sums = p.collect(), {}
+
+    def apart(a, b, name):
+        if any(x[f"{name}{v}"] is None for x in (a, b) for v in "xyz"):
+            return math.inf
+        return math.sqrt(sum((a[f"{name}{v}"] - b[f"{name}{v}"]) ** 2 for v in "xyz"))
+
+    for a in rows:
+        for b in rows:
+            if a["model"] == b["model"] and a["res"] != b["res"] and (d := apart(a, b, "h_")) < 0.3:
+                near = [(c, w, math.floor(e * 1000) / 1000) for n, c, w in templates if (e := apart(a, b, n)) < 0.3]
+                if near:
+                    held = {c: w for c, w, _ in near}
+                    value = lambda k: sum(w / sum(held.values()) / sum(x[0] == c for x in near) * math.exp(-0.5 * (e - k * 0.1) ** 2) for c, w, e in near)
+                    k = math.floor(d / 0.1)
+                    sums.setdefault((a["model"], a["res"]), []).append(value(k) * (1 - (d / 0.1 - k)) + value(k + 1) * (d / 0.1 - k))
+    assert sums.keys() == got[0].keys()
+    for key, each in sums.items():
+        assert got[0][key]["count"] == len(each) and got[0][key]["score"] == pytest.approx(sum(each) / len(each), abs=1e-12)
